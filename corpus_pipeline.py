@@ -1,8 +1,61 @@
-"""The corpus pipeline: STAGES over the documents, each written as Parquet and read by the next."""
+"""The corpus pipeline: STAGES over the documents, each written as Parquet and read by the next.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and, but for the last, returns the columns of documents.
+Toxic documents go; lines that many documents repeat go from all but one; of each group of
+near-duplicates the document with the smallest doc_id stays; documents that hold a benchmark item go;
+the rest is packed. SQL can express the second stage only, so ORACLE_SQL is None and the tests
+compare run() with a brute-force version.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from eventide.llm import decontaminate, line_dedup, minhash, packing, toxicity
+from eventide.llm.common import table, written
+from eventide.llm.queries import BPE
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(COLUMNS)
+    return toxicity.nontoxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = line_dedup.line_dedup(docs.select(COLUMNS))
+    return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(COLUMNS)
+    others = minhash.near_duplicates(docs).filter("doc_id <> class_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminated(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.best_fit_pack(packing.pieces(docs, **BPE), rows=docs.count())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_common_lines),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("benchmark_decontamination", drop_contaminated),
+    ("best_fit_packing", pack),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import decontaminate, language_id, minhash, packing, toxicity
+from eventide.llm import decontaminate, embedding_dedup, html_extract, language_id, minhash, packing, toxicity
 from eventide.llm import line_dedup as lines
 from eventide.llm.common import table
 
@@ -23,6 +23,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,6 +40,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.fit(docs))
@@ -43,6 +51,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op3_toxicity, op6_decontamination, op7_minhash_near_dedup, op8_line_dedup, op10_language_id)
+    for f in (
+        op1_best_fit_packing, op3_toxicity, op4_html_extraction, op6_decontamination, op7_minhash_near_dedup, op8_line_dedup,
+        op9_embedding_near_dedup, op10_language_id,
+    )
 }
 ORACLES = {"op8_line_dedup": lines.ORACLE}
