@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import decontaminate, embedding_dedup, html_extract, language_id, minhash, packing, toxicity
+from eventide.llm import decontaminate, embedding_dedup, html_extract, language_id, minhash, packing, secret_scan, substring_dedup, toxicity
 from eventide.llm import line_dedup as lines
 from eventide.llm.common import table
 
@@ -18,6 +18,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(packing.pieces(docs, **BPE), rows=docs.count())
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, sf_dir, "documents"), secret_scan.fit(secret_scan.labelled_findings(spark)))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -27,6 +31,11 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_chunks", "n_dropped", "dropped_bytes", "first_doc_ids", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -52,7 +61,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_best_fit_packing, op3_toxicity, op4_html_extraction, op6_decontamination, op7_minhash_near_dedup, op8_line_dedup,
+        op1_best_fit_packing, op2_secret_scan, op3_toxicity, op4_html_extraction, op5_substring_dedup, op6_decontamination, op7_minhash_near_dedup, op8_line_dedup,
         op9_embedding_near_dedup, op10_language_id,
     )
 }
