@@ -1 +1,3 @@
+"""Query modules; importing one registers its queries."""
 
+from eventide.plans import market, relational  # noqa: F401
