@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +35,17 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
                 dropped(spark, old)
         edges, roots = new_edges, new_roots
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")) if roots is None else roots
+
+
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest position that each of n positions reaches over the links (a, b)."""
+    root = np.arange(n)
+    while True:
+        least = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new

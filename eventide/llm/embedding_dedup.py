@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.llm.common import bound_batches, written
-from eventide.llm.components import connected_components
+from eventide.llm.components import connected_components, local_roots
 
 SAMPLE, BLOCK, LISTS, PARTS, CODES = 8192, 1024, 1024, 16, 256
 
@@ -89,20 +89,6 @@ def unit(rows) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest position that each of n positions reaches over the links (a, b)."""
-    root = np.arange(n)
-    while True:
-        least = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, least)
-        np.minimum.at(new, b, least)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def block_links(x: np.ndarray, y: np.ndarray, codes: np.ndarray, error: np.ndarray, q: Quantiser, centroid: np.ndarray, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Positions (in x, in y) of the links between vectors x and the coded members y of a list."""
     limit = np.sqrt(2 - 2 * cosine) + error + 1e-7

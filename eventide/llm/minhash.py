@@ -19,12 +19,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.common import bound_batches, dropped, mix, text_slices, written
-from eventide.llm.components import connected_components
+from eventide.llm.common import bound_batches, mix, text_slices, written
+from eventide.llm.components import connected_components, local_roots
 from eventide.llm.text import Shingles, digests, jaccard, owners, shingles, words
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -94,32 +95,72 @@ def verified(pairs: DataFrame, texts: DataFrame, *, k: int, threshold: float) ->
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 4) -> DataFrame:
-    """(doc_id, class_id, n_copies): a row per row of docs; class_id is the smallest doc_id of its class."""
-    spark = docs.sparkSession
+def shared_counts(s: Shingles) -> tuple[np.ndarray, np.ndarray]:
+    """How many distinct shingles each pair of texts shares, and how many each text has."""
+    n, own = len(s.row) - 1, owners(s.row)
+    value, code = np.unique(s.hash, return_inverse=True)
+    cell = np.unique(code * n + own)  # each text's distinct shingles, by shingle
+    code, own = cell // n, cell % n
+    size = np.bincount(own, minlength=n)
+    often = np.bincount(code, minlength=len(value)) > 1
+    renumber = np.cumsum(often) - 1
+    code, own = renumber[code[often[code]]], own[often[code]]
+    both = np.zeros((n, n), np.float32)
+    for at in range(0, int(often.sum()), 4096):
+        a, b = np.searchsorted(code, [at, at + 4096])
+        part = np.zeros((n, 4096), np.float32)
+        part[own[a:b], code[a:b] - at] = 1
+        both += part @ part.T
+    return both, size
+
+
+def block_links(members: DataFrame, texts: DataFrame, *, k: int, threshold: float, block: int) -> DataFrame:
+    """(a, b): links that connect what buckets' texts of different components connect. members: (band, bucket, id, root, n)."""
+    chunks = F.ceil(F.col("n") / block).cast("int")
+    placed = members.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    # with one other chunk there are two at a time; a chunk alone is a pair with itself
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    pairs = placed.withColumn("other", other).filter("chunks = 1 or other <> chunk").select("band", "bucket", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "id", "root")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", kind="stable")
+        both, size = shared_counts(shingles(words(pa.array(pdf["text"], pa.string())), k))
+        i, j = np.nonzero(np.triu(both >= threshold * (size[:, None] + size[None] - both) - 1e-6, 1))
+        good = pdf["root"].to_numpy()[i] != pdf["root"].to_numpy()[j]
+        ids = pdf["id"].to_numpy()
+        root = local_roots(len(ids), i[good], j[good])
+        has = np.flatnonzero(root != np.arange(len(ids)))
+        return pd.DataFrame({"a": ids[root[has]], "b": ids[has]})
+
+    rows = pairs.join(texts, "id").select("band", "bucket", "lo", "hi", "id", "root", "text")
+    return rows.groupBy("band", "bucket", "lo", "hi").applyInPandas(compare, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 4, small: int = 24, block: int = 512) -> DataFrame:
+    """(doc_id, class_id), a row per row of docs; class_id is the smallest doc_id of its class."""
     sig = written(signatures(docs, k=k, bands=bands, rows=rows))
+    good = sig.filter("doc_id is not null and d1 <> 0")
     # texts with the same words are one; the smallest id stands for all
-    ones = written(sig.filter("doc_id is not null and d1 <> 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.count("*").alias("n_copies"), F.first("bands").alias("bands")))
+    ones = written(good.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")))
     # rows that repeat an id with different words are one vertex: link what they stand for
-    same = sig.filter("doc_id is not null and d1 <> 0").join(ones.select("d1", "d2", "id"), ["d1", "d2"]).filter("id <> doc_id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    same = good.join(ones.select("d1", "d2", "id"), ["d1", "d2"]).filter("id <> doc_id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     slots = ones.select("id", F.posexplode("bands").alias("band", "bucket"))
-    firsts = slots.groupBy("band", "bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    shared = written(slots.join(firsts, ["band", "bucket"]).select("band", "bucket", "id", "a"))
-    pairs = written(shared.filter("id <> a").select("a", F.col("id").alias("b")).distinct())
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id").groupBy("id").agg(F.min("text").alias("text")))
+    leaders = slots.groupBy("band", "bucket").agg(F.min_by("id", F.xxhash64("id", "band")).alias("leader"), F.count("*").alias("n")).filter("n > 1")
+    shared = written(slots.join(leaders, ["band", "bucket"]).select("band", "bucket", "id", "leader", "n"))
+    pairs = written(shared.filter("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct())
+    wanted = shared.select("id").distinct()
+    texts = written(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id").groupBy("id").agg(F.max("text").alias("text")))
     links = written(verified(pairs, texts, k=k, threshold=threshold))
     root = connected_components(links)
-    # what shares a bucket and isn't connected yet: every pair that was not compared before
-    member = written(
-        shared.select("band", "bucket", "id").join(root, "id", "left").select("band", "bucket", "id", F.coalesce("root", "id").alias("root"))
-    )
-    mixed = member.groupBy("band", "bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2").select("band", "bucket")
-    left = member.join(mixed, ["band", "bucket"])
-    x = left.select("band", "bucket", F.col("id").alias("a"), F.col("root").alias("ra"))
-    y = left.select("band", "bucket", F.col("id").alias("b"), F.col("root").alias("rb"))
+    member = written(shared.join(root, "id", "left").select("band", "bucket", "id", "n", F.coalesce("root", "id").alias("root")))
+    mixed = member.groupBy("band", "bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band", "bucket")
+    left = written(member.filter("n > 2").join(mixed, ["band", "bucket"]))
+    few = left.filter(F.col("n") <= small)
+    x = few.select("band", "bucket", F.col("id").alias("a"), F.col("root").alias("ra"))
+    y = few.select("band", "bucket", F.col("id").alias("b"), F.col("root").alias("rb"))
     rest = x.join(y, ["band", "bucket"]).filter("a < b and ra <> rb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
     more = verified(written(rest), texts, k=k, threshold=threshold)
-    root = connected_components(links.union(more).union(same))
+    many = block_links(left.filter(F.col("n") > small), texts, k=k, threshold=threshold, block=block)
+    root = connected_components(links.union(more).union(many).union(same))
     class_ = sig.select("doc_id").join(root.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return class_.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
