@@ -1,3 +1,3 @@
 """Query modules; importing one registers its queries."""
 
-from eventide.plans import market, relational, study  # noqa: F401
+from eventide.plans import market, relational, rules, study  # noqa: F401
