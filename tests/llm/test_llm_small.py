@@ -1,0 +1,179 @@
+"""Defined cases of the operators: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
+
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from eventide.llm import decontaminate, embedding_dedup, html_extract, language_id, line_dedup, minhash, packing, secret_scan, substring_dedup, toxicity
+from eventide.llm.queries import BPE
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = "The quick brown fox jumps over the lazy dog and runs through the wide forest again"
+
+
+def docs(spark, texts, lang="en"):
+    return spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t in enumerate(texts)], DOCS)
+
+
+CASES = [None, "", " ", "\n", "word", "a" * 200_000, LONG, LONG, "été ﷽ 🙂 naïve", "x\n\ny"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    extra = spark.createDataFrame([(None, LONG, None, None, None), (6, LONG, None, None, None)], DOCS)
+    return docs(spark, CASES).union(extra)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def clash(df):
+    return df.withColumns({c: F.lit("x") for c in ("n_lines", "kept_text", "n_chunks", "class_id", "bands", "a", "b", "id", "score", "start", "first", "digest")})
+
+
+def test_packing(spark, odd, none):
+    rows = packing.best_fit_pack(packing.pieces(clash(odd), **BPE, length=64), length=64).collect()
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for b in bins.values():
+        at = 0
+        for o, n in sorted(b):
+            assert o == at
+            at += n
+        assert at <= 64
+    assert sum(1 for r in rows if r.doc_id == 0) == 1 and next(r for r in rows if r.doc_id == 0).length == 1
+    assert sum(1 for r in rows if r.doc_id == 6 and r.piece == 0) == 2
+    assert packing.best_fit_pack(packing.pieces(none, **BPE)).count() == 0
+
+
+def test_line_dedup(spark, none):
+    line = "This line is certainly longer than forty characters."
+    texts = [f"{line}\nown {i}" for i in range(6)] + [f"  {line.upper()}\t\nx\n{line}", None, ""]
+    out = {r.doc_id: r for r in line_dedup.line_dedup(clash(docs(spark, texts))).collect()}
+    assert [out[i].kept_text for i in range(6)] == [f"own {i}" for i in range(6)]
+    assert out[6].kept_text == texts[6] and out[6].n_dropped == 0  # the largest doc_id keeps all of its own
+    assert out[7].n_lines == 1 and out[7].kept_text == "" and out[8].n_lines == 1
+    assert line_dedup.line_dedup(none).count() == 0
+
+
+def test_line_dedup_only_counts_documents(spark):
+    line = "Ä line with an umlaut that is long enough to be counted as one"
+    texts = [f"{line}\n{line}\n{line}"] * 2 + [line.replace("Ä", "ä")] * 3  # only A-Z are folded
+    assert all(r.n_dropped == 0 for r in line_dedup.line_dedup(docs(spark, texts)).collect())
+
+
+def test_near_duplicates(spark, odd, none):
+    out = [(r.doc_id, r.class_id) for r in minhash.near_duplicates(clash(odd)).collect()]
+    assert len(out) == odd.count()
+    assert dict(out)[7] == 6 and dict(out)[0] == 0 and (None, None) in out
+    assert minhash.near_duplicates(none).count() == 0
+
+
+def test_substring(spark, none):
+    passage = " ".join(f"passage{i}" for i in range(70))
+    texts = [f"{i} {hashlib.sha256(str(i).encode()).hexdigest()} before. {passage} after {i} {hashlib.md5(str(i).encode()).hexdigest()}" for i in range(4)] + [None, "", "short"]
+    rows = {r.doc_id: r for r in substring_dedup.deduplicated(clash(docs(spark, texts))).collect()}
+    assert rows[0].kept_text == texts[0]
+    for i in (1, 2, 3):
+        assert rows[i].dropped_bytes > 0.6 * len(passage) and rows[i].first_doc_ids == [0]
+        assert f"{i} {hashlib.sha256(str(i).encode()).hexdigest()}" in rows[i].kept_text and rows[i].kept_text.endswith(hashlib.md5(str(i).encode()).hexdigest())
+    assert rows[4].n_chunks == 0 and rows[6].kept_text == "short"
+    assert substring_dedup.deduplicated(none).count() == 0
+
+
+def test_chunks_resist_shifts():
+    import pyarrow as pa
+
+    text = " ".join(hashlib.md5(str(i).encode()).hexdigest() for i in range(300))
+    _, _, one, _ = substring_dedup.chunks(pa.array([text]))
+    _, _, two, _ = substring_dedup.chunks(pa.array(["inserted é words " + text]))
+    assert len(set(one.tolist()) - set(two.tolist())) <= 3
+
+
+def test_decontaminate(spark, odd, none):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    parts = item.split()
+    bench = spark.createDataFrame([(1, item), (2, None), (3, "two words"), (None, item)], "item_id long, text string")
+    texts = [f"x y {item} z", " ".join(parts[6:]) + " other words here " + " ".join(parts[:6]), "alpha beta gamma delta only a part of it", None, ""]
+    d = docs(spark, texts)
+    small = sorted(map(tuple, decontaminate.matches(clash(d), bench).collect()))
+    assert [(r[0], r[1], round(r[2], 3), r[3]) for r in small] == [(0, 1, 1.0, 1), (1, 1, 1.0, 2)]  # reordered too
+    assert sorted(map(tuple, decontaminate.matches(d, bench, broadcast_bytes=0).collect())) == small
+    assert sorted(r.doc_id for r in decontaminate.decontaminated(clash(d), bench).collect()) == [2, 3, 4]
+    assert sorted(r.doc_id for r in decontaminate.decontaminated(d, bench, broadcast_bytes=0).collect()) == [2, 3, 4]
+    assert decontaminate.matches(none, bench).count() == 0 and decontaminate.matches(odd, bench.limit(0)).count() == 0
+
+
+def test_tiles_do_not_overlap():
+    import numpy as np
+
+    # seeds of a text that repeats the item's beginning: each item word is used once
+    p, q = np.array([0, 1, 2, 10, 11]), np.array([0, 1, 2, 0, 1])
+    got = decontaminate.tiles(p, q, 4)
+    used = [b + i for _, b, n in got for i in range(n)]
+    assert len(used) == len(set(used)) and max(n for *_, n in got) == 6
+
+
+def test_toxicity(spark, odd, none):
+    good = ["the cat sat on the mat", "a quiet day in the garden", "we read books in the evening"] * 40
+    bad = ["you are a foulword and a nastyword", "such a nastyword person", "foulword again"] * 40
+    d = docs(spark, [f"{t} {i}" for i, t in enumerate(good + bad)])
+    labels = spark.createDataFrame([(i, 1, int(i >= 120)) for i in range(240)] + [(0, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(clash(d), labels)
+    rows = toxicity.toxicity(d, model).collect()
+    held = [r for r in rows if r.held_out]
+    assert held and all(r.predicted == int(r.doc_id >= 120) for r in held) and all(0 <= r.score <= 1 for r in rows)
+    assert toxicity.toxicity(clash(odd), model).count() == odd.count()
+    assert toxicity.nontoxic(d, model).count() == 120
+    empty = toxicity.fit(none, labels)
+    assert all(r.score == 0 for r in toxicity.toxicity(d, empty).collect()) and toxicity.toxicity(none, model).count() == 0
+
+
+def test_language(spark, odd, none):
+    en = [f"the weather in the northern hills was {w} and the people were walking there with their dogs for {i} hours every single day of the long summer week, which they enjoyed more than anything else they did" for i, w in enumerate(["fine", "cold", "wet", "dry"] * 20)]
+    de = [f"das wetter in den nördlichen bergen war {w} und die menschen gingen dort mit ihren hunden {i} stunden an jedem einzelnen tag der langen sommerwoche spazieren, was sie mehr als alles andere genossen haben" for i, w in enumerate(["schön", "kalt", "nass", "heiß"] * 20)]
+    d = docs(spark, en).union(docs(spark, de, "de").withColumn("doc_id", F.col("doc_id") + 1000))
+    fitted = language_id.fit(clash(d))
+    rows = language_id.identify(d, fitted).collect()
+    assert all(r.lang_pred == ("de" if r.doc_id >= 1000 else "en") for r in rows)
+    out = {r.doc_id: r for r in language_id.identify(clash(odd), fitted).collect() if r.doc_id is not None}
+    assert [out[i].lang_pred for i in (0, 1, 2, 3)] == ["und"] * 4 and out[4].lang_pred in ("de", "en")
+    assert language_id.fit(none) == {} and all(r.lang_pred == "und" for r in language_id.identify(d, {}).collect())
+    assert all(r.rejected for r in language_id.identify(d, fitted, margin=100.0).collect())
+
+
+PAGE = """<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=/>Home</a></li></ul></nav><div class="cookie-notice"><p>We use cookies, really, many.</p></div>
+<div id=main><h1>Head &amp; line</h1><p>First, long enough, paragraph   with text.<p>Second &eacute; paragraph, with more text.<ul><li>one<li>two</ul></div>
+<aside><p>Side, text, here.</p></aside><div class="comments"><p>Reader, comment, text that is long enough to count.</p></div><form><p>Name</p></form><footer>&copy; foot</footer><script>var x="</p>";</script></body></html>"""
+
+
+def test_html(spark):
+    pages = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "plain text <b>only"), (5, "u", PAGE[:400]), (6, "u", "<p>" * 5000), (6, "u", "<p>" * 5000)], "page_id long, url string, html string")
+    out = {r.page_id: r for r in html_extract.main_text(pages.withColumn("text", F.lit("x"))).collect()}
+    assert out[1].text == "Head & line First, long enough, paragraph with text. Second é paragraph, with more text. one two"
+    assert out[1].n_chars == len(out[1].text) and out[2].text == out[3].text == out[6].text == "" and out[4].text == "plain text only"
+    assert html_extract.main_text(pages.limit(0)).count() == 0
+
+
+def test_embeddings(spark):
+    rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [0.99, 0.05], 1), (4, [1.0, 0.0], 2), (5, None, 1), (6, [0.0, 0.0], 1), (7, [float("nan"), 1.0], 1), (8, [1.0, 0.0], None), (9, [1.0, 0.0, 0.0], 1), (10, [], 1), (2, [1.0, 0.0], 1), (11, [None, 1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    out = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_embeddings(df.withColumn("id", F.lit(1)).withColumn("n", F.lit(1))).collect()}
+    assert out[1] == (2, 1, True) and out[2] == (2, 1, False) and out[3] == (2, 1, False)
+    assert all(out[i] == (0, i, True) for i in (4, 5, 6, 7, 8, 9, 10, 11))
+    assert embedding_dedup.near_embeddings(df.limit(0)).count() == 0
+
+
+def test_secrets(spark, odd, none):
+    key = "AKIA" + "Z7Q2M4X9B1C5D8F3"
+    texts = [f"see {key} here", 'token = "0641917ea4e9feb9cda83477b57ac2654884f485" end', "sha256 checksum 0641917ea4e9feb9cda83477b57ac2654884f4850641917ea4e9feb9cda83477b57ac265 of the release file", "password=your_password_here for example", None, "", f"{key} {key}"]
+    model = secret_scan.fit(secret_scan.labelled_findings(spark, 40))
+    rows = secret_scan.secrets(clash(docs(spark, texts)), model).collect()
+    assert sorted((r.doc_id, r.start, r.length) for r in rows if r.doc_id != 1) == [(0, 4, 20), (6, 0, 20), (6, 21, 20)]
+    assert any(r.doc_id == 1 and r.start == 0 for r in rows)
+    assert all(key not in r.masked for r in rows)
+    assert secret_scan.secrets(none, model).count() == 0 and secret_scan.secrets(odd, model).count() == 0
