@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_SEC = Window.partitionBy("sec").orderBy("d")
+
+def by_sec():
+    """A security's bars in order."""
+    return Window.partitionBy("sec").orderBy("d")
 
 
 def log_ratio(a: str | Column, b: str | Column) -> Column:
@@ -14,12 +17,12 @@ def log_ratio(a: str | Column, b: str | Column) -> Column:
 
 def gap_returns(bars: DataFrame) -> DataFrame:
     """The log return from the previous bar, however far back, placed on the recovery day."""
-    return bars.withColumn("prev", F.lag("close").over(BY_SEC)).withColumn("ret", log_ratio("close", "prev")).drop("prev")
+    return bars.withColumn("prev", F.lag("close").over(by_sec())).withColumn("ret", log_ratio("close", "prev")).drop("prev")
 
 
 def open_gap_returns(bars: DataFrame) -> DataFrame:
     """The log return of opens to the next bar, placed where the gap starts."""
-    return bars.withColumn("next", F.lead("open").over(BY_SEC)).withColumn("ret", log_ratio("next", "open")).drop("next")
+    return bars.withColumn("next", F.lead("open").over(by_sec())).withColumn("ret", log_ratio("next", "open")).drop("next")
 
 
 def single_day_returns(bars: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -63,20 +66,20 @@ def pool_return(returns: DataFrame, members: DataFrame) -> DataFrame:
 
 def moving(bars: DataFrame) -> DataFrame:
     """The 60-bar high, the 10- and 20-bar means (NULL before they are full), the new-high mark."""
-    n = F.row_number().over(BY_SEC)
-    trail = lambda k: BY_SEC.rowsBetween(1 - k, 0)
+    n = F.row_number().over(by_sec())
+    trail = lambda k: by_sec().rowsBetween(1 - k, 0)
     return bars.select(
         "*", n.alias("own_idx"),
         F.when(n >= 60, F.max("close").over(trail(60))).alias("high60"),
         F.when(n >= 10, F.sum("close").over(trail(10)).cast("decimal(24,4)")).alias("sum10"),
         F.when(n >= 20, F.sum("close").over(trail(20)).cast("decimal(24,4)")).alias("sum20"),
-        F.when(n > 250, F.col("close") > F.max("close").over(BY_SEC.rowsBetween(-250, -1))).alias("new_high"),
+        F.when(n > 250, F.col("close") > F.max("close").over(by_sec().rowsBetween(-250, -1))).alias("new_high"),
     )
 
 
 def prior_mean(bars: DataFrame, *, days: int = 60) -> DataFrame:
     """The mean amount of the bars before, over rows with an amount above zero."""
-    w = BY_SEC.rowsBetween(-days, -1)
+    w = by_sec().rowsBetween(-days, -1)
     rows = bars.filter("amount > 0")
     return rows.withColumn("ma", F.when(F.count("*").over(w) == days, F.sum("amount").over(w).cast("double") / days))
 

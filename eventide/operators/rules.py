@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-OWN = Window.partitionBy("sec").orderBy("d")
+def own():
+    """A security's rows in order."""
+    return Window.partitionBy("sec").orderBy("d")
 
 
-def to_here(w=OWN):
-    return w.rowsBetween(Window.unboundedPreceding, 0)
+def to_here(w=None):
+    return (w or own()).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def limit_open(rows: DataFrame, *, least: int = 1, reverse: str = "down") -> DataFrame:
@@ -22,8 +24,8 @@ def limit_open(rows: DataFrame, *, least: int = 1, reverse: str = "down") -> Dat
     rows: (sec, d, status). Returns (sec, run_start, run_len, d, skipped, reason): d is the first row that isn't
     one-word, NULL if the data end first (right_censored); a run cut by the reverse status is hijacked.
     """
-    n = rows.withColumn("seq", F.row_number().over(OWN))
-    n = n.withColumn("run", F.sum(F.when(F.col("status") != F.lag("status").over(OWN), 1).otherwise(0)).over(to_here()))
+    n = rows.withColumn("seq", F.row_number().over(own()))
+    n = n.withColumn("run", F.sum(F.when(F.col("status") != F.lag("status").over(own()), 1).otherwise(0)).over(to_here()))
     after = Window.partitionBy("sec").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
     n = n.withColumn("next_free", F.first(F.when(F.col("status") == "none", F.struct("d", "seq")), ignorenulls=True).over(after))
     runs = n.filter(F.col("status") == ("up" if reverse == "down" else "down")).groupBy("sec", "run").agg(
@@ -60,7 +62,7 @@ def volume_drought(rows: DataFrame, *, share: float = 0.3, least: int = 5) -> Da
 
     rows: (sec, d, cal_idx, open, close, amount, ma). A calendar gap or a row without mean resets too.
     """
-    broken = F.col("ma").isNull() | F.coalesce(F.col("cal_idx") - F.lag("cal_idx").over(OWN) != 1, F.lit(True))
+    broken = F.col("ma").isNull() | F.coalesce(F.col("cal_idx") - F.lag("cal_idx").over(own()) != 1, F.lit(True))
     x = rows.withColumn("grp", F.sum(broken.cast("int")).over(to_here())).filter("ma is not null")
     amount = F.col("amount").cast("double")
     x = x.withColumns({"out": amount > F.col("ma"), "low": amount < F.col("ma") * share})
@@ -134,7 +136,7 @@ def holding_path(entries: DataFrame, bars: DataFrame, *, stop: str = "0.80", lon
 
     entries: (event_id, sec, entry_d, entry). bars: (sec, d, cal_idx, open, close, below_ma). The stop has priority on its day.
     """
-    nxt = bars.withColumns({"next_open": F.lead("open").over(OWN), "next_idx": F.lead("cal_idx").over(OWN), "next_d": F.lead("d").over(OWN)})
+    nxt = bars.withColumns({"next_open": F.lead("open").over(own()), "next_idx": F.lead("cal_idx").over(own()), "next_d": F.lead("d").over(own())})
     x = entries.join(nxt, "sec").filter(F.col("d") >= F.col("entry_d"))
     stopped = F.col("close") <= F.col("entry") * F.lit(stop).cast("decimal(3,2)")
     x = x.withColumn("why", F.when(stopped, "stop").when(F.col("below_ma"), "ma20")).filter("why is not null")

@@ -49,7 +49,7 @@ SELECT code, d, close, open, board, is_st, limit_pct,
   CASE WHEN pre_close IS NULL OR pre_close = 0 THEN 'none' WHEN open = down THEN 'limit_down' WHEN open = up THEN 'limit_up' ELSE 'none' END AS open_limit_status
 FROM y WHERE code NOT LIKE '%.BJ'"""))
 def s02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = bars(spark, sf_dir).withColumn("pre_close", F.lag("close").over(R.BY_SEC))
+    b = bars(spark, sf_dir).withColumn("pre_close", F.lag("close").over(R.by_sec()))
     v = readers.as_of_segment(b, names(spark, sf_dir)).withColumn("code", code_of(F.col("sec"))).filter(~F.col("code").rlike(r"\.BJ$"))
     v = v.withColumn("is_st", S.name_state(F.col("alias")) == "st").withColumn("board", S.board(F.col("code")))
     v = v.withColumn("limit_pct", S.limit_pct(F.col("board"), F.col("is_st"), F.col("d")))

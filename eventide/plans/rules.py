@@ -25,7 +25,7 @@ n AS (SELECT *, row_number() {W} AS seq, row_number() {W} - row_number() OVER (P
 
 
 def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prev = F.lag("close").over(X.OWN)
+    prev = F.lag("close").over(X.own())
     k = F.lit("1.5").cast("decimal(2,1)")
     return bars(spark, sf_dir).select("sec", "d", F.when(F.col("close") > k * prev, "up").when(k * F.col("close") < prev, "down").otherwise("none").alias("status"))
 
@@ -62,8 +62,8 @@ SELECT a.sec, a.anchor_d, hd AS d, CASE WHEN hd IS NULL AND next_a <= a.a + 10 T
   WHEN b.close < c0 * 0.95 THEN 'DEEP_KILL' WHEN 20 * b.close >= s20 THEN 'EVENT' ELSE 'MA_KILL' END AS outcome
 FROM a LEFT JOIN h USING (sec, anchor_d) LEFT JOIN b ON b.sec = a.sec AND b.d = hd"""))
 def r05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, prior = F.row_number().over(X.OWN), F.max("close").over(X.OWN.rowsBetween(-20, -1))
-    rows = moved(spark, sf_dir).withColumns({"new_high": (n > 20) & (F.col("close") > prior), "above_ma": F.sum("close").over(X.OWN.rowsBetween(-19, 0)) <= F.col("close") * 20})
+    n, prior = F.row_number().over(X.own()), F.max("close").over(X.own().rowsBetween(-20, -1))
+    rows = moved(spark, sf_dir).withColumns({"new_high": (n > 20) & (F.col("close") > prior), "above_ma": F.sum("close").over(X.own().rowsBetween(-19, 0)) <= F.col("close") * 20})
     return X.high_pullback(rows)
 
 
@@ -76,7 +76,7 @@ runs AS (SELECT sec, grp, min(seq) AS s0, max(seq) AS s1 FROM low GROUP BY sec,
 SELECT sec, d, CASE WHEN close > open THEN 'event' ELSE 'reject' END AS outcome FROM outs o
 WHERE EXISTS (SELECT 1 FROM runs r WHERE r.sec = o.sec AND r.grp = o.grp AND r.s1 < o.seq AND r.s0 > coalesce(o.prev_out, -1))"""))
 def r06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = X.OWN.rowsBetween(-10, -1)
+    w = X.own().rowsBetween(-10, -1)
     ma = F.when(F.count("*").over(w) == 10, F.sum("amount").over(w).cast("double") / 10)
     rows = bars(spark, sf_dir).join(F.broadcast(calendar(spark, sf_dir)), "d").withColumn("ma", ma)
     return X.volume_drought(rows, share=0.6, least=2)
@@ -184,7 +184,7 @@ def r10(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("ex_date"))
     part = read(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("sec"))
     x = line.join(orders, "l_orderkey").join(part, "p_partkey").select("sec", "ex_date", F.col("l_discount").alias("stk_div"), F.col("l_tax").alias("stk_co"))
-    factor = bars(spark, sf_dir).select("sec", F.col("d").alias("ex_date"), F.col("close").alias("factor"), F.lag("close").over(X.OWN).alias("before"))
+    factor = bars(spark, sf_dir).select("sec", F.col("d").alias("ex_date"), F.col("close").alias("factor"), F.lag("close").over(X.own()).alias("before"))
     return X.ex_div_gap(x, factor, least=0.15)
 
 
