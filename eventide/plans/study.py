@@ -146,3 +146,19 @@ def a15(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("e10_censor_panel", sql("SELECT tau, count(*) FILTER (ar IS NULL) AS suspend, count(*) AS n FROM sa GROUP BY tau"))
 def e10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Study(spark, sf_dir).ab.groupBy("tau").agg(F.count_if(F.col("ar").isNull()).alias("suspend"), F.count("*").alias("n"))
+
+
+@query("a16_sharpe_moments", sql("""b AS (SELECT event_id, sum(ar) AS x FROM sa WHERE ar IS NOT NULL GROUP BY 1), g AS (SELECT avg(x) AS mu, stddev_samp(x) AS s, stddev_pop(x) AS p, count(*) AS n FROM b)
+SELECT max(n) AS n, round(max(mu / s), 8) AS sharpe, round(avg(power((x - mu) / p, 3)), 6) AS skew, round(avg(power((x - mu) / p, 4)), 6) AS kurt FROM b CROSS JOIN g"""))
+def a16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = Study(spark, sf_dir).ab.filter("ar is not null").groupBy("event_id").agg(F.sum("ar").alias("x"))
+    return b.agg(F.count("x").alias("n"), F.round(F.avg("x") / F.stddev_samp("x"), 8).alias("sharpe"), F.round(F.skewness("x"), 6).alias("skew"), F.round(F.kurtosis("x") + 3, 6).alias("kurt"))
+
+
+@query("a41_size_test")
+def a41(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejection rates at 5 % of the naive and of the adjusted test in 2,000 samples without an effect."""
+    from eventide.operators.verdicts import size_test
+
+    sims = size_test(spark)
+    return sims.agg(F.count("*").alias("sims"), F.avg(F.col("naive").cast("double")).alias("naive_rate"), F.avg(F.col("adjusted").cast("double")).alias("adjusted_rate"))
