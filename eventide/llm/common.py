@@ -25,7 +25,7 @@ def bound_batches(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set (tests)."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         at = getattr(spark, "_eventide_shared", None) or tempfile.mkdtemp(prefix="eventide-")
         spark._eventide_shared = at

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.common import bound_batches, mix, text_slices, written
+from eventide.llm.common import bound_batches, dropped, mix, text_slices, written
 from eventide.llm.components import connected_components, local_roots
 from eventide.llm.text import Shingles, digests, jaccard, owners, shingles, words
 
@@ -159,8 +159,11 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, band
     x = few.select("band", "bucket", F.col("id").alias("a"), F.col("root").alias("ra"))
     y = few.select("band", "bucket", F.col("id").alias("b"), F.col("root").alias("rb"))
     rest = x.join(y, ["band", "bucket"]).filter("a < b and ra <> rb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = verified(written(rest), texts, k=k, threshold=threshold)
+    rest = written(rest)
+    more = verified(rest, texts, k=k, threshold=threshold)
     many = block_links(left.filter(F.col("n") > small), texts, k=k, threshold=threshold, block=block)
     root = connected_components(links.union(more).union(many).union(same))
+    for done in (ones, shared, pairs, texts, links, member, left, rest):  # the result reads sig and root only
+        dropped(docs.sparkSession, done)
     class_ = sig.select("doc_id").join(root.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return class_.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
