@@ -13,29 +13,50 @@ from pyspark.sql import functions as F
 EST_FROM, EST_TO, EST_LEN, MIN_OBS, POSTPONE = 250, 91, 160, 112, 5
 
 
-def clean(events: DataFrame, bars: DataFrame, calendar: DataFrame, *, st: DataFrame | None = None, min_gap: int = POSTPONE, tau0_on_anchor: bool = False) -> DataFrame:
-    """E01-E04 with the policy that only missing bars block: adds t, tau0 and reject_reason (first hit in order).
+POLICIES = ("legacy", "unified", "unified_announcement", "missing_bar_only")
 
-    events: (event_id, sec, anchor, anchor_idx), anchor_idx the last open day up to the anchor.
-    st: (sec, cal_idx) of days under special treatment, if those are rejected.
+
+def clean(
+    events: DataFrame, bars: DataFrame, calendar: DataFrame, *, policy: str = "missing_bar_only", st: DataFrame | None = None, max_days: int = POSTPONE, tau0_on_anchor: bool = False
+) -> DataFrame:
+    """Adds tau0 and reject_reason, the first that holds in the ladder's order.
+
+    events: (event_id, sec, anchor, anchor_idx), anchor_idx the last open day up to the anchor. bars: (sec, d, cal_idx,
+    one_word). st: (sec, cal_idx) of days under special treatment, if those are rejected.
+    legacy and unified need the anchor itself to be an open day; legacy rejects a suspension at T or T+1,
+    unified one at T. tau0 is the first day from T+1 (or T) that isn't blocked, at most `max_days` later:
+    missing bars block under every policy, one-word bars under all but missing_bar_only.
     """
+    if policy not in POLICIES or tau0_on_anchor and policy != "missing_bar_only":
+        raise ValueError(f"no such policy: {policy}, tau0_on_anchor={tau0_on_anchor}")
     have = bars.select("sec", "cal_idx")
-    first = have.groupBy("sec").agg(F.count("*").alias("n_bars"))
-    start = F.col("anchor_idx") + (0 if tau0_on_anchor else 1)
-    e = events.withColumn("start", start)
-    # of the six days that may be tau0, the first with a bar
-    slots = e.select("event_id", "sec", F.explode(F.sequence(F.col("start"), F.col("start") + min_gap)).alias("cal_idx")).filter("cal_idx is not null")
-    tau0 = slots.join(have, ["sec", "cal_idx"]).groupBy("event_id").agg(F.min("cal_idx").alias("tau0"))
-    e = e.join(first, "sec", "left").join(tau0, "event_id", "left").crossJoin(F.broadcast(calendar.agg(F.max("cal_idx").alias("last_idx"))))
+    free = have if policy == "missing_bar_only" else bars.filter(~F.coalesce("one_word", F.lit(False))).select("sec", "cal_idx")
+    listed = have.groupBy("sec").agg(F.count("*").alias("n_bars"))
+    e = events
+    if policy in ("legacy", "unified"):
+        exact = F.broadcast(calendar.select(F.col("d").alias("anchor"), F.lit(True).alias("exact")))
+        e = e.join(exact, "anchor", "left").withColumn("anchor_idx", F.when(F.col("exact"), F.col("anchor_idx"))).drop("exact")
+    e = e.withColumn("start", F.col("anchor_idx") + (0 if tau0_on_anchor else 1))
+    # of the days that may be tau0, the first that is free; days just around the anchor tell suspensions
+    slots = e.select("event_id", "sec", "anchor_idx", "start", F.explode(F.sequence(F.col("anchor_idx"), F.col("start") + max_days)).alias("cal_idx"))
+    near = slots.join(free.withColumn("free", F.lit(True)), ["sec", "cal_idx"], "left").join(have.withColumn("bar", F.lit(True)), ["sec", "cal_idx"], "left")
+    found = near.groupBy("event_id").agg(
+        F.min(F.when(F.col("free") & (F.col("cal_idx") >= F.col("start")), F.col("cal_idx"))).alias("tau0"),
+        F.bool_or(F.col("bar").isNull() & (F.col("cal_idx") == F.col("anchor_idx"))).alias("gone0"), F.bool_or(F.col("bar").isNull() & (F.col("cal_idx") == F.col("anchor_idx") + 1)).alias("gone1"),
+    )
+    e = e.join(listed, "sec", "left").join(found, "event_id", "left").crossJoin(F.broadcast(calendar.agg(F.max("cal_idx").alias("last_idx"))))
     is_st = F.lit(False)
     if st is not None:
-        e = e.join(st.select("sec", F.col("cal_idx").alias("anchor_idx"), F.lit(True).alias("is_st")), ["sec", "anchor_idx"], "left")
+        e = e.join(st.select("sec", F.col("cal_idx").alias("anchor_idx"), F.lit(True).alias("is_st")).distinct(), ["sec", "anchor_idx"], "left")
         is_st = F.coalesce("is_st", F.lit(False))
-    reason = (
-        F.when(F.col("n_bars").isNull(), "no_price").when(F.col("anchor_idx").isNull(), "history").when(F.col("anchor_idx") < EST_FROM, "history")
-        .when(is_st, "st").when(F.col("tau0").isNull() & (F.col("start") + min_gap > F.col("last_idx")), "history").when(F.col("tau0").isNull(), "postpone")
+    # a row beyond the axis is not a suspension
+    gone1 = F.col("gone1") & (F.col("anchor_idx") + 1 <= F.col("last_idx"))
+    day = {"legacy": F.when(F.col("gone0") | gone1, "suspension"), "unified": F.when(F.col("gone0"), "event_day_anomaly")}.get(policy, F.lit(None).cast("string"))
+    ladder = (
+        F.when(F.col("n_bars").isNull(), "no_price").when(F.col("anchor_idx").isNull(), "history").when(F.col("anchor_idx") < EST_FROM, "history").when(is_st, "st")
     )
-    return e.select(*events.columns, "tau0", "last_idx", reason.alias("reject_reason"))
+    last = F.when(F.col("tau0").isNull() & (F.col("start") + max_days > F.col("last_idx")), "history").when(F.col("tau0").isNull(), "postpone")
+    return e.select(*events.columns, "tau0", "last_idx", F.coalesce(ladder, day, last).alias("reject_reason"))
 
 
 def estimation(events: DataFrame, returns: DataFrame, market: DataFrame) -> DataFrame:

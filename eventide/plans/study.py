@@ -67,6 +67,30 @@ def e01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Study(spark, sf_dir).cleaned.select("event_id", "layer", "anchor_idx", "tau0", "reject_reason")
 
 
+def policy_sql(policy: str) -> str:
+    exact = policy in ("legacy", "unified")
+    block = "" if policy == "missing_bar_only" else " AND NOT ow"
+    day = {"legacy": "WHEN g0 OR (g1 AND t + 1 <= last_idx) THEN 'suspension'", "unified": "WHEN g0 THEN 'event_day_anomaly'"}.get(policy, "")
+    return panel_sql(f"""b AS (SELECT sec, cal_idx, open = close AND high = low AS ow FROM bars JOIN cal USING (d)),
+e0 AS (SELECT *, {'(SELECT cal_idx FROM cal WHERE d = anchor)' if exact else '(SELECT max(cal_idx) FROM cal WHERE d <= anchor)'} AS t, (SELECT max(cal_idx) FROM cal) AS last_idx FROM ev),
+e1 AS (SELECT *, (SELECT min(cal_idx) FROM b WHERE b.sec = e0.sec AND cal_idx BETWEEN t + 1 AND t + 6{block}) AS tau0, NOT EXISTS (SELECT 1 FROM b WHERE b.sec = e0.sec AND cal_idx = t) AS g0, NOT EXISTS (SELECT 1 FROM b WHERE b.sec = e0.sec AND cal_idx = t + 1) AS g1 FROM e0)
+SELECT event_id, tau0, CASE WHEN t IS NULL OR t < 250 THEN 'history' {day} WHEN tau0 IS NULL AND t + 6 > last_idx THEN 'history' WHEN tau0 IS NULL THEN 'postpone' END AS reject_reason FROM e1""")
+
+
+def policy_query(policy: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        cal = calendar(spark, sf_dir).persist()
+        b = bars(spark, sf_dir).join(F.broadcast(cal), "d").withColumn("one_word", (F.col("open") == F.col("close")) & (F.col("high") == F.col("low"))).persist()
+        ev = readers.last_day_upto(first_events(spark, sf_dir), cal, "anchor").withColumnRenamed("cal_idx", "anchor_idx")
+        return E.clean(ev, b, cal, policy=policy).select("event_id", "tau0", "reject_reason")
+
+    return run
+
+
+for _policy in E.POLICIES:
+    query(f"e02_policy_{_policy}", policy_sql(_policy))(policy_query(_policy))
+
+
 @query("e05_survivors", sql("SELECT reason AS reject_reason, count(*) AS n FROM fin GROUP BY 1"))
 def e05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Study(spark, sf_dir).final.groupBy("reject_reason").agg(F.count("*").alias("n"))
