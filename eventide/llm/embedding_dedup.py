@@ -23,7 +23,7 @@ same vector are one vector in n_links. An empty table gives an empty result. Ext
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import NamedTuple
+from typing import Any, NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -175,7 +175,7 @@ def _links(ones: DataFrame, q: Quantiser, cosine: float, block: int) -> DataFram
         "label", "list", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "member", "id", "n", "embedding"
     )
 
-    def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         q = Quantiser(*shared.value)
         _, at, lo, hi = key
         pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
