@@ -128,7 +128,7 @@ def a09(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = one.crossJoin(s.rho())  # two single rows
     return x.select(
         "n", F.round("bmp", 8).alias("bmp_car"), F.round(F.col("bmp") * E.kp_factor(F.col("rho"), F.col("n")), 8).alias("adj_bmp"),
-        *r9("mean_car"), F.round("naive_t", 8).alias("naive_t"), F.round(F.col("n") / (1 + (F.col("n") - 1) * F.col("rho")), 6).alias("n_eff"),
+        *r9("mean_car"), F.round("naive_t", 8).alias("naive_t"), F.when(F.col("n") > 0, F.round(F.col("n") / (1 + (F.col("n") - 1) * F.col("rho")), 6)).alias("n_eff"),
     )
 
 
