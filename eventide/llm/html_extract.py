@@ -44,7 +44,8 @@ NOISE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|side-?bar|rail|widget|footer|foot|header|masthead|comments?|comment-?list|disqus|replies|respond|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|toolbar|pagination|pager|skip|hidden|tags?|navigation|contentinfo|complementary|search)(?=$|[\s_-])",
     re.I,
 )
-MARKS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none", re.I)
+ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+UNSHOWN = re.compile(r"display\s*:\s*none", re.I)
 SPACE = re.compile(r"\s+")
 
 
@@ -59,8 +60,11 @@ class Node:
 def _marked(tag: str, attrs: str) -> bool:
     if not attrs or tag in ("html", "body", "article", "main"):
         return False
-    for m in MARKS.finditer(attrs):
-        if m[1] is None or NOISE.search(m[2] or m[3] or m[4] or ""):
+    for m in ATTR.finditer(attrs):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in ("class", "id", "role") and NOISE.search(value):
+            return True
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and UNSHOWN.search(value):
             return True
     return False
 

@@ -159,6 +159,11 @@ def test_html(spark):
     assert html_extract.main_text(pages.limit(0)).count() == 0
 
 
+def test_html_hidden_is_an_attribute():
+    page = '<body><div style="overflow:hidden" data-id="nav"><p title="a hidden gem">Shown, with enough words.</p><p hidden>Gone.</p><p aria-hidden="true">Gone.</p><p style="display: none">Gone.</p></div></body>'
+    assert html_extract.extract(page) == "Shown, with enough words."
+
+
 def test_embeddings(spark):
     rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [0.99, 0.05], 1), (4, [1.0, 0.0], 2), (5, None, 1), (6, [0.0, 0.0], 1), (7, [float("nan"), 1.0], 1), (8, [1.0, 0.0], None), (9, [1.0, 0.0, 0.0], 1), (10, [], 1), (2, [1.0, 0.0], 1), (11, [None, 1.0], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
