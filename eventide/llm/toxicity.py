@@ -11,12 +11,14 @@ takes the difference of its most toxic expression, so that a long text doesn't d
 curve maps the difference to a score. Its threshold, where the score is 0.3, has the best F1 over one
 half of the training rows with the models of the other half.
 
-Counts come from all training rows; n-gram tables are sums over partitions. The models keep at most
-`max_grams` n-grams (the most frequent), which bounds what is broadcast: 24 bytes each. At most
-`max_rows` labelled rows are used, by hash of the id; that bounds the broadcast of their ids.
+Counts come from all training rows; n-gram tables, continuation counts and both models are computed as
+DataFrames. An n-gram that no class has in more documents than the discount takes costs what its context says,
+so leaving it out of the model changes no score; all others are kept, and their number grows with the training
+rows (20 bytes each in the broadcast). At most `max_rows` labelled rows are used, by hash of the id, which
+bounds both broadcasts.
 
 Defined cases: null and empty texts have difference 0 and hence the score that the curve has there.
-With no labelled rows, or one class only, every score is 0. Null labels don't count; a doc_id labelled
+With no labelled rows, one class only, or no n-gram that any class repeats enough, every score is 0. Null labels don't count; a doc_id labelled
 more than once is toxic if one of its labels says so. Rows that repeat a doc_id are each scored.
 Extra columns pass through nontoxic() and aren't read by toxicity().
 """
@@ -28,7 +30,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide.llm.common import as_array, bound_batches, held_out, text_slices, written
@@ -36,7 +38,7 @@ from eventide.llm.text import Words, owners, words
 
 ORDER = 5  # bytes of an n-gram, which is exact in 40 bits
 END = 1  # the byte after a word
-MAX_GRAMS, MAX_ROWS = 2_000_000, 1_000_000
+MAX_ROWS = 1_000_000
 DISCOUNT = 3.0
 CUT, STEEP = 0.3, 3.0
 BINS, LOW, WIDTH = 1600, -4.0, 0.01
@@ -89,39 +91,51 @@ class Model(NamedTuple):
         return 1 / (1 + np.exp(-(STEEP * (self.peaks(col) - self.middle) + np.log(CUT / (1 - CUT)))))
 
 
-def _discount(counts: np.ndarray) -> float:
-    one, two = (counts == 1).sum(), (counts == 2).sum()
-    return float(one / (one + 2 * two)) if one else 0.5
+def _low(gram: str, size: int) -> Column:
+    """The last `size` bytes of an n-gram."""
+    return F.col(gram).bitwiseAND(F.lit((1 << 8 * size) - 1))
 
 
-def _shared(gram: np.ndarray) -> np.ndarray:
-    """The backoff probability of each n-gram's last byte, from continuation counts of all n-grams."""
-    keys, levels = gram, []
+def _context(gram: str) -> Column:
+    return F.shiftrightunsigned(gram, 8)
+
+
+def backoff(grams: DataFrame) -> DataFrame:
+    """(suffix, below): the probability of a suffix's last byte after its other bytes, from the continuation counts of all n-grams."""
+    levels, above = {}, grams.select(F.col("gram").alias("key"))
     for size in range(ORDER - 1, 0, -1):
-        keys, n = np.unique(keys & np.uint64((1 << 8 * size) - 1), return_counts=True)
-        levels.append((size, keys, n))
-    shorter, p = np.array([0], np.uint64), np.array([1 / 256])
-    for size, keys, n in reversed(levels):
-        _, at = np.unique(keys >> np.uint64(8), return_inverse=True)
-        total, kinds, d = np.bincount(at, weights=n)[at], np.bincount(at)[at], _discount(n)
-        less = p[np.searchsorted(shorter, keys & np.uint64((1 << 8 * (size - 1)) - 1))]
-        shorter, p = keys, np.maximum(n - d, 0) / total + d * kinds / total * less
-    return p[np.searchsorted(shorter, gram & np.uint64((1 << 8 * (ORDER - 1)) - 1))]
-
-
-def kneser_ney(gram: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> Model:
-    order = np.argsort(gram)
-    gram, classes = gram[order], (toxic[order].astype(float), ordinary[order].astype(float))
-    if not toxic.any() or not ordinary.any():
-        return NOTHING
-    context, at = np.unique(gram >> np.uint64(8), return_inverse=True)
-    below, parts = _shared(gram), []
-    for n in classes:
-        off, total = np.minimum(n, DISCOUNT), np.bincount(at, weights=n)
-        rest = np.where(total > 0, np.bincount(at, weights=off) / np.maximum(total, 1), 1.0)
-        parts.append((np.log((n - off) / np.maximum(total[at], 1) + rest[at] * below), np.log(rest)))
-    (g1, c1), (g0, c0) = parts
-    return Model(gram, (g1 - g0).astype(np.float32), context, (c1 - c0).astype(np.float32), 0.0)
+        above = levels[size] = above.groupBy(_low("key", size).alias("key")).agg(F.count("*").alias("n"))
+    seen = None
+    for size, level in levels.items():
+        own = level.agg(F.lit(size).alias("size"), F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two"))
+        seen = own if seen is None else seen.unionByName(own)
+    discounts = {r["size"]: r["one"] / (r["one"] + 2 * r["two"]) if r["one"] else 0.5 for r in seen.collect()}
+    shorter = None
+    for size in range(1, ORDER):
+        by, d = Window.partitionBy(_context("key")), F.lit(discounts[size])
+        level = levels[size].select("key", "n", F.sum("n").over(by).alias("total"), F.count("*").over(by).alias("kinds"), _low("key", size - 1).alias("rest"))
+        level = level.withColumn("less", F.lit(1 / 256)) if shorter is None else level.join(shorter.select(F.col("key").alias("rest"), F.col("p").alias("less")), "rest")
+        shorter = level.select("key", (F.greatest(F.col("n") - d, F.lit(0.0)) / F.col("total") + d * F.col("kinds") / F.col("total") * F.col("less")).alias("p"))
+    return shorter.select(F.col("key").alias("suffix"), F.col("p").alias("below"))
+
+
+def kneser_ney(grams: DataFrame) -> tuple[Model, Model]:
+    """The models of the first half of the training rows and of both."""
+    both = grams.select("gram", "toxic0", "ordinary0", (F.col("toxic0") + F.col("toxic1")).alias("toxic"), (F.col("ordinary0") + F.col("ordinary1")).alias("ordinary"), _low("gram", ORDER - 1).alias("suffix"))
+    counts = ["toxic0", "ordinary0", "toxic", "ordinary"]
+    any_ = both.agg(*(F.max(c).alias(c) for c in counts)).first()
+    by, off = Window.partitionBy(_context("gram")), lambda c: F.least(F.col(c), F.lit(DISCOUNT))
+    t = both.join(backoff(grams), "suffix").withColumns({f"{c}_total": F.sum(c).over(by) for c in counts} | {f"{c}_off": F.sum(off(c)).over(by) for c in counts})
+    t = t.filter((F.col("toxic") > DISCOUNT) | (F.col("ordinary") > DISCOUNT))
+    rest = {c: F.when(F.col(f"{c}_total") > 0, F.col(f"{c}_off") / F.greatest(F.col(f"{c}_total"), F.lit(1))).otherwise(1.0) for c in counts}
+    logs = {c: F.log((F.col(c) - off(c)) / F.greatest(F.col(f"{c}_total"), F.lit(1)) + rest[c] * F.col("below")) for c in counts}
+    pairs = {"half": ("toxic0", "ordinary0"), "whole": ("toxic", "ordinary")}
+    diffs = [(f(a) - f(b)).cast("float").alias(f"{name}_{what}") for name, (a, b) in pairs.items() for what, f in (("gram", logs.get), ("context", lambda c: F.log(rest[c])))]
+    rows = t.select("gram", *diffs).toPandas().sort_values("gram", ignore_index=True)
+    gram = rows["gram"].to_numpy().astype(np.uint64)
+    context, first = np.unique(gram >> np.uint64(8), return_index=True)
+    models = [Model(gram, rows[f"{n}_gram"].to_numpy(), context, rows[f"{n}_context"].to_numpy()[first], 0.0) if any_[a] and any_[b] else NOTHING for n, (a, b) in pairs.items()]
+    return models[0], models[1]
 
 
 NOTHING = Model(*(np.array([], k) for k in (np.uint64, np.float32, np.uint64, np.float32)), 0.0)
@@ -149,7 +163,7 @@ def _grams(train: DataFrame) -> DataFrame:
     return counts.groupBy("gram").agg(*(F.sum(c).alias(c) for c in names))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_grams: int = MAX_GRAMS, max_rows: int = MAX_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS) -> Model:
     """Learn from the labelled rows that aren't held out."""
     bound_batches(docs.sparkSession)
     own = labels.filter(F.col("toxic").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -159,12 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_grams: int = MAX_GRAMS, max_r
     own = own.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int"))
     train = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(own), "doc_id")
     grams = written(_grams(train))
-    size, total = grams.count(), F.col("toxic0") + F.col("ordinary0") + F.col("toxic1") + F.col("ordinary1")
-    if size > max_grams:
-        grams = grams.filter(total > grams.select(total.alias("n")).approxQuantile("n", [1 - max_grams / size], 0.001)[0])
-    t = grams.toPandas()
-    gram, toxic, ordinary = t["gram"].to_numpy().view(np.uint64), t["toxic0"].to_numpy(), t["ordinary0"].to_numpy()
-    half, model = kneser_ney(gram, toxic, ordinary), kneser_ney(gram, toxic + t["toxic1"].to_numpy(), ordinary + t["ordinary1"].to_numpy())
+    half, model = kneser_ney(grams)
     return model._replace(middle=_middle(train.filter("half = 1"), half)) if len(model.gram) else model
 
 

@@ -218,3 +218,49 @@ def test_pipeline_equals_brute_force(spark):
     assert [n for n, _ in P.STAGES] == ["toxicity", "line_dedup", "minhash_near_dedup", "benchmark_decontamination", "best_fit_packing"]
     stage = P.STAGES[1][1](spark, docs.filter(F.col("doc_id") < 50), SMALL)
     assert stage.columns == docs.columns
+
+
+def plain_kneser_ney(grams, toxic, ordinary):
+    """Differences by n-gram and by context over all n-grams at once, as dictionaries."""
+    shared, level, order = {0: 1 / 256}, dict.fromkeys(grams, 1), toxicity.ORDER
+    levels = []
+    for size in range(order - 1, 0, -1):
+        up = defaultdict(int)
+        for g in level:
+            up[g & ((1 << 8 * size) - 1)] += 1
+        level = up
+        levels.append((size, up))
+    for size, n in reversed(levels):
+        one, two = (sum(v == k for v in n.values()) for k in (1, 2))
+        d = one / (one + 2 * two) if one else 0.5
+        total, kinds = defaultdict(int), defaultdict(int)
+        for g, v in n.items():
+            total[g >> 8] += v
+            kinds[g >> 8] += 1
+        shared = {g: max(v - d, 0) / total[g >> 8] + d * kinds[g >> 8] / total[g >> 8] * shared[g & ((1 << 8 * (size - 1)) - 1)] for g, v in n.items()}
+    out = []
+    for n in (toxic, ordinary):
+        total, off = defaultdict(int), defaultdict(float)
+        for g, v in zip(grams, n):
+            total[g >> 8] += v
+            off[g >> 8] += min(v, toxicity.DISCOUNT)
+        rest = {c: off[c] / total[c] if total[c] else 1.0 for c in total}
+        out.append(({g: np.log((v - min(v, toxicity.DISCOUNT)) / max(total[g >> 8], 1) + rest[g >> 8] * shared[g & ((1 << 8 * (order - 1)) - 1)]) for g, v in zip(grams, n)}, rest))
+    (g1, c1), (g0, c0) = out
+    return {g: g1[g] - g0[g] for g in g1}, {c: np.log(c1[c]) - np.log(c0[c]) for c in c1}
+
+
+def test_kneser_ney_equals_plain_version(spark):
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    train = docs.join(labels.select("doc_id", F.col("toxic").cast("int")), "doc_id").select("text", "toxic", (F.col("doc_id") % 2).cast("int").alias("half"))
+    counted = toxicity._grams(train)
+    t = counted.toPandas()
+    half, whole = toxicity.kneser_ney(counted)
+    for model, toxic, ordinary in ((half, t.toxic0, t.ordinary0), (whole, t.toxic0 + t.toxic1, t.ordinary0 + t.ordinary1)):
+        by_gram, by_context = plain_kneser_ney(t.gram.tolist(), toxic.tolist(), ordinary.tolist())
+        assert len(model.gram) and len(model.gram) < len(by_gram)
+        gram, context = dict(zip(model.gram.tolist(), model.gram_diff)), dict(zip(model.context.tolist(), model.context_diff))
+        for g, want in by_gram.items():  # what the model leaves out costs what its context says, or nothing
+            assert gram.get(g, context.get(g >> 8, 0.0)) == pytest.approx(want, abs=1e-5)
+        for c, want in by_context.items():
+            assert context.get(c, 0.0) == pytest.approx(want, abs=1e-5)
