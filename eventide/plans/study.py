@@ -15,15 +15,25 @@ LENGTH = 20
 
 
 class Study:
-    """The stages of one study over a scale factor's tables."""
+    """The stages of one study over a scale factor's tables.
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    E08: the benchmark is the mean return of the market, of the day's liquidity pool (pool_pit), or of a fixed list of securities.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, *, benchmark: str = "market", members: list[str] | None = None):
+        if benchmark not in ("market", "pool_pit", "pool") or (benchmark == "pool") != (members is not None):
+            raise ValueError(f"no such benchmark: {benchmark}, members={members}")
         # what several stages read is kept; a lost executor's part is computed again from the tables
         self.cal = calendar(spark, sf_dir).persist()
         b = bars(spark, sf_dir, DENSE).persist()
         self.bars = b.join(F.broadcast(self.cal), "d")
         self.returns = R.gap_returns(b).join(F.broadcast(self.cal), "d").persist()
-        self.market = self.returns.filter("ret is not null").groupBy("cal_idx").agg(F.avg("ret").alias("rm")).persist()
+        own = self.returns
+        if benchmark == "pool_pit":
+            own = own.join(R.pool(b, self.cal).select("d", "sec"), ["d", "sec"], "left_semi")
+        elif benchmark == "pool":
+            own = own.filter(F.col("sec").isin(members))
+        self.market = own.filter("ret is not null").groupBy("cal_idx").agg(F.avg("ret").alias("rm")).persist()
         ev = readers.last_day_upto(first_events(spark, sf_dir, DENSE), self.cal, "anchor").withColumnRenamed("cal_idx", "anchor_idx")
         self.cleaned = E.clean(ev, self.bars, self.cal).persist()
         open_ = self.cleaned.filter("reject_reason is null")
