@@ -186,7 +186,7 @@ def e10(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT max(n) AS n, round(max(mu / s), 8) AS sharpe, round(avg(power((x - mu) / p, 3)), 6) AS skew, round(avg(power((x - mu) / p, 4)), 6) AS kurt FROM b CROSS JOIN g"""))
 def a16(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = Study(spark, sf_dir).ab.filter("ar is not null").groupBy("event_id").agg(F.sum("ar").alias("x"))
-    return b.agg(F.count("x").alias("n"), F.round(F.avg("x") / F.stddev_samp("x"), 8).alias("sharpe"), F.round(F.skewness("x"), 6).alias("skew"), F.round(F.kurtosis("x") + 3, 6).alias("kurt"))
+    return b.agg(F.nullif(F.count("x"), F.lit(0)).alias("n"), F.round(F.avg("x") / F.stddev_samp("x"), 8).alias("sharpe"), F.round(F.skewness("x"), 6).alias("skew"), F.round(F.kurtosis("x") + 3, 6).alias("kurt"))
 
 
 @query("a41_size_test")
