@@ -1,7 +1,7 @@
 """Secret scan: patterns find candidates, a random forest removes the false positives.
 
 Only DataFrame functions and Spark's own random forest run here. A text is cut at its candidates, so
-the pieces before and after one are its neighbours. What the forest sees of a candidate: its length,
+the pieces before and after one are its neighbours. A candidate ends where its characters do, however long it is. What the forest sees of a candidate: its length,
 the transitions between kinds of characters, the variety of its characters, how much of it words
 of a dictionary cover, whether it looks like a path, and which words stand beside it.
 
@@ -38,9 +38,10 @@ DICTIONARY = (
     "the and for with this that from have will name file path home data config index image static assets library version release update module package "
     "number account service server client public private local host domain email address document section chapter"
 ).split()
-ASSIGNED = rf"(?i:\b(?:{NAMES}))[\"']?[ \t]{{0,3}}(?:[:=]|=>|:=)[ \t]{{0,3}}[\"']?([^\s\"'<>,;]{{8,200}})"
-LONG = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,40}[0-9])[A-Za-z0-9+/_=-]{20,200}(?![A-Za-z0-9+/_=-])"
-CANDIDATE = "|".join([ASSIGNED, *(rf"(?<![A-Za-z0-9]){p}" for p in ISSUED.values()), LONG])
+VALUE = rf"{ISSUED['private_key']}[^\s\"'<>,;]*+|[^\s\"'<>,;]{{8,}}+"
+ASSIGNED = rf"(?i:\b(?:{NAMES}))[\"']?[ \t]{{0,3}}(?:[:=]|=>|:=)[ \t]{{0,3}}[\"']?({VALUE})"
+LONG = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+"
+CANDIDATE = "|".join([*(rf"(?<![A-Za-z0-9]){p}" for p in ISSUED.values()), ASSIGNED, LONG])
 #: A cheap test that every text with a candidate passes.
 MAYBE = rf"(?i:{NAMES})|[A-Za-z0-9+/_=-]{{20}}|xox[abprs]-|PRIVATE KEY"
 BESIDE = {
@@ -82,6 +83,9 @@ def labelled_findings(spark: SparkSession, each: int = 120) -> DataFrame:
     name = F.element_at(F.array(*map(F.lit, ["password", "token", "secret", "api_key", "pwd"])), (F.col("id") % 5 + 1).cast("int"))
     sign = F.element_at(F.array(*map(F.lit, ["=", " = \"", ": ", "='"])), (F.col("id") % 4 + 1).cast("int"))
     n = (F.lit(10) + F.col("id") % 31).cast("int")
+    # 88 to 5,000 characters that no period repeats
+    many = F.transform(F.sequence(F.lit(1), F.lit(2) + (F.col("id") * F.col("id") % 114).cast("int")), lambda i: F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(hexed, i.cast("string")), 256))), "[+/=]", "x"))
+    long = F.array_join(many, "")
     upper = F.upper(F.substring(F.regexp_replace(mixed, "[^A-Za-z2-7]", "Q"), 1, 16))
     kinds = [
         (F.concat(F.lit("AKIA"), upper), words, more, 1),
@@ -90,6 +94,10 @@ def labelled_findings(spark: SparkSession, each: int = 120) -> DataFrame:
         (F.concat(name, sign, F.substr(mixed, F.lit(1), n)), words, more, 1),
         (F.concat(name, sign, F.substring(hexed, 1, 40)), words, more, 1),
         (F.concat(F.lit("sk_live_"), F.substring(mixed, 1, 24)), words, more, 1),
+        (F.concat(name, sign, long), words, more, 1),
+        (long, F.lit("Authorization: Bearer "), more, 1),
+        (F.concat(F.lit("eyJhbGciOiJIUzI1NiJ9."), long, F.lit("."), F.substring(mixed, 1, 43)), words, more, 1),
+        (long, F.lit("data:image/png;base64,"), more, 0),
         (F.concat(F.lit("AKIA"), F.lit("EXAMPLEKEY000000")), F.lit("example"), more, 0),
         (F.substring(hexed, 1, 40), F.lit("commit "), more, 0),
         (hexed, F.lit("sha256 checksum "), more, 0),

@@ -182,3 +182,23 @@ def test_secrets(spark, odd, none):
     assert any(r.doc_id == 1 and r.start == 0 for r in rows)
     assert all(key not in r.masked for r in rows)
     assert secret_scan.secrets(none, model).count() == 0 and secret_scan.secrets(odd, model).count() == 0
+
+
+def opaque(n):
+    return "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(n // 64 + 1))[:n]
+
+
+def test_secrets_of_any_length(spark):
+    jwt = f"eyJhbGciOiJIUzI1NiJ9.{opaque(240)}.{opaque(43)}"
+    letters = "abcdefghij" * 5 + opaque(30)  # the first digit comes late
+    values = [opaque(201), opaque(5000), jwt]
+    texts = [f"token={v} end" for v in values] + [f"Bearer {v} end" for v in values] + [f"see {letters} end", 'private_key = "-----BEGIN RSA PRIVATE KEY-----"']
+    found = {r.doc_id: r for r in secret_scan.candidates(docs(spark, texts)).collect()}
+    assert [found[i].candidate for i in range(6)] == [f"token={v}" for v in values] + values
+    assert found[6].candidate == letters and found[7].candidate.endswith("PRIVATE KEY-----") and len(found) == 8
+    model = secret_scan.fit(secret_scan.labelled_findings(spark, 40))
+    rows = {r.doc_id: r for r in secret_scan.secrets(docs(spark, texts), model).collect()}
+    assert [(rows[i].length, rows[i].sha256) for i in range(3)] == [(6 + len(v), hashlib.sha256(v.encode()).hexdigest()) for v in values]
+    assert rows[2].rule == "jwt" and [(rows[i].length, rows[i].start) for i in (3, 4, 5)] == [(len(v), 7) for v in values]
+    huge = secret_scan.candidates(docs(spark, ["x" * 2_000_000, "token=" + "y1" * 1_000_000])).collect()  # in linear time, without a deep stack
+    assert [(r.doc_id, len(r.candidate)) for r in huge] == [(1, 2_000_006)]
