@@ -39,7 +39,8 @@ DICTIONARY = (
     "number account service server client public private local host domain email address document section chapter"
 ).split()
 VALUE = rf"{ISSUED['private_key']}[^\s\"'<>,;]*+|[^\s\"'<>,;]{{8,}}+"
-ASSIGNED = rf"(?i:\b(?:{NAMES}))[\"']?[ \t]{{0,3}}(?:[:=]|=>|:=)[ \t]{{0,3}}[\"']?({VALUE})"
+#: The whole word around a name is read at once, so a text is walked in linear time.
+ASSIGNED = rf"(?<![A-Za-z0-9_.-])(?=[A-Za-z0-9_.-]++[\"']?[ \t]{{0,3}}[:=])(?=[A-Za-z0-9_.-]*?(?i:{NAMES}))[A-Za-z0-9_.-]++[\"']?[ \t]{{0,3}}(?:[:=]|=>|:=)[ \t]{{0,3}}[\"']?({VALUE})"
 LONG = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+"
 CANDIDATE = "|".join([*(rf"(?<![A-Za-z0-9]){p}" for p in ISSUED.values()), ASSIGNED, LONG])
 #: A cheap test that every text with a candidate passes.
@@ -83,6 +84,9 @@ def labelled_findings(spark: SparkSession, each: int = 120) -> DataFrame:
     name = F.element_at(F.array(*map(F.lit, ["password", "token", "secret", "api_key", "pwd"])), (F.col("id") % 5 + 1).cast("int"))
     sign = F.element_at(F.array(*map(F.lit, ["=", " = \"", ": ", "='"])), (F.col("id") % 4 + 1).cast("int"))
     n = (F.lit(10) + F.col("id") % 31).cast("int")
+    around = [F.element_at(F.array(*map(F.lit, x)), (F.floor(F.col("id") / 5) % len(x) + 1).cast("int")) for x in (["client_", "DB_", "my.app.", "", "aws-", "user"], ["", "_key", "", "_value", "-prod", "2", ".main"])]
+    longer = F.concat(around[0], name, around[1])
+    few = (F.lit(8) + F.floor(F.col("id") / 3) % 12).cast("int")
     # 88 to 5,000 characters that no period repeats
     many = F.transform(F.sequence(F.lit(1), F.lit(2) + (F.col("id") * F.col("id") % 114).cast("int")), lambda i: F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(hexed, i.cast("string")), 256))), "[+/=]", "x"))
     long = F.array_join(many, "")
@@ -94,6 +98,8 @@ def labelled_findings(spark: SparkSession, each: int = 120) -> DataFrame:
         (F.concat(name, sign, F.substr(mixed, F.lit(1), n)), words, more, 1),
         (F.concat(name, sign, F.substring(hexed, 1, 40)), words, more, 1),
         (F.concat(F.lit("sk_live_"), F.substring(mixed, 1, 24)), words, more, 1),
+        (F.concat(longer, sign, F.substr(hexed, F.lit(1), few)), words, more, 1),
+        (F.concat(longer, sign, F.substr(mixed, F.lit(1), few)), words, more, 1),
         (F.concat(name, sign, long), words, more, 1),
         (long, F.lit("Authorization: Bearer "), more, 1),
         (F.concat(F.lit("eyJhbGciOiJIUzI1NiJ9."), long, F.lit("."), F.substring(mixed, 1, 43)), words, more, 1),
@@ -105,6 +111,8 @@ def labelled_findings(spark: SparkSession, each: int = 120) -> DataFrame:
         (F.concat(words, F.lit("/"), more, F.lit("/module2/"), words, F.lit("_"), more), F.lit("see /"), more, 0),
         (F.concat(name, sign, words, F.lit("_"), more), words, more, 0),
         (F.concat(name, sign, F.lit("your_"), words, F.lit("_here")), F.lit("example"), more, 0),
+        (F.concat(longer, sign, words, F.lit("_"), more), words, more, 0),
+        (F.concat(longer, sign, F.lit("your_"), words, F.lit("_here")), F.lit("example"), more, 0),
         (F.concat(words, F.lit("_"), more, F.lit("_"), words, F.col("id").cast("string")), words, more, 0),
         (F.concat_ws("-", words, more, words, more, F.lit("2024")), words, more, 0),
         (F.repeat(F.concat((F.col("id") % 10).cast("string"), F.lit("0")), 12), words, more, 0),

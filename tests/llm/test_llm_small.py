@@ -202,3 +202,17 @@ def test_secrets_of_any_length(spark):
     assert rows[2].rule == "jwt" and [(rows[i].length, rows[i].start) for i in (3, 4, 5)] == [(len(v), 7) for v in values]
     huge = secret_scan.candidates(docs(spark, ["x" * 2_000_000, "token=" + "y1" * 1_000_000])).collect()  # in linear time, without a deep stack
     assert [(r.doc_id, len(r.candidate)) for r in huge] == [(1, 2_000_006)]
+
+
+def test_secrets_of_longer_names(spark):
+    # values of 8 to 19 characters, which are found by the name only
+    named = ["client_secret: \"{}\"", "secret_key = \"{}\"", "DB_PASSWORD={}", "spring.datasource.password={}", "accessTokenValue: '{}'", "aws-api-key-2 = {}"]
+    texts = [f"set {x.format(v)} now" for x in named for v in ("s3cr3tv4", "s3cr3tv4lue12", "k3Yk9yQ3y12xZ81p0wq")]
+    rows = secret_scan.candidates(docs(spark, texts)).collect()
+    assert sorted((r.doc_id, r.start) for r in rows) == [(i, 4) for i in range(18)]
+    assert all(r.assigned == 1 and r.value == ("s3cr3tv4", "s3cr3tv4lue12", "k3Yk9yQ3y12xZ81p0wq")[r.doc_id % 3] for r in secret_scan.featured(spark.createDataFrame(rows)).collect())
+    model = secret_scan.fit(secret_scan.labelled_findings(spark, 40))
+    kept = secret_scan.secrets(docs(spark, [*texts, "client_secret: your_password_here for example", "no names here: s3cr3tv4lue12"]), model).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(18)) and all(r.rule == "assigned" for r in kept)
+    run = "token" * 200_000  # no candidate, and read in linear time
+    assert secret_scan.candidates(docs(spark, [run, f"{run} = abcdefgh1"])).count() == 1
