@@ -2,15 +2,17 @@
 
 A tokenizer walks the tags once and keeps a stack of open elements, with the end tags that HTML
 leaves out (a new block ends an open paragraph, a list item the one before). Elements whose tag says
-that they aren't the article, or whose class, id or role does, are left out with all they hold.
+that they aren't the article, and hidden ones, are left out with all they hold. So are those that are marked by
+their class, id or role, unless one holds most of the page's prose; then it has half its points, gives none to what
+holds it, and is left out only if another container is better.
 Every paragraph gives points to its parent, and half as many to its grandparent: one, one for each
 comma, and one for each 100 characters up to three; a container's points are discounted by the share
 of its text inside links. The best container is the article; a sibling of it stays if its
 own points are near the best's, or if it is a paragraph of prose. The blocks of what is kept are
 joined in page order.
 
-Defined cases: a null or empty page, and one without text outside what is left out, has the text
-''. Pages cut off inside a tag, comment or reference lose that tag or comment only. Repeated rows are
+Defined cases: a null or empty page, and one without text outside what its tags leave out, has the text
+''; one with text in marked elements only is extracted without regard to marks. Pages cut off inside a tag, comment or reference lose that tag or comment only. Repeated rows are
 each extracted. Very long pages are walked in linear time; extra columns are not read.
 """
 
@@ -41,7 +43,7 @@ BOUNDS = frozenset("ul ol dl table body html article section div main aside nav
 P_BOUNDS = BOUNDS | {"p", "td", "th", "li", "blockquote"}
 #: Words in a class, id or role that mark menus, adverts, notices, comments and the like.
 NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|side-?bar|rail|widget|footer|foot|header|masthead|comments?|comment-?list|disqus|replies|respond|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|toolbar|pagination|pager|skip|hidden|tags?|navigation|contentinfo|complementary|search)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(?<!\bno[_-])(?<!\bhas[_-])(?<!\bnot[_-])(?<!\bnon[_-])(?<!\bwith[_-])(?<!\bwithout[_-])(?!tags?[_-]\w)(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|side-?bar|rail|(?<!elementor-)widget|footer|foot|header|masthead|comments?|comment-?list|disqus|replies|respond|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|toolbar|pagination|pager|skip|hidden|tags?|navigation|contentinfo|complementary|search)(?=$|[\s_-])",
     re.I,
 )
 ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -50,27 +52,30 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "up", "out", "points", "chars", "linked", "order")
+    __slots__ = ("tag", "up", "out", "points", "chars", "linked", "order", "mark", "prose")
 
-    def __init__(self, tag: str, up: Node | None, out: bool, order: int):
+    def __init__(self, tag: str, up: Node | None, out: bool, order: int, marked: bool = False):
         self.tag, self.up, self.out, self.order = tag, up, out, order
-        self.points, self.chars, self.linked = 0.0, 0, 0
+        self.points, self.chars, self.linked, self.prose = 0.0, 0, 0, 0
+        self.mark: Node | None = self if marked else up and up.mark  # the nearest marked element
 
 
-def _marked(tag: str, attrs: str) -> bool:
+def _marked(tag: str, attrs: str) -> tuple[bool, bool]:
+    """Whether an element is hidden, and whether its class, id or role marks it."""
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
+    marked = False
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id", "role") and NOISE.search(value):
-            return True
+            marked = True
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and UNSHOWN.search(value):
-            return True
-    return False
+            return True, marked
+    return False, marked
 
 
 def blocks_of(page: str) -> list[tuple[Node, str, int]]:
-    """(element, text, characters in links) of each run of text between block borders, outside what is left out."""
+    """(element, text, characters in links) of each run of text between block borders, outside hidden elements and those that their tag leaves out."""
     root = Node("#", None, False, 0)
     stack, out, links, n = [root], [], 0, 0
     texts: list[str] = []
@@ -161,7 +166,8 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
                 close(k)
         n += 1
         up = stack[-1]
-        stack.append(Node(tag, up, up.out or tag in OUT or _marked(tag, m["attrs"]), n))
+        hidden, marked = _marked(tag, m["attrs"])
+        stack.append(Node(tag, up, up.out or tag in OUT or hidden, n, marked))
         links += tag == "a"
         if m["attrs"].endswith("/") and tag not in BLOCK:
             close(len(stack) - 1)
@@ -172,8 +178,39 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
 def extract(page: str | None) -> str:
     """The main text of one page."""
     blocks = blocks_of(page or "")
+    total = 0
+    for node, text, linked in blocks:
+        total += len(text) - linked
+        x = node.mark
+        while x is not None:
+            x.prose += len(text) - linked
+            x = x.up.mark
+
+    def minor(x: Node | None) -> bool:
+        while x is not None:
+            if 2 * x.prose <= total:
+                return True
+            x = x.up.mark
+        return False
+
+    return article([b for b in blocks if not minor(b[0].mark)], True) or article(blocks, False)
+
+
+def article(blocks: list[tuple[Node, str, int]], marks: bool) -> str:
+    """The text of the best container of the blocks; with `marks`, marked elements count less."""
     if not blocks:
         return ""
+
+    def border(x: Node) -> bool:
+        return marks and x.mark is x and x.tag in HOLDS and x.tag not in PROSE
+
+    def under(x: Node | None) -> bool:
+        while x is not None and x.mark is not None:
+            if border(x.mark):
+                return True
+            x = x.mark.up
+        return False
+
     nodes: dict[int, Node] = {}
     for node, text, linked in blocks:
         x, far = node, 0
@@ -186,20 +223,24 @@ def extract(page: str | None) -> str:
             if far < 2:
                 x.points += (1 + text.count(",") + min(len(text) / 100, 3)) * (1.0 if far == 0 else 0.5) * (1 - linked / len(text))
                 nodes[x.order] = x
-            far += 1
+            far = 2 if border(x) else far + 1
             x = x.up
     if not nodes:
         return " ".join(t for _, t, _ in blocks)
 
     def score(x: Node) -> float:
-        return x.points * (1 - x.linked / max(x.chars, 1)) + (1e-9 if x.tag in ("article", "main") else 0)
+        return x.points * (1 - x.linked / max(x.chars, 1)) * (0.5 if under(x) else 1.0) + (1e-9 if x.tag in ("article", "main") else 0)
 
     best = max(nodes.values(), key=lambda x: (score(x), -x.order))
-    x = best.up
+    x, inner = best.up, best
     while x is not None and best.tag not in ("article", "main"):  # sections of one article are read together
         if x.tag in ("article", "main"):
             best = x
         x = x.up
+    way = set()  # marks between the best container and its article cut nothing
+    while inner is not best:
+        way.add(inner.order)
+        inner = inner.up
     least = max(10.0, score(best) * 0.2)
 
     def kept(node: Node, text: str, linked: int) -> bool:
@@ -207,6 +248,8 @@ def extract(page: str | None) -> str:
         while x is not None:
             if x is best:
                 return True
+            if border(x) and x.order not in way:
+                return False
             if x.up is best.up and x.up is not None:
                 if score(x) >= least and x.order in nodes:
                     return True

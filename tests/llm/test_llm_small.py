@@ -216,3 +216,21 @@ def test_secrets_of_longer_names(spark):
     assert sorted(r.doc_id for r in kept) == list(range(18)) and all(r.rule == "assigned" for r in kept)
     run = "token" * 200_000  # no candidate, and read in linear time
     assert secret_scan.candidates(docs(spark, [run, f"{run} = abcdefgh1"])).count() == 1
+
+
+@pytest.mark.parametrize("name", ["content with-sidebar", "layout no-sidebar", "site has-header", "elementor-widget", "entry-content tag-python", "post-social-media", "widget"])
+@pytest.mark.parametrize("page", ['<body><div class="{}">{}</div></body>', '<body><article><section id="{}">{}</section></article></body>', '<body><p>Shown above, too.</p><div role=x class="{}"><div>{}</div></div></body>'])
+def test_html_layout_classes_keep_the_article(name, page):
+    prose = " ".join(f"<p>Paragraph {i} of the article, with commas, and enough words to count as prose.</p>" for i in range(8))
+    noise = '<div class="comments"><p>A reader, who comments, at some length.</p></div><div class="ad"><p>Buy this, now.</p></div>'
+    text = html_extract.extract(page.format(name, prose + noise))
+    assert all(f"Paragraph {i} of" in text for i in range(8)) and "reader" not in text and "Buy" not in text
+
+
+def test_html_marks_are_scored():
+    article = "<div id=story>" + "<p>The story, as it was told, in one long sentence of many words.</p>" * 4 + "</div>"
+    comments = "<div class=comments>" + "<p>A comment, which is long, and which others answer.</p>" * 6 + "</div>"
+    text = html_extract.extract(f"<body>{article}{comments}</body>")
+    assert text.count("story") == 4 and "comment" not in text  # the comments hold most prose, but the story is better
+    assert html_extract.extract("<body><div class=promo><p>One.</p></div><div class=promo><p>Two.</p></div></body>") == "One. Two."
+    assert html_extract.extract("<body><div class=tags><p>x, y</p></div><p>Kept, all of it.</p></body>") == "Kept, all of it."
