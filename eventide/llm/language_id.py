@@ -7,7 +7,8 @@ smallest total wins; a margin over the second below `margin` of the size is reje
 
 The dictionaries are fitted on a bounded sample: for each language one document of up to 20,000
 characters for each of `sample` buckets of the id (those of 1,000 or more first, then by hash), whole
-texts, until `size` bytes are full. Languages are at most `max_languages`, the most frequent.
+texts, until `size` bytes are full; where a language has longer documents only, their first 20,000
+characters. Every language of the training rows has a dictionary, and what is read at once is one language's sample.
 
 Defined cases: a null text, and one without a letter, is `und` with score 0. Without training rows
 every text is `und`. Ties go to the language that sorts first. Repeated rows are each predicted.
@@ -16,6 +17,7 @@ Extra columns are not read.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from eventide.llm.common import bound_batches, held_out, text_slices
 
 UNKNOWN = "und"
+LONGEST = 20_000
 
 
 def letters(col: pa.Array) -> pa.Array:
@@ -35,22 +38,23 @@ def letters(col: pa.Array) -> pa.Array:
     return pc.utf8_trim(pc.replace_substring_regex(low, r"[^\p{L}]+", " "), " ")
 
 
-def fit(docs: DataFrame, *, size: int = 32 << 10, sample: int = 64, max_languages: int = 64) -> dict[str, bytes]:
+def fit(docs: DataFrame, *, size: int = 32 << 10, sample: int = 64) -> dict[str, bytes]:
     """A dictionary's bytes for each language, from the rows that aren't held out."""
     train = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    most = [r["lang"] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
     h = F.xxhash64(F.col("doc_id").cast("long"))
+    short = F.length("text") <= LONGEST
+    first = F.when(short, F.struct(-F.least(F.length("text"), F.lit(1000)), h))
+    piece = F.when(~short, h)
     picked = (
-        train.filter(F.col("lang").isin(most) & (F.length("text") <= 20_000))
-        .groupBy("lang", F.pmod(h, F.lit(sample)).alias("bucket")).agg(F.min_by("text", F.struct(-F.least(F.length("text"), F.lit(1000)), h)).alias("text"))
-    )
-    if not most:
-        return {}
-    rows = sorted(picked.collect(), key=lambda r: (r["lang"], r["bucket"]))  # at most max_languages x sample texts
+        train.groupBy("lang", F.pmod(h, F.lit(sample)).alias("bucket"))
+        .agg(F.min_by(F.when(short, F.col("text")), first).alias("text"), F.min_by(F.when(~short, F.left("text", F.lit(LONGEST))), piece).alias("piece"))
+    )
     out: dict[str, bytes] = {}
-    for r in rows:
-        out[r["lang"]] = out.get(r["lang"], b"") + letters(pa.array([r["text"]]))[0].as_py().encode() + b" "
-    return {lang: text[:size] for lang, text in sorted(out.items())}
+    for lang, group in itertools.groupby(picked.sort("lang", "bucket").toLocalIterator(), lambda r: r["lang"]):
+        rows = list(group)  # at most `sample`
+        whole = [r["text"] for r in rows if r["text"] is not None]
+        out[lang] = b"".join(letters(pa.array([t]))[0].as_py().encode() + b" " for t in whole or [r["piece"] for r in rows])[:size]
+    return out
 
 
 class Coders:

@@ -234,3 +234,17 @@ def test_html_marks_are_scored():
     assert text.count("story") == 4 and "comment" not in text  # the comments hold most prose, but the story is better
     assert html_extract.extract("<body><div class=promo><p>One.</p></div><div class=promo><p>Two.</p></div></body>") == "One. Two."
     assert html_extract.extract("<body><div class=tags><p>x, y</p></div><p>Kept, all of it.</p></body>") == "Kept, all of it."
+
+
+def test_language_learns_every_language(spark):
+    # 70 languages of their own words, the last of long documents only
+    rows = []
+    for k in range(70):
+        for i in range(8):
+            own = [hashlib.sha256(f"{k} {(i * 7 + j) % 40}".encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop"))[:9] for j in range(30)]
+            rows.append((k * 100 + i, " ".join(own) if k < 69 else " ".join(own * 80), f"l{k:02}", "s", 0))
+    d = spark.createDataFrame(rows, DOCS)
+    fitted = language_id.fit(d)
+    assert len(fitted) == 70 and all(len(x) > 200 for x in fitted.values())
+    last = language_id.identify(d.filter("doc_id >= 6000"), fitted).collect()
+    assert len(last) == 80 and all(r.lang_pred == f"l{r.doc_id // 100:02}" for r in last)
