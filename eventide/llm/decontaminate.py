@@ -152,7 +152,7 @@ def matches(docs: DataFrame, bench: DataFrame, *, min_match: int = 4, threshold:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     bench = bench.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     if not _small(bench, broadcast_bytes):
-        return _joined(docs, bench, min_match, threshold)
+        return docs.select("doc_id", _row("doc_id").alias("_row")).join(_joined(docs, bench, min_match, threshold), "_row").drop("_row")
     shared = _items(bench, min_match)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,24 +187,30 @@ def _seeds(df: DataFrame, key: str, min_match: int) -> DataFrame:
     return df.select(key, "text").mapInArrow(run, "key long, hash long, at long, size long")
 
 
+def _row(key: str):
+    """A hash of the whole row (key, text); it isn't null where the key is."""
+    return F.xxhash64(F.col(key).cast("long"), F.col("text").cast("string"))
+
+
 def _joined(docs: DataFrame, bench: DataFrame, min_match: int, threshold: float) -> DataFrame:
-    row = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    d = _seeds(row.select("_row", "text").distinct(), "_row", min_match).select(F.col("key").alias("_row"), "hash", F.col("at").alias("p"))
-    b = _seeds(bench.filter("item_id is not null"), "item_id", min_match).select(F.col("key").alias("item_id"), "hash", F.col("at").alias("q"), "size")
-    pairs = d.join(b, "hash").groupBy("_row", "item_id").agg(F.max("size").alias("size"), F.collect_list(F.struct("p", "q")).alias("at"))
+    """(_row, item_id, coverage, n_tiles, longest): every row of the benchmark is an item of its own."""
+    items = bench.filter("item_id is not null").withColumn("_item", _row("item_id"))
+    d = _seeds(docs.select(_row("doc_id").alias("_row"), "text").distinct(), "_row", min_match).select(F.col("key").alias("_row"), "hash", F.col("at").alias("p"))
+    b = _seeds(items.select("_item", "text").distinct(), "_item", min_match).select(F.col("key").alias("_item"), "hash", F.col("at").alias("q"), "size")
+    pairs = d.join(b, "hash").groupBy("_row", "_item").agg(F.max("size").alias("size"), F.collect_list(F.struct("p", "q")).alias("at"))
 
     def run(batches):
         for pdf in batches:
             out = []
-            for r, i, size, at in zip(pdf["_row"], pdf["item_id"], pdf["size"], pdf["at"]):
+            for r, i, size, at in zip(pdf["_row"], pdf["_item"], pdf["size"], pdf["at"]):
                 got = tiles(np.array([x["p"] for x in at]), np.array([x["q"] for x in at]), min_match)
                 covered = sum(n for *_, n in got) / size
                 if covered >= threshold:
                     out.append((r, i, covered, len(got), max(n for *_, n in got)))
-            yield pdf.__class__(out, columns=["_row", "item_id", "coverage", "n_tiles", "longest"])
+            yield pdf.__class__(out, columns=["_row", "_item", "coverage", "n_tiles", "longest"])
 
-    hits = pairs.filter(F.size(F.array_distinct("at.q")) * min_match >= threshold * F.col("size")).mapInPandas(run, "_row long, item_id long, coverage double, n_tiles int, longest int")
-    return row.select("doc_id", "_row").join(hits, "_row").drop("_row")
+    hits = pairs.filter(F.size(F.array_distinct("at.q")) * min_match >= threshold * F.col("size")).mapInPandas(run, "_row long, _item long, coverage double, n_tiles int, longest int")
+    return hits.join(items.select("item_id", "_item"), "_item").select("_row", "item_id", "coverage", "n_tiles", "longest")
 
 
 def decontaminated(docs: DataFrame, bench: DataFrame, *, min_match: int = 4, threshold: float = 0.6, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -212,8 +218,8 @@ def decontaminated(docs: DataFrame, bench: DataFrame, *, min_match: int = 4, thr
     bound_batches(docs.sparkSession)
     bench = bench.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     if not _small(bench, broadcast_bytes):
-        bad = _joined(docs.select("doc_id", "text"), bench, min_match, threshold).select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti")
+        bad = _joined(docs.select("doc_id", F.col("text").cast("string")), bench, min_match, threshold).select(F.col("_row").alias("_contaminated")).distinct()
+        return docs.join(bad, _row("doc_id") == F.col("_contaminated"), "left_anti")
     shared, where = _items(bench, min_match), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

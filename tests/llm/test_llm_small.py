@@ -248,3 +248,16 @@ def test_language_learns_every_language(spark):
     assert len(fitted) == 70 and all(len(x) > 200 for x in fitted.values())
     last = language_id.identify(d.filter("doc_id >= 6000"), fitted).collect()
     assert len(last) == 80 and all(r.lang_pred == f"l{r.doc_id // 100:02}" for r in last)
+
+
+def test_decontaminate_is_the_same_by_broadcast_and_by_join(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    other = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(1, item), (1, other), (2, other), (2, other), (None, "red green blue white black brown")], "item_id long, text string")
+    texts = [(None, f"x {item}"), (None, "clean words only here"), (5, f"{other} y"), (5, "a clean row of the same id"), (6, item), (6, item), (7, "red green blue white black brown"), (8, None)]
+    d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], DOCS)
+    by_size = [sorted(map(str, decontaminate.matches(d, bench, broadcast_bytes=n).collect())) for n in (1 << 20, 0)]
+    assert by_size[0] == by_size[1] and len(by_size[0]) == 6
+    left = [sorted(((r.doc_id, r.text) for r in decontaminate.decontaminated(d, bench, broadcast_bytes=n).collect()), key=str) for n in (1 << 20, 0)]
+    assert left[0] == left[1] == sorted((texts[i] for i in (1, 3, 6, 7)), key=str)
+    assert decontaminate.decontaminated(d, bench, broadcast_bytes=0).columns == d.columns
