@@ -2,14 +2,15 @@
 
 Every stage takes (spark, docs, sf_dir) and, but for the last, returns the columns of documents.
 Toxic documents go; lines that many documents repeat go from all but one; of each group of
-near-duplicates the document with the smallest doc_id stays; documents that hold a benchmark item go;
+near-duplicates the document with the smallest doc_id stays, as one row (of rows that repeat a doc_id, the one
+with the least hash; a row without doc_id counts as one whose id is a large number made from its text); documents that hold a benchmark item go;
 the rest is packed. SQL can express the second stage only, so ORACLE_SQL is None and the tests
 compare run() with a brute-force version.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventide.llm import decontaminate, line_dedup, minhash, packing, toxicity
@@ -31,8 +32,14 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(COLUMNS)
-    others = minhash.near_duplicates(docs).filter("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(COLUMNS)
+    unnamed = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    docs = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), unnamed))
+    others = minhash.near_duplicates(docs.select(F.col("_id").alias("doc_id"), "text")).filter("doc_id <> class_id").select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(others, "_id", "left_anti")
+    repeated = docs.groupBy("_id").count().filter("count > 1").select("_id")
+    order = Window.partitionBy("_id").orderBy(F.xxhash64(*COLUMNS), *COLUMNS)
+    one = kept.join(repeated, "_id", "left_semi").withColumn("_n", F.row_number().over(order)).filter("_n = 1")
+    return kept.join(repeated, "_id", "left_anti").select(COLUMNS).unionByName(one.select(COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ this leaves in different components are then compared with one another, so no bu
 A link needs a Jaccard similarity of the shingle sets of at least `threshold`, computed from the texts.
 
 Defined cases: a text without words links with nothing and is its own class, as is a row without
-doc_id (its class is null). Rows that repeat a doc_id are one vertex. An empty table gives an empty
+doc_id (its class is null). Rows that repeat a doc_id are one vertex, which has the links of all their texts. An empty table gives an empty
 result. Extra columns are not read.
 """
 
@@ -62,22 +62,23 @@ def prob_minhash(s: Shingles, slots: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, *, k: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, d1, d2, bands): two hashes of the words in order, and a hash for each band."""
+    """(doc_id, h, d1, d2, bands): a hash of the text, two hashes of the words in order, and a hash for each band."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, n in text_slices(batch.column(1), 2 << 20):
-                w = words(batch.column(1).slice(at, n))
+            for at, n in text_slices(batch.column(2), 2 << 20):
+                w = words(batch.column(2).slice(at, n))
                 sig = prob_minhash(shingles(w, k), bands * rows).reshape(n, bands, rows)
                 h = np.zeros((n, bands), np.uint64)
                 for j in range(rows):
                     h = mix(h * _STEP + sig[:, :, j] + np.uint64(j))
                 d1, d2 = digests(w)
                 flat = pa.ListArray.from_arrays(np.arange(0, n * bands + 1, bands, dtype=np.int32), h.reshape(-1).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), flat], names=["doc_id", "d1", "d2", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), flat], names=["doc_id", "h", "d1", "d2", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, d1 long, d2 long, bands array<long>")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("h"), text).mapInArrow(run, "doc_id long, h long, d1 long, d2 long, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, *, k: int, threshold: float) -> DataFrame:
@@ -140,16 +141,18 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, band
     """(doc_id, class_id), a row per row of docs; class_id is the smallest doc_id of its class."""
     sig = written(signatures(docs, k=k, bands=bands, rows=rows))
     good = sig.filter("doc_id is not null and d1 <> 0")
-    # texts with the same words are one; the smallest id stands for all
-    ones = written(good.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")))
-    # rows that repeat an id with different words are one vertex: link what they stand for
-    same = good.join(ones.select("d1", "d2", "id"), ["d1", "d2"]).filter("id <> doc_id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    # texts with the same words are one, numbered by itself; the smallest doc_id stands for all that hold it
+    texts_of = good.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.first("bands").alias("bands"))
+    ones = written(texts_of.select(F.monotonically_increasing_id().alias("id"), "d1", "d2", F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h"), "bands"))
+    same = good.select("doc_id", "d1", "d2").join(ones.select("d1", "d2", F.col("doc_id").alias("a")), ["d1", "d2"]).filter("a <> doc_id").select("a", F.col("doc_id").alias("b"))
     slots = ones.select("id", F.posexplode("bands").alias("band", "bucket"))
     leaders = slots.groupBy("band", "bucket").agg(F.min_by("id", F.xxhash64("id", "band")).alias("leader"), F.count("*").alias("n")).filter("n > 1")
     shared = written(slots.join(leaders, ["band", "bucket"]).select("band", "bucket", "id", "leader", "n"))
     pairs = written(shared.filter("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct())
     wanted = shared.select("id").distinct()
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id").groupBy("id").agg(F.max("text").alias("text")))
+    holders = ones.select("id", "doc_id", "h").join(wanted, "id")
+    text = F.col("text").cast("string")
+    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text")).join(holders, ["doc_id", "h"]).groupBy("id").agg(F.max("text").alias("text")))
     links = written(verified(pairs, texts, k=k, threshold=threshold))
     root = connected_components(links)
     member = written(shared.join(root, "id", "left").select("band", "bucket", "id", "n", F.coalesce("root", "id").alias("root")))
@@ -162,7 +165,10 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, band
     rest = written(rest)
     more = verified(rest, texts, k=k, threshold=threshold)
     many = block_links(left.filter(F.col("n") > small), texts, k=k, threshold=threshold, block=block)
-    root = connected_components(links.union(more).union(many).union(same))
+    # links of texts are links of the documents that stand for them
+    found = links.union(more).union(many)
+    found = found.join(ones.select(F.col("id").alias("a"), F.col("doc_id").alias("da")), "a").join(ones.select(F.col("id").alias("b"), F.col("doc_id").alias("db")), "b")
+    root = connected_components(found.select(F.col("da").alias("a"), F.col("db").alias("b")).union(same))
     for done in (ones, shared, pairs, texts, links, member, left, rest):  # the result reads sig and root only
         dropped(docs.sparkSession, done)
     class_ = sig.select("doc_id").join(root.withColumnRenamed("id", "doc_id"), "doc_id", "left")

@@ -261,3 +261,17 @@ def test_decontaminate_is_the_same_by_broadcast_and_by_join(spark):
     left = [sorted(((r.doc_id, r.text) for r in decontaminate.decontaminated(d, bench, broadcast_bytes=n).collect()), key=str) for n in (1 << 20, 0)]
     assert left[0] == left[1] == sorted((texts[i] for i in (1, 3, 6, 7)), key=str)
     assert decontaminate.decontaminated(d, bench, broadcast_bytes=0).columns == d.columns
+
+
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    import corpus_pipeline
+
+    a = " ".join(f"a{i}" for i in range(60))
+    b = " ".join(f"b{i}" for i in range(60))  # the larger text of the two
+    c = " ".join(f"c{i}" for i in range(60))
+    texts = [(5, a), (5, b), (9, a + " end"), (4, b + " end"), (12, c), (12, c), (20, "own words"), (None, c + " end"), (None, "no id here"), (None, "no id here"), (None, "another text")]
+    d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], DOCS)
+    out = [(r.doc_id, r.class_id) for r in minhash.near_duplicates(d).collect()]
+    assert sorted(out, key=str) == sorted([(5, 4), (5, 4), (9, 4), (4, 4), (12, 12), (12, 12), (20, 20), *[(None, None)] * 4], key=str)
+    left = corpus_pipeline.drop_near_duplicates(spark, d, "").collect()
+    assert sorted(((r.doc_id, r.text) for r in left), key=str) == sorted([(4, b + " end"), (12, c), (20, "own words"), (None, "no id here"), (None, "another text")], key=str)
