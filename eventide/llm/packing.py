@@ -4,8 +4,9 @@ Documents become pieces of at most `length` tokens, each piece is dealt to a blo
 content and id, and every block packs its pieces by best-fit decreasing: longest first, each into
 the open bin with the least room that still takes it, found in a segment tree over the remaining
 capacities. A block holds some thousands of pieces by construction (the number of blocks follows the
-row count in the files' footers), so no task grows with the table, and a block leaves at most a few
-bins open. The bins that blocks leave open are packed once more, in blocks of their own.
+row count in the files' footers), and a block leaves at most a few bins open. These aren't packed once more, so
+what stays empty grows with the number of blocks. Blocks are counted from documents: a table of few, very
+long documents has all its pieces in one block.
 
 Defined cases: a null text is an empty one, whose only token is the closing id. Repeated rows are
 packed as often as they occur. An empty table packs into no sequence. Extra columns are not read.
