@@ -24,9 +24,14 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Only a local master, whose driver and executors are one process, may leave it unset: a temporary folder serves then.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a shared folder for intermediate tables")
         at = getattr(spark, "_eventide_shared", None) or tempfile.mkdtemp(prefix="eventide-")
         spark._eventide_shared = at
     return at.rstrip("/")
@@ -47,6 +52,25 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key with more rows than this is split over several tasks.
+HOT_ROWS, MOST_HOT = 10_000, 100_000
+
+
+def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], counts: DataFrame, *, total: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """An inner join of rows with side on keys, in which no key lands in one task.
+
+    counts: (keys, n), how many of the `total` rows have each key. Keys with more than max(hot_rows, total / 100,000)
+    rows, of which there are 100,000 at most, are split into parts of that size; their side is repeated for each part.
+    """
+    least = max(hot_rows, total // MOST_HOT)
+    hot = F.broadcast(counts.filter(F.col("n") > least).select(*keys, F.ceil(F.col("n") / least).cast("int").alias("_parts")))
+    others = [c for c in rows.columns if c not in keys]
+    parts = F.coalesce("_parts", F.lit(1))
+    left = rows.join(hot, keys, "left").withColumn("_part", F.pmod(F.xxhash64(*others), parts).cast("int")).drop("_parts")
+    right = side.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return left.join(right, [*keys, "_part"]).drop("_part")
+
+
 def held_out(col: str = "doc_id"):
     """Rows whose crc32(doc_id as text) mod 4 is 2; a null id counts as held out, so it never trains."""
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % 4 == 2, F.lit(True))

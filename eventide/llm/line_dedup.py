@@ -1,11 +1,14 @@
 """Line dedup: count the documents that hold each normalised line, drop the lines that too many hold.
 
-Only DataFrame functions run here. Lines go through the shuffle as 16-byte digests, pre-aggregated
-by (digest, document); the text itself is read again and moves once, to meet the positions to drop.
+Only DataFrame functions run here. Lines are keyed by a 16-byte digest once, in a table of their own, and go
+through the shuffle pre-aggregated by (digest, document); a line that very many documents hold is split over several
+tasks. The text itself is read again and moves once, to meet the positions to drop.
 
 Defined cases: a null text is one empty line. A row without doc_id neither counts as a document nor
 is ever the largest, but it loses the lines that others repeat. Rows that repeat a doc_id are one
-document: each row loses its own lines by the same rule. An empty table gives an empty result.
+document: each row loses its own lines by the same rule, and the largest doc_id keeps them in all of its rows.
+Of lines with one key the largest doc_id keeps all, in their own spelling. Texts of any length are split whole; a row's
+positions to drop grow with its own lines only. An empty table gives an empty result.
 Input columns besides (doc_id, text) pass through unless they clash with an output column.
 """
 
@@ -14,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventide.llm.common import HOT_ROWS, spread_join, written
+
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -32,24 +37,24 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def line_dedup(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+def line_dedup(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Adds n_lines, n_dropped and kept_text to the documents."""
     out = {"n_lines", "n_dropped", "kept_text"}
     docs = docs.select(*(c for c in docs.columns if c not in out)).withColumn("_row", F.xxhash64(F.coalesce("text", F.lit(""))))
-    lines = (
+    lines = written(
         docs.select("doc_id", "_row", F.posexplode(lines_of(F.col("text"))).alias("_pos", "_line"))
         .filter(F.char_length("_line") >= min_chars)
         .select("doc_id", "_row", "_pos", line_key(F.col("_line")).alias("_key"))
         .filter(F.char_length("_key") >= min_chars)
         .select("doc_id", "_row", "_pos", F.unhex(F.md5("_key")).alias("_key"))
     )
-    common = (
-        lines.filter("doc_id is not null").groupBy("_key", "doc_id").agg(F.lit(1).alias("_one"))
-        .groupBy("_key").agg(F.count("_one").alias("_docs"), F.max("doc_id").alias("_last"))
-        .filter(F.col("_docs") >= min_docs).select("_key", "_last")
+    common = written(
+        lines.groupBy("_key", "doc_id").agg(F.count("*").alias("_lines"))
+        .groupBy("_key").agg(F.count("doc_id").alias("_docs"), F.max("doc_id").alias("_last"), F.sum("_lines").alias("n"))
+        .filter(F.col("_docs") >= min_docs).select("_key", "_last", "n")
     )
     gone = (
-        lines.join(common, "_key").filter(~F.col("doc_id").eqNullSafe(F.col("_last")))
+        spread_join(lines, common.drop("n"), ["_key"], common.select("_key", "n"), total=lines.count(), hot_rows=hot_rows).filter(~F.col("doc_id").eqNullSafe(F.col("_last")))
         .groupBy("doc_id", "_row").agg(F.collect_set("_pos").alias("_gone"))
         .select(F.col("doc_id").alias("_id"), F.col("_row").alias("_hash"), "_gone")
     )
