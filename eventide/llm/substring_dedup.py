@@ -3,16 +3,20 @@
 A gear rolling hash runs over the UTF-8 bytes. A place is a candidate where the hash's bits of a window of some 20
 bytes are zero, and a border where no other candidate is within `least` bytes before it. Both
 depend on the bytes just before the place and on nothing else, so an insertion moves no border behind its
-window, and a passage has the same chunks in whatever document it stands. A chunk is a copy
-if a document with a smaller doc_id holds its digest, or its own document does before it. Copies in
-a row are a span; spans of at least `min_bytes` are dropped, so a phrase that recurs by
-chance stays where it is, and every passage stays whole in the first document that holds it.
-
-Only (digest, doc_id) pairs are shuffled, pre-aggregated; the text meets the digests that are
-copies in its own document and is chunked once more.
-
-Defined cases: null and empty texts have no chunks. Rows without doc_id are kept whole and don't
-count. Rows that repeat a doc_id are one document: they are treated alike. An empty table gives
+window, and a passage has the same chunks in whatever document it stands. Chunks are deduplicated by the digest of the run that
+begins with them: as many chunks as make `min_bytes`, all of one document. A run is a copy
+if a document with a smaller doc_id holds its digest (with `within`, also if its own document does before it); the chunks of copied runs
+are dropped. So whatever is dropped stands in a stretch of at least `min_bytes` that one other document
+holds without a gap, and phrases that recur by chance in several documents drop nothing, however
+many documents there are. A passage of some 250 bytes or more is caught wherever its borders fall, but for one that repeats a word
+or two only: it has no border inside, so it is one chunk with what surrounds it.
+
+Only (digest, doc_id) pairs are shuffled, pre-aggregated, and a digest that very many documents hold is split over several tasks; the text
+meets the digests that are copies in its own document and is chunked once more.
+
+Defined cases: null and empty texts have no chunks; texts shorter than `min_bytes` lose nothing. Rows without doc_id are kept
+whole and don't count. Rows that repeat a doc_id are one document: they are treated alike, and none is a copy of another.
+Of documents that hold the same run the one with the smallest doc_id keeps it. Very long texts are chunked whole. An empty table gives
 an empty result. Extra columns pass through deduplicated() unless they clash with its output.
 """
 
@@ -25,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.common import as_array, bound_batches, mix, text_slices
+from eventide.llm.common import HOT_ROWS, as_array, bound_batches, mix, spread_join, text_slices, written
 from eventide.llm.text import powers
 
 GEAR = np.random.default_rng(4711).integers(0, 1 << 32, 256, dtype=np.uint32)
-BITS, SHIFT, LEAST, MIN_BYTES = 4, 18, 8, 100
+BITS, SHIFT, LEAST, MIN_BYTES = 5, 18, 8, 100
 _BASE = 0xD1342543DE82EF95
 
 
@@ -39,12 +43,12 @@ def _bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(col.buffers()[2] or b"", np.uint8)[row[0] : row[-1]], row - row[0]
 
 
-def chunks(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, row, digest, data): where each chunk begins, the row it is of, and its digest."""
+def chunks(col: pa.Array, min_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, row, last, digest, data): where each chunk begins, the row it is of, the last chunk of the run that begins with it (-1: the row ends before) and the run's digest."""
     data, row = _bytes(col)
     n = len(data)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), data
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), data
     h, span = GEAR[data], 1
     while span < 32:  # h[i] = sum over j < span of gear[i - j] << j
         h[span:] += h[:-span] << np.uint32(span)
@@ -59,21 +63,26 @@ def chunks(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
         inside = (cut < n) & ((data[np.minimum(cut, n - 1)] & 0xC0) == 0x80)
         cut = cut + inside
     start = np.unique(np.concatenate([row[:-1][np.diff(row) > 0], cut[cut < n]]))
+    own = np.searchsorted(row, start, "right") - 1
+    end = np.append(start[1:], n)
+    last = np.searchsorted(end, start + min_bytes)
+    last[(last >= len(start)) | (own[np.minimum(last, len(start) - 1)] != own)] = -1
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), out=total[1:])
-    end = np.append(start[1:], n)
-    digest = (total[end] - total[start]) * powers(pow(_BASE, -1, 1 << 64), n + 1)[start]
-    return start, np.searchsorted(row, start, "right") - 1, mix(digest ^ (end - start).astype(np.uint64)), data
+    stop = np.where(last >= 0, end[last], start)
+    digest = (total[stop] - total[start]) * powers(pow(_BASE, -1, 1 << 64), n + 1)[start]
+    return start, own, last, mix(digest ^ (stop - start).astype(np.uint64)), data
 
 
-def _pairs(docs: DataFrame) -> DataFrame:
-    """(digest, doc_id), once for each row that holds it."""
+def _pairs(docs: DataFrame, min_bytes: int) -> DataFrame:
+    """(digest, doc_id), once for each row that holds such a run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, n in text_slices(batch.column(1)):
                 part = batch.slice(at, n)
-                _, row, digest, _ = chunks(part.column(1))
+                _, row, last, digest, _ = chunks(part.column(1), min_bytes)
+                row, digest = row[last >= 0], digest[last >= 0]
                 key = digest ^ mix(row.astype(np.uint64) + np.uint64(1))
                 once = np.sort(np.unique(key, return_index=True)[1])
                 yield pa.RecordBatch.from_arrays([pa.array(digest[once].view(np.int64)), part.column(0).take(pa.array(row[once]))], names=["digest", "doc_id"])
@@ -84,13 +93,16 @@ def _pairs(docs: DataFrame) -> DataFrame:
 OUTPUT = {"n_chunks": "long", "n_dropped": "long", "dropped_bytes": "long", "first_doc_ids": "array<bigint>", "kept_text": "string"}
 
 
-def deduplicated(docs: DataFrame, *, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """Adds n_chunks, n_dropped, dropped_bytes, first_doc_ids (who keeps what was dropped) and kept_text."""
+def deduplicated(docs: DataFrame, *, min_bytes: int = MIN_BYTES, within: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Adds n_chunks, n_dropped, dropped_bytes, first_doc_ids (who holds what was dropped before) and kept_text."""
     bound_batches(docs.sparkSession)
     docs = docs.select(*(c for c in docs.columns if c not in OUTPUT))
-    pairs = _pairs(docs)
-    shared = pairs.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("digest", "first")
-    copies = pairs.join(shared, "digest").filter("doc_id > first").groupBy("doc_id").agg(F.collect_list("digest").alias("_digests"), F.collect_list("first").alias("_firsts"))
+    pairs = written(_pairs(docs, min_bytes))
+    shared = written(pairs.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    copies = (
+        spread_join(pairs, shared.select("digest", "first"), ["digest"], shared.select("digest", "n"), total=pairs.count(), hot_rows=hot_rows)
+        .filter("doc_id > first").groupBy("doc_id").agg(F.collect_list("digest").alias("_digests"), F.collect_list("first").alias("_firsts"))
+    )
     joined = docs.join(copies.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
     where, ids = docs.columns.index("text"), docs.columns.index("doc_id")
     names, width = [*docs.columns, *OUTPUT], len(docs.columns)
@@ -99,7 +111,7 @@ def deduplicated(docs: DataFrame, *, min_bytes: int = MIN_BYTES) -> DataFrame:
         for batch in batches:
             for at, n in text_slices(as_array(batch.column(where)), 1 << 20):
                 part = batch.slice(at, n)
-                start, row, digest, data = chunks(part.column(where))
+                start, row, last, digest, data = chunks(part.column(where), min_bytes)
                 size = np.diff(np.append(start, len(data)))
                 bounds = np.searchsorted(row, np.arange(n + 1))
                 known = part.column(width).is_valid().to_numpy(zero_copy_only=False)
@@ -110,8 +122,9 @@ def deduplicated(docs: DataFrame, *, min_bytes: int = MIN_BYTES) -> DataFrame:
                     own, first = digest[a:b], np.zeros(b - a, np.int64)
                     copy = np.zeros(b - a, bool)
                     if has_id[i] and b > a:
-                        copy = np.ones(b - a, bool)
-                        copy[np.unique(own, return_index=True)[1]] = False
+                        if within:
+                            copy[:] = True
+                            copy[np.unique(own, return_index=True)[1]] = False
                         first[:] = part.column(ids)[i].as_py()
                         if known[i]:
                             d = part.column(width)[i].values.to_numpy().view(np.uint64)
@@ -120,16 +133,15 @@ def deduplicated(docs: DataFrame, *, min_bytes: int = MIN_BYTES) -> DataFrame:
                             found = d[order[at_]] == own
                             first[found] = part.column(width + 1)[i].values.to_numpy()[order[at_]][found]
                             copy |= found
-                    edge = np.flatnonzero(np.diff(copy, prepend=False, append=False))
-                    bytes_ = np.concatenate([[0], np.cumsum(size[a:b])])
-                    drop = np.zeros(b - a, bool)
-                    for x, y in zip(edge[::2], edge[1::2]):
-                        if bytes_[y] - bytes_[x] >= min_bytes:
-                            drop[x:y] = True
+                        copy &= last[a:b] >= 0
+                    edge = np.zeros(b - a + 1, np.int64)  # a copied run drops its chunks
+                    np.add.at(edge, np.flatnonzero(copy), 1)
+                    np.add.at(edge, last[a:b][copy] - a + 1, -1)
+                    drop = np.cumsum(edge)[:-1] > 0
                     keep = np.repeat(~drop, size[a:b])
                     base = start[a] if b > a else 0
-                    text = data[base : base + bytes_[-1]][keep].tobytes().decode()
-                    out.append((b - a, int(drop.sum()), int(size[a:b][drop].sum()), np.unique(first[drop]).tolist(), text))
+                    text = data[base : base + int(size[a:b].sum())][keep].tobytes().decode()
+                    out.append((b - a, int(drop.sum()), int(size[a:b][drop].sum()), np.unique(first[copy]).tolist(), text))
                 cols = [pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string()))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:width], *cols], names=names)
 
