@@ -5,13 +5,16 @@ The signature of a document estimates the probability Jaccard similarity of its
 the rate; an arrival falls into a uniformly drawn slot, each slot keeps its earliest arrival, and a
 process ends once its next arrival is later than every slot's (then no later one can change
 anything). Slots are compared in bands. Texts with the same words are one text from the start: only
-one of them enters the buckets. In a bucket every text is compared with the first one; texts that
-this leaves in different components are then compared with one another, so no bucket is cut short.
+one of them enters the buckets. In a bucket every text is compared with one leader; texts that
+this leaves in different components are then compared with one another, so no bucket is cut short: the texts outside the
+bucket's largest component meet all others, in blocks bounded by rows and bytes, and those inside it don't meet again.
+Leaders and buckets with very many texts are split over several tasks.
 A link needs a Jaccard similarity of the shingle sets of at least `threshold`, computed from the texts.
 
 Defined cases: a text without words links with nothing and is its own class, as is a row without
-doc_id (its class is null). Rows that repeat a doc_id are one vertex, which has the links of all their texts. An empty table gives an empty
-result. Extra columns are not read.
+doc_id (its class is null). Rows that repeat a doc_id are one vertex, which has the links of all their texts. Repeated rows and
+texts of the same words are linked without being compared; a similarity equal to the threshold is a link. A very long text is read whole, as one
+row of a block. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.common import bound_batches, dropped, mix, text_slices, written
+from eventide.llm.common import HOT_ROWS, bound_batches, dropped, mix, spread_join, text_slices, written
 from eventide.llm.components import connected_components, local_roots
 from eventide.llm.text import Shingles, digests, jaccard, owners, shingles, words
 
@@ -81,7 +84,7 @@ def signatures(docs: DataFrame, *, k: int, bands: int, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("h"), text).mapInArrow(run, "doc_id long, h long, d1 long, d2 long, bands array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, *, k: int, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, *, k: int, threshold: float, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Of the pairs (a, b), those whose texts are similar enough. texts: (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,8 +94,10 @@ def verified(pairs: DataFrame, texts: DataFrame, *, k: int, threshold: float) ->
                 good = pa.array(jaccard(part.column(2), part.column(3), k) >= threshold)
                 yield part.select(["a", "b"]).filter(good)
 
-    b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    total, both = pairs.count(), pairs
+    for end in ("b", "a"):  # a leader stands in as many pairs as its bucket has texts
+        side = texts.select(F.col("id").alias(end), F.col("text").alias(f"text_{end}"))
+        both = spread_join(both, side, [end], pairs.groupBy(end).agg(F.count("*").alias("n")), total=total, hot_rows=hot_rows)
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
@@ -115,13 +120,35 @@ def shared_counts(s: Shingles) -> tuple[np.ndarray, np.ndarray]:
     return both, size
 
 
+def blocks(members: DataFrame, *, block: int) -> DataFrame:
+    """Deals the texts of mixed buckets to groups in which every two of different components meet.
+
+    members: (band, bucket, id, root, size in bytes). Adds kind, lo and hi, a row for each group of a text. The texts outside the
+    bucket's largest component are cut into chunks of `block` rows (a row counts more by 16 KB each), and so are those inside it: a
+    chunk outside meets every chunk inside (kind 0) and every other outside (kind 1). So a bucket of n copies and few others
+    travels as often as the others have chunks, once as a rule.
+    """
+    weight = 1 + F.col("size") / 16_384
+    parts = members.groupBy("band", "bucket", "root").agg(F.count("*").alias("n"), F.sum(weight).alias("weight"))
+    chunks = lambda w: F.ceil(w / block).cast("int")
+    bucket = parts.groupBy("band", "bucket").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.sum("weight").alias("all"), F.max_by("weight", F.struct("n", "root")).alias("weight"))
+    bucket = bucket.select("band", "bucket", "most", chunks(F.col("weight")).alias("inside"), F.greatest(F.lit(1), chunks(F.col("all") - F.col("weight"))).alias("outside"))
+    rows = members.join(bucket, ["band", "bucket"]).withColumn("in", F.col("root") == F.col("most"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("in"), F.col("inside")).otherwise(F.col("outside"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    group = lambda kind, lo, hi: F.struct(F.lit(kind).alias("kind"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+    own = F.col("own")
+    met = F.when(F.col("in"), F.transform(upto(F.col("outside")), lambda i: group(0, i, own))).otherwise(
+        F.concat(
+            F.transform(upto(F.col("inside")), lambda j: group(0, own, j)),
+            F.transform(F.filter(upto(F.col("outside")), lambda j: j != own), lambda j: group(1, F.least(own, j), F.greatest(own, j))),
+        )
+    )
+    return rows.select("band", "bucket", "id", "root", F.explode(met).alias("g")).select("band", "bucket", "g.kind", "g.lo", "g.hi", "id", "root")
+
+
 def block_links(members: DataFrame, texts: DataFrame, *, k: int, threshold: float, block: int) -> DataFrame:
-    """(a, b): links that connect what buckets' texts of different components connect. members: (band, bucket, id, root, n)."""
-    chunks = F.ceil(F.col("n") / block).cast("int")
-    placed = members.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    # with one other chunk there are two at a time; a chunk alone is a pair with itself
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    pairs = placed.withColumn("other", other).filter("chunks = 1 or other <> chunk").select("band", "bucket", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "id", "root")
+    """(a, b): links that connect what buckets' texts of different components connect. members: (band, bucket, id, root)."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
@@ -133,11 +160,12 @@ def block_links(members: DataFrame, texts: DataFrame, *, k: int, threshold: floa
         has = np.flatnonzero(root != np.arange(len(ids)))
         return pd.DataFrame({"a": ids[root[has]], "b": ids[has]})
 
-    rows = pairs.join(texts, "id").select("band", "bucket", "lo", "hi", "id", "root", "text")
-    return rows.groupBy("band", "bucket", "lo", "hi").applyInPandas(compare, "a long, b long")
+    groups = blocks(members.join(texts.select("id", "size"), "id"), block=block)
+    rows = groups.join(texts.select("id", "text"), "id")
+    return rows.groupBy("band", "bucket", "kind", "lo", "hi").applyInPandas(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 4, small: int = 24, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 4, small: int = 24, block: int = 512, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(doc_id, class_id), a row per row of docs; class_id is the smallest doc_id of its class."""
     sig = written(signatures(docs, k=k, bands=bands, rows=rows))
     good = sig.filter("doc_id is not null and d1 <> 0")
@@ -147,13 +175,15 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, band
     same = good.select("doc_id", "d1", "d2").join(ones.select("d1", "d2", F.col("doc_id").alias("a")), ["d1", "d2"]).filter("a <> doc_id").select("a", F.col("doc_id").alias("b"))
     slots = ones.select("id", F.posexplode("bands").alias("band", "bucket"))
     leaders = slots.groupBy("band", "bucket").agg(F.min_by("id", F.xxhash64("id", "band")).alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    shared = written(slots.join(leaders, ["band", "bucket"]).select("band", "bucket", "id", "leader", "n"))
+    leaders = written(leaders)
+    n_slots = bands * ones.count()
+    shared = written(spread_join(slots, leaders, ["band", "bucket"], leaders.select("band", "bucket", "n"), total=n_slots, hot_rows=hot_rows).select("band", "bucket", "id", "leader", "n"))
     pairs = written(shared.filter("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct())
     wanted = shared.select("id").distinct()
     holders = ones.select("id", "doc_id", "h").join(wanted, "id")
     text = F.col("text").cast("string")
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text")).join(holders, ["doc_id", "h"]).groupBy("id").agg(F.max("text").alias("text")))
-    links = written(verified(pairs, texts, k=k, threshold=threshold))
+    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text")).join(holders, ["doc_id", "h"]).groupBy("id").agg(F.max("text").alias("text")).withColumn("size", F.octet_length("text")))
+    links = written(verified(pairs, texts, k=k, threshold=threshold, hot_rows=hot_rows))
     root = connected_components(links)
     member = written(shared.join(root, "id", "left").select("band", "bucket", "id", "n", F.coalesce("root", "id").alias("root")))
     mixed = member.groupBy("band", "bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band", "bucket")
@@ -163,13 +193,13 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, band
     y = few.select("band", "bucket", F.col("id").alias("b"), F.col("root").alias("rb"))
     rest = x.join(y, ["band", "bucket"]).filter("a < b and ra <> rb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
     rest = written(rest)
-    more = verified(rest, texts, k=k, threshold=threshold)
+    more = verified(rest, texts, k=k, threshold=threshold, hot_rows=hot_rows)
     many = block_links(left.filter(F.col("n") > small), texts, k=k, threshold=threshold, block=block)
     # links of texts are links of the documents that stand for them
     found = links.union(more).union(many)
     found = found.join(ones.select(F.col("id").alias("a"), F.col("doc_id").alias("da")), "a").join(ones.select(F.col("id").alias("b"), F.col("doc_id").alias("db")), "b")
     root = connected_components(found.select(F.col("da").alias("a"), F.col("db").alias("b")).union(same))
-    for done in (ones, shared, pairs, texts, links, member, left, rest):  # the result reads sig and root only
+    for done in (ones, leaders, shared, pairs, texts, links, member, left, rest):  # the result reads sig and root only
         dropped(docs.sparkSession, done)
     class_ = sig.select("doc_id").join(root.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return class_.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
