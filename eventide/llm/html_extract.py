@@ -8,12 +8,13 @@ holds it, and is left out only if another container is better.
 Every paragraph gives points to its parent, and half as many to its grandparent: one, one for each
 comma, and one for each 100 characters up to three; a container's points are discounted by the share
 of its text inside links. The best container is the article; a sibling of it stays if its
-own points are near the best's, or if it is a paragraph of prose. The blocks of what is kept are
+own points are near the best's, if it is a paragraph of prose, or a headline of the first level before the best. The blocks of what is kept are
 joined in page order.
 
 Defined cases: a null or empty page, and one without text outside what its tags leave out, has the text
 ''; one with text in marked elements only is extracted without regard to marks. Pages cut off inside a tag, comment or reference lose that tag or comment only. Repeated rows are
-each extracted. Very long pages are walked in linear time; extra columns are not read.
+each extracted. Ties between containers go to the one that begins first. A page is walked once, and what an element inherits or
+sums up is passed along the elements in their order, so time is linear in the page however deep it is nested; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -52,12 +53,15 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "up", "out", "points", "chars", "linked", "order", "mark", "prose")
+    __slots__ = ("tag", "up", "out", "points", "chars", "linked", "order", "marked", "prose", "holder", "host", "state")
 
     def __init__(self, tag: str, up: Node | None, out: bool, order: int, marked: bool = False):
-        self.tag, self.up, self.out, self.order = tag, up, out, order
+        self.tag, self.up, self.out, self.order, self.marked = tag, up, out, order, marked
         self.points, self.chars, self.linked, self.prose = 0.0, 0, 0, 0
-        self.mark: Node | None = self if marked else up and up.mark  # the nearest marked element
+        # the nearest element, from this one up, that can be a container, and the nearest that isn't prose itself
+        self.holder: Node | None = self if tag in HOLDS else up and up.holder
+        self.host: Node | None = self if tag in HOLDS and tag not in PROSE else up and up.host
+        self.state = ""
 
 
 def _marked(tag: str, attrs: str) -> tuple[bool, bool]:
@@ -74,16 +78,51 @@ def _marked(tag: str, attrs: str) -> tuple[bool, bool]:
     return False, marked
 
 
-def blocks_of(page: str) -> list[tuple[Node, str, int]]:
-    """(element, text, characters in links) of each run of text between block borders, outside hidden elements and those that their tag leaves out."""
+class Open:
+    """The open elements, with the places of each tag and group of tags among them, so that nothing is looked for by walking."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at, self.links = [root], {}, 0
+        self.groups = {"bounds": [], "p_bounds": [], "block": []}
+
+    def push(self, node: Node) -> None:
+        k, tag = len(self.stack), node.tag
+        self.stack.append(node)
+        self.at.setdefault(tag, []).append(k)
+        for name, tags in (("bounds", BOUNDS), ("p_bounds", P_BOUNDS), ("block", BLOCK)):
+            if tag in tags:
+                self.groups[name].append(k)
+        self.links += tag == "a"
+
+    def close(self, k: int) -> None:
+        """End the element at place k and all inside it."""
+        while len(self.stack) > k:
+            tag = self.stack.pop().tag
+            self.at[tag].pop()
+            self.links -= tag == "a"
+        for places in self.groups.values():
+            while places and places[-1] >= k:
+                places.pop()
+
+    def last(self, tag: str) -> int:
+        places = self.at.get(tag)
+        return places[-1] if places else 0
+
+    def nearest(self, group: str) -> int:
+        places = self.groups[group]
+        return places[-1] if places else 0
+
+
+def parsed(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
+    """All elements in order, and (element, text, characters in links) of each run of text between block borders, outside hidden elements and those that their tag leaves out."""
     root = Node("#", None, False, 0)
-    stack, out, links, n = [root], [], 0, 0
+    nodes, out, open_ = [root], [], Open(root)
+    stack = open_.stack
     texts: list[str] = []
     linked: list[str] = []
     owner = root
 
     def flush() -> None:
-        nonlocal owner
         if texts:
             text = SPACE.sub(" ", html.unescape("".join(texts))).strip()
             if text:
@@ -95,19 +134,11 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
         nonlocal owner
         if text and not stack[-1].out:
             if not texts:
-                k = len(stack) - 1
-                while k and stack[k].tag not in BLOCK:
-                    k -= 1
-                owner = stack[k]
+                owner = stack[open_.nearest("block")]
             texts.append(text)
-            if links:
+            if open_.links:
                 linked.append(text)
 
-    def close(k: int) -> None:
-        nonlocal links
-        links -= sum(x.tag == "a" for x in stack[k:])
-        del stack[k:]
-
     at, size = 0, len(page)
     while at < size:
         m = TOKEN.search(page, at)
@@ -129,14 +160,9 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
                 flush()
             if tag == "br":
                 say(" ")
-            k = len(stack) - 1
-            while k and stack[k].tag != tag:
-                if stack[k].tag in BOUNDS and tag not in BOUNDS:
-                    k = 0
-                    break
-                k -= 1
-            if k:
-                close(k)
+            k = open_.last(tag)
+            if k and (tag in BOUNDS or open_.nearest("bounds") < k):
+                open_.close(k)
             continue
         if tag == "br":
             say(" ")
@@ -152,86 +178,72 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
             continue
         if tag in BLOCK:
             flush()
-            k = len(stack) - 1  # a new block ends an open paragraph
-            while k and stack[k].tag not in P_BOUNDS:
-                k -= 1
-            if stack[k].tag == "p":
-                close(k)
+            k = open_.nearest("p_bounds")  # a new block ends an open paragraph
+            if k and stack[k].tag == "p":
+                open_.close(k)
         if tag in ENDS:
-            k = len(stack) - 1
-            while k and stack[k].tag not in ENDS[tag] and stack[k].tag not in BOUNDS:
-                k -= 1
-            if k and stack[k].tag in ENDS[tag]:
+            k = max(map(open_.last, ENDS[tag]))
+            if k > open_.nearest("bounds"):
                 flush()
-                close(k)
-        n += 1
+                open_.close(k)
         up = stack[-1]
         hidden, marked = _marked(tag, m["attrs"])
-        stack.append(Node(tag, up, up.out or tag in OUT or hidden, n, marked))
-        links += tag == "a"
+        node = Node(tag, up, up.out or tag in OUT or hidden, len(nodes), marked)
+        nodes.append(node)
         if m["attrs"].endswith("/") and tag not in BLOCK:
-            close(len(stack) - 1)
+            continue
+        open_.push(node)
     flush()
-    return out
+    return nodes, out
 
 
 def extract(page: str | None) -> str:
     """The main text of one page."""
-    blocks = blocks_of(page or "")
-    total = 0
+    nodes, blocks = parsed(page or "")
     for node, text, linked in blocks:
-        total += len(text) - linked
-        x = node.mark
-        while x is not None:
-            x.prose += len(text) - linked
-            x = x.up.mark
-
-    def minor(x: Node | None) -> bool:
-        while x is not None:
-            if 2 * x.prose <= total:
-                return True
-            x = x.up.mark
-        return False
+        node.prose += len(text) - linked
+    for x in reversed(nodes[1:]):
+        x.up.prose += x.prose
+    minor = [False] * len(nodes)  # inside a marked element that doesn't hold most of the page's prose
+    for x in nodes[1:]:
+        minor[x.order] = minor[x.up.order] or x.marked and 2 * x.prose <= nodes[0].prose
+    return article(nodes, [b for b in blocks if not minor[b[0].order]], True) or article(nodes, blocks, False)
 
-    return article([b for b in blocks if not minor(b[0].mark)], True) or article(blocks, False)
 
-
-def article(blocks: list[tuple[Node, str, int]], marks: bool) -> str:
+def article(nodes: list[Node], blocks: list[tuple[Node, str, int]], marks: bool) -> str:
     """The text of the best container of the blocks; with `marks`, marked elements count less."""
     if not blocks:
         return ""
 
     def border(x: Node) -> bool:
-        return marks and x.mark is x and x.tag in HOLDS and x.tag not in PROSE
-
-    def under(x: Node | None) -> bool:
-        while x is not None and x.mark is not None:
-            if border(x.mark):
-                return True
-            x = x.mark.up
-        return False
+        return marks and x.marked and x.tag in HOLDS and x.tag not in PROSE
 
-    nodes: dict[int, Node] = {}
+    for x in nodes:
+        x.points, x.chars, x.linked = 0.0, 0, 0
+    held: dict[int, Node] = {}
     for node, text, linked in blocks:
-        x, far = node, 0
-        while x is not None:
-            x.chars += len(text)
-            x.linked += linked
-            if x.tag not in HOLDS or far == 0 and x.tag in PROSE:
-                x = x.up
-                continue
-            if far < 2:
-                x.points += (1 + text.count(",") + min(len(text) / 100, 3)) * (1.0 if far == 0 else 0.5) * (1 - linked / len(text))
-                nodes[x.order] = x
-            far = 2 if border(x) else far + 1
-            x = x.up
-    if not nodes:
+        node.chars += len(text)
+        node.linked += linked
+        points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text))
+        near = node.host
+        far = near.up.holder if near is not None and near.up is not None and not border(near) else None
+        for x, share in ((near, 1.0), (far, 0.5)):
+            if x is not None:
+                x.points += points * share
+                held[x.order] = x
+    if not held:
         return " ".join(t for _, t, _ in blocks)
+    for x in reversed(nodes[1:]):
+        x.up.chars += x.chars
+        x.up.linked += x.linked
+    under = [False] * len(nodes)
+    for x in nodes[1:]:
+        under[x.order] = under[x.up.order] or border(x)
 
     def score(x: Node) -> float:
-        return x.points * (1 - x.linked / max(x.chars, 1)) * (0.5 if under(x) else 1.0) + (1e-9 if x.tag in ("article", "main") else 0)
+        return x.points * (1 - x.linked / max(x.chars, 1)) * (0.5 if under[x.order] else 1.0) + (1e-9 if x.tag in ("article", "main") else 0)
 
-    best = max(nodes.values(), key=lambda x: (score(x), -x.order))
+    best = max(held.values(), key=lambda x: (score(x), -x.order))
     x, inner = best.up, best
     while x is not None and best.tag not in ("article", "main"):  # sections of one article are read together
         if x.tag in ("article", "main"):
@@ -243,20 +255,23 @@ def article(blocks: list[tuple[Node, str, int]], marks: bool) -> str:
         inner = inner.up
     least = max(10.0, score(best) * 0.2)
 
+    for x in nodes:
+        if x is best:
+            x.state = "in"
+        elif border(x) and x.order not in way:
+            x.state = "out"
+        elif x.up is not None and x.up is best.up:
+            if x.order in held and score(x) >= least or x.tag == "h1" and x.order < best.order and not x.linked:
+                x.state = "in"
+            else:
+                x.state = "prose" if x.tag == "p" else "out"
+        else:
+            x.state = x.up.state if x.up is not None else "out"
+
     def kept(node: Node, text: str, linked: int) -> bool:
-        x = node
-        while x is not None:
-            if x is best:
-                return True
-            if border(x) and x.order not in way:
-                return False
-            if x.up is best.up and x.up is not None:
-                if score(x) >= least and x.order in nodes:
-                    return True
-                density = linked / len(text)
-                return x.tag == "p" and (len(text) > 80 and density < 0.25 or density == 0 and bool(re.search(r"\.( |$)", text)))
-            x = x.up
-        return False
+        if node.state == "prose":  # a paragraph beside the best container
+            return len(text) > 80 and linked < 0.25 * len(text) or not linked and bool(re.search(r"\.( |$)", text))
+        return node.state == "in"
 
     return " ".join(t for b, t, n in blocks if kept(b, t, n))
 
