@@ -1,15 +1,15 @@
 """Best-fit packing of tokenised documents into fixed-length sequences.
 
-Documents become pieces of at most `length` tokens, each piece is dealt to a block by a hash of its
-content and id, and every block packs its pieces by best-fit decreasing: longest first, each into
+Documents become pieces of at most `length` tokens, the pieces are dealt at random to blocks of some `a_block` pieces, and every block
+packs its pieces by best-fit decreasing: longest first, each into
 the open bin with the least room that still takes it, found in a segment tree over the remaining
-capacities. A block holds some thousands of pieces by construction (the number of blocks follows the
-row count in the files' footers), and a block leaves at most a few bins open. These aren't packed once more, so
-what stays empty grows with the number of blocks. Blocks are counted from documents: a table of few, very
-long documents has all its pieces in one block.
+capacities. Bins that stay open with more room than `slack` give their pieces back; these are packed once more, in blocks of their own, until they
+fit in one block or most of them come back. So what stays empty doesn't grow with the number of blocks. Blocks are counted from the
+written pieces, so few, very long documents are spread over blocks like many short ones; so are repeated rows.
 
-Defined cases: a null text is an empty one, whose only token is the closing id. Repeated rows are
-packed as often as they occur. An empty table packs into no sequence. Extra columns are not read.
+Defined cases: a null text is an empty one, whose only token is the closing id. A very long text has as many pieces as it needs. Repeated rows are
+packed as often as they occur. Of pieces of one length the smaller doc_id, then the earlier piece, goes first; of bins with the same room
+the one that came to it last is filled. An empty table packs into no sequence. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.common import bound_batches
+from eventide.llm.common import bound_batches, written
 
 PIECES_A_BLOCK = 2_000
 UNITS_KEPT = 400_000
@@ -174,18 +174,38 @@ def best_fit(lengths: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return where, offset
 
 
-def best_fit_pack(pieces_: DataFrame, *, length: int = 2048, rows: int | None = None, a_block: int = PIECES_A_BLOCK) -> DataFrame:
-    """Adds sequence_id and offset to pieces (length between 1 and `length`). rows: about how many there are."""
+def best_fit_pack(pieces_: DataFrame, *, length: int = 2048, a_block: int = PIECES_A_BLOCK, slack: int | None = None) -> DataFrame:
+    """Adds sequence_id and offset to pieces (length between 1 and `length`). slack: an eighth of the length by default."""
     spark = pieces_.sparkSession
-    blocks = max(1, round((pieces_.count() if rows is None else rows) / a_block))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(blocks, 20_000) // 4)
+    room = length // 8 if slack is None else slack
     names = [f.name for f in pieces_.schema.fields]
+    schema = pieces_.schema.simpleString()[7:-1] + ",sequence_id:bigint,offset:bigint,_open:boolean"
+    todo, done, used, before = written(pieces_), None, 0, None
+    while True:
+        n = todo.count()
+        blocks = max(1, round(n / a_block))
+        again = blocks > 1 and (before is None or n <= before / 2)  # bins left open are packed once more
+        packed = _packed(todo, names, schema, length, blocks, used, room if again else length)
+        used += blocks * (n + 1)
+        if again:
+            packed = written(packed)
+        closed = packed.filter("not _open").drop("_open")
+        done = closed if done is None else done.unionByName(closed)
+        if not again:
+            return done
+        todo, before = packed.filter("_open").select(*names), n
+
+
+def _packed(todo: DataFrame, names: list[str], schema: str, length: int, blocks: int, used: int, room: int) -> DataFrame:
+    """One pass over blocks; _open marks the pieces of bins that have more than `room` left."""
+    tasks = max(int(todo.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(blocks, 20_000) // 4)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
         where, offset = best_fit(pdf["length"].to_numpy(), length)
-        return pdf.assign(sequence_id=where * blocks + pdf["_block"], offset=offset)[[*names, "sequence_id", "offset"]]
+        left = length - np.bincount(where, weights=pdf["length"].to_numpy())
+        return pdf.assign(sequence_id=used + where * blocks + pdf["_block"], offset=offset, _open=left[where] > room)[[*names, "sequence_id", "offset", "_open"]]
 
-    schema = pieces_.schema.simpleString()[7:-1] + ",sequence_id:bigint,offset:bigint"
-    dealt = pieces_.withColumn("_block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)))
+    # the pieces are a written table, so the numbers of its rows are the same whenever a lost task is run again
+    dealt = todo.withColumn("_block", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(blocks)))
     return dealt.repartition(tasks, "_block").groupBy("_block").applyInPandas(pack, schema)
