@@ -1,25 +1,30 @@
 """Secret scan: patterns find candidates, a random forest removes the false positives.
 
 Only DataFrame functions and Spark's own random forest run here. A text is cut at its candidates, so
-the pieces before and after one are its neighbours. A candidate ends where its characters do, however long it is. What the forest sees of a candidate: its length,
+the pieces before and after one are its neighbours; where a candidate begins is a running sum over the pieces before it, so time is linear in a
+text's candidates. A candidate ends where its characters do, however long it is. What the forest sees of a candidate: its length,
 the transitions between kinds of characters, the variety of its characters, how much of it words
-of a dictionary cover, whether it looks like a path, and which words stand beside it.
+of a dictionary cover, whether it looks like a path or like a reference to a value kept elsewhere, and which words stand beside it.
+The dictionary is the fixed one below and the words that most documents of the corpus hold (common_words() counts all documents).
 
 labelled_findings() makes the labelled findings that the forest learns from by default: keys, tokens
-and passwords on one side; digests of files and commits, identifiers, paths, placeholders and prose on the
-other. fit() takes any table of the same columns, so findings that people have labelled can replace or extend it.
+and passwords on one side; digests of files and commits, identifiers, paths, placeholders, references and prose on the
+other. fit() takes any table of the same columns, so findings that people have labelled can replace or extend it; quality() gives precision and
+recall over findings that fit() didn't see.
 
-Defined cases: null and empty texts have no candidates. Repeated rows each have their findings. Ties of the
+Defined cases: null and empty texts have no candidates. Very long texts are read whole. Repeated rows, and rows without doc_id, each have their findings. Ties of the
 forest's vote (0.5) count as secrets. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Names of secrets, prefixes that issuers document, and a small dictionary.
@@ -50,17 +55,38 @@ BESIDE = {
     "near_digest": r"(?i)sha-?\d*|md5|checksum|digest|commit|hash|uuid|guid|etag|revision|version|integrity",
     "near_example": r"(?i)example|sample|test|dummy|placeholder|changeme|your|lorem|todo",
 }
-FEATURES = ["n", "transitions", "variety", "digits", "upper", "hex_only", "coverage", "path", "assigned", "issued", *BESIDE]
+FEATURES = ["n", "transitions", "variety", "digits", "upper", "hex_only", "coverage", "prose", "path", "reference", "assigned", "issued", *BESIDE]
+#: What code or a template writes in place of a value: ${NAME}, f(x), a[b], object.field
+REFERENCE = r"[\[({]|^\$|^[A-Za-z_]+\.[A-Za-z_]+(?:\.[A-Za-z_]+)*$|^%[A-Za-z_]+%?$|^<.*>?$"
+WORDS = 2_000
 THRESHOLD = 0.5
 
 
-def featured(findings: DataFrame) -> DataFrame:
-    """Adds the forest's features to findings (candidate, before, after)."""
+class Scanner(NamedTuple):
+    """The forest and the words of the corpus that its features read."""
+
+    model: PipelineModel
+    words: list[str]
+
+
+def common_words(docs: DataFrame, *, most: int = WORDS) -> list[str]:
+    """The words of three letters or more, lower-cased, that most documents hold; all documents are counted."""
+    own = F.explode(F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"), lambda w: F.length(w) >= 3)))
+    counts = docs.select(own.alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return [r["word"] for r in counts.filter("n > 1").orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+def featured(findings: DataFrame, words: list[str] = []) -> DataFrame:  # noqa: B006
+    """Adds the forest's features to findings (candidate, before, after). words: those of the corpus."""
     assigned = F.regexp_extract("candidate", rf"^{ASSIGNED}$", 1)
     value = F.when(assigned != "", assigned).otherwise(F.col("candidate"))
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("value", "[0-9]", "\u0001"), "[a-z]", "\u0002"), "[A-Z]", "\u0003"), "[^\u0001\u0002\u0003]", "\u0004")
     share = lambda pattern: F.length(F.regexp_replace("value", pattern, "")) / F.col("n")
     issued = "|".join(f"^{p}" for p in ISSUED.values())
+    # runs of letters, also inside camelCase
+    runs = F.split(F.lower(F.regexp_replace("value", "([a-z])([A-Z])", "$1 $2")), r"[^\p{L}]+")
+    known = F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
+    prose = F.aggregate(runs, F.lit(0), lambda n, w: n + F.when((F.length(w) >= 3) & F.array_contains(known, w), F.length(w)).otherwise(0)) / F.col("n")
     beside = F.concat_ws(" ", "before", F.when(assigned != "", F.regexp_replace("candidate", r"[:=].*", "")), "after")
     return (
         findings.withColumn("value", value).withColumn("n", F.length("value").cast("double"))
@@ -70,13 +96,14 @@ def featured(findings: DataFrame) -> DataFrame:
         .withColumn("hex_only", F.col("value").rlike("^[0-9a-f-]+$|^[0-9A-F-]+$").cast("double"))
         .withColumn("coverage", 1 - share(f"(?i){'|'.join(DICTIONARY)}"))
         .withColumn("path", (F.col("value").rlike(r"[/\\][A-Za-z0-9_.-]+[/\\]|^[./~]|\.[a-z]{2,4}$") | F.col("before").rlike(r"[/\\]$")).cast("double"))
+        .withColumn("prose", prose).withColumn("reference", F.col("value").rlike(REFERENCE).cast("double"))
         .withColumn("assigned", (assigned != "").cast("double")).withColumn("issued", F.col("value").rlike(issued).cast("double"))
         .withColumns({k: beside.rlike(p).cast("double") for k, p in BESIDE.items()})
     )
 
 
 def labelled_findings(spark: SparkSession, each: int = 120) -> DataFrame:
-    """(candidate, before, after, label): `each` findings of every kind, made from digests of numbers."""
+    """(id, candidate, before, after, label): `each` findings of every kind, made from digests of numbers."""
     hexed = F.sha2(F.concat(F.lit("finding"), F.col("id").cast("string")), 256)
     mixed = F.regexp_replace(F.base64(F.unhex(hexed)), "[+/=]", "x")
     words = F.element_at(F.array(*map(F.lit, DICTIONARY)), (F.col("id") % len(DICTIONARY) + 1).cast("int"))
@@ -91,7 +118,29 @@ def labelled_findings(spark: SparkSession, each: int = 120) -> DataFrame:
     many = F.transform(F.sequence(F.lit(1), F.lit(2) + (F.col("id") * F.col("id") % 114).cast("int")), lambda i: F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(hexed, i.cast("string")), 256))), "[+/=]", "x"))
     long = F.array_join(many, "")
     upper = F.upper(F.substring(F.regexp_replace(mixed, "[^A-Za-z2-7]", "Q"), 1, 16))
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), (F.floor(F.col("id") / 3) % len(x) + 1).cast("int"))
+    screaming = F.upper(F.concat(words, F.lit("_"), name))
+    dashed = F.concat_ws("-", F.substring(hexed, 1, 8), F.substring(hexed, 9, 4), F.substring(hexed, 13, 4), F.substring(hexed, 17, 4), F.substring(hexed, 21, 12))
+    based = F.base64(F.unhex(hexed))
+    numbers = F.regexp_replace(F.concat(F.conv(F.substring(hexed, 1, 12), 16, 10), F.conv(F.substring(hexed, 13, 12), 16, 10)), "-", "")
+    camel = F.concat(words, F.initcap(more), F.initcap(words), pick("Service", "Controller2", "Test", "Helper3"), F.initcap(more))
     kinds = [
+        (F.concat(name, sign, F.substring(mixed, 1, 8), pick("!", "#", "$9", "@x"), F.substr(mixed, F.lit(9), few)), words, more, 1),
+        (F.concat(longer, sign, dashed), words, more, 1),
+        (F.concat(longer, sign, based), words, more, 1),
+        (F.concat(longer, sign, F.substring(hexed, 1, 32)), words, more, 1),
+        (F.concat(longer, sign, F.concat(words, F.substring(mixed, 1, 9))), words, more, 1),
+        (F.concat(longer, sign, F.lit("${"), screaming, F.lit("}")), words, more, 0),
+        (F.concat(longer, sign, pick("process.env.", "os.environ[", "config.get(", "settings.", "self.", "getenv("), screaming), words, more, 0),
+        (F.concat(longer, sign, camel), words, more, 0),
+        (F.concat(longer, sign, F.concat_ws(".", words, more, words)), words, more, 0),
+        (F.concat(longer, sign, pick("xxxxxxxxxxxx", "********", "00000000", "12345678", "aaaaaaaaaaaaaaaa", "----------", "REDACTED", "undefined", "required", "optional")), words, more, 0),
+        (F.concat(F.lit("sha512-"), based, F.substring(mixed, 1, 40)), F.lit("integrity "), more, 0),
+        (F.substring(hexed, 1, 32), pick("md5 ", "etag ", "revision ", "hash of the file "), more, 0),
+        (dashed, pick("id ", "uuid ", "guid ", "request "), more, 0),
+        (F.substr(numbers, F.lit(1), F.least(F.length(numbers), F.lit(20) + F.col("id") % 8)), pick("account ", "number ", "timestamp ", "isbn "), more, 0),
+        (F.concat(words, F.lit("/"), more, F.lit("/js/"), words, F.lit("-"), F.substring(hexed, 1, 8)), F.lit("src=/"), more, 0),
+        (F.concat(camel, F.col("id").cast("string"), words), words, more, 0),
         (F.concat(F.lit("AKIA"), upper), words, more, 1),
         (F.concat(F.lit("ghp_"), F.substring(mixed, 1, 36)), words, more, 1),
         (F.concat(name, sign, F.substr(hexed, F.lit(1), n)), words, more, 1),
@@ -120,35 +169,47 @@ def labelled_findings(spark: SparkSession, each: int = 120) -> DataFrame:
     rows = spark.range(each).coalesce(1)
     out = None
     for candidate, before, after, label in kinds:
-        part = rows.select(candidate.alias("candidate"), before.alias("before"), after.alias("after"), F.lit(float(label)).alias("label"))
+        part = rows.select("id", candidate.alias("candidate"), before.alias("before"), after.alias("after"), F.lit(float(label)).alias("label"))
         out = part if out is None else out.unionByName(part)
     return out.coalesce(1)
 
 
-def fit(findings: DataFrame, *, trees: int = 24, depth: int = 7, seed: int = 11) -> PipelineModel:
+def fit(findings: DataFrame, *, words: list[str] = [], trees: int = 32, depth: int = 9, seed: int = 11) -> Scanner:  # noqa: B006
     """A forest over labelled findings (candidate, before, after, label 0 or 1)."""
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed)
-    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), forest]).fit(featured(findings).select(*FEATURES, "label"))
+    return Scanner(Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), forest]).fit(featured(findings, words).select(*FEATURES, "label")), words)
+
+
+def scored(findings: DataFrame, scanner: Scanner) -> DataFrame:
+    """Findings with their features and the forest's probability."""
+    return scanner.model.transform(featured(findings, scanner.words)).withColumn("probability", vector_to_array("probability")[1])
+
+
+def quality(findings: DataFrame, scanner: Scanner, *, threshold: float = THRESHOLD) -> tuple[float, float]:
+    """Precision and recall over labelled findings."""
+    said, real = F.col("probability") >= threshold, F.col("label") == 1
+    n = scored(findings, scanner).agg(F.count_if(said & real).alias("both"), F.count_if(said).alias("said"), F.count_if(real).alias("real")).first()
+    return n["both"] / max(n["said"], 1), n["both"] / max(n["real"], 1)
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, start, candidate, before, after): every candidate and the text beside it; start counts characters."""
-    found = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
-    rows = docs.filter(F.col("text").rlike(MAYBE)).select("doc_id", found.alias("found"), F.split("text", CANDIDATE, -1).alias("gaps")).filter(F.size("found") > 0)
-    sizes = F.zip_with("gaps", F.concat("found", F.array(F.lit(""))), lambda g, c: F.named_struct(F.lit("g"), F.length(g), F.lit("c"), F.length(c)))
-    starts = F.aggregate(
-        sizes, F.named_struct(F.lit("at"), F.lit(0), F.lit("all"), F.array().cast("array<int>")),
-        lambda acc, x: F.named_struct(F.lit("at"), acc["at"] + x["g"] + x["c"], F.lit("all"), F.array_append(acc["all"], acc["at"] + x["g"])),
-    )["all"]
-    at = rows.select("doc_id", "gaps", starts.alias("starts"), F.posexplode("found").alias("i", "candidate"))
-    return at.select("doc_id", F.get("starts", F.col("i")).cast("long").alias("start"), "candidate", F.right(F.get("gaps", F.col("i")), F.lit(40)).alias("before"), F.left(F.get("gaps", F.col("i") + 1), F.lit(40)).alias("after"))
-
-
-def secrets(docs: DataFrame, model: PipelineModel, *, threshold: float = THRESHOLD) -> DataFrame:
+    found, gaps = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), F.split("text", CANDIDATE, -1)
+    rows = docs.filter(F.col("text").rlike(MAYBE)).select("doc_id", F.monotonically_increasing_id().alias("row"), found.alias("found"), gaps.alias("gaps"))
+    n = F.size("found")
+    # an outer explode: an inner one would look for the candidates once more, to leave out texts without any
+    each = F.posexplode_outer(F.arrays_zip(F.col("found").alias("c"), F.slice("gaps", F.lit(1), n).alias("g"), F.slice("gaps", F.lit(2), n).alias("h"))).alias("i", "x")
+    at = rows.select("doc_id", "row", each).filter("x is not null").select(
+        "doc_id", "row", "i", F.col("x.c").alias("candidate"), F.right("x.g", F.lit(40)).alias("before"), F.left("x.h", F.lit(40)).alias("after"), (F.length("x.g") + F.length("x.c")).cast("long").alias("n")
+    )
+    ended = F.sum("n").over(Window.partitionBy("row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    return at.select("doc_id", (ended - F.length("candidate")).alias("start"), "candidate", "before", "after")
+
+
+def secrets(docs: DataFrame, scanner: Scanner, *, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, start, length, rule, masked, sha256, probability): the candidates that the forest keeps."""
-    scored = model.transform(featured(candidates(docs)))
     rule = F.coalesce(*(F.when(F.col("value").rlike(f"^{p}"), F.lit(k)) for k, p in ISSUED.items()), F.when(F.col("assigned") == 1, F.lit("assigned")), F.lit("random"))
-    return scored.withColumn("probability", vector_to_array("probability")[1]).filter(F.col("probability") >= threshold).select(
+    return scored(candidates(docs), scanner).filter(F.col("probability") >= threshold).select(
         "doc_id", "start", F.length("candidate").cast("long").alias("length"), rule.alias("rule"), F.concat(F.left("value", F.lit(4)), F.lit("***")).alias("masked"),
         F.sha2("value", 256).alias("sha256"), F.round("probability", 6).alias("probability"),
     )
