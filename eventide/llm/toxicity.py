@@ -9,7 +9,9 @@ few labels that raises held-out F1 by a fifth. The log-likelihoods of an express
 its end) are divided by the square root of its length, as the noise of such a sum grows; a document
 takes the difference of its most toxic expression, so that a long text doesn't dilute it. A logistic
 curve maps the difference to a score. Its threshold, where the score is 0.3, has the best F1 over one
-half of the training rows with the models of the other half.
+half of the training rows with the models of the other half; it lies above 0, where a text without evidence is. If that half holds
+fewer than `FEWEST` toxic rows, or no such threshold is better than calling every row toxic, the labels can't place it:
+then it lies above every training row, and the scores still rank the texts but call none toxic.
 
 Counts come from all training rows; n-gram tables, continuation counts and both models are computed as
 DataFrames. An n-gram that no class has in more documents than the discount takes costs what its context says,
@@ -17,7 +19,8 @@ so leaving it out of the model changes no score; all others are kept, and their
 rows (20 bytes each in the broadcast). At most `max_rows` labelled rows are used, by hash of the id, which
 bounds both broadcasts.
 
-Defined cases: null and empty texts have difference 0 and hence the score that the curve has there.
+Defined cases: null and empty texts have difference 0 and hence the score that the curve has there, which is below 0.3. A very long text is read whole and
+takes its most toxic expression. A score of exactly 0.3 is toxic; ties for the best threshold take the middle of their stretch.
 With no labelled rows, one class only, or no n-gram that any class repeats enough, every score is 0. Null labels don't count; a doc_id labelled
 more than once is toxic if one of its labels says so. Rows that repeat a doc_id are each scored.
 Extra columns pass through nontoxic() and aren't read by toxicity().
@@ -42,6 +45,7 @@ MAX_ROWS = 1_000_000
 DISCOUNT = 3.0
 CUT, STEEP = 0.3, 3.0
 BINS, LOW, WIDTH = 1600, -4.0, 0.01
+FEWEST = 5  # toxic rows that place the threshold
 
 
 def spelled(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -174,26 +178,40 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS) -> Mode
     train = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(own), "doc_id")
     grams = written(_grams(train))
     half, model = kneser_ney(grams)
-    return model._replace(middle=_middle(train.filter("half = 1"), half)) if len(model.gram) else model
+    if not len(model.gram):
+        return model
+    middle = _middle(*_peaks(train.filter("half = 1"), half))
+    if middle is None:
+        occupied = np.flatnonzero(_peaks(train, model)[1])
+        middle = LOW + WIDTH * (occupied.max() + 1) + 1.0
+    return model._replace(middle=float(middle))
 
 
-def _middle(train: DataFrame, model: Model) -> float:
-    """The difference that parts the classes with the best F1, in the middle of its stretch."""
+def _peaks(train: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """How many toxic rows, and how many rows, have their largest difference in each bin."""
     shared = Shared(train.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, n in text_slices(batch.column(0)):
                 part = batch.slice(at, n)
-                peak = np.clip((shared.value.peaks(part.column(0)) - LOW) / WIDTH, 0, BINS - 1).astype(np.int32)
+                peak = np.clip((shared.value.peaks(part.column(0)) - LOW) / WIDTH + 1e-9, 0, BINS - 1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(peak), part.column(1)], names=["bin", "toxic"])
 
     counts = train.select("text", "toxic").mapInArrow(run, "bin int, toxic int").groupBy("bin").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).toPandas()
     bad, n = np.zeros(BINS), np.zeros(BINS)
     bad[counts["bin"]], n[counts["bin"]] = counts["bad"], counts["n"]
+    return bad, n
+
+
+def _middle(bad: np.ndarray, n: np.ndarray) -> float | None:
+    """The difference above 0 that parts the classes with the best F1, in the middle of its stretch; None if none parts them."""
     caught, said = bad[::-1].cumsum()[::-1], n[::-1].cumsum()[::-1]
     f1 = 2 * caught / np.maximum(said + bad.sum(), 1)
-    best = np.flatnonzero(f1 >= f1.max() - 1e-12)
+    above = round(-LOW / WIDTH) + 1
+    if bad.sum() < FEWEST or f1[above:].max() <= f1[0]:
+        return None
+    best = above + np.flatnonzero(f1[above:] >= f1[above:].max() - 1e-12)
     return float(LOW + WIDTH * (best[0] + best[-1]) / 2)
 
 
