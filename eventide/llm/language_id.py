@@ -3,7 +3,8 @@
 For every language a zstandard raw-content dictionary is filled with training texts. A text is
 lower-cased, what isn't a letter becomes one space, and its blocks of `block` bytes are encoded with
 each dictionary; blocks are short so that the dictionary, and not the text's own beginning, decides. The
-smallest total wins; a margin over the second below `margin` of the size is rejected.
+smallest total wins; where the second is larger by less than `margin` of the smallest, `rejected` says that the margin is narrow,
+and lang_pred still names the smallest.
 
 The dictionaries are fitted on a bounded sample: for each language one document of up to 20,000
 characters for each of `sample` buckets of the id (those of 1,000 or more first, then by hash), whole
@@ -11,7 +12,8 @@ texts, until `size` bytes are full; where a language has longer documents only,
 characters. Every language of the training rows has a dictionary, and what is read at once is one language's sample.
 
 Defined cases: a null text, and one without a letter, is `und` with score 0. Without training rows
-every text is `und`. Ties go to the language that sorts first. Repeated rows are each predicted.
+every text is `und`, and with one language every text with a letter is that one, with the score of a margin of 1. Ties go to the language that sorts first, with
+score 0, and are rejected. Very long texts are encoded whole, block by block. Repeated rows are each predicted.
 Extra columns are not read.
 """
 
@@ -30,6 +32,7 @@ from eventide.llm.common import bound_batches, held_out, text_slices
 
 UNKNOWN = "und"
 LONGEST = 20_000
+MARGIN = 0.02
 
 
 def letters(col: pa.Array) -> pa.Array:
@@ -83,7 +86,7 @@ class Coders:
 _coders: dict[tuple, Coders] = {}
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, block: int = 400, margin: float = 0.0) -> DataFrame:
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, block: int = 400, margin: float = MARGIN) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected): score is 0 to 1 and grows with the margin."""
     bound_batches(docs.sparkSession)
 
