@@ -14,12 +14,12 @@ BPE = {"tokenizer": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return packing.best_fit_pack(packing.pieces(docs, **BPE), rows=docs.count())
+    return packing.best_fit_pack(packing.pieces(table(spark, sf_dir, "documents"), **BPE))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.secrets(table(spark, sf_dir, "documents"), secret_scan.fit(secret_scan.labelled_findings(spark)))
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.secrets(docs, secret_scan.fit(secret_scan.labelled_findings(spark), words=secret_scan.common_words(docs)))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
