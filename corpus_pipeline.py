@@ -47,7 +47,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.best_fit_pack(packing.pieces(docs, **BPE), rows=docs.count())
+    return packing.best_fit_pack(packing.pieces(docs, **BPE))
 
 
 STAGES = [
