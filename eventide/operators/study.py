@@ -1,14 +1,24 @@
-"""The event study: cleaning ladder, market model, abnormal-return tests.
+"""The event study: cleaning ladder, market model, abnormal-return tests.
 
-Every offset is an index of the calendar. Events meet returns by security and an index range; no
-panel is densified, and a missing row is a suspended day.
+Every offset is an index of the calendar. Events meet returns by security and stretches of EST_LEN indices; no
+panel is densified, and a missing row is a suspended day. run_study() puts the steps together over any bars, calendar and events.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+from dataclasses import asdict, dataclass
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventide.operators import returns as R
+from eventide.sources.readers import last_day_upto
+from eventide.sources.work import Written
+
 #: Fixed values of the frozen configuration.
 EST_FROM, EST_TO, EST_LEN, MIN_OBS, POSTPONE = 250, 91, 160, 112, 5
 
@@ -60,21 +70,43 @@ def clean(
 
 
 def estimation(events: DataFrame, returns: DataFrame, market: DataFrame) -> DataFrame:
-    """(event_id, cal_idx, r, rm): the returns of each event's estimation window, NULL market days left out of neither side."""
-    r = returns.select("sec", "cal_idx", F.col("ret").alias("r"))
-    window = F.col("cal_idx").between(F.col("anchor_idx") - EST_FROM, F.col("anchor_idx") - EST_TO)
-    return events.select("event_id", "sec", "anchor_idx").join(r, "sec").filter(window).join(F.broadcast(market), "cal_idx").select("event_id", "sec", "cal_idx", "r", "rm")
+    """(event_id, sec, cal_idx, r, rm): the returns of each event's estimation window, NULL market days left out of neither side.
+
+    A window of EST_LEN indices lies in two stretches of that length, so events meet returns by (security, stretch):
+    what a security did years before or after isn't read for them.
+    """
+    stretch = lambda i: F.floor(i / EST_LEN).cast("int")
+    first, last = F.col("anchor_idx") - EST_FROM, F.col("anchor_idx") - EST_TO
+    e = events.filter("anchor_idx is not null").select("event_id", "sec", first.alias("lo"), last.alias("hi"), F.explode(F.sequence(stretch(first), stretch(last))).alias("stretch"))
+    r = returns.select("sec", "cal_idx", F.col("ret").alias("r"), stretch(F.col("cal_idx")).alias("stretch"))
+    return e.join(r, ["sec", "stretch"]).filter("cal_idx between lo and hi").join(F.broadcast(market), "cal_idx").select("event_id", "sec", "cal_idx", "r", "rm")
+
+
+def axis_sums(market: DataFrame) -> DataFrame:
+    """(cal_idx, n, s, q): how many market returns there are up to each day, their sum and their sum of squares."""
+    ends = market.filter("rm is not null").agg(F.min("cal_idx").alias("a"), F.max("cal_idx").alias("b"))
+    axis = ends.filter("a is not null").select(F.explode(F.sequence("a", "b")).alias("cal_idx"))
+    w = Window.orderBy("cal_idx").rowsBetween(Window.unboundedPreceding, 0)  # a row per day: a bounded axis
+    return axis.join(market, "cal_idx", "left").select(
+        "cal_idx", F.count("rm").over(w).alias("n"), F.coalesce(F.sum("rm").over(w), F.lit(0.0)).alias("s"), F.coalesce(F.sum(F.col("rm") * F.col("rm")).over(w), F.lit(0.0)).alias("q")
+    )
 
 
 def market_model(events: DataFrame, est: DataFrame, market: DataFrame) -> DataFrame:
-    """OLS over complete cases; x_bar and sxx over every market day of the window, traded or not."""
+    """OLS over complete cases; x_bar and sxx over every market day of the window, traded or not, as differences of sums along the axis."""
     fit = est.filter("r is not null and rm is not null").groupBy("event_id").agg(
         F.regr_slope("r", "rm").alias("beta"), F.regr_intercept("r", "rm").alias("alpha"), F.count("*").alias("delta")
     )
     both = est.join(fit, "event_id").withColumn("e", F.col("r") - F.col("alpha") - F.col("beta") * F.col("rm"))
     sd = both.groupBy("event_id").agg(F.stddev_samp("e").alias("sd"))
-    window = F.col("cal_idx").between(F.col("anchor_idx") - EST_FROM, F.col("anchor_idx") - EST_TO)
-    days = events.select("event_id", "anchor_idx").join(F.broadcast(market.filter("rm is not null")), window).groupBy("event_id").agg(F.avg("rm").alias("x_bar"), (F.var_pop("rm") * F.count("*")).alias("sxx"))
+    sums = axis_sums(market)
+    ends = F.broadcast(sums.agg(F.min("cal_idx").alias("first"), F.max("cal_idx").alias("last")))
+    at = lambda i, name: F.broadcast(sums.select(F.col("cal_idx").alias(i), *(F.col(c).alias(f"{name}_{c}") for c in "nsq")))
+    w = events.filter("anchor_idx is not null").select("event_id", "anchor_idx").crossJoin(ends)  # a single row
+    w = w.select("event_id", (F.col("anchor_idx") - EST_FROM - 1).alias("before"), F.least(F.col("anchor_idx") - EST_TO, F.col("last")).alias("upto"))
+    w = w.join(at("before", "a"), "before", "left").join(at("upto", "b"), "upto", "left")
+    n, s, q = (F.coalesce(f"b_{c}", F.lit(0)) - F.coalesce(f"a_{c}", F.lit(0)) for c in "nsq")
+    days = w.select("event_id", n.alias("n"), s.alias("s"), q.alias("q")).filter("n > 0").select("event_id", (F.col("s") / F.col("n")).alias("x_bar"), (F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("sxx"))
     return fit.join(sd, "event_id").join(days, "event_id")
 
 
@@ -109,19 +141,53 @@ def kp_factor(rho: Column, n: Column) -> Column:
     return F.sqrt((1 - rho) / (1 + (n - 1) * rho))
 
 
-def rho_bar(est: DataFrame, fit: DataFrame, groups: DataFrame, *, least: int = 3) -> DataFrame:
+def rho_bar(est: DataFrame, fit: DataFrame, groups: DataFrame, *, least: int = 3, block: int = 1000) -> DataFrame:
     """The mean correlation of estimation residuals over event pairs of one group with common days.
 
-    groups: (event_id, grp). Pairs meet on (group, day), so the shuffle is by day and not by pair.
+    groups: (event_id, grp). Two windows of EST_LEN days meet only if they begin in one stretch of that length or in two that adjoin, so an
+    event travels twice, as one row of residuals, and a task compares a block of events of a stretch with a block of the
+    same or the next one by products of matrices. What leaves a task is a sum and a count, not pairs.
     """
     e = est.join(fit.select("event_id", "alpha", "beta"), "event_id").join(groups, "event_id")
-    e = e.withColumn("ar", F.col("r") - F.col("alpha") - F.col("beta") * F.col("rm")).filter("ar is not null").select("grp", "cal_idx", "event_id", "ar")
-    other = e.select("grp", "cal_idx", F.col("event_id").alias("b"), F.col("ar").alias("ar_b"))
-    pairs = e.join(other, ["grp", "cal_idx"]).filter("event_id < b").groupBy("event_id", "b").agg(
-        F.count("*").alias("n"), F.covar_pop("ar", "ar_b").alias("c"), F.var_pop("ar").alias("va"), F.var_pop("ar_b").alias("vb")
+    e = e.withColumn("ar", F.col("r") - F.col("alpha") - F.col("beta") * F.col("rm")).filter("ar is not null")
+    rows = e.groupBy("grp", "event_id").agg(F.min("cal_idx").alias("first"), F.collect_list(F.struct("cal_idx", "ar")).alias("days"))  # at most EST_LEN days
+    rows = rows.withColumn("stretch", F.floor(F.col("first") / EST_LEN).cast("int"))
+    sizes = rows.groupBy("grp", "stretch").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    following = sizes.select("grp", (F.col("stretch") - 1).alias("stretch"), F.col("blocks").alias("later"))
+    before = sizes.select("grp", (F.col("stretch") + 1).alias("stretch"), F.col("blocks").alias("earlier"))
+    rows = rows.join(sizes, ["grp", "stretch"]).join(following, ["grp", "stretch"], "left").join(before, ["grp", "stretch"], "left").withColumn("own", F.pmod(F.xxhash64("event_id"), F.col("blocks")).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    task = lambda kind, at, lo, hi, late: F.struct(F.lit(kind).alias("kind"), at.alias("at"), lo.alias("lo"), hi.alias("hi"), late.alias("late"))
+    at, own, none = F.col("stretch"), F.col("own"), F.array().cast("array<struct<kind:int,at:int,lo:int,hi:int,late:boolean>>")
+    tasks = F.concat(
+        F.transform(upto(F.col("blocks")), lambda j: task(0, at, F.least(own, j), F.greatest(own, j), own > j)),
+        F.when(F.col("later").isNotNull(), F.transform(upto(F.col("later")), lambda j: task(1, at, own, j, F.lit(False)))).otherwise(none),
+        F.when(F.col("earlier").isNotNull(), F.transform(upto(F.col("earlier")), lambda j: task(1, at - 1, j, own, F.lit(True)))).otherwise(none),
     )
-    rho = F.try_divide(F.col("c"), F.sqrt(F.col("va") * F.col("vb")))
-    return pairs.filter((F.col("n") >= least) & (F.col("va") > 0) & (F.col("vb") > 0)).agg(F.coalesce(F.avg(rho), F.lit(0.0)).alias("rho"), F.count("*").alias("n_pairs"))
+    dealt = rows.select("grp", "event_id", "days", F.explode(tasks).alias("t")).select("grp", "t.kind", "t.at", "t.lo", "t.hi", "t.late", "event_id", "days")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        begin, width = int(pdf["at"].iloc[0]) * EST_LEN, 3 * EST_LEN
+        x, mask = np.zeros((len(pdf), width)), np.zeros((len(pdf), width))
+        for i, days in enumerate(pdf["days"]):
+            idx = np.array([d["cal_idx"] for d in days]) - begin
+            x[i, idx], mask[i, idx] = [d["ar"] for d in days], 1.0
+        late = pdf["late"].to_numpy(bool)
+        alone = pdf["kind"].iloc[0] == 0 and pdf["lo"].iloc[0] == pdf["hi"].iloc[0]
+        a, b = (np.arange(len(pdf)),) * 2 if alone else (np.flatnonzero(~late), np.flatnonzero(late))
+        xa, xb, ma, mb = x[a], x[b], mask[a], mask[b]
+        n = ma @ mb.T
+        with np.errstate(all="ignore"):
+            sa, sb, qa, qb = xa @ mb.T, ma @ xb.T, (xa * xa) @ mb.T, ma @ (xb * xb).T
+            va, vb = qa - sa * sa / n, qb - sb * sb / n
+            rho = (xa @ xb.T - sa * sb / n) / np.sqrt(va * vb)
+            good = (n >= least) & (va > 1e-12 * qa) & (vb > 1e-12 * qb)
+        if alone:
+            good &= np.triu(np.ones(good.shape, bool), 1)
+        return pd.DataFrame({"total": [float(rho[good].sum())], "n": [int(good.sum())]})
+
+    sums = dealt.groupBy("grp", "kind", "at", "lo", "hi").applyInPandas(compare, "total double, n long")
+    return sums.agg(F.coalesce(F.sum("total") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("rho"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"))
 
 
 def car(ab: DataFrame, *, length: int) -> DataFrame:
@@ -146,3 +212,88 @@ def calendar_time(ab: DataFrame, *, length: int) -> DataFrame:
     """The mean abnormal return of each calendar day in windows, and its t over days."""
     days = ab.filter((F.col("tau") < length) & F.col("ar").isNotNull()).groupBy("cal_idx").agg(F.avg("ar").alias("p"))
     return days.agg(F.avg("p").alias("mean"), t_of("p").alias("t"), F.count("*").alias("n_days"))
+
+
+@dataclass(frozen=True)
+class Spec:
+    """What a study fixes before it runs; its digest names it."""
+
+    length: int = 20
+    benchmark: str = "market"  # market, pool_pit (the day's liquidity pool) or pool (a fixed list)
+    members: tuple[str, ...] | None = None
+    policy: str = "missing_bar_only"
+    tau0_on_anchor: bool = False
+    min_obs: int = MIN_OBS
+
+    def __post_init__(self):
+        if self.benchmark not in ("market", "pool_pit", "pool") or (self.benchmark == "pool") != (self.members is not None):
+            raise ValueError(f"no such benchmark: {self.benchmark}, members={self.members}")
+        if self.policy not in POLICIES or self.length < 1:
+            raise ValueError(f"no such study: {self}")
+
+    @property
+    def digest(self) -> str:
+        return hashlib.sha256(json.dumps(asdict(self), sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+class Study:
+    """One study over bars (sec, d, open, high, low, close, amount), a calendar (d, cal_idx) and events (event_id, sec, anchor, layer).
+
+    What several steps read is written once; close() deletes it.
+    """
+
+    def __init__(self, bars: DataFrame, calendar: DataFrame, events: DataFrame, spec: Spec = Spec(), *, st: DataFrame | None = None):
+        self.tables: list[Written] = []
+        keep = self._keep
+        self.spec, self.cal = spec, keep(calendar)
+        bars = keep(bars)
+        flat = (F.col("open") == F.col("close")) & (F.col("high") == F.col("low"))
+        self.bars = bars.join(F.broadcast(self.cal), "d").withColumn("one_word", flat)
+        self.returns = keep(R.gap_returns(bars).join(F.broadcast(self.cal), "d"))
+        own = self.returns
+        if spec.benchmark == "pool_pit":
+            own = own.join(R.pool(bars, self.cal).select("d", "sec"), ["d", "sec"], "left_semi")
+        elif spec.benchmark == "pool":
+            own = own.filter(F.col("sec").isin(*spec.members))
+        self.market = keep(own.filter("ret is not null").groupBy("cal_idx").agg(F.avg("ret").alias("rm")))
+        at = last_day_upto(events, self.cal, "anchor").withColumnRenamed("cal_idx", "anchor_idx")
+        self.cleaned = keep(clean(at, self.bars, self.cal, policy=spec.policy, st=st, tau0_on_anchor=spec.tau0_on_anchor))
+        open_ = self.cleaned.filter("reject_reason is null")
+        self.est = keep(estimation(open_, self.returns, self.market))
+        self.fit = keep(market_model(open_, self.est, self.market))
+        self.final = survivors(self.cleaned, self.fit, length=spec.length, min_obs=spec.min_obs)
+        self.kept = self.final.filter("reject_reason is null")
+        self.ab = abnormal(self.kept, self.returns, self.market, length=spec.length)
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        self.tables.append(Written(df))
+        return self.tables[-1].df
+
+    def close(self) -> None:
+        while self.tables:
+            self.tables.pop().drop()
+
+    def rho(self, group: Column) -> DataFrame:
+        """(rho, n_pairs) over pairs of kept events of one group."""
+        est = self.est.join(self.kept.select("event_id"), "event_id", "left_semi")
+        return rho_bar(est, self.fit, self.kept.select("event_id", group.alias("grp")))
+
+    def summary(self, group: Column) -> DataFrame:
+        """One row: the CAR tests (A09, A10), the correlation (A07) and both effective sizes."""
+        one = car(self.ab, length=self.spec.length).agg(F.count("*").alias("n"), t_of("csar").alias("bmp"), F.avg("car").alias("mean_car"), t_of("car").alias("naive_t"))
+        x = one.crossJoin(self.rho(group))  # two single rows
+        n, rho = F.col("n"), F.col("rho")
+        return x.select(
+            "n", F.col("bmp").alias("bmp_car"), (F.col("bmp") * kp_factor(rho, n)).alias("adj_bmp"), "mean_car", "naive_t", "rho", "n_pairs",
+            F.when(n > 0, n / (1 + (n - 1) * rho)).alias("n_eff"), F.when(n > 0, n * (1 - rho) / (1 + (n - 1) * rho)).alias("n_eff_kp"),
+        )
+
+
+def run_study(bars: DataFrame, calendar: DataFrame, events: DataFrame, spec: Spec = Spec(), *, group: Column | None = None, st: DataFrame | None = None) -> DataFrame:
+    """The summary of a study as one row, with the spec's digest. group: what correlates (all events by default)."""
+    s = Study(bars, calendar, events, spec, st=st)
+    try:
+        rows = s.summary(F.lit("all") if group is None else group).withColumn("spec", F.lit(spec.digest))
+        return bars.sparkSession.createDataFrame(rows.collect(), rows.schema)  # one row
+    finally:
+        s.close()

@@ -10,7 +10,7 @@ from eventide.operators import returns as R
 from eventide.operators import study as E
 from eventide.plans.market import LIQUID
 from eventide.plans.study import BASE, GRP, LENGTH, Study, r9, sql
-from eventide.registry import query
+from eventide.registry import keep, query
 from eventide.sources import readers
 from eventide.sources.panel import DENSE, bars, calendar, first_events, industry, panel_sql
 
@@ -50,8 +50,8 @@ e1 AS (SELECT *, (SELECT min(cal_idx) FROM b WHERE b.sec = e0.sec AND cal_idx BE
 SELECT event_id, tau0, CASE WHEN t IS NULL OR t < 250 THEN 'history' WHEN st THEN 'st' WHEN tau0 IS NULL AND t + 5 > last_idx THEN 'history' WHEN tau0 IS NULL THEN 'postpone' END AS reject_reason FROM e1"""))
 def e03(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a security under special treatment (here: days whose volume 7 divides) go; the anchor itself may be tau0."""
-    cal = calendar(spark, sf_dir).persist()
-    b = bars(spark, sf_dir).join(F.broadcast(cal), "d").persist()
+    cal = keep(calendar(spark, sf_dir))
+    b = keep(bars(spark, sf_dir).join(F.broadcast(cal), "d"))
     ev = readers.last_day_upto(first_events(spark, sf_dir), cal, "anchor").withColumnRenamed("cal_idx", "anchor_idx")
     return E.clean(ev, b, cal, st=b.filter("vol % 7 = 0").select("sec", "cal_idx"), tau0_on_anchor=True).select("event_id", "tau0", "reject_reason")
 
@@ -159,7 +159,7 @@ def e21(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, e.d, rank FROM e JOIN pool USING (sec, d)"""))
 def j15(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events whose security is in the pool of the first open day after the anchor."""
-    cal, b = calendar(spark, sf_dir).persist(), bars(spark, sf_dir)
+    cal, b = keep(calendar(spark, sf_dir)), bars(spark, sf_dir)
     ev = readers.first_day_from(first_events(spark, sf_dir).withColumn("next", F.date_add("anchor", 1)), cal, "next")
     at = ev.join(F.broadcast(cal), "cal_idx").select("event_id", "sec", "d")
     return at.join(R.pool(b, cal).select("d", "sec", "rank"), ["sec", "d"]).select("event_id", "d", "rank")

@@ -5,47 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.operators import returns as R
 from eventide.operators import study as E
-from eventide.registry import query
+from eventide.registry import keep, own, query
 from eventide.sources import readers
 from eventide.sources.panel import DENSE, bars, calendar, first_events, industry, panel_sql
 
 LENGTH = 20
 
 
-class Study:
-    """The stages of one study over a scale factor's tables.
-
-    E08: the benchmark is the mean return of the market, of the day's liquidity pool (pool_pit), or of a fixed list of securities.
-    """
-
-    def __init__(self, spark: SparkSession, sf_dir: str, *, benchmark: str = "market", members: list[str] | None = None):
-        if benchmark not in ("market", "pool_pit", "pool") or (benchmark == "pool") != (members is not None):
-            raise ValueError(f"no such benchmark: {benchmark}, members={members}")
-        # what several stages read is kept; a lost executor's part is computed again from the tables
-        self.cal = calendar(spark, sf_dir).persist()
-        b = bars(spark, sf_dir, DENSE).persist()
-        self.bars = b.join(F.broadcast(self.cal), "d")
-        self.returns = R.gap_returns(b).join(F.broadcast(self.cal), "d").persist()
-        own = self.returns
-        if benchmark == "pool_pit":
-            own = own.join(R.pool(b, self.cal).select("d", "sec"), ["d", "sec"], "left_semi")
-        elif benchmark == "pool":
-            own = own.filter(F.col("sec").isin(members))
-        self.market = own.filter("ret is not null").groupBy("cal_idx").agg(F.avg("ret").alias("rm")).persist()
-        ev = readers.last_day_upto(first_events(spark, sf_dir, DENSE), self.cal, "anchor").withColumnRenamed("cal_idx", "anchor_idx")
-        self.cleaned = E.clean(ev, self.bars, self.cal).persist()
-        open_ = self.cleaned.filter("reject_reason is null")
-        self.est = E.estimation(open_, self.returns, self.market).persist()
-        self.fit = E.market_model(open_, self.est, self.market).persist()
-        self.final = E.survivors(self.cleaned, self.fit, length=LENGTH)
-        self.kept = self.final.filter("reject_reason is null")
-        self.ab = E.abnormal(self.kept, self.returns, self.market, length=LENGTH)
-
-    def rho(self) -> DataFrame:
-        est = self.est.join(self.kept.select("event_id"), "event_id", "left_semi")
-        return E.rho_bar(est, self.fit, self.kept.select("event_id", industry(F.col("sec")).alias("grp")))
+def Study(spark: SparkSession, sf_dir: str, *, benchmark: str = "market", members: list[str] | None = None) -> E.Study:  # noqa: N802
+    """The study of one scale factor's tables; the query that asks for it owns what it keeps."""
+    spec = E.Spec(length=LENGTH, benchmark=benchmark, members=None if members is None else tuple(members))
+    s = E.Study(bars(spark, sf_dir, DENSE), calendar(spark, sf_dir), first_events(spark, sf_dir, DENSE), spec)
+    own(s.close)
+    return s
+
+
+GROUP = industry(F.col("sec"))
 
 
 BASE = """r AS (SELECT sec, cal_idx, ln(CAST(close AS DOUBLE)) - ln(CAST(lag(close) OVER (PARTITION BY sec ORDER BY d) AS DOUBLE)) AS r FROM bars JOIN cal USING (d)),
@@ -89,8 +65,8 @@ SELECT event_id, tau0, CASE WHEN t IS NULL OR t < 250 THEN 'history' {day} WHEN
 
 def policy_query(policy: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        cal = calendar(spark, sf_dir).persist()
-        b = bars(spark, sf_dir).join(F.broadcast(cal), "d").withColumn("one_word", (F.col("open") == F.col("close")) & (F.col("high") == F.col("low"))).persist()
+        cal = keep(calendar(spark, sf_dir))
+        b = keep(bars(spark, sf_dir).join(F.broadcast(cal), "d").withColumn("one_word", (F.col("open") == F.col("close")) & (F.col("high") == F.col("low"))))
         ev = readers.last_day_upto(first_events(spark, sf_dir), cal, "anchor").withColumnRenamed("cal_idx", "anchor_idx")
         return E.clean(ev, b, cal, policy=policy).select("event_id", "tau0", "reject_reason")
 
@@ -124,22 +100,17 @@ rho AS (SELECT coalesce(avg(rho), 0) AS rho, count(*) AS n_pairs FROM pr)"""
 
 @query("a07_rho_bar", sql(RHO + " SELECT round(rho, 9) AS rho, n_pairs FROM rho"))
 def a07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Study(spark, sf_dir).rho().select("n_pairs", *r9("rho"))
+    return Study(spark, sf_dir).rho(GROUP).select("n_pairs", *r9("rho"))
 
 
 CAR = "ca AS (SELECT event_id, sum(ar) AS car, sum(sar) AS csar FROM sa GROUP BY 1 HAVING count(ar) = 20)"
 
 
 @query("a09_car_tests", sql(RHO + ", " + CAR + """ SELECT count(*) AS n, round(avg(csar) / stddev_samp(csar) * sqrt(count(*)), 8) AS bmp_car, round(avg(csar) / stddev_samp(csar) * sqrt(count(*)) * sqrt((1 - max(rho)) / (1 + (count(*) - 1) * max(rho))), 8) AS adj_bmp,
-  round(avg(car), 9) AS mean_car, round(avg(car) / stddev_samp(car) * sqrt(count(*)), 8) AS naive_t, round(count(*) / (1 + (count(*) - 1) * max(rho)), 6) AS n_eff FROM ca CROSS JOIN rho"""))
+  round(avg(car), 9) AS mean_car, round(avg(car) / stddev_samp(car) * sqrt(count(*)), 8) AS naive_t, round(count(*) / (1 + (count(*) - 1) * max(rho)), 6) AS n_eff, round(count(*) * (1 - max(rho)) / (1 + (count(*) - 1) * max(rho)), 6) AS n_eff_kp FROM ca CROSS JOIN rho"""))
 def a09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = Study(spark, sf_dir)
-    one = E.car(s.ab, length=LENGTH).agg(F.count("*").alias("n"), E.t_of("csar").alias("bmp"), F.avg("car").alias("mean_car"), E.t_of("car").alias("naive_t"))
-    x = one.crossJoin(s.rho())  # two single rows
-    return x.select(
-        "n", F.round("bmp", 8).alias("bmp_car"), F.round(F.col("bmp") * E.kp_factor(F.col("rho"), F.col("n")), 8).alias("adj_bmp"),
-        *r9("mean_car"), F.round("naive_t", 8).alias("naive_t"), F.when(F.col("n") > 0, F.round(F.col("n") / (1 + (F.col("n") - 1) * F.col("rho")), 6)).alias("n_eff"),
-    )
+    x = Study(spark, sf_dir).summary(GROUP)
+    return x.select("n", *(F.round(c, 8).alias(c) for c in ("bmp_car", "adj_bmp", "naive_t")), *r9("mean_car"), *(F.round(c, 6).alias(c) for c in ("n_eff", "n_eff_kp")))
 
 
 @query("a11_caar", sql("SELECT layer, round(sum(aar), 9) AS caar, min(n) AS min_n FROM (SELECT layer, tau, avg(ar) AS aar, count(ar) AS n FROM sa GROUP BY 1, 2) GROUP BY layer"))
