@@ -113,34 +113,6 @@ def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Colum
     return (centre - spread) / (1 + z * z / n), (centre + spread) / (1 + z * z / n)
 
 
-#: The ordered classes of shareholder-reduction titles; the first that matches decides.
-REDUCTION_TITLES = [
-    ("revision", "更正|修订|补充"), ("termination", "提前终止|终止"), ("halfway", "过半|时间过半|数量过半"), ("progress", "进展"),
-    ("result", "(?<!不)(结果|完成|届满|实施完毕)"), ("reached", "达到?[0-9.]*[%％]|触及"), ("first", "减持.*(计划|预披露)|拟减持"),
-]
-
-
-def title_class(title: Column, ladder: list[tuple[str, str]] = REDUCTION_TITLES, otherwise: str = "other") -> Column:
-    """The first class of an ordered ladder whose pattern the title has."""
-    out = F.when(title.isNull(), "missing")
-    for name, pattern in ladder:
-        out = out.when(title.rlike(pattern), name)
-    return out.otherwise(otherwise)
-
-
-def reduction_ratio(text: Column) -> Column:
-    """The largest share that a plan names, as percent."""
-    return F.regexp_extract(text, r"不超过[^0-9%％]{0,20}?([0-9]+(?:\.[0-9]+)?)[%％]", 1).try_cast("double")
-
-
-def reduction_period(text: Column) -> Column:
-    """Start and end of a labelled period."""
-    day = r"([0-9]{4})[年-]([0-9]{1,2})[月-]([0-9]{1,2})日?"
-    pick = lambda i: F.regexp_extract(text, f"{day}[^0-9]{{1,6}}{day}", i)
-    date = lambda i: F.try_to_timestamp(F.concat_ws("-", pick(i), F.lpad(pick(i + 1), 2, "0"), F.lpad(pick(i + 2), 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
-    return F.struct(date(1).alias("start"), date(4).alias("end"))
-
-
 def cash_per_ten(text: Column) -> Column:
     """Every cash amount per ten shares that a text states."""
     return F.transform(F.regexp_extract_all(text, F.lit(r"每\s*10\s*股[^0-9]{0,12}([0-9]+(?:\.[0-9]+)?)\s*元"), F.lit(1)), lambda x: x.try_cast("decimal(18,4)"))

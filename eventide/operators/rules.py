@@ -1,4 +1,4 @@
-"""Event-selection rules as windows and joins (R01-R14) and the holding path.
+"""Event-selection rules as windows and joins (R04-R09, R11-R13); those with whole funnels are in selection.
 
 Rows are in a security's own order unless a rule says calendar index. None of the rules folds over rows:
 path dependence becomes running sums that number the episodes.
@@ -6,7 +6,7 @@ path dependence becomes running sums that number the episodes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 def own():
@@ -18,24 +18,6 @@ def to_here(w=None):
     return (w or own()).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def limit_open(rows: DataFrame, *, least: int = 1, reverse: str = "down") -> DataFrame:
-    """The first row after a run of one-word rows (status 'up', 'down' or 'none').
-
-    rows: (sec, d, status). Returns (sec, run_start, run_len, d, skipped, reason): d is the first row that isn't
-    one-word, NULL if the data end first (right_censored); a run cut by the reverse status is hijacked.
-    """
-    n = rows.withColumn("seq", F.row_number().over(own()))
-    n = n.withColumn("run", F.sum(F.when(F.col("status") != F.lag("status").over(own()), 1).otherwise(0)).over(to_here()))
-    after = Window.partitionBy("sec").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
-    n = n.withColumn("next_free", F.first(F.when(F.col("status") == "none", F.struct("d", "seq")), ignorenulls=True).over(after))
-    runs = n.filter(F.col("status") == ("up" if reverse == "down" else "down")).groupBy("sec", "run").agg(
-        F.min("d").alias("run_start"), F.count("*").alias("run_len"), F.max("seq").alias("last_seq"), F.max_by("next_free", "seq").alias("free")
-    )
-    skipped = F.col("free.seq") - F.col("last_seq") - 1
-    reason = F.when(F.col("free").isNull(), "right_censored").when(skipped > 0, "reversal_hijack")
-    return runs.filter(F.col("run_len") >= least).select("sec", "run_start", "run_len", F.col("free.d").alias("d"), skipped.cast("long").alias("skipped"), reason.alias("reason"))
-
-
 def high_pullback(rows: DataFrame, *, days: int = 10, touch: str = "0.97", floor: str = "0.95") -> DataFrame:
     """After a new high, the first close within `days` calendar ranks at or below touch x the high.
 
@@ -75,18 +57,6 @@ def volume_drought(rows: DataFrame, *, share: float = 0.3, least: int = 5) -> Da
     return x.filter("out and armed").select("sec", "d", F.when(F.col("close") > F.col("open"), "event").otherwise("reject").alias("outcome"))
 
 
-def drawdown_rebuy(rows: DataFrame, *, zone: str = "0.90", days: int = 3) -> DataFrame:
-    """In a zone at or below zone x the 60-bar high, the first `days` good rows in a row fire; one entry per episode.
-
-    rows: (sec, d, close, high60, good).
-    """
-    inside = F.coalesce(F.col("close") <= F.col("high60") * F.lit(zone).cast("decimal(3,2)"), F.lit(False))
-    x = rows.withColumn("inside", inside).withColumn("episode", F.sum((~F.col("inside")).cast("int")).over(to_here())).filter("inside")
-    by = Window.partitionBy("sec", "episode").orderBy("d")
-    x = x.withColumn("ready", F.sum(F.coalesce(F.col("good"), F.lit(False)).cast("int")).over(by.rowsBetween(1 - days, 0)) == days)
-    return x.filter("ready").groupBy("sec", "episode").agg(F.min("d").alias("d")).select("sec", "d")
-
-
 def yearend_strength(returns: DataFrame, market: DataFrame, windows: DataFrame, *, least: float = 0.05, n: int = 10) -> DataFrame:
     """Securities with a return on each of the year's last days whose compounded excess reaches `least`. windows: (year, d)."""
     x = returns.join(F.broadcast(windows), "d").join(F.broadcast(market), "d").filter("ret is not null")
@@ -131,38 +101,6 @@ def revisions(disclosures: DataFrame) -> DataFrame:
     return x.select("sec", "period", "ann_date", outcome.alias("outcome"))
 
 
-def holding_path(entries: DataFrame, bars: DataFrame, *, stop: str = "0.80", longest: int = 20) -> DataFrame:
-    """From the entry bar the first close at or below stop x the entry's open, or below the 20-bar mean; filled at the next bar's open.
-
-    entries: (event_id, sec, entry_d, entry). bars: (sec, d, cal_idx, open, close, below_ma). The stop has priority on its day.
-    """
-    nxt = bars.withColumns({"next_open": F.lead("open").over(own()), "next_idx": F.lead("cal_idx").over(own()), "next_d": F.lead("d").over(own())})
-    x = entries.join(nxt, "sec").filter(F.col("d") >= F.col("entry_d"))
-    stopped = F.col("close") <= F.col("entry") * F.lit(stop).cast("decimal(3,2)")
-    x = x.withColumn("why", F.when(stopped, "stop").when(F.col("below_ma"), "ma20")).filter("why is not null")
-    first = x.groupBy("event_id").agg(F.min(F.struct("d", "cal_idx", "why", "next_d", "next_open", "next_idx")).alias("x"))
-    out = entries.join(first, "event_id", "left")
-    late = F.col("x.next_idx") - F.col("x.cal_idx")
-    flag = F.when(F.col("x").isNull() | F.col("x.next_d").isNull(), "right_censored").when(late > longest, "extreme").otherwise("filled")
-    return out.select("event_id", "entry_d", F.col("x.d").alias("trigger_d"), F.col("x.why").alias("reason"), F.col("x.next_d").alias("exit_d"), F.col("entry"), F.col("x.next_open").alias("exit"), flag.alias("fill"))
-
-
-def net_return(entry: Column, exit_: Column, *, commission: float = 0.00025, tax: float = 0.001, slippage: float = 0.001) -> Column:
-    """Buys cost commission and slippage, sells the stamp tax too."""
-    return exit_.cast("double") * (1 - commission - tax - slippage) / (entry.cast("double") * (1 + commission + slippage)) - 1
-
-
-def ex_div_gap(rows: DataFrame, factor: DataFrame, *, least: float = 0.5) -> DataFrame:
-    """Keys with one row whose stock components reach `least` and whose factor changed from the bar before.
-
-    rows: (sec, ex_date, stk_div, stk_co); factor: (sec, ex_date, factor, before).
-    """
-    one = rows.groupBy("sec", "ex_date").agg(F.count("*").alias("n"), F.min(F.col("stk_div") + F.col("stk_co")).alias("total")).filter("n = 1")
-    x = one.join(factor, ["sec", "ex_date"], "left")
-    outcome = F.when(F.col("total") < least, "below_half").when(F.col("before").isNull(), "factor_missing").when(F.col("factor") == F.col("before"), "factor_unchanged").otherwise("event")
-    return x.select("sec", "ex_date", outcome.alias("outcome"))
-
-
 def dividend_surprise(years: DataFrame) -> DataFrame:
     """A year's amount against the year before, +-50 % inclusive. years: (sec, y, v)."""
     prior = years.select("sec", (F.col("y") + 1).alias("y"), F.col("v").alias("p"))

@@ -109,23 +109,12 @@ def a31(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("a36_funnel_conservation", panel_sql("SELECT count(*) AS total, count(*) FILTER (layer = 'good') + count(*) FILTER (layer = 'bad') + count(*) FILTER (layer = 'turnaround') = count(*) AS conserved FROM ev"))
-def a36(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = first_events(spark, sf_dir).groupBy("layer").agg(F.count("*").alias("n"))
-    return by.agg(F.sum("n").alias("total"), (F.sum(F.when(F.col("layer").isin("good", "bad", "turnaround"), F.col("n")).otherwise(0)) == F.sum("n")).alias("conserved"))
-
-
 @query("a39_key_set_equality", "SELECT r_regionkey, list(n_nationkey ORDER BY n_nationkey) = (SELECT list(k ORDER BY k) FROM (SELECT DISTINCT n_nationkey AS k FROM nation WHERE n_regionkey = r_regionkey)) AS same FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey")
 def a39(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.sort_array(F.collect_list("n_nationkey")).alias("a"), F.sort_array(F.collect_set("n_nationkey")).alias("b"))
     return n.join(read(spark, sf_dir, "region"), "r_regionkey", "left_semi").select("r_regionkey", (F.col("a") == F.col("b")).alias("same"))
 
 
-@query("a27_exit_diagnostics", "SELECT o_orderstatus AS reason, o_orderpriority AS layer, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1, 2")
-def a27(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("reason"), F.col("o_orderpriority").alias("layer")).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
-
-
 @query("k06_json_extract", "SELECT concat_ws('|', event_id, event_type, json_extract_string(props, '$.k')) AS line FROM events")
 def k06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.concat_ws("|", F.col("event_id").cast("string"), "event_type", F.get_json_object("props", "$.k")).alias("line"))

@@ -20,32 +20,6 @@ def moved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.moving(bars(spark, sf_dir)).join(F.broadcast(calendar(spark, sf_dir)), "d")
 
 
-STATUS = f"""st AS (SELECT sec, d, CASE WHEN close > 1.5 * lag(close) {W} THEN 'up' WHEN 1.5 * close < lag(close) {W} THEN 'down' ELSE 'none' END AS status FROM bars),
-n AS (SELECT *, row_number() {W} AS seq, row_number() {W} - row_number() OVER (PARTITION BY sec, status ORDER BY d) AS isl FROM st)"""
-
-
-def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prev = F.lag("close").over(X.own())
-    k = F.lit("1.5").cast("decimal(2,1)")
-    return bars(spark, sf_dir).select("sec", "d", F.when(F.col("close") > k * prev, "up").when(k * F.col("close") < prev, "down").otherwise("none").alias("status"))
-
-
-def run_sql(of: str) -> str:
-    return panel_sql(STATUS + f""", g AS (SELECT sec, isl, min(d) AS run_start, count(*) AS run_len, max(seq) AS last_seq FROM n WHERE status = '{of}' GROUP BY 1, 2),
-f AS (SELECT g.*, (SELECT min(seq) FROM n WHERE n.sec = g.sec AND n.seq > g.last_seq AND status = 'none') AS fs FROM g)
-SELECT f.sec, run_start, run_len, n.d AS d, fs - last_seq - 1 AS skipped, CASE WHEN fs IS NULL THEN 'right_censored' WHEN fs - last_seq > 1 THEN 'reversal_hijack' END AS reason FROM f LEFT JOIN n ON n.sec = f.sec AND n.seq = f.fs""")
-
-
-@query("r01_limit_open", run_sql("up"))
-def r01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.limit_open(statuses(spark, sf_dir))
-
-
-@query("r02_limit_down_open", run_sql("down"))
-def r02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.limit_open(statuses(spark, sf_dir), reverse="up")
-
-
 @query("r04_earnings_revision", """WITH day AS (SELECT user_id AS sec, json_extract_string(props, '$.k') AS period, CAST(ts AS DATE) AS ann_date, count(DISTINCT value) AS kinds, min(value) AS value FROM events GROUP BY 1, 2, 3),
 x AS (SELECT *, lag(value) OVER w AS base, lag(kinds) OVER w AS bk FROM day WINDOW w AS (PARTITION BY sec, period ORDER BY ann_date))
 SELECT sec, period, ann_date, CASE WHEN bk IS NULL THEN 'first' WHEN kinds > 1 OR bk > 1 THEN 'same_day_conflict' WHEN value = base THEN 'flat' WHEN value > base THEN 'up' ELSE 'down' END AS outcome FROM x""")
@@ -127,67 +101,6 @@ def r13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.trigger_days(index, calendar(spark, sf_dir), members, least=0.4)
 
 
-GOOD = f"""b AS (SELECT sec, d, cal_idx, open, close, CASE WHEN row_number() {W} >= 60 THEN max(close) OVER (PARTITION BY sec ORDER BY d ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) END AS h60,
-  CASE WHEN row_number() {W} >= 10 THEN sum(close) OVER (PARTITION BY sec ORDER BY d ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) END AS s10,
-  CASE WHEN row_number() {W} >= 20 THEN sum(close) OVER (PARTITION BY sec ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END AS s20 FROM bars JOIN cal USING (d)),
-z AS (SELECT *, coalesce(close <= h60 * 0.90, false) AS inz, coalesce(close * 10 > s10 AND close * 20 >= s20, false) AS good, row_number() {W} AS seq FROM b),
-y AS (SELECT *, seq - row_number() OVER (PARTITION BY sec, inz ORDER BY d) AS ep FROM z),
-f AS (SELECT *, good AND coalesce(lag(good) OVER (PARTITION BY sec, inz, ep ORDER BY d), false) AND coalesce(lag(good, 2) OVER (PARTITION BY sec, inz, ep ORDER BY d), false) AS fire FROM y WHERE inz),
-entry AS (SELECT sec, min(d) AS d FROM f WHERE fire GROUP BY sec, ep)"""
-
-
-def good_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = (F.col("close") * 10 > F.col("sum10")) & (F.col("close") * 20 >= F.col("sum20"))
-    return moved(spark, sf_dir).withColumns({"good": good, "below_ma": F.col("close") * 20 < F.col("sum20")})
-
-
-@query("r14_drawdown_rebuy", panel_sql(GOOD + " SELECT sec, d FROM entry"))
-def r14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.drawdown_rebuy(good_rows(spark, sf_dir))
-
-
-PATH = GOOD + f""", nx AS (SELECT *, lead(open) {W} AS no, lead(d) {W} AS nd, lead(cal_idx) {W} AS ni FROM b),
-en AS (SELECT entry.sec, entry.d AS entry_d, b.open AS entry FROM entry JOIN b USING (sec, d)),
-tr AS (SELECT en.sec, entry_d, min(nx.d) AS td FROM en JOIN nx ON nx.sec = en.sec AND nx.d >= entry_d AND (nx.close <= entry * 0.80 OR nx.close * 20 < s20) GROUP BY 1, 2),
-path AS (SELECT en.*, td AS trigger_d, CASE WHEN td IS NULL THEN NULL WHEN nx.close <= entry * 0.80 THEN 'stop' ELSE 'ma20' END AS reason, nd AS exit_d, no AS exit,
-  CASE WHEN td IS NULL OR nd IS NULL THEN 'right_censored' WHEN ni - cal_idx > 20 THEN 'extreme' ELSE 'filled' END AS fill FROM en LEFT JOIN tr USING (sec, entry_d) LEFT JOIN nx ON nx.sec = en.sec AND nx.d = td)"""
-
-
-def path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = good_rows(spark, sf_dir)
-    entries = X.drawdown_rebuy(rows).join(rows.select("sec", "d", F.col("open").alias("entry")), ["sec", "d"])
-    entries = entries.select(F.concat_ws(":", "sec", F.col("d").cast("string")).alias("event_id"), "sec", F.col("d").alias("entry_d"), "entry")
-    return X.holding_path(entries, rows)
-
-
-@query("e20_holding_path", panel_sql(PATH + " SELECT sec || ':' || CAST(entry_d AS VARCHAR) AS event_id, entry_d, trigger_d, reason, exit_d, entry, exit, fill FROM path"))
-def e20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return path(spark, sf_dir)
-
-
-@query("e22_strategy_returns", panel_sql(PATH + """ SELECT reason, count(*) AS n, round(avg(CAST(exit AS DOUBLE) * (1 - 0.00225) / (CAST(entry AS DOUBLE) * 1.00125) - 1), 9) AS mean_net, round(median(CAST(exit AS DOUBLE) / CAST(entry AS DOUBLE) - 1), 9) AS median_gross,
-  round(avg(CASE WHEN exit > entry THEN 1.0 ELSE 0.0 END), 9) AS pos_frac FROM path WHERE fill = 'filled' GROUP BY reason"""))
-def e22(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = path(spark, sf_dir).filter("fill = 'filled'")
-    gross = F.col("exit").cast("double") / F.col("entry").cast("double") - 1
-    return p.groupBy("reason").agg(
-        F.count("*").alias("n"), F.round(F.avg(X.net_return(F.col("entry"), F.col("exit"))), 9).alias("mean_net"), F.round(F.median(gross), 9).alias("median_gross"),
-        F.round(F.avg((F.col("exit") > F.col("entry")).cast("double")), 9).alias("pos_frac"),
-    )
-
-
-@query("r10_ex_div_gap", panel_sql(f"""x AS (SELECT p_brand AS sec, CAST(o_orderdate AS DATE) AS ex_date, l_discount AS stk_div, l_tax AS stk_co FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
-u AS (SELECT sec, ex_date, min(stk_div + stk_co) AS total FROM x GROUP BY 1, 2 HAVING count(*) = 1), b AS (SELECT sec, d, close, lag(close) {W} AS prev FROM bars)
-SELECT u.sec, ex_date, CASE WHEN total < 0.15 THEN 'below_half' WHEN prev IS NULL THEN 'factor_missing' WHEN close = prev THEN 'factor_unchanged' ELSE 'event' END AS outcome FROM u LEFT JOIN b ON b.sec = u.sec AND b.d = ex_date"""))
-def r10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey"), "l_discount", "l_tax")
-    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("ex_date"))
-    part = read(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("sec"))
-    x = line.join(orders, "l_orderkey").join(part, "p_partkey").select("sec", "ex_date", F.col("l_discount").alias("stk_div"), F.col("l_tax").alias("stk_co"))
-    factor = bars(spark, sf_dir).select("sec", F.col("d").alias("ex_date"), F.col("close").alias("factor"), F.lag("close").over(X.own()).alias("before"))
-    return X.ex_div_gap(x, factor, least=0.15)
-
-
 @query("r11_dividend_surprise", panel_sql("""y AS (SELECT sec, year(d) AS y, sum(vol) AS v FROM bars GROUP BY 1, 2)
 SELECT a.sec, a.y, CASE WHEN b.v IS NULL THEN 'no_prior' WHEN b.v = 0 THEN 'undefined' WHEN a.v >= b.v * 1.5 THEN 'up' WHEN a.v <= b.v * 0.5 THEN 'down' ELSE 'inside' END AS outcome FROM y a LEFT JOIN y b ON a.sec = b.sec AND b.y = a.y - 1"""))
 def r11(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,10 +116,3 @@ def r12(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = e.filter("event_type = 'purchase'").groupBy("user_id", "day").agg(F.count("*").alias("n"), F.min("value").alias("v")).filter("n = 1").drop("n")
     return X.flash_gap(x, f)
 
-
-
-
-@query("r03_title_classes", """SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)password *=') THEN 'revision' WHEN regexp_matches(text, '(?i)all rights reserved') THEN 'termination' WHEN regexp_matches(text, '[0-9]{4}') THEN 'progress' WHEN contains(text, ' | ') THEN 'result' ELSE 'first' END AS class FROM documents""")
-def r03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ladder = [("revision", "(?i)password *="), ("termination", "(?i)all rights reserved"), ("progress", "[0-9]{4}"), ("result", r" \| ")]
-    return read(spark, sf_dir, "documents").select("doc_id", S.title_class(F.col("text"), ladder, "first").alias("class"))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from eventide.functions import scalars as S
 from eventide.operators import returns as R
+from eventide.functions import titles as T
 from eventide.operators import rules as X
+from eventide.operators import selection as SEL
 from eventide.operators import study as E
 from eventide.sources import readers
 
@@ -65,23 +67,27 @@ def test_minutes(spark, text, want):
     assert one(spark, S.minutes(F.lit(text))) == want
 
 
-@pytest.mark.parametrize("title,want", [("关于减持计划提前终止的公告", "termination"), ("关于股东减持计划的预披露公告", "first"), ("减持进展公告", "progress"), ("减持计划完成的公告", "result"), ("年度报告", "other"), (None, "missing")])
+@pytest.mark.parametrize("title,want", [
+    ("关于股东提前终止减持计划的公告", "termination"), ("关于股东减持股份预披露公告", "first_candidate"), ("股东减持股份进展公告", "progress"), ("关于股东减持完成的公告", "result"), (None, "first_candidate"),
+    ("限售股锁定期届满后股东减持计划的公告", "first_candidate"), ("资管计划到期减持股份计划的公告", "first_candidate"), ("减持计划期满暨后续减持计划预披露公告", "combo_ambiguous"), ("股东累计减持股份达到2%及未来减持计划的公告", "first_with_progress"),
+    ("股东减持股份达到1%的公告", "progress_reached"), ("股东减持不超过2%股份计划的公告", "first_candidate"), ("股东拟减持达到3%股份的公告", "first_candidate"), ("股东减持计划的更正公告", "revision"), ("减持股份计划延期公告", "revision"), ("减持事项到期公告", "suspect_unresolved"),
+])
 def test_title_class(spark, title, want):
-    assert one(spark, S.title_class(F.lit(title).cast("string"))) == want
+    assert one(spark, T.reduction_title(F.lit(title).cast("string"))) == want
 
 
 def test_text_fields(spark):
-    assert one(spark, S.reduction_ratio(F.lit("减持不超过公司总股本的2.5%"))) == 2.5
-    period = one(spark, S.reduction_period(F.lit("自2021年3月1日至2021年9月30日")))
-    assert (str(period.start), str(period.end)) == ("2021-03-01", "2021-09-30")
+    assert one(spark, T.plan_ratio(F.lit("持有总股本8.08%的股东减持不超过公司总股本的2.5%"))) == 2.5
+    assert one(spark, T.plan_ratio(F.lit("持有公司总股本8.08%"))) is None
+    period = one(spark, T.plan_period(F.lit("减持期间：2021年3月1 日\n至2021年9月30日")))
+    assert (period.start, period.end, period.kind) == ("2021-03-01", "2021-09-30", "absolute")
+    assert one(spark, T.plan_period(F.lit("自本公告披露之日起3个交易日后的3个月内"))).kind == "relative"
+    assert one(spark, T.plan_holder(F.lit("公司董事李小明先生计划减持"))) == "李小明" and one(spark, T.plan_holder(F.lit("股东名称：减持计划公告"))) is None
+    assert one(spark, T.plan_title(F.lit("股东减持计划实施完毕"))) == "excluded:实施"
     assert [float(x) for x in one(spark, S.amounts_in_yuan(F.lit("商誉减值1.5亿元至 20,000万元")))] == [1.5e8, 2e8]
     assert [float(x) for x in one(spark, S.cash_per_ten(F.lit("每10股派发现金红利3.5元(含税)")))] == [3.5]
 
 
-def test_fees(spark):
-    assert one(spark, X.net_return(F.lit(1.0), F.lit(1.0))) == pytest.approx((1 - 0.00225) / 1.00125 - 1)
-
-
 def test_append_only_batches_and_snapshots(spark, tmp_path):
     df, path = spark.range(5), str(tmp_path / "t")
     assert readers.append_batch(df, path, 1, expect=5) == 5
@@ -106,28 +112,80 @@ def test_schema_drift(spark):
         readers.assert_schema(spark.range(1), spark.range(1).withColumn("x", F.lit(1)).schema)
 
 
-def fold_rebuy(rows):
-    """The rule as a walk over one security's rows."""
-    out, streak, fired = [], 0, False
-    for d, close, high, good in rows:
+def fold_entries(rows):
+    """The rule as a walk over one security's rows (d, close, h60, sum10, sum20)."""
+    out, begin, streak, locked, over, under = [], None, 0, False, True, False
+    for i, (d, close, high, s10, s20) in enumerate(rows):
         if high is None or close > round(high * 0.9, 6):
-            streak, fired = 0, False
+            begin, streak, locked = None, 0, False
             continue
-        streak = streak + 1 if good else 0
-        if streak >= 3 and not fired:
-            out.append(d)
-            fired = True
+        if begin is None:
+            begin, over, under = i, True, False
+        over, under = over and close * 10 > s10, under or close * 20 < s20
+        streak = streak + 1 if close * 10 > s10 and not close * 20 < s20 and not locked else 0
+        if streak == 3:
+            out.append((d, rows[begin][0], over, i - begin, under))
+            streak, locked = 0, True
     return out
 
 
-def test_drawdown_rebuy_equals_fold(spark):
+def panel(spark, rows, kinds):
+    df = spark.createDataFrame(rows, kinds)
+    return df.withColumns({c: F.col(c).cast("decimal(18,4)") for c in df.columns if c in ("open", "close", "h60", "sum10", "sum20")})
+
+
+def test_drawdown_entries_equal_fold(spark):
     r, rows = random.Random(2), []
     for s in range(30):
         for d in range(60):
-            rows.append((f"s{s}", d, r.randrange(80, 101), 100 if d >= 5 else None, r.random() < 0.7))
-    df = spark.createDataFrame(rows, "sec string, d int, close int, high60 int, good boolean").withColumns({c: F.col(c).cast("decimal(18,4)") for c in ("close", "high60")})
-    want = {(s, d) for s in {x[0] for x in rows} for d in fold_rebuy([x[1:] for x in rows if x[0] == s])}
-    assert {(x.sec, x.d) for x in X.drawdown_rebuy(df).collect()} == want
+            close = r.randrange(80, 101)
+            rows.append((f"s{s}", d, close, d, 100 if d >= 5 else None, 10 * close - r.randrange(-3, 8), 20 * close - r.randrange(-2, 9)))
+    df = panel(spark, rows, "sec string, d int, close int, own_idx int, h60 int, sum10 int, sum20 int")
+    want = {(s, *e) for s in {x[0] for x in rows} for e in fold_entries([(x[1], x[2], *x[4:]) for x in rows if x[0] == s])}
+    assert {tuple(x) for x in SEL.drawdown_entries(df).collect()} == want and len(want) > 20
+
+
+def walk_path(bars, at, mode):
+    """A holding path as a walk over one security's bars (cal, open, close, status, open_status, sum20)."""
+    entry, n = bars[at][1], len(bars)
+    stuck = lambda k: bars[k][3] == "limit_down" or bars[k][3] == "one_word" and k > 0 and bars[k][2] < bars[k - 1][2]
+    opens = lambda k: bars[k][1] > 0 and bars[k][4] != "limit_down"
+    if entry <= 0:
+        return None
+    for j in range(at, n):
+        stop, mean = bars[j][2] <= entry * 0.8, j >= 19 and bars[j][2] * 20 < bars[j][5]
+        if not (stop or mean):
+            continue
+        nominal = min(j + 1, n - 1) if mode == "next_open" else j
+        k = next((k for k in range(j + 1 if mode == "next_open" else j, n) if (opens(k) if mode == "next_open" else not stuck(k))), None)
+        out = n - 1 if k is None else k
+        price = bars[out][2] if k is None or mode == "same_close" else bars[out][1]
+        late = out - nominal
+        source = "censored_close_mark" if k is None else ("next_open" if late == 0 else "postponed_open") if mode == "next_open" else ("same_close" if late == 0 else "postponed_close")
+        return (j, "stop_loss" if stop else "break_ma20", stop, mean, out, price, out - at, late, bars[out][0] - bars[nominal][0], k is None, source)
+    return (None, "right_censored", False, False, n - 1, bars[-1][2], n - 1 - at, 0, 0, True, "censored_close_mark")
+
+
+@pytest.mark.parametrize("mode", ["next_open", "same_close"])
+def test_holding_paths_equal_walk(spark, mode):
+    r, rows, entries, want = random.Random(9), [], [], {}
+    for s in range(40):
+        close, cal, own = 100, 0, []
+        for i in range(r.randrange(3, 70)):
+            close, cal = max(40, close + r.randrange(-6, 6)), cal + r.choice([1, 1, 2, 30])
+            own.append((cal, r.choice([close, close, close + 2, 0]), close, r.choice(["none"] * 3 + ["limit_down", "one_word"]), r.choice(["none", "limit_down"]), close * 20 + r.randrange(-30, 60)))
+        rows += [(f"s{s}", c, c, o, cl, st, os, s20, i + 1) for i, (c, o, cl, st, os, s20) in enumerate(own)]
+        for at in {r.randrange(len(own)) for _ in range(3)}:
+            entries.append((f"s{s}:{at}", f"s{s}", own[at][0]))
+            path = walk_path(own, at, mode)
+            if path:
+                days = [b[0] for b in own]
+                want[f"s{s}:{at}"] = (None if path[0] is None else days[path[0]], *path[1:4], days[path[4]], float(path[5]), *path[6:])
+    df = panel(spark, rows, "sec string, d int, cal_idx int, open int, close int, status string, open_status string, sum20 int, own_idx int")
+    out = SEL.holding_paths(spark.createDataFrame(entries, "event_id string, sec string, d int"), df, mode=mode).collect()
+    got = {x.event_id: (x.trigger_d, x.reason, x.by_stop, x.by_mean, x.exit_d, float(x.exit), x.held_bars, x.late_bars, x.late_days, x.censored, x.fill_source) for x in out}
+    assert got == want and {x.fill_source for x in out} == {"censored_close_mark", *(("next_open", "postponed_open") if mode == "next_open" else ("same_close", "postponed_close"))}
+    assert any(x.extreme for x in out)
 
 
 def fold_drought(rows, share, least):
