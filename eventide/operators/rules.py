@@ -39,29 +39,56 @@ def high_pullback(rows: DataFrame, *, days: int = 10, touch: str = "0.97", floor
     return g.select("sec", "anchor_d", F.col("hit.d").alias("d"), outcome.alias("outcome"))
 
 
-def volume_drought(rows: DataFrame, *, share: float = 0.3, least: int = 5) -> DataFrame:
-    """A run of `least` low-volume rows arms; the first amount above the mean decides and resets.
+def volume_drought(rows: DataFrame, *, share: str = "0.30", least: int = 5, days: int = 60) -> DataFrame:
+    """A run of `least` rows with low amounts arms; the first amount above the mean decides and resets.
 
-    rows: (sec, d, cal_idx, open, close, amount, ma). A calendar gap or a row without mean resets too.
+    rows: (sec, d, cal_idx, open, close, amount decimal). The mean is that of the `days` eligible rows before, across suspensions; rows without amount, open or close are
+    not eligible. They reset, and so does a calendar gap. Returns (sec, d, outcome, low_start, low_days): low_days counts low rows from the first armed run on.
     """
-    broken = F.col("ma").isNull() | F.coalesce(F.col("cal_idx") - F.lag("cal_idx").over(own()) != 1, F.lit(True))
-    x = rows.withColumn("grp", F.sum(broken.cast("int")).over(to_here())).filter("ma is not null")
-    amount = F.col("amount").cast("double")
-    x = x.withColumns({"out": amount > F.col("ma"), "low": amount < F.col("ma") * share})
-    g = Window.partitionBy("sec", "grp").orderBy("d")
-    x = x.withColumn("sub", F.coalesce(F.sum(F.col("out").cast("int")).over(g.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    s = Window.partitionBy("sec", "grp", "sub").orderBy("d")
-    x = x.withColumn("brk", F.sum((~F.col("low")).cast("int")).over(to_here(s)))
-    x = x.withColumn("run", F.sum(F.col("low").cast("int")).over(to_here(Window.partitionBy("sec", "grp", "sub", "brk").orderBy("d"))))
-    x = x.withColumn("armed", F.max("run").over(s.rowsBetween(Window.unboundedPreceding, -1)) >= least)
-    return x.filter("out and armed").select("sec", "d", F.when(F.col("close") > F.col("open"), "event").otherwise("reject").alias("outcome"))
-
-
-def yearend_strength(returns: DataFrame, market: DataFrame, windows: DataFrame, *, least: float = 0.05, n: int = 10) -> DataFrame:
-    """Securities with a return on each of the year's last days whose compounded excess reaches `least`. windows: (year, d)."""
-    x = returns.join(F.broadcast(windows), "d").join(F.broadcast(market), "d").filter("ret is not null")
-    g = x.groupBy("sec", "year").agg(F.count("*").alias("n"), (F.exp(F.sum("ret") - F.sum("ret_eqw")) - 1).alias("excess"))
-    return g.filter((F.col("n") == n) & (F.col("excess") >= least))
+    ok = (F.coalesce(F.col("amount"), F.lit(0)) > 0) & F.col("open").isNotNull() & F.col("close").isNotNull()
+    broken = ~ok | F.coalesce(F.col("cal_idx") - F.lag("cal_idx").over(own()) != 1, F.lit(True))
+    x = rows.withColumn("grp", F.sum(broken.cast("int")).over(to_here())).filter(ok)
+    before = own().rowsBetween(-days, -1)
+    x = x.withColumns({"total": F.sum("amount").over(before), "n": F.count("*").over(before)}).filter(F.col("n") == days)
+    scaled = F.col("amount") * days
+    x = x.withColumns({"out": scaled > F.col("total"), "low": scaled < F.col("total") * F.lit(share).cast("decimal(4,2)")})
+    by = lambda *c: Window.partitionBy("sec", "grp", *c)
+    x = x.withColumn("sub", F.coalesce(F.sum(F.col("out").cast("int")).over(by().orderBy("d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    x = x.withColumn("isl", F.row_number().over(by("sub").orderBy("d")) - F.row_number().over(by("sub", "low").orderBy("d")))
+    x = x.withColumn("run", F.count("*").over(by("sub", "low", "isl")))
+    x = x.withColumn("low_start", F.min(F.when(F.col("low") & (F.col("run") >= least), F.col("d"))).over(by("sub")))
+    x = x.withColumn("low_days", F.sum((F.col("low") & (F.col("d") >= F.col("low_start"))).cast("long")).over(by("sub")))
+    return x.filter("out and low_start is not null").select("sec", "d", F.when(F.col("close") > F.col("open"), "event").otherwise("reject").alias("outcome"), "low_start", "low_days")
+
+
+def yearend_windows(calendar: DataFrame, *, n: int = 10) -> DataFrame:
+    """(year, d, place): the last n days of each December (1 to n), the day before them (0) and the first day of the next January (n + 1)."""
+    axis = Window.orderBy("d")  # a bounded axis
+    back = F.row_number().over(Window.partitionBy(F.year("d"), F.month("d")).orderBy(F.desc("d")))
+    x = calendar.select("d", F.row_number().over(axis).alias("i"), F.when((F.month("d") == 12) & (back <= n), n + 1 - back).alias("place"), F.year("d").alias("year"))
+    whole = x.filter("place is not null").groupBy("year").agg(F.count("*").alias("n"), F.min("i").alias("first"), F.max("i").alias("last")).filter((F.col("n") == n) & (F.col("first") > 1))
+    at = whole.select("year", F.explode(F.sequence(F.col("first") - 1, F.col("last") + 1)).alias("i"), (F.col("i") - F.col("first") + 1).alias("place"))
+    return at.join(x.select("i", "d"), "i").select("year", "d", "place")
+
+
+def yearend_strength(bars: DataFrame, market: DataFrame, windows: DataFrame, *, least: float = 0.05, n: int = 10) -> DataFrame:
+    """What becomes of each security and year with a bar in the window: (sec, year, event_date, excess, outcome).
+
+    All n + 1 closes, that of the day before the window included, must be there and above zero; the security's growth over the market's is the excess.
+    bars: (sec, d, close); market: (d, ret_eqw); windows: those of yearend_windows().
+    """
+    days = windows.filter(F.col("place") <= n)
+    grown = days.filter("place > 0").join(market, "d", "left").groupBy("year").agg(F.sum("ret_eqw").alias("market"), F.count("ret_eqw").alias("days")).filter(F.col("days") == n)
+    event = windows.filter(F.col("place") == n + 1).select("year", F.col("d").alias("event_date"))
+    at = lambda k: F.max(F.when(F.col("place") == k, F.col("close")))
+    g = bars.join(F.broadcast(days), "d").groupBy("sec", "year").agg(F.count("close").alias("n"), F.min("close").alias("low"), at(0).alias("c0"), at(n).alias("c1"))
+    g = g.join(F.broadcast(grown), "year").join(F.broadcast(event), "year").filter("n > 0")
+    excess = F.exp(F.ln(F.col("c1").cast("double")) - F.ln(F.col("c0").cast("double")) - F.col("market")) - 1
+    outcome = (
+        F.when((F.col("n") < n + 1) & F.col("c0").isNull(), "base_missing").when(F.col("n") < n + 1, "panel_partial").when(F.col("low") <= 0, "nonpositive_close")
+        .when(excess < least, "below").otherwise("event")
+    )
+    return g.select("sec", "year", "event_date", F.when(F.col("n") == n + 1, excess).alias("excess"), outcome.alias("outcome"))
 
 
 def state_changes(segments: DataFrame, before: str, after: str) -> DataFrame:
@@ -89,16 +116,43 @@ def trigger_days(index: DataFrame, calendar: DataFrame, members: DataFrame, *, l
     return hit.filter((F.col("d") >= F.col("in_date")) & (F.col("d") < F.col("out_date"))).select("d", "sec", F.when(F.col("ret") > 0, "up").otherwise("down").alias("direction"))
 
 
-def revisions(disclosures: DataFrame) -> DataFrame:
-    """For each later disclosure of one period the change of its scalar against the latest earlier day. disclosures: (sec, period, ann_date, value)."""
-    day = disclosures.groupBy("sec", "period", "ann_date").agg(F.count_distinct("value").alias("kinds"), F.min("value").alias("value"))
-    w = Window.partitionBy("sec", "period").orderBy("ann_date")
-    x = day.withColumns({"base": F.lag("value").over(w), "base_kinds": F.lag("kinds").over(w)})
+def revision_days(rows: DataFrame, *, start: str, end: str, excluded: tuple[str, ...] = ()) -> DataFrame:
+    """What becomes of each day of a chain of disclosures: (sec, end_date, first_ann_date, ann_date, base_date, outcome).
+
+    rows: (sec, ann_date, end_date, first_ann_date, lo, hi); a chain is (sec, end_date, first_ann_date). Repeated rows are one. Rows without anchor and rows before
+    their chain's beginning have the outcomes missing_anchor and temporal_violation and form no chain. A later day in [start, end) is compared with the chain's latest day
+    before it, whenever that was. Days of one security that point both ways are same_day_direction_conflict.
+    """
+    from eventide.functions.scalars import midpoint
+
+    x = rows.select("sec", "ann_date", "end_date", "first_ann_date", "lo", "hi").distinct().withColumn("v", midpoint(F.col("lo"), F.col("hi")))
+    bad = F.when(F.col("first_ann_date").isNull() | F.col("end_date").isNull(), "missing_anchor").when(F.col("ann_date") < F.col("first_ann_date"), "temporal_violation")
+    x = x.withColumn("bad", bad)
+    lost = x.filter("bad is not null").select("sec", "end_date", "first_ann_date", "ann_date", F.lit(None).cast("date").alias("base_date"), F.col("bad").alias("outcome"))
+    chain = ["sec", "end_date", "first_ann_date"]
+    day = x.filter("bad is null").groupBy(*chain, "ann_date").agg(F.bool_or(F.col("v").isNull()).alias("gap"), F.count_distinct("v").alias("kinds"), F.min("v").alias("v"))
+    day = day.withColumn("state", F.when(F.col("gap"), "undecidable").when(F.col("kinds") > 1, "inconsistent"))
+    by = Window.partitionBy(*chain)
+    firsts = day.select(*chain).distinct().groupBy("sec", "end_date").agg(F.count("*").alias("chains"))
+    day = day.withColumns({"base": F.lag(F.struct("ann_date", "state", "v")).over(by.orderBy("ann_date")), "opened": F.max((F.col("ann_date") == F.col("first_ann_date")).cast("int")).over(by)})
+    c = day.filter((F.col("ann_date") != F.col("first_ann_date")) & (F.col("ann_date") >= F.lit(start).cast("date")) & (F.col("ann_date") < F.lit(end).cast("date"))).join(firsts, ["sec", "end_date"])
+    v, base = F.col("v"), F.col("base.v")
     outcome = (
-        F.when(F.col("base_kinds").isNull(), "first").when((F.col("kinds") > 1) | (F.col("base_kinds") > 1), "same_day_conflict").when(F.col("value").isNull(), "no_current").when(F.col("base").isNull(), "no_baseline")
-        .when(F.col("value") == F.col("base"), "flat").when(F.col("value") > F.col("base"), "up").otherwise("down")
+        F.when(F.col("chains") > 1, "multi_chain").when(F.col("sec").isin(*excluded) if excluded else F.lit(False), "excluded_ticker").when(F.col("opened") == 0, "orphan")
+        .when(F.col("state").isNotNull(), F.concat(F.lit("current_"), F.col("state"))).when(F.col("base.state").isNotNull(), F.concat(F.lit("baseline_"), F.col("base.state")))
+        .when(v > base, "up").when(v < base, "down").otherwise("flat")
     )
-    return x.select("sec", "period", "ann_date", outcome.alias("outcome"))
+    c = c.withColumn("outcome", outcome)
+    way = F.when(F.col("outcome").isin("up", "down"), F.col("outcome"))
+    one = Window.partitionBy("sec", "ann_date")
+    both = F.min(way).over(one) != F.max(way).over(one)
+    c = c.withColumn("outcome", F.when(way.isNotNull() & both, "same_day_direction_conflict").otherwise(F.col("outcome")))
+    return c.select(*chain, "ann_date", F.col("base.ann_date").alias("base_date"), "outcome").unionByName(lost)
+
+
+def revision_events(days: DataFrame) -> DataFrame:
+    """One event for each security and day, with the number of its chains."""
+    return days.filter("outcome in ('up', 'down')").groupBy("sec", "ann_date").agg(F.first("outcome").alias("direction"), F.count("*").alias("member_chains"))
 
 
 def dividend_surprise(years: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from eventide.operators import rules as X
 from eventide.plans.market import LN
 from eventide.plans.relational import NAMES_SQL, STATE_SQL, names
 from eventide.registry import query
-from eventide.sources.panel import DENSE, bars, calendar, panel_sql, read
+from eventide.sources.panel import bars, calendar, panel_sql, read
 
 W = "OVER (PARTITION BY sec ORDER BY d)"
 
@@ -20,12 +20,43 @@ def moved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.moving(bars(spark, sf_dir)).join(F.broadcast(calendar(spark, sf_dir)), "d")
 
 
-@query("r04_earnings_revision", """WITH day AS (SELECT user_id AS sec, json_extract_string(props, '$.k') AS period, CAST(ts AS DATE) AS ann_date, count(DISTINCT value) AS kinds, min(value) AS value FROM events GROUP BY 1, 2, 3),
-x AS (SELECT *, lag(value) OVER w AS base, lag(kinds) OVER w AS bk FROM day WINDOW w AS (PARTITION BY sec, period ORDER BY ann_date))
-SELECT sec, period, ann_date, CASE WHEN bk IS NULL THEN 'first' WHEN kinds > 1 OR bk > 1 THEN 'same_day_conflict' WHEN value = base THEN 'flat' WHEN value > base THEN 'up' ELSE 'down' END AS outcome FROM x""")
+# Orders are disclosures of a customer group for a year; most groups have one chain a year.
+
+CHAIN_SQL = """b AS (SELECT 'S' || (o_custkey % 400) AS sec, CAST(o_orderdate AS DATE) AS day, o_orderkey AS k FROM orders),
+f AS (SELECT sec, k, CASE WHEN k % 41 <> 0 THEN make_date(year(day), 12, 31) END AS end_date, CASE WHEN k % 37 <> 0 THEN make_date(year(day), 3, CAST(10 + CASE WHEN k % 53 = 0 THEN 1 ELSE 0 END AS INTEGER)) END AS first_ann_date,
+  make_date(year(day), 3, 10) + CAST([0, 30, 60, 0, -5, 90][k % 6 + 1] AS INTEGER) AS ann_date, CASE WHEN k % 11 <> 0 THEN CAST(k % 7 AS DOUBLE) END AS lo, CASE WHEN k % 5 <> 0 THEN CAST(k % 7 + k % 3 AS DOUBLE) END AS hi FROM b),
+x AS (SELECT DISTINCT sec, ann_date, end_date, first_ann_date, lo, hi, CASE WHEN lo IS NOT NULL AND hi IS NOT NULL THEN (lo + hi) / 2 ELSE coalesce(lo, hi) END AS v,
+  CASE WHEN first_ann_date IS NULL OR end_date IS NULL THEN 'missing_anchor' WHEN ann_date < first_ann_date THEN 'temporal_violation' END AS bad FROM f),
+dy AS (SELECT sec, end_date, first_ann_date, ann_date, CASE WHEN count(*) > count(v) THEN 'undecidable' WHEN count(DISTINCT v) > 1 THEN 'inconsistent' END AS state, min(v) AS v FROM x WHERE bad IS NULL GROUP BY 1, 2, 3, 4),
+ch AS (SELECT sec, end_date, count(DISTINCT first_ann_date) AS chains FROM dy GROUP BY 1, 2),
+cd AS (SELECT c.*, chains, (SELECT max(ann_date) FROM dy p WHERE p.sec = c.sec AND p.end_date = c.end_date AND p.first_ann_date = c.first_ann_date AND p.ann_date < c.ann_date) AS base_date,
+  EXISTS (SELECT 1 FROM dy p WHERE p.sec = c.sec AND p.end_date = c.end_date AND p.first_ann_date = c.first_ann_date AND p.ann_date = p.first_ann_date) AS opened
+  FROM dy c JOIN ch ON ch.sec = c.sec AND ch.end_date = c.end_date WHERE c.ann_date <> c.first_ann_date AND c.ann_date >= DATE '1996-01-01' AND c.ann_date < DATE '2000-05-01'),
+oc AS (SELECT cd.*, CASE WHEN chains > 1 THEN 'multi_chain' WHEN cd.sec = 'S7' THEN 'excluded_ticker' WHEN NOT opened THEN 'orphan' WHEN cd.state IS NOT NULL THEN 'current_' || cd.state WHEN b.state IS NOT NULL THEN 'baseline_' || b.state WHEN cd.v > b.v THEN 'up' WHEN cd.v < b.v THEN 'down' ELSE 'flat' END AS o
+  FROM cd LEFT JOIN dy b ON b.sec = cd.sec AND b.end_date = cd.end_date AND b.first_ann_date = cd.first_ann_date AND b.ann_date = base_date),
+dc AS (SELECT sec, end_date, first_ann_date, ann_date, base_date, CASE WHEN o IN ('up', 'down') AND (SELECT count(DISTINCT q.o) FROM oc q WHERE q.sec = oc.sec AND q.ann_date = oc.ann_date AND q.o IN ('up', 'down')) > 1 THEN 'same_day_direction_conflict' ELSE o END AS outcome FROM oc
+  UNION ALL SELECT sec, end_date, first_ann_date, ann_date, NULL, bad FROM x WHERE bad IS NOT NULL)"""
+
+
+def disclosures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, y = F.col("o_orderkey"), F.year("o_orderdate")
+    tenth = F.make_date(y, F.lit(3), F.lit(10))
+    shift = F.element_at(F.array(*map(F.lit, (0, 30, 60, 0, -5, 90))), (k % 6 + 1).cast("int"))
+    rows = read(spark, sf_dir, "orders").select(
+        F.concat(F.lit("S"), F.col("o_custkey") % 400).alias("sec"), F.when(k % 41 != 0, F.make_date(y, F.lit(12), F.lit(31))).alias("end_date"), F.when(k % 37 != 0, F.date_add(tenth, F.when(k % 53 == 0, 1).otherwise(0))).alias("first_ann_date"),
+        F.date_add(tenth, shift).alias("ann_date"), F.when(k % 11 != 0, (k % 7).cast("double")).alias("lo"), F.when(k % 5 != 0, (k % 7 + k % 3).cast("double")).alias("hi"),
+    )
+    return X.revision_days(rows, start="1996-01-01", end="2000-05-01", excluded=("S7",))
+
+
+@query("r04_earnings_revision", f"WITH {CHAIN_SQL} SELECT * FROM dc")
 def r04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events")
-    return X.revisions(e.select(F.col("user_id").alias("sec"), F.get_json_object("props", "$.k").alias("period"), F.to_date("ts").alias("ann_date"), "value"))
+    return disclosures(spark, sf_dir)
+
+
+@query("r04_revision_events", f"WITH {CHAIN_SQL} SELECT sec, ann_date, min(outcome) AS direction, count(*) AS member_chains FROM dc WHERE outcome IN ('up', 'down') GROUP BY 1, 2")
+def r04_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.revision_events(disclosures(spark, sf_dir))
 
 
 @query("r05_high_pullback", panel_sql(f"""b AS (SELECT sec, d, cal_idx, close, row_number() {W} AS n, max(close) OVER (PARTITION BY sec ORDER BY d ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS pm,
@@ -41,31 +72,31 @@ def r05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.high_pullback(rows)
 
 
-@query("r06_volume_drought", panel_sql(f"""p AS (SELECT sec, d, cal_idx, open, close, CAST(amount AS DOUBLE) AS amount, CASE WHEN count(*) OVER w = 10 THEN CAST(sum(amount) OVER w AS DOUBLE) / 10 END AS ma FROM bars JOIN cal USING (d) WINDOW w AS (PARTITION BY sec ORDER BY d ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)),
-p2 AS (SELECT *, coalesce(cal_idx - lag(cal_idx) {W}, 9) AS gap FROM p), q AS (SELECT *, sum(CASE WHEN ma IS NULL OR gap <> 1 THEN 1 ELSE 0 END) {W} AS grp FROM p2),
-k AS (SELECT *, row_number() {W} AS seq FROM q WHERE ma IS NOT NULL),
-outs AS (SELECT sec, grp, d, seq, open, close, lag(seq) OVER (PARTITION BY sec, grp ORDER BY seq) AS prev_out FROM k WHERE amount > ma),
-low AS (SELECT sec, grp, seq, seq - row_number() OVER (PARTITION BY sec, grp ORDER BY seq) AS isl FROM k WHERE amount < ma * 0.6),
-runs AS (SELECT sec, grp, min(seq) AS s0, max(seq) AS s1 FROM low GROUP BY sec, grp, isl HAVING count(*) >= 2)
-SELECT sec, d, CASE WHEN close > open THEN 'event' ELSE 'reject' END AS outcome FROM outs o
-WHERE EXISTS (SELECT 1 FROM runs r WHERE r.sec = o.sec AND r.grp = o.grp AND r.s1 < o.seq AND r.s0 > coalesce(o.prev_out, -1))"""))
-def r06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = X.own().rowsBetween(-10, -1)
-    ma = F.when(F.count("*").over(w) == 10, F.sum("amount").over(w).cast("double") / 10)
-    rows = bars(spark, sf_dir).join(F.broadcast(calendar(spark, sf_dir)), "d").withColumn("ma", ma)
-    return X.volume_drought(rows, share=0.6, least=2)
-
+# Bars whose volume 31 divides have no amount.
 
-YEAR_END = "ye AS (SELECT y AS year, d FROM (SELECT year(d) AS y, month(d) AS m, d, row_number() OVER (PARTITION BY year(d), month(d) ORDER BY d DESC) AS back FROM cal) WHERE m = 12 AND back <= 10)"
+@query("r06_volume_drought", panel_sql(f"""a AS (SELECT sec, d, cal_idx, open, close, CASE WHEN vol % 31 <> 0 THEN amount END AS amount FROM bars JOIN cal USING (d)),
+g AS (SELECT *, CASE WHEN amount IS NULL OR coalesce(cal_idx - lag(cal_idx) {W}, 9) <> 1 THEN 1 ELSE 0 END AS brk FROM a), q AS (SELECT *, sum(brk) {W} AS grp FROM g),
+p AS (SELECT *, sum(amount) OVER w AS s, count(*) OVER w AS n FROM q WHERE amount IS NOT NULL WINDOW w AS (PARTITION BY sec ORDER BY d ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)), k AS (SELECT *, row_number() {W} AS seq FROM p WHERE n = 10),
+outs AS (SELECT sec, grp, d, seq, open, close, coalesce(lag(seq) OVER (PARTITION BY sec, grp ORDER BY seq), -1) AS prev_out FROM k WHERE amount * 10 > s),
+low AS (SELECT sec, grp, d, seq, seq - row_number() OVER (PARTITION BY sec, grp ORDER BY seq) AS isl FROM k WHERE amount * 10 < s * 0.60),
+runs AS (SELECT sec, grp, min(seq) AS s0, max(seq) AS s1, min(d) AS d0 FROM low GROUP BY sec, grp, isl HAVING count(*) >= 2),
+z AS (SELECT o.sec, o.grp, o.d, o.seq, o.open, o.close, min(r.s0) AS s0, min(r.d0) AS low_start FROM outs o JOIN runs r ON r.sec = o.sec AND r.grp = o.grp AND r.s1 < o.seq AND r.s0 > o.prev_out GROUP BY ALL)
+SELECT sec, d, CASE WHEN close > open THEN 'event' ELSE 'reject' END AS outcome, low_start, (SELECT count(*) FROM low WHERE low.sec = z.sec AND low.grp = z.grp AND low.seq BETWEEN z.s0 AND z.seq) AS low_days FROM z"""))
+def r06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bars(spark, sf_dir).join(F.broadcast(calendar(spark, sf_dir)), "d").withColumn("amount", F.when(F.col("vol") % 31 != 0, F.col("amount")))
+    return X.volume_drought(rows, share="0.60", least=2, days=10)
 
 
-@query("r07_yearend_strength", panel_sql(f"""r AS (SELECT sec, d, {LN} AS ret FROM bars), m AS (SELECT d, avg(ret) AS rm FROM r WHERE ret IS NOT NULL GROUP BY d), {YEAR_END}
-SELECT sec, year, round(exp(sum(ret) - sum(rm)) - 1, 8) AS excess FROM r JOIN ye USING (d) JOIN m USING (d) WHERE ret IS NOT NULL GROUP BY sec, year HAVING count(*) = 10 AND exp(sum(ret) - sum(rm)) - 1 >= 0.05""", DENSE))
+@query("r07_yearend_strength", panel_sql(f"""r AS (SELECT sec, d, {LN} AS ret FROM bars), m AS (SELECT d, avg(ret) AS rm FROM r WHERE ret IS NOT NULL GROUP BY d),
+dc AS (SELECT year(d) AS y, d, row_number() OVER (PARTITION BY year(d) ORDER BY d DESC) AS back FROM cal WHERE month(d) = 12), w AS (SELECT y, min(d) AS d1, max(d) AS d3 FROM dc WHERE back <= 3 GROUP BY y HAVING count(*) = 3),
+v AS (SELECT y, d1, d3, (SELECT max(d) FROM cal WHERE d < d1) AS d0, (SELECT min(d) FROM cal WHERE d > d3) AS ev, (SELECT sum(rm) FROM m WHERE d BETWEEN d1 AND d3) AS mk FROM w),
+g AS (SELECT sec, y, ev, mk, count(*) AS n, max(close) FILTER (d = d0) AS c0, max(close) FILTER (d = d3) AS c1 FROM bars JOIN v ON d BETWEEN d0 AND d3 WHERE ev IS NOT NULL AND d0 IS NOT NULL GROUP BY ALL),
+e AS (SELECT *, CASE WHEN n = 4 THEN exp(ln(CAST(c1 AS DOUBLE)) - ln(CAST(c0 AS DOUBLE)) - mk) - 1 END AS x FROM g)
+SELECT sec, y AS year, ev AS event_date, round(x, 8) AS excess, CASE WHEN n < 4 AND c0 IS NULL THEN 'base_missing' WHEN n < 4 THEN 'panel_partial' WHEN x < 0.05 THEN 'below' ELSE 'event' END AS outcome FROM e"""))
 def r07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = R.gap_returns(bars(spark, sf_dir, DENSE))
-    month = Window.partitionBy(F.year("d"), F.month("d")).orderBy(F.desc("d"))
-    days = calendar(spark, sf_dir).withColumn("back", F.row_number().over(month)).filter("month(d) = 12 and back <= 10").select("d", F.year("d").alias("year"))
-    return X.yearend_strength(r, R.market_return(r), days).select("sec", "year", F.round("excess", 8).alias("excess"))
+    b = bars(spark, sf_dir)
+    market, windows = R.market_return(R.gap_returns(b)), X.yearend_windows(calendar(spark, sf_dir), n=3)
+    return X.yearend_strength(b, market, windows, n=3).withColumn("excess", F.round("excess", 8))
 
 
 def change_sql(before: str, after: str) -> str:

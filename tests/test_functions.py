@@ -188,23 +188,31 @@ def test_holding_paths_equal_walk(spark, mode):
     assert any(x.extreme for x in out)
 
 
-def fold_drought(rows, share, least):
-    out, run, armed, last = [], 0, False, None
-    for d, idx, amount, ma in rows:
-        if ma is None or last is None or idx - last != 1:
-            run, armed = 0, False
+def fold_drought(rows, share, least, days):
+    """The rule as a walk over one security's rows (d, cal_idx, amount)."""
+    out, prior, low, start, armed, last = [], [], 0, None, False, None
+    for d, idx, amount in rows:
+        if last is not None and idx != last + 1 or amount is None:
+            low, start, armed = 0, None, False
         last = idx
-        if ma is None:
+        if amount is None:
             continue
-        if amount > ma:
-            if armed:
-                out.append(d)
-            run, armed = 0, False
-        elif amount < ma * share:
-            run += 1
-            armed = armed or run >= least
+        if len(prior) < days:
+            prior.append(amount)
+            continue
+        total = sum(prior[-days:])
+        if amount * days < share * total:
+            if not low and not armed:
+                start = d
+            low += 1
+            armed = armed or low >= least
+        elif armed:
+            if amount * days > total:
+                out.append((d, start, low))
+                low, start, armed = 0, None, False
         else:
-            run = 0
+            low, start = 0, None
+        prior.append(amount)
     return out
 
 
@@ -212,9 +220,9 @@ def test_volume_drought_equals_fold(spark):
     r, rows = random.Random(4), []
     for s in range(30):
         idx = 0
-        for d in range(80):
-            idx += 1 if r.random() < 0.95 else 2
-            rows.append((f"s{s}", d, idx, 1.0, 2.0, float(r.choice([10, 20, 20, 20, 60, 120])), 100.0 if r.random() < 0.97 else None))
-    df = spark.createDataFrame(rows, "sec string, d int, cal_idx int, open double, close double, amount double, ma double")
-    want = {(s, d) for s in {x[0] for x in rows} for d in fold_drought([(x[1], x[2], x[5], x[6]) for x in rows if x[0] == s], 0.3, 3)}
-    assert {(x.sec, x.d) for x in X.volume_drought(df, least=3).collect()} == want and want
+        for d in range(120):
+            idx += 1 if r.random() < 0.96 else 2
+            rows.append((f"s{s}", d, idx, 1, 2, r.choice([10, 10, 20, 20, 60, 120]) if r.random() < 0.97 else None))
+    df = spark.createDataFrame(rows, "sec string, d int, cal_idx int, open int, close int, amount int").withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+    want = {(s, *e) for s in {x[0] for x in rows} for e in fold_drought([(x[1], x[2], x[5]) for x in rows if x[0] == s], 0.5, 3, 8)}
+    assert {(x.sec, x.d, x.low_start, x.low_days) for x in X.volume_drought(df, share="0.50", least=3, days=8).collect()} == want and want
