@@ -1,3 +1,3 @@
 """Query modules; importing one registers its queries."""
 
-from eventide.plans import market, more, relational, rules, selection, strata, study  # noqa: F401
+from eventide.plans import market, more, relational, rules, selection, strata, study, views  # noqa: F401

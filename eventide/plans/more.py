@@ -109,12 +109,6 @@ def a31(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("a39_key_set_equality", "SELECT r_regionkey, list(n_nationkey ORDER BY n_nationkey) = (SELECT list(k ORDER BY k) FROM (SELECT DISTINCT n_nationkey AS k FROM nation WHERE n_regionkey = r_regionkey)) AS same FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey")
-def a39(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = read(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.sort_array(F.collect_list("n_nationkey")).alias("a"), F.sort_array(F.collect_set("n_nationkey")).alias("b"))
-    return n.join(read(spark, sf_dir, "region"), "r_regionkey", "left_semi").select("r_regionkey", (F.col("a") == F.col("b")).alias("same"))
-
-
 @query("k06_json_extract", "SELECT concat_ws('|', event_id, event_type, json_extract_string(props, '$.k')) AS line FROM events")
 def k06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.concat_ws("|", F.col("event_id").cast("string"), "event_type", F.get_json_object("props", "$.k")).alias("line"))
@@ -124,20 +118,3 @@ def k06(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t06(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
     return e.withColumn("first", F.min("day").over(Window.partitionBy("user_id"))).filter("day = first").select("event_id")
-
-
-@query("r17_unresolved_subset", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
-def r17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bad = read(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return read(spark, sf_dir, "orders").select("o_orderkey").join(bad, "o_orderkey", "left_anti")
-
-
-@query("p18_amount_extraction", r"""SELECT doc_id, len(regexp_extract_all(text, '[0-9a-f]{8,}')) AS n_tokens, regexp_extract(text, '(?i)(password|token) *= *"?([0-9a-f]+)', 2) AS first_value FROM documents""")
-def p18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents")
-    return d.select("doc_id", F.size(F.regexp_extract_all("text", F.lit("[0-9a-f]{8,}"), F.lit(0))).cast("long").alias("n_tokens"), F.regexp_extract("text", r'(?i)(password|token) *= *"?([0-9a-f]+)', 2).alias("first_value"))
-
-
-@query("p11_regime_segments", panel_sql("SELECT CASE WHEN d < DATE '2020-08-24' THEN 'pre_10pct' ELSE 'post_20pct' END AS segment, count(*) AS n FROM bars GROUP BY 1", DENSE))
-def p11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars(spark, sf_dir, DENSE).groupBy(S.regime_segment(F.col("d")).alias("segment")).agg(F.count("*").alias("n"))

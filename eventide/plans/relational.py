@@ -185,12 +185,6 @@ def j10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return y.join(prior, ["sec", "y"], "left").select("sec", "y", c.alias("class"))
 
 
-@query("j12_orphans", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-def j12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return read(spark, sf_dir, "customer").select("c_custkey", "c_name").join(orders, "c_custkey", "left_anti")
-
-
 @query("j13_exists", "SELECT s_suppkey, s_name FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_returnflag = 'R' AND l_quantity > 45)")
 def j13(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = read(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_suppkey").alias("s_suppkey"))
@@ -275,15 +269,6 @@ def a24(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.agg(F.count("*").alias("n"), F.count_if("u").alias("unknown"), (F.avg(F.col("u").cast("double")) > 0.05).alias("escalate"))
 
 
-@query("a42_direction_calibration", panel_sql("""h AS (SELECT sec, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (close >= open) AS DOUBLE) AS hits FROM bars GROUP BY sec)
-SELECT sec, CAST(n AS BIGINT) AS n, CAST(hits AS BIGINT) AS hits, round((hits / n + 1.9207294103470555 / n - 1.959963984540054 * sqrt(hits / n * (1 - hits / n) / n + 0.96036470517352775 / (n * n))) / (1 + 3.841458820694111 / n), 9) AS lo,
-  round((hits / n + 1.9207294103470555 / n + 1.959963984540054 * sqrt(hits / n * (1 - hits / n) / n + 0.96036470517352775 / (n * n))) / (1 + 3.841458820694111 / n), 9) AS hi FROM h"""))
-def a42(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = bars(spark, sf_dir).groupBy("sec").agg(F.count("*").alias("n"), F.count_if(F.col("close") >= F.col("open")).alias("hits"))
-    lo, hi = S.wilson(F.col("hits").cast("double"), F.col("n").cast("double"))
-    return g.select("sec", "n", "hits", F.round(lo, 9).alias("lo"), F.round(hi, 9).alias("hi"))
-
-
 @query("u01_whole_row_dedup", "SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events")
 def u01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("user_id", "event_type", F.to_date("ts").alias("day")).dropDuplicates()
@@ -297,16 +282,6 @@ def u02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.filter("a <> b").select(F.when(F.col("a"), "left").otherwise("right").alias("side"), "user_id", "event_type")
 
 
-@query("u04_dual_computation", panel_sql("""m AS (SELECT d, avg(CAST(close AS DOUBLE)) AS a, sum(CAST(close AS DOUBLE)) / count(*) AS b, count(*) AS n FROM bars GROUP BY d)
-SELECT count(*) AS days, max(abs(a - b)) < 1e-9 AS within_tolerance, 0 AS n_mismatch FROM m"""))
-def u04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.col("close").cast("double")
-    one = bars(spark, sf_dir).groupBy("d").agg(F.avg(x).alias("a"), F.count("*").alias("n"))
-    two = bars(spark, sf_dir).groupBy("d").agg((F.sum(x) / F.count("*")).alias("b"), F.count("*").alias("m"))
-    both = one.join(two, "d", "full")
-    return both.agg(F.count("*").alias("days"), (F.max(F.abs(F.col("a") - F.col("b"))) < 1e-9).alias("within_tolerance"), F.count_if(~F.col("n").eqNullSafe(F.col("m"))).cast("int").alias("n_mismatch"))
-
-
 @query("u06_membership_minus", panel_sql("SELECT count(*) FILTER (b.sec IS NULL) AS missing, count(*) AS n FROM ev LEFT JOIN bars b ON b.sec = ev.sec AND b.d = anchor"))
 def u06(spark: SparkSession, sf_dir: str) -> DataFrame:
     there = bars(spark, sf_dir).select("sec", F.col("d").alias("anchor"), F.lit(1).alias("there"))
@@ -362,11 +337,6 @@ def l07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy(step.alias("step")).agg(F.count("*").alias("n")).withColumn("allowed", F.col("step").isin("birth>registered", *ALLOWED))
 
 
-@query("l09_digest_anchor", "SELECT event_id, sha256(props) AS sha FROM events")
-def l09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").select("event_id", F.sha2("props", 256).alias("sha"))
-
-
 @query("l12_ledger_summary", "SELECT event_type AS status, count(*) AS n, count(*) FILTER (value > 50) AS hits FROM events GROUP BY 1")
 def l12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("hits"))

@@ -34,6 +34,41 @@ def current(df: DataFrame, key: str = "batch_id") -> DataFrame:
     return df.filter(F.col(key) == F.lit(last)) if last is not None else df.limit(0)
 
 
+#: Codes by suffix: every exchange but Beijing's, or Shanghai's and Shenzhen's only.
+SUFFIXES = {"not_bj": r"^(?!.*\.BJ$)", "sh_sz": r"\.(SH|SZ)$"}
+
+
+def reader_view(
+    table: DataFrame, columns: list[str], *, batch: int | None = None, dates: tuple[str, ...] = (), null_passes: bool = False, suffix: str | None = None, code: str = "ts_code", where: str | None = None
+) -> DataFrame:
+    """A snapshot table as a study may see it, with the batch that it comes from.
+
+    One code path for the current view (the latest batch) and the pinned one (`batch`): dates before the holdout, codes by suffix, and a
+    condition that all rows meet. batch_id is compared with a literal, so that it prunes partitions.
+    """
+    rows = current(table) if batch is None else table.filter(F.col("batch_id") == F.lit(batch))
+    rows = before_holdout(rows, *dates, null_passes=null_passes)
+    if suffix is not None:
+        rows = rows.filter(F.col(code).rlike(SUFFIXES[suffix]))
+    if where is not None:
+        rows = rows.filter(where)
+    return rows.select(*columns, F.concat(F.lit("batch"), F.col("batch_id")).alias("snapshot_batch"))
+
+
+def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A CSV file with a header under a fixed schema; a header that differs from it, or a value that doesn't parse, raises."""
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: StructType, key: str) -> DataFrame:
+    """A checkpoint of JSON lines; a key that occurs twice raises."""
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    twice = rows.groupBy(key).count().filter("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"key {twice[0][key]!r} occurs {twice[0]['count']} times in the checkpoint")
+    return rows
+
+
 def first_disclosure(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in a total order."""
     rn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -93,6 +128,23 @@ def append_batch(df: DataFrame, path: str, batch_id: int, *, expect: int | None
     return n
 
 
+def land_derived(rows: DataFrame, other: DataFrame, path: str, batch_id: int, *, keys: list[str], value: str, tolerance: float = 1e-9) -> int:
+    """Appends a derived table only if a second computation has the same keys, and values within `tolerance`."""
+    a, b = rows.select(*keys, F.col(value).alias("_a"), F.lit(True).alias("_left")), other.select(*keys, F.col(value).alias("_b"), F.lit(True).alias("_right"))
+    both = a.join(b, keys, "full")
+    one = both.agg(F.count_if(F.col("_left").isNull() | F.col("_right").isNull()).alias("keys"), F.count_if(F.col("_a").isNull() != F.col("_b").isNull()).alias("nulls"), F.max(F.abs(F.col("_a") - F.col("_b"))).alias("apart")).first()
+    if one["keys"] or one["nulls"] or (one["apart"] or 0.0) > tolerance:
+        raise ValueError(f"the two computations differ: {one.asDict()}")
+    return append_batch(rows, path, batch_id, expect=rows.count())
+
+
+def evidence_manifest(files: DataFrame, *, pull_time: str) -> dict:
+    """The digest of each evidence file (binaryFile rows), and of the sorted list."""
+    rows = files.select(F.regexp_extract("path", r"[^/]+$", 0).alias("name"), F.sha2("content", 256).alias("sha256"), "length").orderBy("name").collect()  # a list of files
+    listed = [r.asDict() for r in rows]
+    return {"pull_time": pull_time, "files": listed, "digest": hashlib.sha256("".join(f"{r['name']}:{r['sha256']}\n" for r in listed).encode()).hexdigest()}
+
+
 def canonical_digest(value: dict) -> str:
     """sha256 of the sorted, compact JSON without keys that begin with an underscore."""
     strip = lambda v: {k: strip(x) for k, x in v.items() if not k.startswith("_")} if isinstance(v, dict) else v
