@@ -208,6 +208,14 @@ def corrado(est: DataFrame, fit: DataFrame, ab: DataFrame) -> DataFrame:
     return ranked.groupBy("pos").agg(F.avg("k").alias("kbar"), F.count("*").alias("n"))
 
 
+def corrado_windows(kb: DataFrame, lengths: list[int]) -> DataFrame:
+    """(len, t): the sum of mean ranks over each window, by the scale of all positions and the root of the length; NULL if a day has no ranks."""
+    scale = kb.agg(F.sqrt(F.avg(F.col("kbar") * F.col("kbar"))).alias("s"))
+    days = kb.filter("pos >= 0").withColumn("len", F.explode(F.filter(F.array(*map(F.lit, lengths)), lambda n: n > F.col("pos"))))
+    sums = days.groupBy("len").agg(F.sum("kbar").alias("k"), F.count("kbar").alias("n")).crossJoin(scale)  # a single row
+    return sums.select("len", F.when((F.col("n") == F.col("len")) & (F.col("s") > 0), F.col("k") / (F.col("s") * F.sqrt(F.col("len").cast("double")))).alias("t"))
+
+
 def calendar_time(ab: DataFrame, *, length: int) -> DataFrame:
     """The mean abnormal return of each calendar day in windows, and its t over days."""
     days = ab.filter((F.col("tau") < length) & F.col("ar").isNotNull()).groupBy("cal_idx").agg(F.avg("ar").alias("p"))

@@ -244,10 +244,13 @@ def a34(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.filter("n = 1").select("event_id", "user_id")
 
 
-@query("a38_event_list_digest", panel_sql("SELECT layer, sha256(string_agg(event_id || chr(10), '' ORDER BY event_id)) AS sha, count(*) AS n FROM ev GROUP BY layer"))
+@query("a38_event_list_digest", panel_sql("""p AS (SELECT layer, year(anchor) AS y, sha256(string_agg(event_id || chr(10), '' ORDER BY event_id)) AS sha, count(*) AS n FROM ev GROUP BY 1, 2)
+SELECT layer, sha256(string_agg(CAST(y AS VARCHAR) || ':' || sha || chr(10), '' ORDER BY y)) AS sha, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY layer"""))
 def a38(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = F.sort_array(F.collect_list(F.concat("event_id", F.lit("\n"))))
-    return first_events(spark, sf_dir).groupBy("layer").agg(F.sha2(F.concat_ws("", ids), 256).alias("sha"), F.count("*").alias("n"))
+    """The digest of a layer's events: of each year's sorted list, then of the years' digests, so that no task holds a whole layer."""
+    lines = lambda *c: F.concat_ws("", F.sort_array(F.collect_list(F.concat(*c, F.lit("\n")))))
+    years = first_events(spark, sf_dir).groupBy("layer", F.year("anchor").cast("string").alias("y")).agg(F.sha2(lines("event_id"), 256).alias("sha"), F.count("*").alias("n"))
+    return years.groupBy("layer").agg(F.sha2(lines("y", F.lit(":"), "sha"), 256).alias("sha"), F.sum("n").alias("n"))
 
 
 @query("a43_ordered_strings", "SELECT r_name, string_agg(n_name, ',' ORDER BY n_name) AS nations FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name")
@@ -256,12 +259,6 @@ def a43(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.groupBy("r_name").agg(F.array_join(F.sort_array(F.collect_list("n_name")), ",").alias("nations"))
 
 
-@query("a21_rejections_by_year", panel_sql("SELECT year(anchor) AS y, layer, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY year(anchor)), 6) AS ratio FROM ev GROUP BY 1, 2"))
-def a21(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = first_events(spark, sf_dir).groupBy(F.year("anchor").alias("y"), "layer").agg(F.count("*").alias("n"))
-    return g.withColumn("ratio", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("y")), 6))
-
-
 @query("a24_industry_unknown", "SELECT count(*) AS n, count(*) FILTER (c_mktsegment = 'MACHINERY') AS unknown, avg(CASE WHEN c_mktsegment = 'MACHINERY' THEN 1.0 ELSE 0.0 END) > 0.05 AS escalate FROM customer")
 def a24(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = S.norm_industry(F.when(F.col("c_mktsegment") == "MACHINERY", "none").otherwise(F.col("c_mktsegment")))

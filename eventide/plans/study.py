@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventide.operators import study as E
@@ -119,17 +119,29 @@ def a11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.groupBy("layer").agg(F.round(F.sum("aar"), 9).alias("caar"), F.min("n").alias("min_n"))
 
 
-@query("a12_corrado_rank", sql("""al AS (SELECT res.event_id, res.cal_idx - kept.t + 90 AS pos, e AS ar FROM res JOIN kept USING (event_id) UNION ALL SELECT event_id, tau, ar FROM sa WHERE ar IS NOT NULL),
+RANK_SQL = """al AS (SELECT res.event_id, res.cal_idx - kept.t + 90 AS pos, e AS ar FROM res JOIN kept USING (event_id) UNION ALL SELECT event_id, tau, ar FROM sa WHERE ar IS NOT NULL),
 k AS (SELECT pos, (rank() OVER (PARTITION BY event_id ORDER BY ar) + (count(*) OVER (PARTITION BY event_id, ar) - 1) / 2.0) / (count(*) OVER (PARTITION BY event_id) + 1) - 0.5 AS k FROM al),
-kb AS (SELECT pos, avg(k) AS kbar, count(*) AS n FROM k GROUP BY pos)
-SELECT pos, n, round(kbar / sqrt((SELECT avg(kbar * kbar) FROM kb)), 6) AS t FROM kb WHERE pos >= 0"""))
+kb AS (SELECT pos, avg(k) AS kbar, count(*) AS n FROM k GROUP BY pos)"""
+
+
+def ranks(s: E.Study) -> DataFrame:
+    return E.corrado(s.est.join(s.kept.select("event_id"), "event_id", "left_semi"), s.fit, s.ab)
+
+
+@query("a12_corrado_rank", sql(RANK_SQL + " SELECT pos, n, round(kbar / sqrt((SELECT avg(kbar * kbar) FROM kb)), 6) AS t FROM kb WHERE pos >= 0"))
 def a12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = Study(spark, sf_dir)
-    kb = E.corrado(s.est.join(s.kept.select("event_id"), "event_id", "left_semi"), s.fit, s.ab)
+    kb = keep(ranks(Study(spark, sf_dir)))
     scale = kb.agg(F.sqrt(F.avg(F.col("kbar") * F.col("kbar"))).alias("s"))
     return kb.filter("pos >= 0").crossJoin(scale).select("pos", "n", F.round(F.col("kbar") / F.col("s"), 6).alias("t"))
 
 
+@query("a12_corrado_windows", sql(RANK_SQL + """, w AS (SELECT unnest([5, 10, 20]) AS len) SELECT len, CASE WHEN count(kbar) = len THEN round(sum(kbar) / (sqrt((SELECT avg(kbar * kbar) FROM kb)) * sqrt(len)), 6) END AS t
+FROM w JOIN kb ON pos >= 0 AND pos < len GROUP BY len"""))
+def a12_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cumulated statistic of each window; NULL where a day of it has no ranks."""
+    return E.corrado_windows(keep(ranks(Study(spark, sf_dir))), [5, 10, 20]).select("len", F.round("t", 6).alias("t"))
+
+
 @query("a13_calendar_time", sql("SELECT round(avg(p), 9) AS mean, round(avg(p) / stddev_samp(p) * sqrt(count(*)), 8) AS t, count(*) AS n_days FROM (SELECT idx, avg(ar) AS p FROM sa WHERE ar IS NOT NULL GROUP BY idx)"))
 def a13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.calendar_time(Study(spark, sf_dir).ab, length=LENGTH).select("n_days", F.round("mean", 9).alias("mean"), F.round("t", 8).alias("t"))
@@ -166,4 +178,23 @@ def a41(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eventide.operators.verdicts import size_test
 
     sims = size_test(spark)
-    return sims.agg(F.count("*").alias("sims"), F.avg(F.col("naive").cast("double")).alias("naive_rate"), F.avg(F.col("adjusted").cast("double")).alias("adjusted_rate"))
+    return sims.agg(F.count("*").alias("sims"), F.avg(F.col("naive").cast("double")).alias("naive_rate"), F.avg(F.col("adjusted").cast("double")).alias("adjusted_rate"), F.avg("rho").alias("mean_rho"))
+
+
+@query("a21_rejections_by_year", sql("""y AS (SELECT year(anchor) AS year, coalesce(reason, 'valid') AS outcome, count(*) AS n FROM fin GROUP BY 1, 2)
+SELECT year, outcome, n, round(n / sum(n) OVER (PARTITION BY year), 9) AS ratio, (SELECT count(*) FILTER (reason IS NOT NULL) / count(*) FROM fin) > 0.05 AS alert FROM y"""))
+def a21(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejections by year and reason; alert if more than 5 % of all events are rejected."""
+    f = Study(spark, sf_dir).final.groupBy(F.year("anchor").cast("long").alias("year"), F.coalesce("reject_reason", F.lit("valid")).alias("outcome")).agg(F.count("*").alias("n"))
+    total = f.agg((F.sum(F.when(F.col("outcome") != "valid", F.col("n")).otherwise(0)) / F.sum("n") > 0.05).alias("alert"))
+    return f.withColumn("ratio", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("year")), 9)).crossJoin(total)  # a single row
+
+
+@query("t02_total_order", "SELECT o_custkey, o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderdate END NULLS FIRST, o_totalprice DESC NULLS LAST, o_orderkey) AS place FROM orders WHERE o_custkey % 50 = 0")
+def t02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads in one total order: NULL dates first, then by price, ties by key; a customer sample's rows fit one task."""
+    from eventide.sources.panel import read
+
+    day = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderdate"))
+    w = Window.orderBy(day.asc_nulls_first(), F.col("o_totalprice").desc_nulls_last(), "o_orderkey")
+    return read(spark, sf_dir, "orders").filter("o_custkey % 50 = 0").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("place"))
