@@ -120,20 +120,22 @@ def shared_counts(s: Shingles) -> tuple[np.ndarray, np.ndarray]:
     return both, size
 
 
-def blocks(members: DataFrame, *, block: int) -> DataFrame:
+def blocks(members: DataFrame, *, block: int, counts: DataFrame | None = None, total: int = 0, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Deals the texts of mixed buckets to groups in which every two of different components meet.
 
     members: (band, bucket, id, root, size in bytes). Adds kind, lo and hi, a row for each group of a text. The texts outside the
     bucket's largest component are cut into chunks of `block` rows (a row counts more by 16 KB each), and so are those inside it: a
     chunk outside meets every chunk inside (kind 0) and every other outside (kind 1). So a bucket of n copies and few others
-    travels as often as the others have chunks, once as a rule.
+    travels as often as the others have chunks, once as a rule. counts: (band, bucket, n) of the buckets, `total` of all.
     """
     weight = 1 + F.col("size") / 16_384
     parts = members.groupBy("band", "bucket", "root").agg(F.count("*").alias("n"), F.sum(weight).alias("weight"))
     chunks = lambda w: F.ceil(w / block).cast("int")
     bucket = parts.groupBy("band", "bucket").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.sum("weight").alias("all"), F.max_by("weight", F.struct("n", "root")).alias("weight"))
     bucket = bucket.select("band", "bucket", "most", chunks(F.col("weight")).alias("inside"), F.greatest(F.lit(1), chunks(F.col("all") - F.col("weight"))).alias("outside"))
-    rows = members.join(bucket, ["band", "bucket"]).withColumn("in", F.col("root") == F.col("most"))
+    key = ["band", "bucket"]
+    rows = members.join(bucket, key) if counts is None else spread_join(members, bucket, key, counts, total=total, hot_rows=hot_rows)
+    rows = rows.withColumn("in", F.col("root") == F.col("most"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("in"), F.col("inside")).otherwise(F.col("outside"))).cast("int"))
     upto = lambda n: F.sequence(F.lit(0), n - 1)
     group = lambda kind, lo, hi: F.struct(F.lit(kind).alias("kind"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
@@ -147,7 +149,7 @@ def blocks(members: DataFrame, *, block: int) -> DataFrame:
     return rows.select("band", "bucket", "id", "root", F.explode(met).alias("g")).select("band", "bucket", "g.kind", "g.lo", "g.hi", "id", "root")
 
 
-def block_links(members: DataFrame, texts: DataFrame, *, k: int, threshold: float, block: int) -> DataFrame:
+def block_links(members: DataFrame, texts: DataFrame, *, k: int, threshold: float, block: int, counts: DataFrame, total: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(a, b): links that connect what buckets' texts of different components connect. members: (band, bucket, id, root)."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -160,7 +162,7 @@ def block_links(members: DataFrame, texts: DataFrame, *, k: int, threshold: floa
         has = np.flatnonzero(root != np.arange(len(ids)))
         return pd.DataFrame({"a": ids[root[has]], "b": ids[has]})
 
-    groups = blocks(members.join(texts.select("id", "size"), "id"), block=block)
+    groups = blocks(members.join(texts.select("id", "size"), "id"), block=block, counts=counts, total=total, hot_rows=hot_rows)
     rows = groups.join(texts.select("id", "text"), "id")
     return rows.groupBy("band", "bucket", "kind", "lo", "hi").applyInPandas(compare, "a long, b long")
 
@@ -187,14 +189,15 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, band
     root = connected_components(links)
     member = written(shared.join(root, "id", "left").select("band", "bucket", "id", "n", F.coalesce("root", "id").alias("root")))
     mixed = member.groupBy("band", "bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band", "bucket")
-    left = written(member.filter("n > 2").join(mixed, ["band", "bucket"]))
+    sizes = leaders.select("band", "bucket", "n")
+    left = written(spread_join(member.filter("n > 2"), mixed, ["band", "bucket"], sizes, total=n_slots, hot_rows=hot_rows))
     few = left.filter(F.col("n") <= small)
     x = few.select("band", "bucket", F.col("id").alias("a"), F.col("root").alias("ra"))
     y = few.select("band", "bucket", F.col("id").alias("b"), F.col("root").alias("rb"))
     rest = x.join(y, ["band", "bucket"]).filter("a < b and ra <> rb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
     rest = written(rest)
     more = verified(rest, texts, k=k, threshold=threshold, hot_rows=hot_rows)
-    many = block_links(left.filter(F.col("n") > small), texts, k=k, threshold=threshold, block=block)
+    many = block_links(left.filter(F.col("n") > small).drop("n"), texts, k=k, threshold=threshold, block=block, counts=sizes, total=n_slots, hot_rows=hot_rows)
     # links of texts are links of the documents that stand for them
     found = links.union(more).union(many)
     found = found.join(ones.select(F.col("id").alias("a"), F.col("doc_id").alias("da")), "a").join(ones.select(F.col("id").alias("b"), F.col("doc_id").alias("db")), "b")
