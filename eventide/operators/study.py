@@ -27,16 +27,19 @@ POLICIES = ("legacy", "unified", "unified_announcement", "missing_bar_only")
 
 
 def clean(
-    events: DataFrame, bars: DataFrame, calendar: DataFrame, *, policy: str = "missing_bar_only", st: DataFrame | None = None, max_days: int = POSTPONE, tau0_on_anchor: bool = False
+    events: DataFrame, bars: DataFrame, calendar: DataFrame, *, policy: str = "missing_bar_only", st: DataFrame | None = None, st_policy: str = "reject", max_days: int = POSTPONE, tau0_on_anchor: bool = False
 ) -> DataFrame:
-    """Adds tau0 and reject_reason, the first that holds in the ladder's order.
+    """Adds tau0, is_st and reject_reason, the first that holds in the ladder's order.
 
     events: (event_id, sec, anchor, anchor_idx), anchor_idx the last open day up to the anchor. bars: (sec, d, cal_idx,
-    one_word). st: (sec, cal_idx) of days under special treatment, if those are rejected.
+    one_word). st: (sec, cal_idx) of days under special treatment, or (sec) of securities that are under it throughout (st_days()); st_policy
+    rejects events of these, or keeps them and marks them.
     legacy and unified need the anchor itself to be an open day; legacy rejects a suspension at T or T+1,
     unified one at T. tau0 is the first day from T+1 (or T) that isn't blocked, at most `max_days` later:
     missing bars block under every policy, one-word bars under all but missing_bar_only.
     """
+    if st_policy not in ("reject", "keep"):
+        raise ValueError(f"no such policy: {st_policy}")
     if policy not in POLICIES or tau0_on_anchor and policy != "missing_bar_only":
         raise ValueError(f"no such policy: {policy}, tau0_on_anchor={tau0_on_anchor}")
     have = bars.select("sec", "cal_idx")
@@ -57,16 +60,26 @@ def clean(
     e = e.join(listed, "sec", "left").join(found, "event_id", "left").crossJoin(F.broadcast(calendar.agg(F.max("cal_idx").alias("last_idx"))))
     is_st = F.lit(False)
     if st is not None:
-        e = e.join(st.select("sec", F.col("cal_idx").alias("anchor_idx"), F.lit(True).alias("is_st")).distinct(), ["sec", "anchor_idx"], "left")
-        is_st = F.coalesce("is_st", F.lit(False))
+        days = st.withColumnRenamed("cal_idx", "anchor_idx").distinct().withColumn("_st", F.lit(True))
+        e = e.join(days, [c for c in days.columns if c != "_st"], "left")
+        is_st = F.coalesce("_st", F.lit(False))
     # a row beyond the axis is not a suspension
     gone1 = F.col("gone1") & (F.col("anchor_idx") + 1 <= F.col("last_idx"))
     day = {"legacy": F.when(F.col("gone0") | gone1, "suspension"), "unified": F.when(F.col("gone0"), "event_day_anomaly")}.get(policy, F.lit(None).cast("string"))
     ladder = (
-        F.when(F.col("n_bars").isNull(), "no_price").when(F.col("anchor_idx").isNull(), "history").when(F.col("anchor_idx") < EST_FROM, "history").when(is_st, "st")
+        F.when(F.col("n_bars").isNull(), "no_price").when(F.col("anchor_idx").isNull(), "history").when(F.col("anchor_idx") < EST_FROM, "history").when(is_st & F.lit(st_policy == "reject"), "st")
     )
     last = F.when(F.col("tau0").isNull() & (F.col("start") + max_days > F.col("last_idx")), "history").when(F.col("tau0").isNull(), "postpone")
-    return e.select(*events.columns, "tau0", "last_idx", F.coalesce(ladder, day, last).alias("reject_reason"))
+    return e.select(*events.columns, "tau0", "last_idx", is_st.alias("is_st"), F.coalesce(ladder, day, last).alias("reject_reason"))
+
+
+def st_days(rows: DataFrame, mode: str = "event_day") -> DataFrame:
+    """What clean() takes as st. rows: (sec, d, cal_idx, st). event_day: the days marked; legacy_row0: the securities whose first row is marked."""
+    if mode == "event_day":
+        return rows.filter("st").select("sec", "cal_idx")
+    if mode != "legacy_row0":
+        raise ValueError(f"no such mode: {mode}")
+    return rows.groupBy("sec").agg(F.min_by("st", "d").alias("st")).filter("st").select("sec")
 
 
 def estimation(events: DataFrame, returns: DataFrame, market: DataFrame) -> DataFrame:
@@ -142,7 +155,13 @@ def kp_factor(rho: Column, n: Column) -> Column:
 
 
 def rho_bar(est: DataFrame, fit: DataFrame, groups: DataFrame, *, least: int = 3, block: int = 1000) -> DataFrame:
-    """The mean correlation of estimation residuals over event pairs of one group with common days.
+    """(rho, n_pairs) over the pairs of all groups; 0 without any."""
+    sums = rho_sums(est, fit, groups, least=least, block=block)
+    return sums.agg(F.coalesce(F.sum("total") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("rho"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"))
+
+
+def rho_sums(est: DataFrame, fit: DataFrame, groups: DataFrame, *, least: int = 3, block: int = 1000) -> DataFrame:
+    """(grp, total, n), a few rows a group: the correlation of estimation residuals over event pairs of one group with common days.
 
     groups: (event_id, grp). Two windows of EST_LEN days meet only if they begin in one stretch of that length or in two that adjoin, so an
     event travels twice, as one row of residuals, and a task compares a block of events of a stretch with a block of the
@@ -184,10 +203,9 @@ def rho_bar(est: DataFrame, fit: DataFrame, groups: DataFrame, *, least: int = 3
             good = (n >= least) & (va > 1e-12 * qa) & (vb > 1e-12 * qb)
         if alone:
             good &= np.triu(np.ones(good.shape, bool), 1)
-        return pd.DataFrame({"total": [float(rho[good].sum())], "n": [int(good.sum())]})
+        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "total": [float(rho[good].sum())], "n": [int(good.sum())]})
 
-    sums = dealt.groupBy("grp", "kind", "at", "lo", "hi").applyInPandas(compare, "total double, n long")
-    return sums.agg(F.coalesce(F.sum("total") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("rho"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"))
+    return dealt.groupBy("grp", "kind", "at", "lo", "hi").applyInPandas(compare, "grp string, total double, n long")
 
 
 def car(ab: DataFrame, *, length: int) -> DataFrame:

@@ -56,6 +56,26 @@ def e03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.clean(ev, b, cal, st=b.filter("vol % 7 = 0").select("sec", "cal_idx"), tau0_on_anchor=True).select("event_id", "tau0", "reject_reason")
 
 
+ST_MODE_SQL = """b AS (SELECT sec, d, cal_idx, vol % 3 = 0 AS st FROM bars JOIN cal USING (d)), r0 AS (SELECT sec, arg_min(st, d) AS st FROM b GROUP BY sec),
+e0 AS (SELECT *, (SELECT max(cal_idx) FROM cal WHERE d <= anchor) AS t, (SELECT max(cal_idx) FROM cal) AS last_idx FROM ev),
+e1 AS (SELECT e0.*, (SELECT min(cal_idx) FROM b WHERE b.sec = e0.sec AND cal_idx BETWEEN t + 1 AND t + 6) AS tau0, {st} AS st FROM e0)
+SELECT event_id, st AS is_st, tau0, CASE WHEN t IS NULL OR t < 250 THEN 'history' {why} WHEN tau0 IS NULL AND t + 6 > last_idx THEN 'history' WHEN tau0 IS NULL THEN 'postpone' END AS reject_reason FROM e1"""
+
+
+def st_mode(mode: str, policy: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        cal = keep(calendar(spark, sf_dir))
+        b = keep(bars(spark, sf_dir).join(F.broadcast(cal), "d").withColumn("st", F.col("vol") % 3 == 0))
+        ev = readers.last_day_upto(first_events(spark, sf_dir), cal, "anchor").withColumnRenamed("cal_idx", "anchor_idx")
+        return E.clean(ev, b, cal, st=E.st_days(b, mode), st_policy=policy).select("event_id", "is_st", "tau0", "reject_reason")
+
+    return run
+
+
+query("e03_st_kept", panel_sql(ST_MODE_SQL.format(st="EXISTS (SELECT 1 FROM b WHERE b.sec = e0.sec AND cal_idx = t AND b.st)", why="")))(st_mode("event_day", "keep"))
+query("e03_st_of_first_row", panel_sql(ST_MODE_SQL.format(st="coalesce((SELECT st FROM r0 WHERE r0.sec = e0.sec), false)", why="WHEN st THEN 'st'")))(st_mode("legacy_row0", "reject"))
+
+
 @query("e09_signed_caar", sql("SELECT tau, round(avg(ar), 9) AS raw_aar, round(avg(CASE WHEN layer = 'bad' THEN -ar ELSE ar END), 9) AS signed_aar FROM ab GROUP BY tau"))
 def e09(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Study(spark, sf_dir)
@@ -83,18 +103,28 @@ def a19(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("a10_layer_tests", sql(CARS + """ SELECT l.layer, count(ca.event_id) AS n, round(avg(car), 9) AS mean_car, round(avg(car) / stddev_samp(car) * sqrt(count(car)), 8) AS naive_t,
-  round(avg(csar) / stddev_samp(csar) * sqrt(count(csar)), 8) AS bmp_car, CASE WHEN count(ca.event_id) = 0 THEN 'no_survivors' WHEN count(ca.event_id) < 30 THEN 'insufficient' ELSE 'tested' END AS status
-FROM (SELECT DISTINCT layer FROM e2) l LEFT JOIN ca ON ca.layer = l.layer GROUP BY l.layer"""))
+@query("a10_layer_tests", sql(CARS + f""", rr AS (SELECT res.event_id, cal_idx, e, layer, {GRP} AS grp FROM res JOIN kept USING (event_id)),
+pr AS (SELECT a.layer, a.event_id AS a, b.event_id AS b, corr(a.e, b.e) AS rho FROM rr a JOIN rr b ON a.layer = b.layer AND a.grp = b.grp AND a.cal_idx = b.cal_idx AND a.event_id < b.event_id GROUP BY 1, 2, 3 HAVING count(*) >= 3 AND var_pop(a.e) > 0 AND var_pop(b.e) > 0),
+rl AS (SELECT layer, avg(rho) AS rho, count(*) AS n_pairs FROM pr GROUP BY layer), aa AS (SELECT layer, sum(aar) AS caar FROM (SELECT layer, tau, avg(ar) AS aar FROM sa GROUP BY 1, 2) GROUP BY layer)
+SELECT l.layer, count(ca.event_id) AS n, round(any_value(caar), 9) AS caar, round(avg(car), 9) AS mean_car, round(avg(car) / stddev_samp(car) * sqrt(count(car)), 8) AS naive_t, round(avg(csar) / stddev_samp(csar) * sqrt(count(csar)), 8) AS bmp_car,
+  round(avg(csar) / stddev_samp(csar) * sqrt(count(csar)) * sqrt((1 - coalesce(any_value(rho), 0)) / (1 + (count(csar) - 1) * coalesce(any_value(rho), 0))), 7) AS adj_bmp, coalesce(any_value(n_pairs), 0) AS n_pairs,
+  CASE WHEN count(ca.event_id) = 0 THEN 'no_survivors' WHEN count(ca.event_id) < 30 THEN 'insufficient' ELSE 'tested' END AS status
+FROM (SELECT DISTINCT layer FROM e2) l LEFT JOIN ca ON ca.layer = l.layer LEFT JOIN rl ON rl.layer = l.layer LEFT JOIN aa ON aa.layer = l.layer GROUP BY l.layer"""))
 def a10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tests of each layer; one that no event survives keeps its row and says so."""
+    """The whole suite for each layer, with the layer's own correlation; one that no event survives keeps its row and says so."""
     s = Study(spark, sf_dir)
     c = E.car(s.ab, length=LENGTH).join(s.kept.select("event_id", "layer"), "event_id")
-    rows = s.cleaned.select("layer").distinct().join(c, "layer", "left")
+    groups = s.kept.select("event_id", F.concat_ws("|", "layer", industry(F.col("sec"))).alias("grp"))
+    sums = E.rho_sums(s.est.join(s.kept.select("event_id"), "event_id", "left_semi"), s.fit, groups)
+    rho = sums.groupBy(F.split_part("grp", F.lit("|"), F.lit(1)).alias("layer")).agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("rho"), F.sum("n").alias("n_pairs"))
+    aar = s.ab.groupBy("layer", "tau").agg(F.avg("ar").alias("aar")).groupBy("layer").agg(F.sum("aar").alias("caar"))
     n = F.count("event_id")
-    return rows.groupBy("layer").agg(
-        n.alias("n"), F.round(F.avg("car"), 9).alias("mean_car"), F.round(E.t_of("car"), 8).alias("naive_t"), F.round(E.t_of("csar"), 8).alias("bmp_car"),
-        F.when(n == 0, "no_survivors").when(n < 30, "insufficient").otherwise("tested").alias("status"),
+    tests = s.cleaned.select("layer").distinct().join(c, "layer", "left").groupBy("layer").agg(n.alias("n"), F.avg("car").alias("mean_car"), E.t_of("car").alias("naive_t"), E.t_of("csar").alias("bmp_car"))
+    x = tests.join(rho, "layer", "left").join(aar, "layer", "left")
+    factor = E.kp_factor(F.coalesce("rho", F.lit(0.0)), F.col("n"))
+    return x.select(
+        "layer", "n", *r9("caar", "mean_car"), F.round("naive_t", 8).alias("naive_t"), F.round("bmp_car", 8).alias("bmp_car"), F.round(F.col("bmp_car") * factor, 7).alias("adj_bmp"), F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"),
+        F.when(F.col("n") == 0, "no_survivors").when(F.col("n") < 30, "insufficient").otherwise("tested").alias("status"),
     )
 
 
@@ -104,22 +134,41 @@ def a22(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy("layer", F.year("anchor").cast("long").alias("year"), F.coalesce("reject_reason", F.lit("valid")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
-@query("a23_strata", sql(f"SELECT {GRP} AS stratum, count(*) AS total, count(*) FILTER (reason IS NULL) AS valid, count(reason) AS rejected, round(count(reason) / count(*), 9) AS reject_ratio FROM fin GROUP BY 1"))
+BOARD_SQL = "['main', 'chinext', 'star', 'bse'][ascii(right(sec, 1)) % 4 + 1]"
+ST_SQL = "day(anchor) % 5 = 0"
+
+
+def boards(sec: str = "sec"):
+    """Securities dealt to boards by their last letter."""
+    return F.element_at(F.array(*map(F.lit, ("main", "chinext", "star", "bse"))), F.ascii(F.right(sec, F.lit(1))) % 4 + 1)
+
+
+@query("a23_strata", sql(f"SELECT CASE WHEN {ST_SQL} THEN 'ST' ELSE {BOARD_SQL} END AS stratum, count(*) AS total, count(*) FILTER (reason IS NULL) AS valid, count(reason) AS rejected, round(count(reason) / count(*), 9) AS reject_ratio FROM fin GROUP BY 1"))
 def a23(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.count("reject_reason")
-    return Study(spark, sf_dir).final.groupBy(industry(F.col("sec")).alias("stratum")).agg(
+    n, st = F.count("reject_reason"), F.day("anchor") % 5 == 0
+    return Study(spark, sf_dir).final.groupBy(F.when(st, "ST").otherwise(boards()).alias("stratum")).agg(
         F.count("*").alias("total"), F.count_if(F.col("reject_reason").isNull()).alias("valid"), n.alias("rejected"), F.round(n / F.count("*"), 9).alias("reject_ratio")
     )
 
 
-@query("a25_censor_panel_strata", sql(f"""x AS (SELECT {GRP.replace('sec', 'ab.sec')} AS stratum, tau, ar, open = close AND high = low AS ow FROM ab JOIN cal ON cal.cal_idx = ab.idx LEFT JOIN bars b ON b.sec = ab.sec AND b.d = cal.d)
-SELECT stratum, tau, count(*) AS n, count(*) FILTER (ar IS NULL) AS suspend, count(*) FILTER (ow) AS one_word, round(avg(ar), 9) AS aar FROM x GROUP BY 1, 2"""))
+@query("a23_chinext_regimes", sql(f"SELECT CASE WHEN anchor + INTERVAL 24 YEAR < DATE '2020-08-24' THEN 'pre_10pct' ELSE 'post_20pct' END AS segment, count(*) AS valid FROM kept WHERE {BOARD_SQL} = 'chinext' GROUP BY 1"))
+def a23_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = Study(spark, sf_dir).kept.filter(boards() == "chinext")
+    return kept.groupBy(S.regime_segment(F.add_months("anchor", 288)).alias("segment")).agg(F.count("*").alias("valid"))
+
+
+@query("a25_censor_panel_strata", sql(f"""x AS (SELECT {BOARD_SQL.replace('sec', 'sa.sec')} AS board, tau, ar, sar, CASE WHEN b.sec IS NULL THEN 'suspend' WHEN open = close AND high = low THEN 'one_word' WHEN vol % 17 = 0 THEN 'limit_up' WHEN vol % 19 = 0 THEN 'limit_down' ELSE 'none' END AS flag
+  FROM sa JOIN cal ON cal.cal_idx = sa.idx LEFT JOIN bars b ON b.sec = sa.sec AND b.d = cal.d)
+SELECT board, tau, count(*) AS n, count(*) FILTER (flag = 'suspend') AS suspend, count(*) FILTER (flag = 'one_word') AS one_word, count(*) FILTER (flag = 'limit_up') AS limit_up, count(*) FILTER (flag = 'limit_down') AS limit_down,
+  round(count(*) FILTER (flag <> 'none') / count(*), 9) AS censored, round(avg(ar), 9) AS aar, CASE WHEN stddev_samp(sar) > 0 THEN round(avg(sar) / stddev_samp(sar) * sqrt(count(sar)), 7) END AS bmp FROM x WHERE tau < 6 GROUP BY 1, 2"""))
 def a25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What keeps a day's return from being traded, and the tests of the day, by board."""
     s = Study(spark, sf_dir)
-    flat = s.bars.filter((F.col("open") == F.col("close")) & (F.col("high") == F.col("low"))).select("sec", "cal_idx", F.lit(True).alias("ow"))
-    x = s.ab.join(flat, ["sec", "cal_idx"], "left")
-    return x.groupBy(industry(F.col("sec")).alias("stratum"), "tau").agg(
-        F.count("*").alias("n"), F.count_if(F.col("ar").isNull()).alias("suspend"), F.count("ow").alias("one_word"), F.round(F.avg("ar"), 9).alias("aar")
+    flag = F.when(F.col("one_word"), "one_word").when(F.col("vol") % 17 == 0, "limit_up").when(F.col("vol") % 19 == 0, "limit_down").otherwise("none")
+    x = s.ab.filter("tau < 6").join(s.bars.select("sec", "cal_idx", flag.alias("flag")), ["sec", "cal_idx"], "left").withColumn("flag", F.coalesce("flag", F.lit("suspend")))
+    kinds = [F.count_if(F.col("flag") == k).alias(k) for k in ("suspend", "one_word", "limit_up", "limit_down")]
+    return x.groupBy(boards().alias("board"), "tau").agg(
+        F.count("*").alias("n"), *kinds, F.round(F.count_if(F.col("flag") != "none") / F.count("*"), 9).alias("censored"), F.round(F.avg("ar"), 9).alias("aar"), F.round(E.t_of("sar"), 7).alias("bmp")
     )
 
 

@@ -14,7 +14,7 @@ LENGTH = 20
 
 
 def Study(spark: SparkSession, sf_dir: str, *, benchmark: str = "market", members: list[str] | None = None) -> E.Study:  # noqa: N802
-    """The study of one scale factor's tables; the query that asks for it owns what it keeps."""
+    """The study of one scale factor's tables; what it writes stays until registry.close_all()."""
     spec = E.Spec(length=LENGTH, benchmark=benchmark, members=None if members is None else tuple(members))
     s = E.Study(bars(spark, sf_dir, DENSE), calendar(spark, sf_dir), first_events(spark, sf_dir, DENSE), spec)
     own(s.close)

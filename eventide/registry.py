@@ -1,11 +1,9 @@
-"""Queries by name, each with the SQL that checks it."""
+"""Queries by name, each with the SQL that checks it, and the tables that results still read."""
 
 from __future__ import annotations
 
-import functools
-import weakref
+import atexit
 from collections.abc import Callable
-from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,47 +13,31 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-_owned: ContextVar[list[Callable[[], None]] | None] = ContextVar("owned", default=None)
+_owned: list[Callable[[], None]] = []
 
 
 def own(close: Callable[[], None]) -> None:
-    """Call close when the result of the query that is being built is no longer referenced."""
-    held = _owned.get()
-    if held is not None:
-        held.append(close)
+    """Call close in close_all(): what it deletes is read by lazy results, which only their user knows to be done."""
+    _owned.append(close)
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Write what several branches of a query read, once; the table goes with the query's result."""
+    """Write what several branches of a query read, once; the table stays until close_all()."""
     table = Written(df)
     own(table.drop)
     return table.df
 
 
-def release(held: list[Callable[[], None]]) -> None:
-    while held:
+def close_all() -> None:
+    """Delete the intermediate tables of all queries so far; their results can't be read any more. Runs at the end of the process too."""
+    while _owned:
         try:
-            held.pop()()
-        except Exception:  # noqa: BLE001  the session may have stopped before its results were dropped
-            return
+            _owned.pop()()
+        except Exception:  # noqa: BLE001  the session may have stopped before
+            continue
 
 
-def owning(f: Query) -> Query:
-    """A query whose result owns what own() and keep() were given while it was built."""
-
-    @functools.wraps(f)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        held: list[Callable[[], None]] = []
-        token = _owned.set(held)
-        try:
-            out = f(spark, sf_dir)
-        finally:
-            _owned.reset(token)
-        if held:
-            weakref.finalize(out, release, held).atexit = False
-        return out
-
-    return run
+atexit.register(close_all)
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
@@ -64,7 +46,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = owning(f)
+        QUERIES[name] = f
         if oracle is not None:
             ORACLES[name] = oracle
         return f

@@ -15,7 +15,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir is not set: executors need a shared folder for intermediate tables")
         at = getattr(spark, "_eventide_shared", None) or tempfile.mkdtemp(prefix="eventide-")
         spark._eventide_shared = at

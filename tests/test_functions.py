@@ -226,3 +226,51 @@ def test_volume_drought_equals_fold(spark):
     df = spark.createDataFrame(rows, "sec string, d int, cal_idx int, open int, close int, amount int").withColumn("amount", F.col("amount").cast("decimal(18,2)"))
     want = {(s, *e) for s in {x[0] for x in rows} for e in fold_drought([(x[1], x[2], x[5]) for x in rows if x[0] == s], 0.5, 3, 8)}
     assert {(x.sec, x.d, x.low_start, x.low_days) for x in X.volume_drought(df, share="0.50", least=3, days=8).collect()} == want and want
+
+
+def test_derived_batches_need_two_computations(spark, tmp_path):
+    a = spark.createDataFrame([(1, 0.5), (2, None)], "k int, v double")
+    path = str(tmp_path / "derived")
+    assert readers.land_derived(a, a.withColumn("v", F.col("v") + 1e-12), path, 1, keys=["k"], value="v") == 2
+    for other in (a.filter("k = 1"), a.withColumn("v", F.col("v") + 1e-6), a.withColumn("v", F.lit(0.5))):
+        with pytest.raises(ValueError):
+            readers.land_derived(a, other, path, 2, keys=["k"], value="v")
+
+
+def test_files_with_fixed_schemas(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL("code string, d date, v double")
+    good, bad, lines = tmp_path / "a.csv", tmp_path / "b.csv", tmp_path / "c.jsonl"
+    good.write_text("code,d,v\nx,2020-01-02,1.5\ny,,\n")
+    bad.write_text("code,day,v\nx,2020-01-02,1.5\n")
+    assert readers.read_csv(spark, str(good), schema).count() == 2
+    with pytest.raises(Exception):
+        readers.read_csv(spark, str(bad), schema).collect()
+    lines.write_text('{"code": "x", "v": 1}\n{"code": "y", "v": 2}\n')
+    assert readers.read_jsonl(spark, str(lines), StructType.fromDDL("code string, v long"), "code").count() == 2
+    lines.write_text('{"code": "x", "v": 1}\n{"code": "x", "v": 2}\n')
+    with pytest.raises(ValueError):
+        readers.read_jsonl(spark, str(lines), StructType.fromDDL("code string, v long"), "code")
+    made = readers.evidence_manifest(spark.read.format("binaryFile").load(str(tmp_path / "*.csv")), pull_time="t")
+    assert [f["name"] for f in made["files"]] == ["a.csv", "b.csv"] and len(made["digest"]) == 64
+
+
+def test_study_is_a_call(spark):
+    r, days, secs = random.Random(3), 420, 12
+    rows, price = [], {s: 100.0 for s in range(secs)}
+    for d in range(days):
+        m = r.gauss(0, 0.01)
+        for s in range(secs):
+            price[s] *= math.exp(m + r.gauss(0, 0.01) + (0.05 if s < 6 and d == 330 + s else 0))
+            if (d * 7 + s) % 50:
+                rows.append((f"s{s}", d, price[s]))
+    day = lambda c: F.date_add(F.lit("2020-01-01").cast("date"), F.col(c))
+    bars = spark.createDataFrame(rows, "sec string, n int, close double").select("sec", day("n").alias("d"), *(F.col("close").cast("decimal(18,4)").alias(c) for c in ("open", "high", "low", "close")), F.lit(1).cast("decimal(18,2)").alias("amount"))
+    calendar = spark.range(days).select(F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("d"), F.col("id").cast("int").alias("cal_idx"))
+    events = spark.createDataFrame([(f"e{s}", f"s{s}", 329 + s, "good") for s in range(6)] + [("early", "s7", 100, "good")], "event_id string, sec string, n int, layer string").select("event_id", "sec", day("n").alias("anchor"), "layer")
+    spec = E.Spec(length=3)
+    one = E.run_study(bars, calendar, events, spec).first()
+    assert one.n >= 5 and 0.02 < one.mean_car < 0.08 and one.n_pairs == 15 and one.spec == E.Spec(length=3).digest != E.Spec(length=4).digest
+    with pytest.raises(ValueError):
+        E.Spec(benchmark="pool")

@@ -46,5 +46,5 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(cols) == sorted(df.columns)
     want = sorted((tuple(plain(r[cols.index(c)]) for c in sorted(cols)) for r in cur.fetchall()), key=order)
     got = sorted((tuple(plain(r[c]) for c in sorted(cols)) for r in df.collect()), key=order)
-    spark.catalog.clearCache()
+    registry.close_all()
     assert got == want

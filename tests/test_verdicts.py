@@ -2,6 +2,7 @@ import math
 
 import pytest
 
+from eventide.operators import ledger as L
 from eventide.operators import verdicts as V
 
 
@@ -42,9 +43,70 @@ def test_gates():
             f(*args)
     with pytest.raises(ValueError):
         V.check_transition(None, "registered", llm=True)
+    tail = {"execution_profile": "preclose_to_tail", "decision_cutoff": "14:30", "decision_price_source": "last", "fill_window": {"start": "14:50", "end": "15:00"}, "fill_price_rule": "vwap", "slippage_rule": "frozen_cost"}
+    V.check_execution(tail)
+    for bad in ({"decision_cutoff": "14:50"}, {"decision_cutoff": "2 pm"}, {"fill_window": {"start": "15:00", "end": "14:00"}}, {"fill_price_rule": " "}, {"execution_profile": "other"}):
+        with pytest.raises(ValueError):
+            V.check_execution(tail | bad)
+    assert V.resolve_execution({"execution_profile": "close_to_next_open", **V.CLOSE_TO_NEXT_OPEN}) == "next_open"
+    with pytest.raises(ValueError):
+        V.resolve_execution(tail)
     assert V.deep_diff({"a": [1, {"b": 2}]}, {"a": [1, {"b": 3}], "c": 0}) == ["$.a[1].b", "$.c"]
 
 
 def test_size(spark):
     r = V.size_test(spark, sims=300).toPandas()
     assert r["naive"].mean() > 0.25 and 0.01 < r["adjusted"].mean() < 0.11
+    assert abs(r["rho"].mean() - 0.25) < 0.05
+
+
+def test_alignment_and_roles():
+    assert [V.effect_alignment("SIG", x) for x in (2.0, -2.0, 0.0, None)] == ["ALIGNED", "REVERSED", "NEUTRAL", "UNAVAILABLE"] and V.effect_alignment("AMBIGUOUS", 3.0) == "UNAVAILABLE"
+    assert V.field_roles({"adj_bmp_car": 1, "n": 2, "field_roles": {}}) == {"adj_bmp_car": "VERDICT_AUTHORITY", "n": "CONTEXT"}
+    with pytest.raises(ValueError):
+        V.field_roles({"new_stat": 1})
+    with pytest.raises(PermissionError):
+        V.require_holdout_approval(False)
+    a = {"n_valid": 5, "verdict": "SIG", "rejections": {"by_year": {2020: {"total": 3, "rejected": 1, "by_reason": {"st": 1}}}}, "audit": 1}
+    b = {"n_valid": 6, "verdict": "SIG", "rejections": {"by_year": {2020: {"total": 3, "rejected": 2, "by_reason": {"st": 1, "history": 1}}}}, "audit": 2}
+    assert V.rerun_diff(a, b) == ["$.n_valid", "$.rejections.by_reason.history", "$.rejections.by_year.2020.by_reason.history", "$.rejections.by_year.2020.rejected"]
+
+
+PLAN = {k: "x" for k in L.REQUIRED} | {"pap_schema_version": 2, "analysis_type": "event"}
+
+
+def test_ledger(spark, tmp_path):
+    book = L.Ledger(spark, str(tmp_path / "ledger"))
+    one = book.register(family="f", title="t", source_type="human", verdict_power="full", plan=PLAN)
+    two = book.register(family="f", title="u", source_type="llm", verdict_power="prescreen", plan=PLAN)
+    for status in ("frozen", "running"):
+        book.step(one, status)
+    book.finish(one, {"verdict": "SIG"})
+    book.step(two, "closed", "replaced")
+    rows = {r.exp_id: r for r in book.state().collect()}
+    assert (rows[one].status, rows[one].family_trial, rows[two].family_trial, rows[two].closure_reason) == ("done", 1, 2, "replaced") and '"SIG"' in rows[one].result
+    for step in ((one, "running", None), (two, "frozen", None), (99, "frozen", None), (two, "done", "x")):
+        with pytest.raises(ValueError):
+            book.step(*step)
+    for wrong in ({"source_type": "llm", "verdict_power": "full"}, {"source_type": "other"}, {"plan": PLAN | {"pool": ""}}, {"plan": PLAN | {"analysis_type": "strategy"}}, {"plan": PLAN | {"pap_schema_version": 1}}):
+        with pytest.raises(ValueError):
+            book.register(**({"family": "f", "title": "t", "source_type": "human", "verdict_power": "full", "plan": PLAN} | wrong))
+
+
+def test_manifests(spark, tmp_path):
+    facts = spark.createDataFrame([(s, b) for s in L.FACTS for b in (1, 2)], "source string, batch_id long")
+    derived = spark.createDataFrame([(s, 7) for s in L.DERIVED], "source string, batch_id long")
+    content, path = L.manifest(facts, derived), str(tmp_path / "manifests")
+    assert content["facts"]["daily"] == 2
+    with pytest.raises(ValueError):
+        L.manifest(facts.filter("source <> 'daily'"))
+    with pytest.raises(ValueError):
+        L.published(spark, path, 1)
+    assert L.publish(spark, path, 1, content) == L.publish(spark, path, 1, content)
+    assert L.published(spark, path, 1) == content and spark.read.parquet(path).count() == 2
+    with pytest.raises(ValueError):
+        L.publish(spark, path, 1, content | {"facts": {}})
+    L.check_lineage(content, {"market_return": {"daily": 2}}, {"pool_b1_return": ("pool_b1", 7)})
+    for args in (({"market_return": {"daily": 1}}, {}), ({}, {"pool_b1_return": ("pool_b1", 6)})):
+        with pytest.raises(ValueError):
+            L.check_lineage(content, *args)
