@@ -5,6 +5,10 @@ White space carries no meaning in these texts (it comes from page layout), so al
 
 from __future__ import annotations
 
+import re
+from decimal import Decimal
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,6 +54,13 @@ CANCELLATION = r"用于.{0,30}注销.{0,40}减少.{0,20}注册资本|回购.{0,3
 INVENTORY = r"用于.{0,50}(?:员工持股计划|股权激励)|用于.{0,60}转换.{0,60}可转换.{0,20}公司债券|存放于.{0,40}回购专用证券账户|作为.{0,30}库存股"
 OTHER_PURPOSE = r"用于.{0,60}维护公司价值及股东权益|为维护.{0,60}公司价值及股东权益"
 
+# Amounts of goodwill impairment.
+AMOUNT = r"([0-9]+(?:\.[0-9]+)?)(亿元|万元|元)"
+IMPAIRED = r"(?:计提|确认|预计计提|拟计提)?(?:的)?商誉减值(?:准备|损失)?(?:金额)?"
+AMOUNT_RANGE, AMOUNT_EXACT = rf"{IMPAIRED}(?:约|预计)?(?:为|在)?{AMOUNT}(?:至|到|—|－|-){AMOUNT}", rf"{IMPAIRED}(?:约|预计)?(?:为|达|合计为|人民币)?{AMOUNT}"
+COMBINED = ("无形资产", "固定资产", "长期股权投资", "资产组", "其他资产", "资产减值")
+UNITS = {"元": 1, "万元": 10_000, "亿元": 100_000_000}
+
 
 def compact(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")
@@ -133,3 +144,28 @@ def repurchase_evidence(text: Column, high_limit: Column) -> Column:
     prices = F.transform(F.regexp_extract_all(t, F.lit(PRICE_LIMIT), F.lit(1)), lambda x: x.try_cast("decimal(18,4)"))
     match = F.coalesce(F.array_contains(prices, high_limit.cast("decimal(18,4)")), F.lit(False))
     return F.struct(initial.alias("initial"), revised.alias("revised"), prices.alias("prices"), match.alias("price_match"), (initial & ~revised & match).alias("supported"), repurchase_purpose(text).alias("purpose"))
+
+
+def goodwill_of(body: str) -> tuple[str, Decimal | None, Decimal | None, int]:
+    """(status, low, high, hits) of one text without white space: amounts in yuan, unless their 80 characters around name other assets too."""
+    ranges = [(m.span(), m[1], m[2], m[3], m[4]) for m in re.finditer(AMOUNT_RANGE, body)]
+    inside = lambda a, b: any(x <= a and b <= y for (x, y), *_ in ranges)
+    found = ranges + [(m.span(), m[1], m[2], m[1], m[2]) for m in re.finditer(AMOUNT_EXACT, body) if not inside(*m.span())]
+    amounts = []
+    for (a, b), lo, lo_unit, hi, hi_unit in found:
+        around = body[max(0, a - 80) : b + 80]
+        if not any(w in around for w in COMBINED):
+            amounts.append((Decimal(lo) * UNITS[lo_unit], Decimal(hi) * UNITS[hi_unit]))
+    good = {x for x in amounts if x[0] <= x[1]}
+    if len(good) == 1:
+        return "qualified", *next(iter(good)), len(found)
+    return "not_quantified" if not found else "amount_conflict" if good else "combined_unseparable", None, None, len(found)
+
+
+def goodwill_evidence(text: Column) -> Column:
+    """struct(status, low, high, hits). Where matches lie decides what counts, which Spark's regular expressions don't tell: an Arrow function."""
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([goodwill_of(t) for t in texts], columns=["status", "low", "high", "hits"])
+
+    return F.pandas_udf(run, "status string, low decimal(24,4), high decimal(24,4), hits int")(compact(text))

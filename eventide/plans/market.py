@@ -19,6 +19,13 @@ def q01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("ret_eqw", F.round("ret_eqw", 9))
 
 
+@query("q01_market_of_all_parts", panel_sql(f"""r AS (SELECT sec, d, {LN} AS ret FROM bars)
+SELECT d, round(avg(ret), 9) AS ret_eqw, count(*) AS n_stocks FROM r WHERE ret IS NOT NULL GROUP BY d""", "p_partkey"))
+def q01_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The market return over thousands of securities, one for each part."""
+    return R.market_return(R.gap_returns(bars(spark, sf_dir, "p_partkey"))).withColumn("ret_eqw", F.round("ret_eqw", 9))
+
+
 @query("w01_gap_return", panel_sql(f"SELECT sec, d, round({LN}, 9) AS ret FROM bars"))
 def w01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.gap_returns(bars(spark, sf_dir)).select("sec", "d", F.round("ret", 9).alias("ret"))

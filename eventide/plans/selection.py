@@ -196,6 +196,17 @@ def p17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("o_orderkey", "candidate", "e.initial", "e.revised", F.size("e.prices").cast("long").alias("n_prices"), "e.price_match", "e.supported", "e.purpose")
 
 
+IMPAIRED = ["公司计提商誉减值准备约为@亿元", "预计计提商誉减值准备@万元至9000万元", "商誉减值损失@万元，此外商誉减值为7万元", "无形资产与商誉减值准备合计，商誉减值@元", "本期未计提"]
+
+
+@query("p16_goodwill_evidence", f"""WITH t AS (SELECT o_orderkey % 5 AS i, CAST({NUMBER_SQL} AS DECIMAL(24,4)) AS n FROM orders), x AS (SELECT *, i = 2 AND n = 7 AS same FROM t)
+SELECT CASE i WHEN 0 THEN 'qualified' WHEN 1 THEN 'qualified' WHEN 2 THEN CASE WHEN same THEN 'qualified' ELSE 'amount_conflict' END WHEN 3 THEN 'combined_unseparable' ELSE 'not_quantified' END AS status, count(*) AS docs,
+  CAST(sum(CASE i WHEN 0 THEN n * 100000000 WHEN 1 THEN n * 10000 WHEN 2 THEN CASE WHEN same THEN 70000 END END) AS DECIMAL(38,4)) AS low, CAST(sum(CASE i WHEN 0 THEN n * 100000000 WHEN 1 THEN 90000000 WHEN 2 THEN CASE WHEN same THEN 70000 END END) AS DECIMAL(38,4)) AS high FROM x GROUP BY 1""")
+def p16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "orders").select(T.goodwill_evidence(filled(IMPAIRED)).alias("e")).select("e.*")
+    return e.groupBy("status").agg(F.count("*").alias("docs"), F.sum("low").cast("decimal(38,4)").alias("low"), F.sum("high").cast("decimal(38,4)").alias("high"))
+
+
 # Every tenth order repeats the announcement of the one before, half of these under another code.
 
 SALES_SQL = f"""a AS (SELECT o_orderkey AS seq, o_orderkey - CASE WHEN o_orderkey % 10 = 1 THEN 1 ELSE 0 END AS id, {TITLE_SQL} AS title, CASE WHEN o_orderkey % 20 < 10 THEN o_orderkey // 20 % 60 ELSE o_custkey % 60 END AS k,

@@ -67,6 +67,16 @@ def test_minutes(spark, text, want):
     assert one(spark, S.minutes(F.lit(text))) == want
 
 
+@pytest.mark.parametrize("text,want", [
+    ("公司计提商誉减值准备约为1.5亿元至 20,000元", ("qualified", 1.5e8, 1.5e8, 1)), ("计提商誉减值准备为1亿元至1.2亿元", ("qualified", 1e8, 1.2e8, 1)), ("商誉减值损失金额为3000万元，商誉减值为4000万元", ("amount_conflict", None, None, 2)),
+    ("计提商誉减值及无形资产减值，商誉减值准备3000万元", ("combined_unseparable", None, None, 1)), ("没有减值", ("not_quantified", None, None, 0)), (None, ("not_quantified", None, None, 0)), ("商誉减值\n准备 500 元", ("qualified", 500, 500, 1)),
+    ("商誉减值为2亿元至1亿元", ("combined_unseparable", None, None, 1)),
+])
+def test_goodwill_evidence(spark, text, want):
+    e = spark.range(1).select(T.goodwill_evidence(F.lit(text).cast("string")).alias("e")).select("e.*").first()
+    assert (e.status, e.low and float(e.low), e.high and float(e.high), e.hits) == want
+
+
 @pytest.mark.parametrize("title,want", [
     ("关于股东提前终止减持计划的公告", "termination"), ("关于股东减持股份预披露公告", "first_candidate"), ("股东减持股份进展公告", "progress"), ("关于股东减持完成的公告", "result"), (None, "first_candidate"),
     ("限售股锁定期届满后股东减持计划的公告", "first_candidate"), ("资管计划到期减持股份计划的公告", "first_candidate"), ("减持计划期满暨后续减持计划预披露公告", "combo_ambiguous"), ("股东累计减持股份达到2%及未来减持计划的公告", "first_with_progress"),
