@@ -25,9 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
 class Written:
     """A table in the shared folder: lineage ends there, a lost executor loses nothing, and plans that read it stay short."""
 
-    def __init__(self, df: DataFrame):
+    def __init__(self, df: DataFrame, *, compression: str = "snappy"):
         self.spark, self.at = df.sparkSession, f"{shared_dir(df.sparkSession)}/eventide-{uuid.uuid4().hex}"
-        df.write.parquet(self.at)
+        df.write.option("compression", compression).parquet(self.at)
         self.df = self.spark.read.schema(df.schema).parquet(self.at)
 
     def drop(self) -> None:
