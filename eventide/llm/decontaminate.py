@@ -7,10 +7,13 @@ is cut off a match, and what is left is taken again while it has `min_match` wor
 over the item's words are its coverage, which doesn't depend on the order of the passages.
 
 A benchmark up to `broadcast_bytes` of text travels to every task, so the documents aren't moved;
-a larger one is joined on the seeds instead, with the same result.
+a larger one is joined on the seeds instead, with the same result. There a pair is looked at only if it shares one of the item's rarer seeds: an
+item that is covered enough has so many of its seeds in the document that leaving out one fewer of its most common ones loses no pair. Seeds and items that
+very many documents share are split over several tasks.
 
-Defined cases: null and empty texts match nothing, nor do items of fewer than `min_match` words.
-Repeated rows each have their result. An empty table on either side gives no match. Extra columns
+Defined cases: null and empty texts match nothing, nor do items of fewer than `min_match` words. Of matches of one length the one that begins first in the
+document, then in the item, is taken first; a coverage equal to the threshold is a match. Very long texts are read whole.
+Repeated rows each have their result; rows without doc_id have theirs, and items without item_id none. An empty table on either side gives no match. Extra columns
 aren't read by matches() and pass through decontaminated().
 """
 
@@ -22,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventide.llm.common import as_array, bound_batches, text_slices
+from eventide.llm.common import HOT_ROWS, as_array, bound_batches, spread_join, text_slices, written
 from eventide.llm.text import owners, shingles, words
 
 BROADCAST_BYTES = 32 << 20
@@ -192,12 +195,21 @@ def _row(key: str):
     return F.xxhash64(F.col(key).cast("long"), F.col("text").cast("string"))
 
 
-def _joined(docs: DataFrame, bench: DataFrame, min_match: int, threshold: float) -> DataFrame:
+def _joined(docs: DataFrame, bench: DataFrame, min_match: int, threshold: float, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(_row, item_id, coverage, n_tiles, longest): every row of the benchmark is an item of its own."""
     items = bench.filter("item_id is not null").withColumn("_item", _row("item_id"))
-    d = _seeds(docs.select(_row("doc_id").alias("_row"), "text").distinct(), "_row", min_match).select(F.col("key").alias("_row"), "hash", F.col("at").alias("p"))
-    b = _seeds(items.select("_item", "text").distinct(), "_item", min_match).select(F.col("key").alias("_item"), "hash", F.col("at").alias("q"), "size")
-    pairs = d.join(b, "hash").groupBy("_row", "_item").agg(F.max("size").alias("size"), F.collect_list(F.struct("p", "q")).alias("at"))
+    d = written(_seeds(docs.select(_row("doc_id").alias("_row"), "text").distinct(), "_row", min_match).select(F.col("key").alias("_row"), "hash", F.col("at").alias("p")))
+    b = written(_seeds(items.select("_item", "text").distinct(), "_item", min_match).select(F.col("key").alias("_item"), "hash", F.col("at").alias("q"), "size"))
+    total = d.count()
+    often = written(d.groupBy("hash").agg(F.count("*").alias("n")).join(b.select("hash").distinct(), "hash", "left_semi"))
+    # a covered item has `least` of its seeds in the document, so one of the others with the least `least` - 1 left out is there too
+    of = Window.partitionBy("_item")
+    ranked = b.join(often, "hash", "left").withColumns({"nth": F.row_number().over(of.orderBy(F.coalesce("n", F.lit(0)), "hash", "q")), "seeds": F.count("*").over(of)})
+    least = F.ceil(F.col("size") * threshold / min_match - 1e-9)
+    rare = ranked.filter(F.col("n").isNotNull() & (F.col("nth") <= F.col("seeds") - least + 1)).select("_item", "hash").distinct()
+    maybe = written(spread_join(d.select("_row", "hash").distinct(), rare, ["hash"], often, total=total, hot_rows=hot_rows).select("_row", "_item").distinct())
+    met = spread_join(maybe, b, ["_item"], maybe.groupBy("_item").agg(F.count("*").alias("n")), total=maybe.count(), hot_rows=hot_rows)
+    pairs = met.join(d, ["_row", "hash"]).groupBy("_row", "_item").agg(F.max("size").alias("size"), F.collect_list(F.struct("p", "q")).alias("at"))
 
     def run(batches):
         for pdf in batches:
