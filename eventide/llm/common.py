@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventide.registry import own
+from eventide.sources.work import Written
+
 #: Bytes of text that one Arrow batch from the JVM holds at most (one longer row still travels whole).
 BATCH_BYTES = 16 << 20
 
@@ -23,26 +23,11 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir.
-
-    Only a local master, whose driver and executors are one process, may leave it unset: a temporary folder serves then.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir is not set: executors need a shared folder for intermediate tables")
-        at = getattr(spark, "_eventide_shared", None) or tempfile.mkdtemp(prefix="eventide-")
-        spark._eventide_shared = at
-    return at.rstrip("/")
-
-
-def written(df: DataFrame, *, parts: int | None = None) -> DataFrame:
-    """The rows as a table in the shared folder: lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/eventide-{uuid.uuid4().hex}"
-    (df.coalesce(parts) if parts else df).write.option("compression", "zstd").parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: lineage ends there, and a lost executor loses nothing. It stays until dropped(), or the end of the process."""
+    table = Written(df, compression="zstd")
+    own(table.drop)
+    return table.df
 
 
 def dropped(spark: SparkSession, df: DataFrame) -> None:

@@ -527,7 +527,7 @@ def test_mixed_buckets_travel_once(spark):
 def test_shared_folder_on_a_cluster():
     from types import SimpleNamespace
 
-    from eventide.llm.common import shared_dir
+    from eventide.sources.work import shared_dir
 
     conf = SimpleNamespace(get=lambda *_: None)
     cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf))
