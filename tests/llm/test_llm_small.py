@@ -533,3 +533,34 @@ def test_shared_folder_on_a_cluster():
     cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf))
     with pytest.raises(ValueError):
         shared_dir(cluster)
+
+
+@pytest.fixture(scope="module")
+def small_tables(tmp_path_factory, spark):
+    at = tmp_path_factory.mktemp("tables")
+    spark.createDataFrame([(0, 1, 0), (1, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta"), (2, None)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    return str(at)
+
+
+@pytest.mark.parametrize("at", range(5))
+def test_pipeline_stages_on_odd_rows(spark, odd, none, small_tables, at):
+    import corpus_pipeline
+
+    name, stage = corpus_pipeline.STAGES[at]
+    extra = clash(odd).withColumn("n_dropped", F.lit("x")).unionByName(clash(docs(spark, ["alpha beta gamma delta epsilon zeta eta theta"])).withColumns({"doc_id": F.lit(77), "n_dropped": F.lit("x")}))
+    out = stage(spark, extra, small_tables)
+    rows = out.collect()
+    ids = [r.doc_id for r in rows]
+    if name != "best_fit_packing":
+        assert out.columns == corpus_pipeline.COLUMNS
+    if name in ("toxicity", "line_dedup"):
+        assert len(rows) == extra.count()  # two labelled rows tell nothing, and no line is in five documents
+    if name == "minhash_near_dedup":
+        assert ids.count(6) == 1 and 7 not in ids and 77 in ids and {0, 1, 2, 3, 4, 5} <= set(ids)
+    if name == "benchmark_decontamination":
+        assert 77 not in ids and len(rows) == extra.count() - 1
+    if name == "best_fit_packing":
+        assert sum(r.piece == 0 for r in rows) == extra.count() and all(r.length <= 2048 for r in rows)
+    assert stage(spark, none, small_tables).count() == 0
+
