@@ -21,16 +21,30 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that aren't called toxic, by models of the labelled ones.
+
+    Each row is judged by its own text: repeated rows and rows without doc_id too. Null and empty texts stay, and so does everything if the
+    labels can't place a threshold (none, one class only, or too few). Other columns than those of documents are dropped.
+    """
     docs = docs.select(COLUMNS)
     return toxicity.nontoxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that five or more hold, which stay in the largest doc_id of these; n_chars is counted again.
+
+    A null text becomes an empty one. Rows that repeat a doc_id are one document; rows without one neither count nor keep a common line.
+    """
     kept = line_dedup.line_dedup(docs.select(COLUMNS))
     return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near-duplicates: the one with the smallest doc_id, or of the rows that repeat it the one with the least hash.
+
+    A row without doc_id counts as one whose id is a large number made from its text, so of these one for each text stays. Documents without
+    words are near nothing, and all stay.
+    """
     docs = docs.select(COLUMNS)
     unnamed = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
     docs = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), unnamed))
@@ -43,10 +57,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that cover no benchmark item; each row is judged by its own text, and null and empty texts stay."""
     return decontaminate.decontaminated(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their place in a sequence; a null text is an empty one, repeated rows are packed as often as they occur."""
     return packing.best_fit_pack(packing.pieces(docs, **BPE))
 
 
