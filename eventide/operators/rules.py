@@ -91,17 +91,44 @@ def yearend_strength(bars: DataFrame, market: DataFrame, windows: DataFrame, *,
     return g.select("sec", "year", "event_date", F.when(F.col("n") == n + 1, excess).alias("excess"), outcome.alias("outcome"))
 
 
-def state_changes(segments: DataFrame, before: str, after: str) -> DataFrame:
-    """Changes of name state with their reject reason (first in order). segments: (sec, start_date, ann_date, state)."""
-    w = Window.partitionBy("sec").orderBy("start_date")
-    folded = segments.groupBy("sec", "start_date").agg(F.min("state").alias("state"), F.count_distinct("state").alias("kinds"), F.min("ann_date").alias("ann_date"), F.count_distinct("ann_date").alias("anns"))
-    x = folded.withColumn("prev", F.lag("state").over(w)).filter((F.col("prev") == before) & (F.col("state") == after))
-    same = F.count("*").over(Window.partitionBy("sec", "ann_date"))
-    reason = (
-        F.when(F.col("kinds") > 1, "unjudgeable").when(F.col("ann_date").isNull(), "anchor_missing").when(F.col("anns") > 1, "anchor_conflict")
-        .when(F.col("ann_date") > F.col("start_date"), "announced_after").when(same > 1, "duplicate")
+def name_segments(rows: DataFrame) -> DataFrame:
+    """Names folded by (sec, start_date): the states and stars they show and the days they were announced, with those of the segment before.
+
+    rows: (sec, start_date, ann_date, alias); rows without start_date don't form a segment. A segment has a handful of names.
+    """
+    from eventide.functions.scalars import has_star, name_state
+
+    x = rows.filter("start_date is not null").withColumns({"state": name_state(F.col("alias")), "star": F.coalesce(has_star(F.col("alias")), F.lit(False))})
+    g = x.groupBy("sec", "start_date").agg(F.collect_set("state").alias("states"), F.bool_or("star").alias("star_any"), F.bool_and("star").alias("star_all"), F.count_distinct("ann_date").alias("anns"), F.min("ann_date").alias("ann_date"))
+    g = g.withColumn("state", F.when(F.size("states") == 1, F.get("states", F.lit(0))).otherwise("mixed"))
+    return g.withColumn("prev", F.lag(F.struct("start_date", "state", "states", "star_any")).over(Window.partitionBy("sec").orderBy("start_date")))
+
+
+def state_changes(segments: DataFrame, before: str, after: str, *, start: str, end: str) -> DataFrame:
+    """What becomes of each change of name state: (sec, prev_start, start_date, ann_date, variant, outcome). segments: those of name_segments().
+
+    A segment with names of several states can't be judged if the change may be in it. variant: starred or plain, of the new names.
+    """
+    clean = (F.col("prev.state") == before) & (F.col("state") == after)
+    unclear = ((F.col("prev.state") == "mixed") | (F.col("state") == "mixed")) & F.array_contains("prev.states", before) & F.array_contains("states", after)
+    x = segments.filter("prev is not null").withColumn("unclear", unclear).filter(clean | F.col("unclear"))
+    ann = F.col("ann_date")
+    early = (
+        F.when(F.col("unclear"), "unjudgeable").when(F.col("anns") == 0, "anchor_missing").when(F.col("anns") > 1, "anchor_conflict").when(ann > F.col("start_date"), "announced_after")
+        .when((ann < F.lit(start).cast("date")) | (ann >= F.lit(end).cast("date")), "out_of_period")
     )
-    return x.select("sec", "start_date", "ann_date", reason.alias("reason"))
+    x = x.withColumn("early", early)
+    same = F.count(F.when(F.col("early").isNull(), 1)).over(Window.partitionBy("sec", "ann_date"))
+    outcome = F.coalesce("early", F.when(same > 1, "duplicate_event_key"), F.lit("event"))
+    return x.select("sec", F.col("prev.start_date").alias("prev_start"), "start_date", F.when(F.col("anns") == 1, ann).alias("ann_date"), F.when(F.col("star_any"), "starred").otherwise("plain").alias("variant"), outcome.alias("outcome"))
+
+
+def star_changes(segments: DataFrame) -> DataFrame:
+    """How often a star went or came while the state stayed, and how often such a security was delisted."""
+    was, st = F.col("prev.state") == "st", F.col("state") == "st"
+    return segments.filter("prev is not null").agg(
+        F.count_if(was & st & F.col("prev.star_any") & ~F.col("star_any")).alias("destar"), F.count_if(was & st & ~F.col("prev.star_any") & F.col("star_any")).alias("star_on"), F.count_if(was & (F.col("state") == "delist")).alias("st_to_delist"), F.count("*").alias("changes")
+    )
 
 
 def trigger_days(index: DataFrame, calendar: DataFrame, members: DataFrame, *, least: float = 0.03) -> DataFrame:
@@ -155,20 +182,70 @@ def revision_events(days: DataFrame) -> DataFrame:
     return days.filter("outcome in ('up', 'down')").groupBy("sec", "ann_date").agg(F.first("outcome").alias("direction"), F.count("*").alias("member_chains"))
 
 
-def dividend_surprise(years: DataFrame) -> DataFrame:
-    """A year's amount against the year before, +-50 % inclusive. years: (sec, y, v)."""
-    prior = years.select("sec", (F.col("y") + 1).alias("y"), F.col("v").alias("p"))
+def final_keys(rows: DataFrame, directions: tuple[str, ...], *, key: tuple[str, str] = ("sec", "ann_date")) -> DataFrame:
+    """Outcomes that are a direction, but share their key with another such row, are duplicate_event_key: all of them."""
+    is_event = F.col("outcome").isin(*directions)
+    same = F.count(F.when(is_event, 1)).over(Window.partitionBy(*key))
+    return rows.withColumn("outcome", F.when(is_event & (same > 1), "duplicate_event_key").otherwise(F.col("outcome")))
+
+
+def dividend_surprise(rows: DataFrame, *, start: str, end: str) -> DataFrame:
+    """What becomes of each annual group: (sec, end_date, ann_date, outcome).
+
+    rows: (sec, end_date, ann_date, div_proc, update_flag, cash, base_date, base_share), cash a decimal. A group needs one initial plan with an amount; it is compared with the
+    year's before, +-50 % inclusive. Later groups than `end` aren't known yet; of those before `start` only the amounts count.
+    """
+    x = rows.filter((F.month("end_date") == 12) & (F.day("end_date") == 31) & F.col("ann_date").isNotNull() & (F.col("ann_date") < F.lit(end).cast("date")))
+    first = (F.col("div_proc") == "预案") & (F.col("update_flag") == "0")
+    seen = F.struct("ann_date", F.col("cash").cast("string").alias("c"), "base_date", F.col("base_share").cast("string").alias("b"))
+    g = x.groupBy("sec", "end_date").agg(F.count_if(first).alias("n"), F.size(F.collect_set(F.when(first, seen))).alias("kinds"), F.min(F.when(first, F.col("ann_date"))).alias("ann_date"), F.min(F.when(first, F.col("cash"))).alias("v"))
+    bad = (
+        F.when(F.col("n") == 0, "initial_missing").when((F.col("n") > 1) & (F.col("kinds") > 1), "initial_multiple_conflict").when(F.col("n") > 1, "initial_multiple_identical")
+        .when(F.col("v").isNull() | (F.col("v") < 0), "initial_required_invalid")
+    )
+    g = g.withColumn("bad", bad)
+    prior = g.select("sec", F.add_months("end_date", 12).alias("end_date"), F.lit(True).alias("there"), F.when(F.col("bad").isNull(), F.col("v")).alias("p"))
     half = lambda k: F.col("p") * F.lit(k).cast("decimal(2,1)")
-    outcome = F.when(F.col("p").isNull(), "no_prior").when(F.col("p") == 0, "undefined").when(F.col("v") >= half("1.5"), "up").when(F.col("v") <= half("0.5"), "down").otherwise("inside")
-    return years.join(prior, ["sec", "y"], "left").select("sec", "y", outcome.alias("outcome"))
-
-
-def flash_gap(express: DataFrame, forecasts: DataFrame) -> DataFrame:
-    """A value against the latest earlier interval. express: (user_id, day, v), one a day; forecasts: (user_id, day, lo, hi)."""
-    f = forecasts.select("user_id", "day", F.struct("lo", "hi").alias("f"), F.lit(None).cast("double").alias("v"))
-    both = express.select("user_id", "day", F.lit(None).cast(f.schema["f"].dataType).alias("f"), "v").unionByName(f).withColumn("n", F.unix_date("day"))
-    w = Window.partitionBy("user_id").orderBy("n").rangeBetween(Window.unboundedPreceding, -1)
-    x = both.withColumn("last", F.last("f", ignorenulls=True).over(w)).filter("f is null")
-    lo, hi, v = F.col("last.lo"), F.col("last.hi"), F.col("v")
-    outcome = F.when(F.col("last").isNull(), "no_forecast").when(v > hi, "up").when(v < lo, "down").when((v == hi) | (v == lo), "boundary").otherwise("inside")
-    return x.select("user_id", "day", outcome.alias("outcome"))
+    outcome = (
+        F.when(F.col("bad").isNotNull(), F.col("bad")).when(F.col("ann_date") < F.lit(start).cast("date"), "before_period").when(F.col("there").isNull(), "missing_prior").when(F.col("p").isNull(), "unresolvable_prior").when(F.col("p") == 0, "zero_undefined")
+        .when(F.col("v") >= half("1.5"), "up").when(F.col("v") <= half("0.5"), "down").otherwise("inside")
+    )
+    out = g.join(prior, ["sec", "end_date"], "left").select("sec", "end_date", "ann_date", outcome.alias("outcome"))
+    return final_keys(out, ("up", "down"))
+
+
+def flash_gap(express: DataFrame, forecasts: DataFrame, *, start: str, end: str) -> DataFrame:
+    """What becomes of each group of quick reports: (sec, end_date, ann_date, forecast_date, outcome).
+
+    express: (sec, end_date, ann_date, update_flag, v); forecasts: (sec, end_date, ann_date, lo, hi). A group needs one row with flag 0; it is compared with the latest day
+    strictly before it that has complete forecasts (lo <= hi), all of which must be the same interval.
+    """
+    key = ["sec", "end_date"]
+    x = express.filter((F.col("ann_date") >= F.lit(start).cast("date")) & (F.col("ann_date") < F.lit(end).cast("date")))
+    zero = F.col("update_flag") == "0"
+    g = x.groupBy(*key).agg(F.count_if(zero).alias("n"), F.min(F.when(zero, F.col("ann_date"))).alias("ann_date"), F.min(F.when(zero, F.col("v"))).alias("v"))
+    whole = F.col("lo").isNotNull() & F.col("hi").isNotNull() & (F.col("lo") <= F.col("hi"))
+    f = forecasts.filter("ann_date is not null").withColumnRenamed("ann_date", "f_date").withColumn("iv", F.when(whole, F.struct("lo", "hi")))
+    # a group has few forecasts: they meet its one report by an equality
+    m = g.filter("n = 1").join(f, key).groupBy(*key).agg(
+        F.count("*").alias("all"), F.count_if(F.col("f_date") < F.col("ann_date")).alias("prior"), F.max(F.when((F.col("f_date") < F.col("ann_date")) & F.col("iv").isNotNull(), F.col("f_date"))).alias("forecast_date")
+    )
+    latest = m.select(*key, F.col("forecast_date").alias("f_date")).join(f.filter("iv is not null"), [*key, "f_date"]).groupBy(*key).agg(F.count_distinct("iv").alias("kinds"), F.min("iv").alias("iv"))
+    y = g.join(m, key, "left").join(latest, key, "left")
+    v, lo, hi = F.col("v"), F.col("iv.lo"), F.col("iv.hi")
+    outcome = (
+        F.when(F.col("n") == 0, "flag0_missing").when(F.col("n") > 1, "flag0_multiple").when(F.col("all").isNull(), "orphan").when(F.col("prior") == 0, "no_strict_prior").when(F.col("forecast_date").isNull(), "no_complete_prior")
+        .when(F.col("kinds") > 1, "forecast_conflict").when(v.isNull(), "actual_null").when(v > hi, "up").when(v < lo, "down").when((v == hi) | (v == lo), "boundary").otherwise("inside")
+    )
+    one = F.col("n") == 1
+    out = y.select(*key, F.when(one, F.col("ann_date")).alias("ann_date"), F.when(one & (F.col("kinds") == 1), F.col("forecast_date")).alias("forecast_date"), outcome.alias("outcome"))
+    return final_keys(out, ("up", "down"))
+
+
+def pullback_events(outcomes: DataFrame, *, start: str, end: str) -> DataFrame:
+    """The touches that are events, by study range; days that two stages reach are duplicates. outcomes: those of high_pullback()."""
+    x = outcomes.filter("outcome = 'EVENT'")
+    same = F.count("*").over(Window.partitionBy("sec", "d"))
+    d = F.col("d")
+    why = F.when(same > 1, "duplicate_event_key").when(d < F.lit(start).cast("date"), "before_range").when(d >= F.lit(end).cast("date"), "after_range").otherwise("event")
+    return x.select("sec", "anchor_d", "d", why.alias("outcome"))

@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventide.functions import scalars as S
 from eventide.operators import returns as R
 from eventide.operators import rules as X
 from eventide.plans.market import LN
-from eventide.plans.relational import NAMES_SQL, STATE_SQL, names
-from eventide.registry import query
-from eventide.sources.panel import bars, calendar, panel_sql, read
+from eventide.registry import ORACLES, query
+from eventide.sources.panel import bars, calendar, first_events, panel_sql, read
 
 W = "OVER (PARTITION BY sec ORDER BY d)"
 
@@ -99,25 +97,52 @@ def r07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.yearend_strength(b, market, windows, n=3).withColumn("excess", F.round("excess", 8))
 
 
+# Every quarter's first event renames its security; some days have a second name, announced on another day.
+
+RENAME_SQL = """nm AS (SELECT sec, anchor AS start_date, CASE WHEN day(anchor) % 5 <> 0 THEN anchor - CAST(day(anchor) % 4 - 1 AS INTEGER) END AS ann_date, CASE layer WHEN 'good' THEN 'N' || sec WHEN 'bad' THEN '*ST ' || sec ELSE 'ST' || sec END AS alias FROM ev
+  UNION ALL SELECT sec, anchor, anchor - 2, CASE WHEN day(anchor) % 2 = 0 THEN 'ST ' || sec ELSE sec || '退' END FROM ev WHERE day(anchor) % 6 = 1),
+st AS (SELECT *, CASE WHEN alias LIKE '%退' THEN 'delist' WHEN upper(alias) LIKE '%ST%' THEN 'st' ELSE 'normal' END AS s, alias LIKE '*ST%' AS star FROM nm),
+sg AS (SELECT sec, start_date, CASE WHEN count(DISTINCT s) = 1 THEN min(s) ELSE 'mixed' END AS state, bool_or(s = 'st') AS h_st, bool_or(s = 'normal') AS h_normal, bool_or(star) AS star, count(DISTINCT ann_date) AS anns, min(ann_date) AS ann FROM st GROUP BY sec, start_date),
+sp AS (SELECT *, lag(start_date) OVER w AS p_start, lag(state) OVER w AS p_state, lag(h_st) OVER w AS p_st, lag(h_normal) OVER w AS p_normal, lag(star) OVER w AS p_star FROM sg WINDOW w AS (PARTITION BY sec ORDER BY start_date))"""
+
+
 def change_sql(before: str, after: str) -> str:
-    return panel_sql(NAMES_SQL + f""", s AS (SELECT sec, start_date, CASE WHEN day(start_date) % 5 <> 0 THEN start_date - CAST(day(start_date) % 4 - 1 AS INTEGER) END AS ann_date, {STATE_SQL} AS state, lag({STATE_SQL}) OVER (PARTITION BY sec ORDER BY start_date) AS prev FROM seg)
-SELECT sec, start_date, ann_date, CASE WHEN ann_date IS NULL THEN 'anchor_missing' WHEN ann_date > start_date THEN 'announced_after' WHEN count(*) OVER (PARTITION BY sec, ann_date) > 1 THEN 'duplicate' END AS reason FROM s WHERE prev = '{before}' AND state = '{after}'""")
+    unclear = f"(p_state = 'mixed' OR state = 'mixed') AND p_{before} AND h_{after}"
+    return panel_sql(RENAME_SQL + f""", c AS (SELECT *, CASE WHEN {unclear} THEN 'unjudgeable' WHEN anns = 0 THEN 'anchor_missing' WHEN anns > 1 THEN 'anchor_conflict' WHEN ann > start_date THEN 'announced_after' WHEN ann < DATE '1996-01-01' OR ann >= DATE '2000-07-01' THEN 'out_of_period' END AS early
+  FROM sp WHERE p_start IS NOT NULL AND (p_state = '{before}' AND state = '{after}' OR {unclear}))
+SELECT sec, p_start AS prev_start, start_date, CASE WHEN anns = 1 THEN ann END AS ann_date, CASE WHEN star THEN 'starred' ELSE 'plain' END AS variant,
+  coalesce(early, CASE WHEN (SELECT count(*) FROM c o WHERE o.early IS NULL AND o.sec = c.sec AND o.ann = c.ann) > 1 THEN 'duplicate_event_key' END, 'event') AS outcome FROM c""")
 
 
-def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = names(spark, sf_dir)
-    ann = F.when(F.day("start_date") % 5 != 0, F.date_sub("start_date", F.day("start_date") % 4 - 1))
-    return n.select("sec", "start_date", ann.alias("ann_date"), S.name_state(F.col("alias")).alias("state"))
+def renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = first_events(spark, sf_dir)
+    day = F.day("anchor")
+    one = F.when(F.col("layer") == "good", F.concat(F.lit("N"), "sec")).when(F.col("layer") == "bad", F.concat(F.lit("*ST "), "sec")).otherwise(F.concat(F.lit("ST"), "sec"))
+    base = ev.select("sec", F.col("anchor").alias("start_date"), F.when(day % 5 != 0, F.date_sub("anchor", day % 4 - 1)).alias("ann_date"), one.alias("alias"))
+    two = F.when(day % 2 == 0, F.concat(F.lit("ST "), "sec")).otherwise(F.concat("sec", F.lit("退")))
+    return X.name_segments(base.unionByName(ev.filter(day % 6 == 1).select("sec", F.col("anchor").alias("start_date"), F.date_sub("anchor", 2).alias("ann_date"), two.alias("alias"))))
 
 
 @query("r08_st_removal", change_sql("st", "normal"))
 def r08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.state_changes(changes(spark, sf_dir), "st", "normal")
+    return X.state_changes(renames(spark, sf_dir), "st", "normal", start="1996-01-01", end="2000-07-01")
 
 
 @query("r09_st_imposition", change_sql("normal", "st"))
 def r09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.state_changes(changes(spark, sf_dir), "normal", "st")
+    return X.state_changes(renames(spark, sf_dir), "normal", "st", start="1996-01-01", end="2000-07-01")
+
+
+@query("r16_imposition_routes", f"WITH q AS ({change_sql('normal', 'st')}) SELECT variant, count(*) AS events, count(DISTINCT sec) AS secs, min(ann_date) AS first_day, max(ann_date) AS last_day FROM q WHERE outcome = 'event' GROUP BY variant")
+def r16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of R09 by the kind of mark, as they are handed on."""
+    x = X.state_changes(renames(spark, sf_dir), "normal", "st", start="1996-01-01", end="2000-07-01").filter("outcome = 'event'")
+    return x.groupBy("variant").agg(F.count("*").alias("events"), F.count_distinct("sec").alias("secs"), F.min("ann_date").alias("first_day"), F.max("ann_date").alias("last_day"))
+
+
+@query("r08_star_changes", panel_sql(RENAME_SQL + " SELECT count(*) FILTER (p_state = 'st' AND state = 'st' AND p_star AND NOT star) AS destar, count(*) FILTER (p_state = 'st' AND state = 'st' AND NOT p_star AND star) AS star_on, count(*) FILTER (p_state = 'st' AND state = 'delist') AS st_to_delist, count(*) AS changes FROM sp WHERE p_start IS NOT NULL"))
+def r08_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.star_changes(renames(spark, sf_dir))
 
 
 @query("r13_index_spillover", panel_sql("""i AS (SELECT d, CAST(sum(amount) AS DOUBLE) AS c FROM bars GROUP BY d), t AS (SELECT d, c / lag(c) OVER (ORDER BY d) - 1 AS ret FROM i),
@@ -132,18 +157,49 @@ def r13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.trigger_days(index, calendar(spark, sf_dir), members, least=0.4)
 
 
-@query("r11_dividend_surprise", panel_sql("""y AS (SELECT sec, year(d) AS y, sum(vol) AS v FROM bars GROUP BY 1, 2)
-SELECT a.sec, a.y, CASE WHEN b.v IS NULL THEN 'no_prior' WHEN b.v = 0 THEN 'undefined' WHEN a.v >= b.v * 1.5 THEN 'up' WHEN a.v <= b.v * 0.5 THEN 'down' ELSE 'inside' END AS outcome FROM y a LEFT JOIN y b ON a.sec = b.sec AND b.y = a.y - 1"""))
+# Orders are rows of a customer group's annual distributions.
+
+DIV_SQL = """b AS (SELECT 'S' || (o_custkey % 300) AS sec, CAST(o_orderdate AS DATE) AS day, o_orderkey AS k FROM orders),
+x AS (SELECT sec, k, CASE WHEN k % 10 <> 3 THEN make_date(year(day), 12, 31) ELSE day END AS end_date, make_date(year(day) + 1, 3, 1) + CAST(k % 40 AS INTEGER) AS ann, CASE WHEN k % 4 = 0 THEN '预案' ELSE '实施' END AS proc, CASE WHEN k // 4 % 2 = 0 THEN '0' ELSE '1' END AS flag, CASE WHEN k % 7 <> 0 THEN CAST(k % 5 AS DECIMAL(10,2)) END AS v FROM b),
+g AS (SELECT sec, end_date, count(*) FILTER (proc = '预案' AND flag = '0') AS n, count(DISTINCT (ann, coalesce(v, -9))) FILTER (proc = '预案' AND flag = '0') AS kinds, min(ann) FILTER (proc = '预案' AND flag = '0') AS ann_date, min(v) FILTER (proc = '预案' AND flag = '0') AS v
+  FROM x WHERE strftime(end_date, '%m%d') = '1231' AND ann < DATE '2001-03-20' GROUP BY 1, 2),
+q AS (SELECT *, CASE WHEN n = 0 THEN 'initial_missing' WHEN n > 1 AND kinds > 1 THEN 'initial_multiple_conflict' WHEN n > 1 THEN 'initial_multiple_identical' WHEN v IS NULL THEN 'initial_required_invalid' END AS bad FROM g),
+o AS (SELECT q.sec, q.end_date, q.ann_date, CASE WHEN q.bad IS NOT NULL THEN q.bad WHEN q.ann_date < DATE '1997-01-01' THEN 'before_period' WHEN p.sec IS NULL THEN 'missing_prior' WHEN p.bad IS NOT NULL THEN 'unresolvable_prior' WHEN p.v = 0 THEN 'zero_undefined'
+  WHEN q.v / p.v - 1 >= 0.5 THEN 'up' WHEN q.v / p.v - 1 <= -0.5 THEN 'down' ELSE 'inside' END AS o FROM q LEFT JOIN q p ON p.sec = q.sec AND year(p.end_date) = year(q.end_date) - 1)"""
+
+
+@query("r11_dividend_surprise", f"WITH {DIV_SQL} SELECT sec, end_date, ann_date, CASE WHEN o IN ('up', 'down') AND (SELECT count(*) FROM o z WHERE z.sec = o.sec AND z.ann_date = o.ann_date AND z.o IN ('up', 'down')) > 1 THEN 'duplicate_event_key' ELSE o END AS outcome FROM o")
 def r11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.dividend_surprise(bars(spark, sf_dir).groupBy("sec", F.year("d").alias("y")).agg(F.sum("vol").alias("v")))
+    k, y = F.col("o_orderkey"), F.year("o_orderdate")
+    rows = read(spark, sf_dir, "orders").select(
+        F.concat(F.lit("S"), F.col("o_custkey") % 300).alias("sec"), F.when(k % 10 != 3, F.make_date(y, F.lit(12), F.lit(31))).otherwise(F.to_date("o_orderdate")).alias("end_date"), F.date_add(F.make_date(y + 1, F.lit(3), F.lit(1)), (k % 40).cast("int")).alias("ann_date"),
+        F.when(k % 4 == 0, "预案").otherwise("实施").alias("div_proc"), F.when(F.floor(k / 4) % 2 == 0, "0").otherwise("1").alias("update_flag"), F.when(k % 7 != 0, (k % 5).cast("decimal(10,2)")).alias("cash"),
+        F.lit(None).cast("date").alias("base_date"), F.lit(None).cast("double").alias("base_share"),
+    )
+    return X.dividend_surprise(rows, start="1997-01-01", end="2001-03-20")
 
 
-@query("r12_flash_gap", """WITH f AS (SELECT user_id, CAST(ts AS DATE) AS day, min(value) AS lo, max(value) AS hi FROM events WHERE event_type IN ('view', 'click') GROUP BY 1, 2),
-x AS (SELECT user_id, CAST(ts AS DATE) AS day, min(value) AS v FROM events WHERE event_type = 'purchase' GROUP BY 1, 2 HAVING count(*) = 1), l AS (SELECT x.user_id, x.day, v, max(f.day) AS fday FROM x LEFT JOIN f ON f.user_id = x.user_id AND f.day < x.day GROUP BY 1, 2, 3)
-SELECT l.user_id, l.day, CASE WHEN fday IS NULL THEN 'no_forecast' WHEN v > hi THEN 'up' WHEN v < lo THEN 'down' WHEN v = hi OR v = lo THEN 'boundary' ELSE 'inside' END AS outcome FROM l LEFT JOIN f ON f.user_id = l.user_id AND f.day = fday""")
+# Even orders are quick reports, odd ones forecasts, of a customer group for a quarter.
+
+FLASH_SQL = """b AS (SELECT 'S' || (o_custkey % 120) AS sec, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS end_date, CAST(o_orderdate AS DATE) AS ann_date, o_orderkey AS k FROM orders),
+e AS (SELECT sec, end_date, ann_date, CASE WHEN k % 3 = 0 THEN '0' ELSE '1' END AS flag, CASE WHEN k % 22 <> 0 THEN CAST(k % 9 AS DOUBLE) END AS v FROM b WHERE k % 2 = 0 AND ann_date >= DATE '1996-01-01' AND ann_date < DATE '2000-12-01'),
+f AS (SELECT sec, end_date, ann_date, CASE WHEN k % 5 <> 0 THEN CAST(k % 4 AS DOUBLE) END AS lo, CASE WHEN k % 11 <> 0 THEN CAST(k % 4 + k % 3 - CASE WHEN k % 13 = 0 THEN 5 ELSE 0 END AS DOUBLE) END AS hi FROM b WHERE k % 2 = 1),
+g AS (SELECT sec, end_date, count(*) FILTER (flag = '0') AS n, min(ann_date) FILTER (flag = '0') AS ann_date, min(v) FILTER (flag = '0') AS v FROM e GROUP BY 1, 2),
+m AS (SELECT g.*, (SELECT count(*) FROM f WHERE f.sec = g.sec AND f.end_date = g.end_date) AS a, (SELECT count(*) FROM f WHERE f.sec = g.sec AND f.end_date = g.end_date AND f.ann_date < g.ann_date) AS p, (SELECT max(ann_date) FROM f WHERE f.sec = g.sec AND f.end_date = g.end_date AND f.ann_date < g.ann_date AND lo <= hi) AS fd FROM g),
+i AS (SELECT m.*, (SELECT count(DISTINCT (lo, hi)) FROM f WHERE f.sec = m.sec AND f.end_date = m.end_date AND f.ann_date = fd AND lo <= hi) AS kinds, (SELECT min(lo) FROM f WHERE f.sec = m.sec AND f.end_date = m.end_date AND f.ann_date = fd AND lo <= hi) AS lo, (SELECT min(hi) FROM f WHERE f.sec = m.sec AND f.end_date = m.end_date AND f.ann_date = fd AND lo <= hi) AS hi FROM m),
+o AS (SELECT *, CASE WHEN n = 0 THEN 'flag0_missing' WHEN n > 1 THEN 'flag0_multiple' WHEN a = 0 THEN 'orphan' WHEN p = 0 THEN 'no_strict_prior' WHEN fd IS NULL THEN 'no_complete_prior' WHEN kinds > 1 THEN 'forecast_conflict' WHEN v IS NULL THEN 'actual_null' WHEN v > hi THEN 'up' WHEN v < lo THEN 'down' WHEN v = hi OR v = lo THEN 'boundary' ELSE 'inside' END AS o FROM i)"""
+
+
+@query("r12_flash_gap", f"WITH {FLASH_SQL} SELECT sec, end_date, CASE WHEN n = 1 THEN ann_date END AS ann_date, CASE WHEN n = 1 AND kinds = 1 THEN fd END AS forecast_date, CASE WHEN o IN ('up', 'down') AND (SELECT count(*) FROM o z WHERE z.sec = o.sec AND z.ann_date = o.ann_date AND z.o IN ('up', 'down')) > 1 THEN 'duplicate_event_key' ELSE o END AS outcome FROM o")
 def r12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
-    f = e.filter("event_type in ('view', 'click')").groupBy("user_id", "day").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    x = e.filter("event_type = 'purchase'").groupBy("user_id", "day").agg(F.count("*").alias("n"), F.min("value").alias("v")).filter("n = 1").drop("n")
-    return X.flash_gap(x, f)
+    k, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+    b = read(spark, sf_dir, "orders").select(F.concat(F.lit("S"), F.col("o_custkey") % 120).alias("sec"), F.trunc(day, "quarter").alias("end_date"), day.alias("ann_date"), k)
+    express = b.filter(k % 2 == 0).select("sec", "end_date", "ann_date", F.when(k % 3 == 0, "0").otherwise("1").alias("update_flag"), F.when(k % 22 != 0, (k % 9).cast("double")).alias("v"))
+    hi = k % 4 + k % 3 - F.when(k % 13 == 0, 5).otherwise(0)
+    forecasts = b.filter(k % 2 == 1).select("sec", "end_date", "ann_date", F.when(k % 5 != 0, (k % 4).cast("double")).alias("lo"), F.when(k % 11 != 0, hi.cast("double")).alias("hi"))
+    return X.flash_gap(express, forecasts, start="1996-01-01", end="2000-12-01")
+
 
+@query("r05_pullback_events", "WITH q AS (" + ORACLES["r05_high_pullback"] + """), e AS (SELECT * FROM q WHERE outcome = 'EVENT') SELECT sec, anchor_d, d, CASE WHEN (SELECT count(*) FROM e z WHERE z.sec = e.sec AND z.d = e.d) > 1 THEN 'duplicate_event_key' WHEN d < DATE '1996-06-01' THEN 'before_range' WHEN d >= DATE '2000-06-01' THEN 'after_range' ELSE 'event' END AS outcome FROM e""")
+def r05_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.pullback_events(r05(spark, sf_dir), start="1996-06-01", end="2000-06-01")
