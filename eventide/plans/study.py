@@ -21,7 +21,9 @@ def Study(spark: SparkSession, sf_dir: str, *, benchmark: str = "market", member
     return s
 
 
-GROUP = industry(F.col("sec"))
+def group():
+    """What events correlate in: the industry."""
+    return industry(F.col("sec"))
 
 
 BASE = """r AS (SELECT sec, cal_idx, ln(CAST(close AS DOUBLE)) - ln(CAST(lag(close) OVER (PARTITION BY sec ORDER BY d) AS DOUBLE)) AS r FROM bars JOIN cal USING (d)),
@@ -100,7 +102,7 @@ rho AS (SELECT coalesce(avg(rho), 0) AS rho, count(*) AS n_pairs FROM pr)"""
 
 @query("a07_rho_bar", sql(RHO + " SELECT round(rho, 9) AS rho, n_pairs FROM rho"))
 def a07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Study(spark, sf_dir).rho(GROUP).select("n_pairs", *r9("rho"))
+    return Study(spark, sf_dir).rho(group()).select("n_pairs", *r9("rho"))
 
 
 CAR = "ca AS (SELECT event_id, sum(ar) AS car, sum(sar) AS csar FROM sa GROUP BY 1 HAVING count(ar) = 20)"
@@ -109,7 +111,7 @@ CAR = "ca AS (SELECT event_id, sum(ar) AS car, sum(sar) AS csar FROM sa GROUP BY
 @query("a09_car_tests", sql(RHO + ", " + CAR + """ SELECT count(*) AS n, round(avg(csar) / stddev_samp(csar) * sqrt(count(*)), 8) AS bmp_car, round(avg(csar) / stddev_samp(csar) * sqrt(count(*)) * sqrt((1 - max(rho)) / (1 + (count(*) - 1) * max(rho))), 8) AS adj_bmp,
   round(avg(car), 9) AS mean_car, round(avg(car) / stddev_samp(car) * sqrt(count(*)), 8) AS naive_t, round(count(*) / (1 + (count(*) - 1) * max(rho)), 6) AS n_eff, round(count(*) * (1 - max(rho)) / (1 + (count(*) - 1) * max(rho)), 6) AS n_eff_kp FROM ca CROSS JOIN rho"""))
 def a09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = Study(spark, sf_dir).summary(GROUP)
+    x = Study(spark, sf_dir).summary(group())
     return x.select("n", *(F.round(c, 8).alias(c) for c in ("bmp_car", "adj_bmp", "naive_t")), *r9("mean_car"), *(F.round(c, 6).alias(c) for c in ("n_eff", "n_eff_kp")))
 
 

@@ -11,7 +11,7 @@ from eventide import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES, ORACLES = registry.load()
+QUERIES, ORACLES = registry.load()  # before any session is there
 
 
 @pytest.fixture(scope="module")
