@@ -295,11 +295,11 @@ def p27(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select("c_custkey", X.regime(d).alias("regime"))
 
 
-# In March and April no open can be sold at, and on days whose volume 5 divides.
+# No open can be sold at in March, April and the last months, and on days whose volume 5 divides.
 
 PATH_SQL = f"""b AS (SELECT sec, d, cal_idx, open, close, vol, row_number() {W} AS i, lag(close) {W} AS pc, max(close) OVER (PARTITION BY sec ORDER BY d ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS h60,
   sum(close) OVER (PARTITION BY sec ORDER BY d ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS s10, sum(close) OVER (PARTITION BY sec ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS s20 FROM bars JOIN cal USING (d)),
-z AS (SELECT *, i >= 60 AND close <= h60 * 0.90 AS inz, close * 10 > s10 AS o10, close * 20 < s20 AS u20, month(d) IN (3, 4) OR vol % 5 = 0 AS shut, vol % 17 = 0 OR (vol % 19 = 0 AND coalesce(close < pc, false)) AS stuck FROM b),
+z AS (SELECT *, i >= 60 AND close <= h60 * 0.90 AS inz, close * 10 > s10 AS o10, close * 20 < s20 AS u20, month(d) IN (3, 4) OR vol % 5 = 0 OR d >= DATE '2001-08-01' AS shut, vol % 17 = 0 OR (vol % 19 = 0 AND coalesce(close < pc, false)) AS stuck FROM b),
 y AS (SELECT *, i - row_number() OVER (PARTITION BY sec, inz ORDER BY d) AS ep FROM z), q AS (SELECT *, row_number() OVER (PARTITION BY sec, ep ORDER BY d) AS nth, CASE WHEN o10 AND NOT u20 THEN 1 ELSE 0 END AS g FROM y WHERE inz),
 fire AS (SELECT *, sum(g) OVER (PARTITION BY sec, ep ORDER BY d ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 3 AS f FROM q), en AS (SELECT sec, ep, min(i) AS i FROM fire WHERE f GROUP BY sec, ep),
 ent AS (SELECT en.sec, q.d, en.i, (SELECT min(d) FROM q p WHERE p.sec = en.sec AND p.ep = en.ep) AS episode_start, (SELECT bool_and(o10) FROM q p WHERE p.sec = en.sec AND p.ep = en.ep AND p.i <= en.i) AS d1, q.nth - 1 AS d2, (SELECT bool_or(u20) FROM q p WHERE p.sec = en.sec AND p.ep = en.ep AND p.i <= en.i) AS d3
@@ -322,7 +322,7 @@ def path_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     few = lambda n: F.max("close").over(X.forward().rowsBetween(1 - n, 0))
     n = F.row_number().over(X.forward())
     x = x.withColumns({"own_idx": n, "h60": F.when(n >= 60, few(60))})
-    shut = F.month("d").isin(3, 4) | (F.col("vol") % 5 == 0)
+    shut = F.month("d").isin(3, 4) | (F.col("vol") % 5 == 0) | (F.col("d") >= F.lit("2001-08-01").cast("date"))
     status = F.when(F.col("vol") % 17 == 0, "limit_down").when(F.col("vol") % 19 == 0, "one_word").otherwise("none")
     return keep(x.withColumns({"open_status": F.when(shut, "limit_down").otherwise("none"), "status": status}))
 
