@@ -7,8 +7,9 @@ is cut off a match, and what is left is taken again while it has `min_match` wor
 over the item's words are its coverage, which doesn't depend on the order of the passages.
 
 A benchmark up to `broadcast_bytes` of text travels to every task, so the documents aren't moved;
-a larger one is joined on the seeds instead, with the same result. There a pair is looked at only if it shares one of the item's rarer seeds: an
-item that is covered enough has so many of its seeds in the document that leaving out one fewer of its most common ones loses no pair. Seeds and items that
+a larger one is joined on the seeds instead, with the same result. A pair is looked at only if it shares one of the item's rarer seeds: an
+item that is covered enough has so many of its seeds in the document that leaving out one fewer of its most common ones loses no pair, and a phrase that
+many items hold isn't followed into each of them. In the join, seeds and items that
 very many documents share are split over several tasks.
 
 Defined cases: null and empty texts match nothing, nor do items of fewer than `min_match` words. Of matches of one length the one that begins first in the
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventide.llm.common import HOT_ROWS, as_array, bound_batches, spread_join, text_slices, written
+from eventide.llm.common import HOT_ROWS, as_array, bound_batches, mix, spread_join, text_slices, written
 from eventide.llm.text import owners, shingles, words
 
 BROADCAST_BYTES = 32 << 20
@@ -67,40 +68,63 @@ def tiles(p: np.ndarray, q: np.ndarray, min_match: int) -> list[tuple[int, int,
     return out
 
 
+def rare_seeds(item: np.ndarray, often: np.ndarray, size: np.ndarray, min_match: int, threshold: float) -> np.ndarray:
+    """Which seeds of each item to look up: all but as many of the most common ones as an item may lack that is covered enough.
+
+    A tile of n words has n - min_match + 1 >= n / min_match seeds, so a covered item has `least` of its seeds in the document; of all but the
+    least - 1 most common ones, one is there.
+    """
+    order = np.lexsort((often, item))
+    seeds = np.bincount(item, minlength=len(size))
+    nth = np.empty(len(item), np.int64)
+    nth[order] = np.arange(len(item)) - (np.cumsum(seeds) - seeds)[item[order]]
+    least = np.ceil(size * threshold / min_match - 1e-9).astype(np.int64)
+    return nth <= (seeds - least)[item]
+
+
 class Items:
-    """The seeds of all items, sorted, with a bit table in front that rejects most others."""
+    """The seeds of all items: the rarer ones of each sorted, with a bit table in front that rejects most others, and all of them by item."""
 
-    def __init__(self, ids: list[int], col: pa.Array, min_match: int):
+    def __init__(self, ids: list[int], col: pa.Array, min_match: int, threshold: float):
         w = words(col)
         self.ids, self.min_match = np.asarray(ids, np.int64), min_match
         self.size = np.diff(w.row)
         s = shingles(w, min_match)
         item = owners(s.row)
-        q = np.arange(len(s.hash)) - s.row[item]
         whole = self.size[item] >= min_match
-        h, item, q = s.hash[whole], item[whole], q[whole]
+        self.all, self.row = s.hash, s.row
+        _, which, n = np.unique(s.hash, return_inverse=True, return_counts=True)
+        keep = whole & rare_seeds(item, n[which], self.size, min_match, threshold)
+        h, item = s.hash[keep], item[keep]
         order = np.argsort(h, kind="stable")
-        self.hash, self.item, self.q = h[order], item[order], q[order]
+        self.hash, self.item = h[order], item[order]
         self.mask = np.uint64((1 << max(16, int(len(h)).bit_length() + 5)) - 1)
         self.bits = np.zeros(int(self.mask) + 1, bool)
         self.bits[(self.hash & self.mask).astype(np.int64)] = True
 
     def found(self, col: pa.Array) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(row, item, p, q) with the shared seeds of every pair that could reach full coverage."""
+        """(row, item, p, q) with all shared seeds of every pair that shares a rarer one."""
         s = shingles(words(col), self.min_match)
         at = np.flatnonzero(self.bits[(s.hash & self.mask).astype(np.int64)])
+        row = np.searchsorted(s.row, at, "right") - 1
+        # a seed of a row is looked up once
+        _, once = np.unique(s.hash[at] ^ mix(row.astype(np.uint64) + np.uint64(1)), return_index=True)
+        at, row = at[once], row[once]
         lo = np.searchsorted(self.hash, s.hash[at])
         n = np.searchsorted(self.hash, s.hash[at], "right") - lo
-        at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-        each = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        at = np.repeat(at, n)
-        row = np.searchsorted(s.row, at, "right") - 1
-        item, p, q = self.item[each], at - s.row[row], self.q[each]
-        order = np.lexsort((item, row))
-        row, item, p, q = row[order], item[order], p[order], q[order]
-        cuts = np.flatnonzero((np.diff(row) != 0) | (np.diff(item) != 0)) + 1
-        bounds = [0, *cuts.tolist(), len(row)] if len(row) else [0]
-        return [(int(row[a]), int(item[a]), p[a:b], q[a:b]) for a, b in zip(bounds, bounds[1:])]
+        pairs = np.unique(np.repeat(row, n) * len(self.size) + self.item[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())])
+        out, now = [], -1
+        for r, item in zip((pairs // len(self.size)).tolist(), (pairs % len(self.size)).tolist()):
+            if r != now:
+                own = s.hash[s.row[r] : s.row[r + 1]]
+                order, now = np.argsort(own, kind="stable"), r
+                own = own[order]
+            seeds = self.all[self.row[item] : self.row[item + 1]]
+            lo = np.searchsorted(own, seeds)
+            n = np.searchsorted(own, seeds, "right") - lo
+            each = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            out.append((r, item, order[each], np.repeat(np.arange(len(seeds)), n)))
+        return out
 
     def matches(self, col: pa.Array, threshold: float) -> list[tuple[int, int, float, int, int]]:
         """(row, item id, coverage, tiles, longest tile) of the pairs that reach the threshold."""
@@ -121,10 +145,10 @@ def _small(bench: DataFrame, broadcast_bytes: int) -> bool:
     return (n[0] or 0) + 16 * n[1] <= broadcast_bytes
 
 
-def _items(bench: DataFrame, min_match: int):
+def _items(bench: DataFrame, min_match: int, threshold: float):
     rows = bench.filter("item_id is not null").orderBy("item_id", "text").collect()  # checked by _small
     col = pa.array([r["text"] for r in rows], pa.string())
-    return Shared(bench.sparkSession.sparkContext.broadcast(([r["item_id"] for r in rows], col, min_match)))
+    return Shared(bench.sparkSession.sparkContext.broadcast(([r["item_id"] for r in rows], col, min_match, threshold)))
 
 
 class Shared:
@@ -156,7 +180,7 @@ def matches(docs: DataFrame, bench: DataFrame, *, min_match: int = 4, threshold:
     bench = bench.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     if not _small(bench, broadcast_bytes):
         return docs.select("doc_id", _row("doc_id").alias("_row")).join(_joined(docs, bench, min_match, threshold), "_row").drop("_row")
-    shared = _items(bench, min_match)
+    shared = _items(bench, min_match, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(shared)
@@ -232,7 +256,7 @@ def decontaminated(docs: DataFrame, bench: DataFrame, *, min_match: int = 4, thr
     if not _small(bench, broadcast_bytes):
         bad = _joined(docs.select("doc_id", F.col("text").cast("string")), bench, min_match, threshold).select(F.col("_row").alias("_contaminated")).distinct()
         return docs.join(bad, _row("doc_id") == F.col("_contaminated"), "left_anti")
-    shared, where = _items(bench, min_match), docs.columns.index("text")
+    shared, where = _items(bench, min_match, threshold), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(shared)

@@ -206,6 +206,23 @@ def test_tiling_without_ties_is_exact(spark):
         assert got == want and len(got) > 10
 
 
+def test_items_that_share_a_phrase(spark):
+    # a phrase that all items hold, identical items, and documents with the phrase only: plain tiling decides who is found
+    r = random.Random(12)
+    phrase = [f"common{i}" for i in range(7)]
+    items = [phrase + [f"i{k}w{j}" for j in range(r.randrange(4, 20))] for k in range(25)] + [phrase + ["end"]] * 4
+    texts = []
+    for _ in range(60):
+        it = r.choice(items)
+        own = it[7:]
+        texts.append(r.choice([phrase * 3, phrase + own, own, own[: len(own) // 2] + ["x"] + phrase, ["y"] + own[2:] + ["z"] + phrase[:5]]))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    d = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    want = {(a, b) for a, t in enumerate(texts) for b, x in enumerate(items) if plain_tiles(t, x, 4) >= 0.6}
+    for size in (1 << 20, 0):
+        assert {(r.doc_id, r.item_id) for r in decontaminate.matches(d, bench, broadcast_bytes=size).collect()} == want and len(want) > 40
+
+
 def test_near_duplicates_recall_at_sf001(spark):
     # all pairs of all documents against the operator: every pair of similarity 0.8 or more is in one class
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{MEDIUM}/documents.parquet").select("doc_id", "text").collect()}
