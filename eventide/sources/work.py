@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROW_GROUP = 16 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
@@ -27,7 +30,8 @@ class Written:
 
     def __init__(self, df: DataFrame, *, compression: str = "snappy"):
         self.spark, self.at = df.sparkSession, f"{shared_dir(df.sparkSession)}/eventide-{uuid.uuid4().hex}"
-        df.write.option("compression", compression).parquet(self.at)
+        # small row groups: each task that writes holds one of them
+        df.write.option("compression", compression).option("parquet.block.size", ROW_GROUP).parquet(self.at)
         self.df = self.spark.read.schema(df.schema).parquet(self.at)
 
     def drop(self) -> None:
