@@ -11,7 +11,7 @@ from eventide.registry import own
 from eventide.sources.work import Written
 
 #: Bytes of text that one Arrow batch from the JVM holds at most (one longer row still travels whole).
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,7 +70,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def text_slices(col: pa.Array, most: int = 4 << 20):
+def text_slices(col: pa.Array, most: int = 1 << 20):
     """(start, length) runs of rows with about `most` bytes of text each, at least a row."""
     sizes = np.asarray(pa.compute.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False), np.int64)
     groups = np.cumsum(sizes) // most

@@ -70,7 +70,7 @@ def signatures(docs: DataFrame, *, k: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, n in text_slices(batch.column(2), 2 << 20):
+            for at, n in text_slices(batch.column(2), 1 << 19):
                 w = words(batch.column(2).slice(at, n))
                 sig = prob_minhash(shingles(w, k), bands * rows).reshape(n, bands, rows)
                 h = np.zeros((n, bands), np.uint64)
@@ -89,7 +89,7 @@ def verified(pairs: DataFrame, texts: DataFrame, *, k: int, threshold: float, ho
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, n in text_slices(batch.column(2), 1 << 20):
+            for at, n in text_slices(batch.column(2)):
                 part = batch.slice(at, n)
                 good = pa.array(jaccard(part.column(2), part.column(3), k) >= threshold)
                 yield part.select(["a", "b"]).filter(good)
