@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,8 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not at:
         if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir is not set: executors need a shared folder for intermediate tables")
-        at = getattr(spark, "_eventide_shared", None) or tempfile.mkdtemp(prefix="eventide-")
-        spark._eventide_shared = at
+        at = getattr(spark, "_eventide_shared", None)
+        if at is None:
+            at = spark._eventide_shared = tempfile.mkdtemp(prefix="eventide-")
+            atexit.register(shutil.rmtree, at, ignore_errors=True)
     return at.rstrip("/")
 
 
