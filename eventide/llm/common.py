@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep the Arrow batches that reach Python small, whatever the rows' lengths."""
+    """Keep the Arrow batches that reach Python small, whatever the rows' lengths. It is a setting of the session: later Arrow jobs of it have small batches too."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 

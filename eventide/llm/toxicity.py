@@ -7,7 +7,8 @@ costs rests on its known beginnings. A document counts once for each of its word
 above the usual 0.5 to 1, so what a handful of documents say is left to the shared counts: with
 few labels that raises held-out F1 by a fifth. The log-likelihoods of an expression (a word with
 its end) are divided by the square root of its length, as the noise of such a sum grows; a document
-takes the difference of its most toxic expression, so that a long text doesn't dilute it. A logistic
+takes the difference of its most toxic expression, so that a long text doesn't dilute it (by the mean over the whole text the best held-out F1
+on the tables here is 0.62 to 0.64, by the best expression 0.88 to 1.0). A logistic
 curve maps the difference to a score. Its threshold, where the score is 0.3, has the best F1 over one
 half of the training rows with the models of the other half; it lies above 0, where a text without evidence is. If that half holds
 fewer than `FEWEST` toxic rows, or no such threshold is better than calling every row toxic, the labels can't place it:
