@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import decontaminate, embedding_dedup, html_extract, language_id, minhash, packing, secret_scan, substring_dedup, toxicity
+from eventide.llm import decontaminate, embedding_dedup, hard_negatives, html_extract, language_id, license_scan, minhash, packing, secret_scan, spelling, substring_dedup, toxicity
 from eventide.llm import line_dedup as lines
 from eventide.llm.common import table
 
@@ -58,11 +58,27 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.summary(license_scan.license_scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(spelling.vocabulary(table(spark, sf_dir, "documents"), typos=97))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("double"))
+    finite = F.forall("embedding", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+    vectors = table(spark, sf_dir, "embeddings").filter(finite).select("vec_id", label.alias("label"), whole.alias("embedding"))
+    return hard_negatives.hard_negatives(vectors, anchor=F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_secret_scan, op3_toxicity, op4_html_extraction, op5_substring_dedup, op6_decontamination, op7_minhash_near_dedup, op8_line_dedup,
-        op9_embedding_near_dedup, op10_language_id,
+        op9_embedding_near_dedup, op10_language_id, op11_license_scan, op12_spelling_variants, op13_hard_negatives,
     )
 }
-ORACLES = {"op8_line_dedup": lines.ORACLE}
+ORACLES = {"op8_line_dedup": lines.ORACLE, "op12_spelling_variants": spelling.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}

@@ -1,0 +1,270 @@
+"""License scans, spelling variants and hard negatives against plain versions, and their defined cases."""
+
+import collections
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from eventide.llm import hard_negatives as hn
+from eventide.llm import license_scan as ls
+from eventide.llm import queries, spelling
+
+SF = "/root/testdata/sf0.001"
+
+
+# license scans
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def plain_base(text):
+    """Words and places of the phrases by the words' positions."""
+    low = text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    places = [(i, label) for label, p in ls.PHRASES for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+    return len(words), len(places), min(places)[0] if places else None, max(places)[0] if places else None, ",".join(sorted({label for _, label in places}))
+
+
+def test_base_places_equal_plain(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    extra = [(-1, None), (-2, ""), (-3, "CC BY CC-BY cc by"), (-4, "MIT\n# License, mit licenses; Apache LICENSE"), (-5, "K cc by ÉCC BY"), (-6, "gnu general public license " * 3)]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in ls.summary(ls.license_scan(docs)).collect()}
+    want = {r.doc_id: plain_base(r.text or "") for r in docs.collect()}
+    assert got == want
+    assert got[-3] == (6, 3, 0, 4, "cc-by") and got[-1] == (0, 0, None, None, "")
+
+
+def test_findings_equal_search_over_whole_texts():
+    scanner, rng, found = ls.Scanner(), random.Random(2), 0
+    for _ in range(600):
+        notice = rng.choice(ls.NOTICES)[1]
+        text = list(notice)
+        for _ in range(rng.randint(0, ls.errors_of(notice) + 2)):
+            i, op = rng.randrange(len(text)), rng.randrange(3)
+            if op == 0:
+                text[i] = rng.choice("abcx é")
+            elif op == 1:
+                text.insert(i, rng.choice("abcé "))
+            else:
+                del text[i]
+        text = f"Foo bär license mit {''.join(text)} public, gnu baz"
+        rows = scanner.scan(text.encode())[5]
+        read = f" {' '.join(text.lower().replace(',', '').split())} "
+        assert {r["notice"] for r in rows} == {n for (_, n), p in zip(ls.NOTICES, scanner.patterns) if p.search(read)}
+        for r in rows:
+            assert text[r["start"] : r["end"]] == r["found"]
+            assert edits(" ".join(r["found"].lower().split()), r["notice"]) == r["errors"] <= ls.errors_of(r["notice"])
+        found += len(rows)
+    assert found > 300
+
+
+def test_findings_have_spans(spark):
+    text = "Ünder the MIT Licence.\n# Licensed under the Apache\n#  Lisense, Version 2.0\ngnu genral publik license"
+    docs = spark.createDataFrame([(1, text, "x"), (1, text, "y"), (None, None, "z")], "doc_id long, text string, findings string")
+    scanned = ls.license_scan(docs)
+    rows = ls.findings(scanned).collect()
+    assert len(rows) == 8 and all(text[r.start : r.end] == r.found for r in rows)
+    assert {(r.label, r.errors, r.word) for r in rows} == {("mit", 1, 2), ("apache", 1, 4), ("apache", 1, 7), ("gpl", 2, 12)}
+    out = {r.doc_id: r for r in ls.summary(scanned).collect()}
+    assert out[1].labels == "apache,gpl,mit" and out[1].base_labels == "" and 0.9 < out[1].score < 1
+    assert (out[None].n_words, out[None].labels, out[None].score) == (0, "", 0.0)
+    assert ls.license_scan(docs.limit(0)).count() == 0
+
+
+def test_repetitive_text_is_verified_once():
+    scanner = ls.Scanner()
+    assert len(scanner.scan(b"mit licence " * 20_000)[5]) == 20_000
+    assert scanner.scan(b"a" * 1_000_000)[:2] == (1, 0)
+
+
+def test_clean_documents_have_no_findings(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("not lower(text) rlike 'licen[sc]e'")
+    assert ls.summary(ls.license_scan(docs)).filter("labels <> ''").count() == 0
+
+
+# spelling variants
+
+
+def near(u, v):
+    u, v = sorted((u, v), key=len)
+    if len(u) == len(v):
+        return sum(a != b for a, b in zip(u, v)) == 1
+    return len(v) == len(u) + 1 and any(v[:i] + v[i + 1 :] == u for i in range(len(v)))
+
+
+def test_composition_equals_all_pairs():
+    rng = random.Random(1)
+    for _ in range(300):
+        n = rng.randint(0, 5)
+        short, long = (sorted({"".join(rng.choice("abc") for _ in range(k)) for _ in range(rng.randint(1, 20))}) for k in (n, n + 1))
+        got = [tuple(sorted(p, key=lambda w: (len(w), w))) for p in spelling.near_pairs(short, long)]
+        want = [(a, b) for i, a in enumerate(short) for b in short[i + 1 :] if near(a, b)] + [(a, b) for a in short for b in long if near(a, b)]
+        assert sorted(got) == sorted(want)
+
+
+def test_acceptor_is_minimal():
+    machine = spelling.Acceptor()
+    start = machine.add(sorted(a + b + "ing" for a in "pqrst" for b in "ao"))
+    assert len(machine.moves) == 6 and len(machine.moves[start]) == 5  # start, a/o, i, n, g, end
+
+
+def plain_groups(words):
+    known = collections.defaultdict(set)
+    for w in words:
+        for i in range(len(w)):
+            known[w[:i] + "*" + w[i + 1 :]].add(w)
+    out = {}
+    for w, n in words.items():
+        others = set().union(*(known[w[:i] + "*" + w[i + 1 :]] for i in range(len(w)))) - {w}
+        others |= {w[:i] + w[i + 1 :] for i in range(len(w))} & words.keys()
+        others |= {x for i in range(len(w) + 1) for x in known.get(w[:i] + "*" + w[i:], ()) if x[:i] + x[i + 1 :] == w}
+        best = min(others, key=lambda x: (-words[x], x)) if others else None
+        form = best if best and words[best] >= 2 * n else None
+        out[w] = (form, n, len(others), words[form] if form else None)
+
+    def root(w):
+        while out[w][0]:
+            w = out[w][0]
+        return w
+
+    return {w: (v[0], root(w), *v[1:]) for w, v in out.items()}
+
+
+def groups(df, **settings):
+    rows = spelling.spelling_groups(df, **settings).collect()
+    assert len({r.word for r in rows}) == len(rows)
+    return {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in rows}
+
+
+@pytest.mark.parametrize("most", [10_000, 3])
+def test_spelling_groups_equal_plain(spark, most):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").filter("doc_id < 60")
+    count = collections.Counter()
+    for r in docs.collect():
+        for w in re.findall(spelling.LETTERS, r.text or ""):
+            w = w.translate(str.maketrans(spelling.UPPER, spelling.LOWER))
+            h = zlib.crc32(f"{r.doc_id}:{w}".encode())
+            if h % 97 == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            count[w] += len(w) >= 5
+    words = {w: n for w, n in count.items() if n >= 3}
+    assert len(words) > 500
+    assert groups(spelling.vocabulary(docs, typos=97), most=most) == plain_groups(words)
+
+
+def test_spelling_query_equals_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    cols = "word, form, root, n, n_near, form_n"
+    want = con.execute(f"SELECT {cols} FROM ({spelling.ORACLE})").fetchall()
+    got = queries.op12_spelling_variants(spark, SF).select(*cols.split(", ")).collect()
+    assert len(want) > 1000 and sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got)
+
+
+def test_one_beginning_holds_most_words(spark):
+    """A partition over the bound is dealt again: nearly all words share both halves, and no pair is lost or counted twice."""
+    rng = random.Random(3)
+    words = {"quasi" + "".join(rng.choice("abcd") for _ in range(rng.randint(5, 6))) + "formation": rng.randint(3, 99) for _ in range(700)}
+    df = spark.createDataFrame(list(words.items()), "word string, n long")
+    want = plain_groups(words)
+    assert sum(v[2] for v in want.values()) > 1000
+    assert groups(df, most=40, hot_rows=5) == want
+
+
+def test_spelling_defined_cases(spark):
+    rows = [(None, 3), ("", 3), ("a", 5), ("b", 5), ("aa", 1), ("aa", 1), ("é" * 3000, 4), ("é" * 2999, 9), ("x" * 3000 + "y", 1), ("über", 1), ("uber", 2), ("ubers", 4)]
+    got = groups(spark.createDataFrame(rows, "word string, n long").withColumn("form", F.lit("clash")))
+    assert got["a"] == (None, "a", 5, 2, None) and got["b"] == (None, "b", 5, 1, None)  # aa isn't near b, and forms must be twice as common
+    assert got["aa"] == ("a", "a", 2, 1, 5)
+    assert got["é" * 3000] == ("é" * 2999, "é" * 2999, 4, 1, 9)
+    assert got["über"] == ("uber", "ubers", 1, 1, 2) and got["uber"][:2] == ("ubers", "ubers")
+    assert len(got) == 9
+    assert groups(spark.createDataFrame([], "word string, n long")) == {}
+    none = spark.createDataFrame([(1, None), (None, "ABCDE ÀBCDE abcde\nabcde")], "doc_id long, text string")
+    assert {tuple(r) for r in spelling.vocabulary(none).collect()} == {("abcde", 3)}
+    assert {r.word for r in spelling.vocabulary(none, min_count=1).collect()} == {"abcde", "Àbcde"}  # only A-Z are lower-cased
+
+
+# hard negatives
+
+
+def plain_negatives(rows):
+    rows = [(i, label, v) for i, label, v in rows if i is not None and label is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    rows = list({(i, label, tuple(v)): (i, label, tuple(v)) for i, label, v in rows}.values())
+    out = []
+    for a, la, va in rows:
+        if a % 50:
+            continue
+        scored = sorted((-int(np.dot(va, v)), i, label) for i, label, v in rows if i != a and len(v) == len(va))
+        for p, pid, _ in [s for s in scored if s[2] == la][:5]:
+            fit = [(s, i) for s, i, label in scored if label != la and 50 * -p <= 100 * -s <= 95 * -p][:3]
+            out += [(a, pid, k, i, -p, -s) for k, (s, i) in enumerate(fit, 1)]
+    return sorted(out)
+
+
+def negatives(spark, rows, **settings):
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").withColumn("id", F.lit(0)).withColumn("leaf", F.lit("clash"))
+    return sorted(map(tuple, hn.hard_negatives(df, anchor=F.col("vec_id") % 50 == 0, **settings).collect()))
+
+
+@pytest.mark.parametrize("settings", [{}, {"leaf_rows": 20, "block": 32, "fanout": 3}])
+def test_hard_negatives_query_equals_sql(spark, settings):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(6, 8))
+    rows = [(i, int(rng.integers(3)), np.floor(50 * (centres[rng.integers(6)] + 0.3 * rng.normal(size=8))).tolist()) for i in range(800)]
+    rows += [(i, i % 3, rows[5][2]) for i in range(800, 1000)]  # many equal vectors, so many ties
+    want = plain_negatives(rows)
+    assert len(want) > 100
+    assert negatives(spark, rows, **settings) == want
+
+
+def test_hard_negatives_equal_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{SF}/embeddings.parquet')")
+    cols = "anchor_id, positive_id, rank, negative_id, positive_score, negative_score"
+    want = con.execute(f"SELECT {cols} FROM ({hn.ORACLE})").fetchall()
+    assert want and sorted(want) == sorted(tuple(r) for r in queries.op13_hard_negatives(spark, SF).select(*cols.split(", ")).collect())
+
+
+def test_annuli_leave_subtrees_out_and_lose_none():
+    rng = np.random.default_rng(5)
+    x = np.floor(40 * (rng.normal(size=(20, 6))[rng.integers(20, size=3000)] + 0.1 * rng.normal(size=(3000, 6))))
+    square = float((x * x).sum(1).max())
+    up = hn.lifted(x, square)
+    assert np.allclose((up * up).sum(1), square)
+    tree = hn.grow(up[:500], 64, 5)
+    assert 16 < tree.leaves <= 64
+    leaf = hn.leaf_of(up, tree)
+    ranges = [(np.full((len(p), len(p)), np.inf), np.full((len(p), len(p)), -np.inf)) for p in tree.points]
+    for node, i, k, a, b in hn.ranges_of(up, tree):
+        ranges[node][0][i, k], ranges[node][1][i, k] = a, b
+    q, s = x[:50], x[:50] @ x.T
+    low, high = np.sort(s, axis=1)[:, [-100]], np.sort(s, axis=1)[:, [-20]]
+    row, at = hn.reached(hn.flat(q), hn.radius(q, high, square), hn.radius(q, low, square), tree, ranges)
+    met = set(zip(row.tolist(), at.tolist()))
+    inside = np.argwhere((s >= low) & (s <= high))
+    assert all((i, leaf[j]) in met for i, j in inside.tolist())
+    assert len(met) < 0.7 * 50 * tree.leaves
+
+
+def test_hard_negatives_defined_cases(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, 1, [2.0, 0.0]), (0, 1, [2.0, 0.0]), (1, 1, [10.0, 0.0]), (2, 2, [9.0, 1.0]), (3, 2, [9.0, -5.0]), (4, 2, [5.0, 7.0]), (5, 2, [4.9, 0.0]), (6, 1, [-3.0, 0.0]), (7, 2, [0.0, 1.0])]
+    odd = [(None, 1, [9.0, 0.0]), (8, None, [9.0, 0.0]), (9, 2, None), (10, 2, []), (11, 2, [nan, 1.0]), (12, 2, [inf, 1.0]), (13, 2, [None, 1.0]), (14, 2, [9.0]), (50, 1, [1.0]), (0, 2, [9.0, 2.0])]
+    want = plain_negatives(rows + odd)
+    assert [r for r in want if r[:2] == (0, 1)][:3] == [(0, 1, 1, 2, 20, 18), (0, 1, 2, 3, 20, 18), (0, 1, 3, 4, 20, 10)]
+    assert negatives(spark, rows + odd) == want
+    assert negatives(spark, []) == [] and negatives(spark, rows[2:]) == []
