@@ -1,7 +1,7 @@
-"""The experiment ledger and study manifests as append-only tables.
+"""The experiment ledger and study manifests as append-only logs.
 
-Every change is a row of its own; nothing is updated. A state is the latest row of its key, and what may follow it is checked before a row is
-appended. The tables are small and have one writer at a time.
+Every change is an entry of its own; nothing is updated. A state is the latest entry of its key, and what may follow it is checked by the same act that
+adds it, so writers may be many. The logs are small: an entry for each step of an experiment.
 """
 
 from __future__ import annotations
@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventide.operators.verdicts import check_execution, check_transition
+from eventide.sources.landing import Folder
 from eventide.sources.readers import canonical_digest
 
 LOG = "exp_id long, step long, status string, family string, family_trial long, source_type string, verdict_power string, title string, digest string, payload string"
-MANIFESTS = "snapshot_id long, half string, content string, digest string"
 
 #: What a plan must hold, who may write one, and the sources that a manifest needs.
 REQUIRED = ("event_def", "window", "pool", "benchmark", "cost", "holdout", "cleaning", "snapshot_batch_req")
@@ -35,20 +35,21 @@ def check_plan(plan: dict) -> None:
         check_execution(plan.get("strategy_execution") or {})
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    empty = spark.createDataFrame([], schema)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return spark.read.schema(schema).parquet(path) if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at) else empty
-
-
 class Ledger:
-    """register, freeze, start, finish and close experiments of a table at `path`."""
+    """register, freeze, start, finish and close experiments of a log at `path`, by any number of writers.
+
+    The log is a sequence of small files, each created only if it isn't there. A change is computed from all entries before it and takes the next number;
+    if another writer has taken it, the change is checked and computed again after that one's entry. So ids and trials have no gaps or repeats, and of two
+    steps that exclude each other one raises.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.folder, self.entries = spark, Folder(spark, path), []
 
     def log(self) -> DataFrame:
-        return _read(self.spark, self.path, LOG)
+        """All changes, a row each."""
+        self._catch_up()
+        return self.spark.createDataFrame([tuple(e.get(c.split()[0]) for c in LOG.split(", ")) for e in self.entries], LOG)
 
     def state(self) -> DataFrame:
         """The latest row of each experiment; plan and result are those of its own steps."""
@@ -58,8 +59,18 @@ class Ledger:
         of = lambda status: F.max(F.when(F.col("status") == status, F.col("payload")))
         return rows.groupBy("exp_id").agg(*last, *first, of("registered").alias("plan"), of("done").alias("result"), of("closed").alias("closure_reason"))
 
-    def _append(self, **row) -> None:
-        self.spark.createDataFrame([tuple(row.get(c.split()[0]) for c in LOG.split(", "))], LOG).write.mode("append").parquet(self.path)
+    def _catch_up(self) -> None:
+        """Read the entries that others have added."""
+        while self.folder.exists(name := f"{len(self.entries) + 1:012d}.json"):
+            self.entries.append(json.loads(self.folder.text(name)))
+
+    def _append(self, change) -> dict:
+        """Add what change() makes of the entries so far."""
+        while True:
+            self._catch_up()
+            entry = change(self.entries)
+            if self.folder.create(f"{len(self.entries) + 1:012d}.json", json.dumps(entry, sort_keys=True, ensure_ascii=False)):
+                return entry
 
     def register(self, *, family: str, title: str, source_type: str, verdict_power: str, plan: dict) -> int:
         """Born registered; a model's experiment is a prescreen; the trial counts up in its family. Returns exp_id."""
@@ -67,23 +78,29 @@ class Ledger:
             raise ValueError(f"no such source or power: {source_type}, {verdict_power}")
         check_transition(None, "registered", llm=source_type == "llm", power=verdict_power)
         check_plan(plan)
-        last = self.log().agg(F.max("exp_id").alias("e"), F.max(F.when(F.col("family") == family, F.col("family_trial"))).alias("t")).first()
-        exp_id = (last["e"] or 0) + 1
-        self._append(
-            exp_id=exp_id, step=0, status="registered", family=family, family_trial=(last["t"] or 0) + 1, source_type=source_type, verdict_power=verdict_power, title=title,
-            digest=canonical_digest(plan), payload=json.dumps(plan, sort_keys=True, ensure_ascii=False),
-        )
-        return exp_id
+
+        def born(entries: list[dict]) -> dict:
+            births = [e for e in entries if e["status"] == "registered"]
+            return {
+                "exp_id": len(births) + 1, "step": 0, "status": "registered", "family": family, "family_trial": sum(e["family"] == family for e in births) + 1, "source_type": source_type,
+                "verdict_power": verdict_power, "title": title, "digest": canonical_digest(plan), "payload": json.dumps(plan, sort_keys=True, ensure_ascii=False),
+            }
+
+        return self._append(born)["exp_id"]
 
     def step(self, exp_id: int, status: str, payload: str | None = None) -> None:
         """The next step of an experiment. A result is written once, by 'done'; a reason by 'closed'; a plan can't change."""
-        now = self.state().filter(F.col("exp_id") == exp_id).first()
-        if now is None:
-            raise ValueError(f"no experiment {exp_id}")
-        check_transition(now["status"], status)
-        if (payload is not None) != (status in ("done", "closed")):
-            raise ValueError(f"{status} {'needs' if payload is None else 'takes no'} text")
-        self._append(exp_id=exp_id, step=now["step"] + 1, status=status, payload=payload)
+
+        def stepped(entries: list[dict]) -> dict:
+            own = [e for e in entries if e["exp_id"] == exp_id]
+            if not own:
+                raise ValueError(f"no experiment {exp_id}")
+            check_transition(own[-1]["status"], status)
+            if (payload is not None) != (status in ("done", "closed")):
+                raise ValueError(f"{status} {'needs' if payload is None else 'takes no'} text")
+            return {"exp_id": exp_id, "step": own[-1]["step"] + 1, "status": status, "payload": payload}
+
+        self._append(stepped)
 
     def finish(self, exp_id: int, result: dict) -> None:
         self.step(exp_id, "done", json.dumps(result, sort_keys=True, ensure_ascii=False))
@@ -102,28 +119,24 @@ def manifest(batches: DataFrame, derived: DataFrame | None = None) -> dict:
 
 
 def publish(spark: SparkSession, path: str, snapshot_id: int, content: dict) -> str:
-    """Appends the manifest's mirror, then its attestation; again with the same content it changes nothing, with other content it raises."""
-    digest = canonical_digest(content)
-    have = _read(spark, path, MANIFESTS).filter(F.col("snapshot_id") == snapshot_id).collect()  # two rows at most
-    if any(r["digest"] != digest for r in have):
-        raise ValueError(f"snapshot {snapshot_id} is there with other content")
-    for half in ("mirror", "attestation"):
-        if not any(r["half"] == half for r in have):
-            row = (snapshot_id, half, json.dumps(content, sort_keys=True) if half == "mirror" else None, digest)
-            spark.createDataFrame([row], MANIFESTS).write.mode("append").parquet(path)
+    """The manifest's mirror, then its attestation, each created once; again with the same content it changes nothing, with other content it raises."""
+    digest, folder = canonical_digest(content), Folder(spark, path)
+    for half, row in (("mirror", {"digest": digest, "content": content}), ("attestation", {"digest": digest})):
+        name = f"{snapshot_id}.{half}.json"
+        if not folder.create(name, json.dumps(row, sort_keys=True)) and json.loads(folder.text(name))["digest"] != digest:
+            raise ValueError(f"snapshot {snapshot_id} is there with other content")
     return digest
 
 
 def published(spark: SparkSession, path: str, snapshot_id: int) -> dict:
     """The content of a snapshot whose mirror has an attestation of the same digest; anything else raises."""
-    rows = _read(spark, path, MANIFESTS).filter(F.col("snapshot_id") == snapshot_id)
-    mirror = rows.filter("half = 'mirror'").join(rows.filter("half = 'attestation'").select("snapshot_id", "digest"), ["snapshot_id", "digest"], "left_semi").first()
-    if mirror is None:
+    folder = Folder(spark, path)
+    rows = [json.loads(folder.text(name)) if folder.exists(name) else {} for name in (f"{snapshot_id}.mirror.json", f"{snapshot_id}.attestation.json")]
+    if not rows[1] or rows[0].get("digest") != rows[1]["digest"]:
         raise ValueError(f"snapshot {snapshot_id} isn't published")
-    content = json.loads(mirror["content"])
-    if canonical_digest(content) != mirror["digest"]:
+    if canonical_digest(rows[0]["content"]) != rows[0]["digest"]:
         raise ValueError(f"snapshot {snapshot_id} doesn't match its digest")
-    return content
+    return rows[0]["content"]
 
 
 def check_lineage(content: dict, anchors: dict[str, dict[str, int]], parents: dict[str, tuple[str, int]]) -> None:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from eventide.sources.landing import Landing
+
 #: Fixed value: days from here on are held out of every study.
 HOLDOUT = "2024-07-01"
 
@@ -111,21 +113,8 @@ def _axis(rows: DataFrame, calendar: DataFrame, d: str, pick, lo, hi, side: int)
 
 
 def append_batch(df: DataFrame, path: str, batch_id: int, *, expect: int | None = None) -> int:
-    """Appends one batch, recounts it, and fails if rows are missing or the batch exists."""
-    spark = df.sparkSession
-    try:
-        there = spark.read.parquet(path).filter(F.col("batch_id") == batch_id).limit(1).count()
-    except Exception as e:  # the table's first batch
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        there = 0
-    if there:
-        raise ValueError(f"batch {batch_id} exists: batches are append-only")
-    df.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").partitionBy("batch_id").parquet(path)
-    n = spark.read.parquet(path).filter(F.col("batch_id") == batch_id).count()
-    if expect is not None and n != expect:
-        raise ValueError(f"batch {batch_id} has {n} rows, expected {expect}")
-    return n
+    """Appends one batch, whole or not at all; fails if it exists, or if what was staged has other columns than the table or not `expect` rows."""
+    return Landing(df.sparkSession, path).land(df, batch_id, expect=expect).rows
 
 
 def land_derived(rows: DataFrame, other: DataFrame, path: str, batch_id: int, *, keys: list[str], value: str, tolerance: float = 1e-9) -> int:
