@@ -149,9 +149,11 @@ def t_of(x: str) -> Column:
     return F.when(sd > 0, F.avg(x) / sd * F.sqrt(F.count(x).cast("double")))
 
 
-def kp_factor(rho: Column, n: Column) -> Column:
-    """The correction for cross-sectional correlation."""
-    return F.sqrt((1 - rho) / (1 + (n - 1) * rho))
+def kp_factor(rho: Column, n: Column, *, strict: bool = True) -> Column:
+    """The correction for cross-sectional correlation. Where it has no value (its denominator isn't positive) the job fails, or with strict=False it is NULL."""
+    below = 1 + (n - 1) * rho
+    why = F.concat(F.lit("no correction: the denominator is "), below.cast("string"))
+    return F.when(rho.isNull() | n.isNull() | (below > 0), F.sqrt((1 - rho) / below)).otherwise(F.raise_error(why).cast("double") if strict else F.lit(None).cast("double"))
 
 
 def rho_bar(est: DataFrame, fit: DataFrame, groups: DataFrame, *, least: int = 3, block: int = 1000) -> DataFrame:
@@ -310,7 +312,7 @@ class Study:
         x = one.crossJoin(self.rho(group))  # two single rows
         n, rho = F.col("n"), F.col("rho")
         return x.select(
-            "n", F.col("bmp").alias("bmp_car"), (F.col("bmp") * kp_factor(rho, n)).alias("adj_bmp"), "mean_car", "naive_t", "rho", "n_pairs",
+            "n", F.col("bmp").alias("bmp_car"), F.when(F.col("bmp").isNotNull(), F.col("bmp") * kp_factor(rho, n)).alias("adj_bmp"), "mean_car", "naive_t", "rho", "n_pairs",
             F.when(n > 0, n / (1 + (n - 1) * rho)).alias("n_eff"), F.when(n > 0, n * (1 - rho) / (1 + (n - 1) * rho)).alias("n_eff_kp"),
         )
 

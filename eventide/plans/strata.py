@@ -123,7 +123,7 @@ def a10(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = tests.join(rho, "layer", "left").join(aar, "layer", "left")
     factor = E.kp_factor(F.coalesce("rho", F.lit(0.0)), F.col("n"))
     return x.select(
-        "layer", "n", *r9("caar", "mean_car"), F.round("naive_t", 8).alias("naive_t"), F.round("bmp_car", 8).alias("bmp_car"), F.round(F.col("bmp_car") * factor, 7).alias("adj_bmp"), F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"),
+        "layer", "n", *r9("caar", "mean_car"), F.round("naive_t", 8).alias("naive_t"), F.round("bmp_car", 8).alias("bmp_car"), F.round(F.when(F.col("bmp_car").isNotNull(), F.col("bmp_car") * factor), 7).alias("adj_bmp"), F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"),
         F.when(F.col("n") == 0, "no_survivors").when(F.col("n") < 30, "insufficient").otherwise("tested").alias("status"),
     )
 
