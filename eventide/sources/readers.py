@@ -135,9 +135,9 @@ def evidence_manifest(files: DataFrame, *, pull_time: str) -> dict:
 
 
 def canonical_digest(value: dict) -> str:
-    """sha256 of the sorted, compact JSON without keys that begin with an underscore."""
-    strip = lambda v: {k: strip(x) for k, x in v.items() if not k.startswith("_")} if isinstance(v, dict) else v
-    return hashlib.sha256((json.dumps(strip(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False) + "\n").encode()).hexdigest()
+    """sha256 of the sorted, compact JSON and a line end, without the document's own keys that begin with an underscore."""
+    own = {k: v for k, v in value.items() if not k.startswith("_")}
+    return hashlib.sha256((json.dumps(own, sort_keys=True, separators=(",", ":"), ensure_ascii=False) + "\n").encode()).hexdigest()
 
 
 class SnapshotReader:

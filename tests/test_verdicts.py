@@ -69,7 +69,8 @@ def test_alignment_and_roles():
         V.require_holdout_approval(False)
     a = {"n_valid": 5, "verdict": "SIG", "rejections": {"by_year": {2020: {"total": 3, "rejected": 1, "by_reason": {"st": 1}}}}, "audit": 1}
     b = {"n_valid": 6, "verdict": "SIG", "rejections": {"by_year": {2020: {"total": 3, "rejected": 2, "by_reason": {"st": 1, "history": 1}}}}, "audit": 2}
-    assert V.rerun_diff(a, b) == ["$.n_valid", "$.rejections.by_reason.history", "$.rejections.by_year.2020.by_reason.history", "$.rejections.by_year.2020.rejected"]
+    assert V.rerun_diff(a, b, ignore=("$.audit",)) == ["$.n_valid", "$.rejections.by_year.2020.by_reason.history", "$.rejections.by_year.2020.rejected"]
+    assert V.rerun_diff(a, b, ignore=("$.audit", "$.n", "$.rejections")) == ["$.n_valid"]
 
 
 PLAN = {k: "x" for k in L.REQUIRED} | {"pap_schema_version": 2, "analysis_type": "event"}
