@@ -82,6 +82,11 @@ def st_days(rows: DataFrame, mode: str = "event_day") -> DataFrame:
     return rows.groupBy("sec").agg(F.min_by("st", "d").alias("st")).filter("st").select("sec")
 
 
+def market_keys(market: DataFrame) -> list[str]:
+    """What a market's returns are keyed by besides the day: nothing for a single benchmark; else columns that the events carry too."""
+    return [c for c in market.columns if c not in ("cal_idx", "rm")]
+
+
 def estimation(events: DataFrame, returns: DataFrame, market: DataFrame) -> DataFrame:
     """(event_id, sec, cal_idx, r, rm): the returns of each event's estimation window, NULL market days left out of neither side.
 
@@ -90,18 +95,20 @@ def estimation(events: DataFrame, returns: DataFrame, market: DataFrame) -> Data
     """
     stretch = lambda i: F.floor(i / EST_LEN).cast("int")
     first, last = F.col("anchor_idx") - EST_FROM, F.col("anchor_idx") - EST_TO
-    e = events.filter("anchor_idx is not null").select("event_id", "sec", first.alias("lo"), last.alias("hi"), F.explode(F.sequence(stretch(first), stretch(last))).alias("stretch"))
+    keys = market_keys(market)
+    e = events.filter("anchor_idx is not null").select("event_id", "sec", *keys, first.alias("lo"), last.alias("hi"), F.explode(F.sequence(stretch(first), stretch(last))).alias("stretch"))
     r = returns.select("sec", "cal_idx", F.col("ret").alias("r"), stretch(F.col("cal_idx")).alias("stretch"))
-    return e.join(r, ["sec", "stretch"]).filter("cal_idx between lo and hi").join(F.broadcast(market), "cal_idx").select("event_id", "sec", "cal_idx", "r", "rm")
+    return e.join(r, ["sec", "stretch"]).filter("cal_idx between lo and hi").join(F.broadcast(market), [*keys, "cal_idx"]).select("event_id", "sec", "cal_idx", "r", "rm")
 
 
 def axis_sums(market: DataFrame) -> DataFrame:
-    """(cal_idx, n, s, q): how many market returns there are up to each day, their sum and their sum of squares."""
-    ends = market.filter("rm is not null").agg(F.min("cal_idx").alias("a"), F.max("cal_idx").alias("b"))
-    axis = ends.filter("a is not null").select(F.explode(F.sequence("a", "b")).alias("cal_idx"))
-    w = Window.orderBy("cal_idx").rowsBetween(Window.unboundedPreceding, 0)  # a row per day: a bounded axis
-    return axis.join(market, "cal_idx", "left").select(
-        "cal_idx", F.count("rm").over(w).alias("n"), F.coalesce(F.sum("rm").over(w), F.lit(0.0)).alias("s"), F.coalesce(F.sum(F.col("rm") * F.col("rm")).over(w), F.lit(0.0)).alias("q")
+    """(keys, cal_idx, n, s, q): how many market returns there are up to each day, their sum and their sum of squares."""
+    keys = market_keys(market)
+    ends = market.filter("rm is not null").groupBy(*keys).agg(F.min("cal_idx").alias("a"), F.max("cal_idx").alias("b"))
+    axis = ends.filter("a is not null").select(*keys, F.explode(F.sequence("a", "b")).alias("cal_idx"))
+    w = Window.partitionBy(*keys).orderBy("cal_idx").rowsBetween(Window.unboundedPreceding, 0)  # a row per day: a bounded axis
+    return axis.join(market, [*keys, "cal_idx"], "left").select(
+        *keys, "cal_idx", F.count("rm").over(w).alias("n"), F.coalesce(F.sum("rm").over(w), F.lit(0.0)).alias("s"), F.coalesce(F.sum(F.col("rm") * F.col("rm")).over(w), F.lit(0.0)).alias("q")
     )
 
 
@@ -113,18 +120,20 @@ def market_model(events: DataFrame, est: DataFrame, market: DataFrame) -> DataFr
     both = est.join(fit, "event_id").withColumn("e", F.col("r") - F.col("alpha") - F.col("beta") * F.col("rm"))
     sd = both.groupBy("event_id").agg(F.stddev_samp("e").alias("sd"))
     sums = axis_sums(market)
-    ends = F.broadcast(sums.agg(F.min("cal_idx").alias("first"), F.max("cal_idx").alias("last")))
-    at = lambda i, name: F.broadcast(sums.select(F.col("cal_idx").alias(i), *(F.col(c).alias(f"{name}_{c}") for c in "nsq")))
-    w = events.filter("anchor_idx is not null").select("event_id", "anchor_idx").crossJoin(ends)  # a single row
-    w = w.select("event_id", (F.col("anchor_idx") - EST_FROM - 1).alias("before"), F.least(F.col("anchor_idx") - EST_TO, F.col("last")).alias("upto"))
-    w = w.join(at("before", "a"), "before", "left").join(at("upto", "b"), "upto", "left")
+    keys = market_keys(market)
+    ends = F.broadcast(sums.groupBy(*keys).agg(F.min("cal_idx").alias("first"), F.max("cal_idx").alias("last")))
+    at = lambda i, name: F.broadcast(sums.select(*keys, F.col("cal_idx").alias(i), *(F.col(c).alias(f"{name}_{c}") for c in "nsq")))
+    w = events.filter("anchor_idx is not null").select("event_id", "anchor_idx", *keys)
+    w = w.join(ends, keys) if keys else w.crossJoin(ends)  # a row a benchmark
+    w = w.select("event_id", *keys, (F.col("anchor_idx") - EST_FROM - 1).alias("before"), F.least(F.col("anchor_idx") - EST_TO, F.col("last")).alias("upto"))
+    w = w.join(at("before", "a"), [*keys, "before"], "left").join(at("upto", "b"), [*keys, "upto"], "left")
     n, s, q = (F.coalesce(f"b_{c}", F.lit(0)) - F.coalesce(f"a_{c}", F.lit(0)) for c in "nsq")
     days = w.select("event_id", n.alias("n"), s.alias("s"), q.alias("q")).filter("n > 0").select("event_id", (F.col("s") / F.col("n")).alias("x_bar"), (F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("sxx"))
     return fit.join(sd, "event_id").join(days, "event_id")
 
 
-def survivors(cleaned: DataFrame, fit: DataFrame, *, length: int, min_obs: int = MIN_OBS) -> DataFrame:
-    """Coverage, then the right edge; earlier reasons stay."""
+def survivors(cleaned: DataFrame, fit: DataFrame, *, length: int | Column, min_obs: int | Column = MIN_OBS) -> DataFrame:
+    """Coverage, then the right edge; earlier reasons stay. The length and the least coverage may differ by row."""
     e = cleaned.join(fit, "event_id", "left")
     late = (
         F.when(F.coalesce("delta", F.lit(0)) < 2, "ols_error").when(F.col("delta") < min_obs, "coverage")
@@ -136,7 +145,7 @@ def survivors(cleaned: DataFrame, fit: DataFrame, *, length: int, min_obs: int =
 def abnormal(events: DataFrame, returns: DataFrame, market: DataFrame, *, length: int, sign: Column | None = None) -> DataFrame:
     """(event_id, tau, ar, rm, sar) for tau 0..length-1; NULL where a day has no return. sign: E09, before everything else."""
     taus = events.select("*", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("tau")).withColumn("cal_idx", F.col("tau0") + F.col("tau"))
-    x = taus.join(returns.select("sec", "cal_idx", F.col("ret").alias("r")), ["sec", "cal_idx"], "left").join(F.broadcast(market), "cal_idx", "left")
+    x = taus.join(returns.select("sec", "cal_idx", F.col("ret").alias("r")), ["sec", "cal_idx"], "left").join(F.broadcast(market), [*market_keys(market), "cal_idx"], "left")
     ar = F.col("r") - F.col("alpha") - F.col("beta") * F.col("rm")
     scale = F.col("sd") * F.sqrt(1 + F.try_divide(F.lit(1.0), F.col("delta")) + F.try_divide((F.col("rm") - F.col("x_bar")) * (F.col("rm") - F.col("x_bar")), F.col("sxx")))
     x = x.withColumn("ar", ar * sign if sign is not None else ar)
