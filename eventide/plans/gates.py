@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +15,10 @@ from eventide.operators import sharpe
 from eventide.operators import study as E
 from eventide.plans.selection import FROM, TO, chain_sql, limit_rows, listings
 from eventide.plans.study import RHO, Study, group, r9, sql
-from eventide.registry import keep, query
+from eventide.registry import keep, own, query
 from eventide.sources import readers
-from eventide.sources.landing import Landing
+from eventide.sources.ingest import ingest
+from eventide.sources.landing import Folder, Landing
 from eventide.sources.panel import bars, industry, panel_sql, read
 from eventide.sources.work import shared_dir
 
@@ -57,10 +60,6 @@ LAND_SQL = "SELECT year(o_orderdate) AS batch_id, count(*) AS rows, count(DISTIN
 @query("k01_landed_batches", LAND_SQL)
 def k01(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Years of orders landed as batches: rows that come twice are dropped by shard (month), and batches that break a rule leave nothing to read."""
-    import uuid
-
-    from eventide.registry import own
-
     table = Landing(spark, f"{shared_dir(spark)}/eventide-landing-{uuid.uuid4().hex}")
     own(table.folder.delete)
     orders = read(spark, sf_dir, "orders").withColumns({"year": F.year("o_orderdate"), "month": F.month("o_orderdate")})
@@ -80,6 +79,20 @@ def k01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(table.path).groupBy(F.col("batch_id").cast("long").alias("batch_id")).agg(F.count("*").alias("rows"), total).join(F.broadcast(landed), "batch_id", "left")
 
 
+@query("s22_resumed_ingest", "SELECT CASE WHEN ts < TIMESTAMP '2024-01-05' THEN 0 ELSE 1 END AS batch_id, event_type, count(*) AS n, count(DISTINCT event_id) AS keys, CAST(round(sum(CAST(value AS DECIMAL(18,2))), 2) AS DOUBLE) AS total FROM events GROUP BY 1, 2")
+def s22(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as files of JSON lines that come in two sets; the second run goes on where the first ended."""
+    at = f"{shared_dir(spark)}/eventide-ingest-{uuid.uuid4().hex}"
+    own(Folder(spark, at).delete)
+    rows = read(spark, sf_dir, "events").select("event_id", "event_type", F.col("value").cast("decimal(18,2)").alias("value"), "ts")
+    first = F.col("ts") < F.lit("2024-01-05").cast("timestamp_ntz")
+    for part in (rows.filter(first), rows.filter(~first)):
+        part.drop("ts").write.mode("append").json(f"{at}/in")
+        ingest(spark, f"{at}/in", part.drop("ts").schema, ["event_id"], f"{at}/table", f"{at}/checkpoint")
+    total = F.round(F.sum("value").cast("double"), 2).alias("total")
+    return spark.read.parquet(f"{at}/table").groupBy("batch_id", "event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("keys"), total)
+
+
 @query("a18_normal_quantile", f"""WITH p AS (SELECT c_custkey, (c_acctbal + 1000.0) / 11000.0 AS p FROM customer WHERE c_acctbal > -1000 AND c_acctbal < 10000)
 SELECT c_custkey, round({quantile_sql('p')}, 10) AS z, round({cdf_sql('(p - 0.5) * 12')}, 12) AS below FROM p""")
 def a18(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,3 +105,46 @@ def test_steps_that_exclude_each_other(spark, tmp_path):
     _, errors = together(*(lambda i=i: L.Ledger(spark, path).finish(one, {"verdict": i}) for i in range(4)))
     assert len(errors) == 3 and all(isinstance(e, ValueError) for e in errors)
     assert L.Ledger(spark, path).log().filter("status = 'done'").count() == 1
+
+
+def test_ingest_is_resumed(spark, tmp_path, monkeypatch):
+    from eventide.sources.ingest import ingest
+
+    folder, table, check = tmp_path / "in", str(tmp_path / "t"), str(tmp_path / "check")
+    folder.mkdir()
+    schema = StructType.fromDDL("code string, day int, v double")
+    line = '{{"code": "{}", "day": {}, "v": {}}}\n'.format
+
+    def run(files_each=None):
+        return ingest(spark, str(folder), schema, ["code", "day"], table, check, files_each=files_each)
+
+    (folder / "a.jsonl").write_text(line("x", 1, 1.5) + line("y", 1, 2))
+    (folder / "b.jsonl").write_text(line("x", 2, 3))
+    assert run(files_each=1) == [0, 1] and run() == []
+    assert spark.read.parquet(table).count() == 3
+
+    # a run that dies after a batch is landed and before its checkpoint lands nothing twice
+    (folder / "c.jsonl").write_text(line("z", 1, 4))
+    land = Landing.land
+    with monkeypatch.context() as m:
+        m.setattr(Landing, "land", lambda self, *a, **k: (land(self, *a, **k), 1 / 0))
+        with pytest.raises(Exception, match="ZeroDivisionError"):
+            run()
+    assert run() == [] and Landing(spark, table).ids() == [0, 1, 2] and spark.read.parquet(table).count() == 4
+
+    # a key of the first run comes again: nothing of the batch is landed until the file is mended
+    bad = folder / "d.jsonl"
+    bad.write_text(line("w", 1, 5) + line("x", 1, 9))
+    with pytest.raises(Exception, match="a key that has come before"):
+        run()
+    assert spark.read.parquet(table).count() == 4 and not Landing(spark, table).pending()
+    bad.write_text(line("w", 1, 5) + line("x", 3, 9))
+    assert run() == [3]
+    assert sorted((r.code, r.day) for r in spark.read.parquet(table).collect()) == [("w", 1), ("x", 1), ("x", 2), ("x", 3), ("y", 1), ("z", 1)]
+    for text in ('{"code": "q", "day": "no"', line("q", 1, 1) + line("q", 1, 2), '{"day": 1}\n'):
+        other = str(tmp_path / f"check{len(text)}")
+        (tmp_path / f"in{len(text)}").mkdir()
+        (tmp_path / f"in{len(text)}" / "x.jsonl").write_text(text)
+        with pytest.raises(Exception):
+            ingest(spark, str(tmp_path / f"in{len(text)}"), schema, ["code", "day"], str(tmp_path / f"t{len(text)}"), other)
+        assert Landing(spark, str(tmp_path / f"t{len(text)}")).ids() == []
