@@ -3,8 +3,9 @@
 A tokenizer walks the tags once and keeps a stack of open elements, with the end tags that HTML
 leaves out (a new block ends an open paragraph, a list item the one before). Elements whose tag says
 that they aren't the article, and hidden ones, are left out with all they hold. So are those that are marked by
-their class, id or role, unless one holds most of the page's prose; then it has half its points, gives none to what
-holds it, and is left out only if another container is better.
+their class, id or role as readers' comments, and, where something unmarked has a paragraph of prose, all other marked ones too, however much they hold. But one whose mark only
+names a part of the layout stays if it holds most of the page's prose and all of its articles and headlines of the first level; and if nothing unmarked has prose, one that
+holds most of it stays. Such an element has half its points, gives none to what holds it, and is left out only if another container is better.
 Every paragraph gives points to its parent, and half as many to its grandparent: one, one for each
 comma, and one for each 100 characters up to three; a container's points are discounted by the share
 of its text inside links. The best container is the article; a sibling of it stays if its
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from eventide.llm.common import bound_batches
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?)*+)(?:>|\Z)", re.S)
 RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "textarea", "noscript", "iframe", "xmp", "noembed", "noframes", "template", "svg", "title")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags that never hold the article's text.
@@ -47,35 +48,41 @@ NOISE = re.compile(
     r"(?:^|[\s_-])(?<!\bno[_-])(?<!\bhas[_-])(?<!\bnot[_-])(?<!\bnon[_-])(?<!\bwith[_-])(?<!\bwithout[_-])(?!tags?[_-]\w)(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|side-?bar|rail|(?<!elementor-)widget|footer|foot|header|masthead|comments?|comment-?list|disqus|replies|respond|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|toolbar|pagination|pager|skip|hidden|tags?|navigation|contentinfo|complementary|search)(?=$|[\s_-])",
     re.I,
 )
+#: Of these, what readers wrote, which is never the article; and what names a page's layout, which may hold it.
+READERS = re.compile(r"comments?|comment-?list|disqus|replies|respond", re.I)
+LAYOUT = re.compile(r"header|foot|footer|masthead|side-?bar|rail|widget|banner|social|toolbar|search|tags?|hidden", re.I)
 ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 UNSHOWN = re.compile(r"display\s*:\s*none", re.I)
 SPACE = re.compile(r"\s+")
+HEADLINES = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("tag", "up", "out", "points", "chars", "linked", "order", "marked", "prose", "holder", "host", "state")
+    __slots__ = ("tag", "up", "out", "points", "chars", "linked", "order", "marked", "prose", "heads", "holder", "host", "state")
 
-    def __init__(self, tag: str, up: Node | None, out: bool, order: int, marked: bool = False):
+    def __init__(self, tag: str, up: Node | None, out: bool, order: int, marked: str = ""):
         self.tag, self.up, self.out, self.order, self.marked = tag, up, out, order, marked
-        self.points, self.chars, self.linked, self.prose = 0.0, 0, 0, 0
+        self.points, self.chars, self.linked, self.prose, self.heads = 0.0, 0, 0, 0, 0
         # the nearest element, from this one up, that can be a container, and the nearest that isn't prose itself
         self.holder: Node | None = self if tag in HOLDS else up and up.holder
         self.host: Node | None = self if tag in HOLDS and tag not in PROSE else up and up.host
         self.state = ""
 
 
-def _marked(tag: str, attrs: str) -> tuple[bool, bool]:
-    """Whether an element is hidden, and whether its class, id or role marks it."""
+def _marked(tag: str, attrs: str) -> tuple[bool, str]:
+    """Whether an element is hidden, and how its class, id or role marks it: '', 'layout', 'noise' or 'readers'."""
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False, False
-    marked = False
+        return False, ""
+    words: list[str] = []
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id", "role") and NOISE.search(value):
-            marked = True
+        if name in ("class", "id", "role"):
+            words += (w[0].strip(" \t\n\f\r_-") for w in NOISE.finditer(value))
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and UNSHOWN.search(value):
-            return True, marked
-    return False, marked
+            return True, ""
+    if not words:
+        return False, ""
+    return False, "readers" if any(map(READERS.fullmatch, words)) else "layout" if all(map(LAYOUT.fullmatch, words)) else "noise"
 
 
 class Open:
@@ -202,11 +209,27 @@ def extract(page: str | None) -> str:
     nodes, blocks = parsed(page or "")
     for node, text, linked in blocks:
         node.prose += len(text) - linked
+    inside, main = [False] * len(nodes), [False] * len(nodes)  # a marked element, an article
+    for x in nodes[1:]:
+        inside[x.order] = inside[x.up.order] or bool(x.marked)
+        main[x.order] = main[x.up.order] or x.tag in ("article", "main")
+        x.heads += x.tag in ("article", "main", "h1") and not x.out
     for x in reversed(nodes[1:]):
         x.up.prose += x.prose
-    minor = [False] * len(nodes)  # inside a marked element that doesn't hold most of the page's prose
+        x.up.heads += x.heads
+    # a paragraph of prose, or a sentence of an article, that nothing marks
+    plain = any(not inside[b.order] and len(text) > (40 if main[b.order] else 80) and linked < 0.25 * len(text) and b.tag not in HEADLINES for b, text, linked in blocks)
+
+    def may_hold(x: Node) -> bool:
+        """Whether a marked element may hold the article all the same."""
+        most = 2 * x.prose > nodes[0].prose
+        if plain:
+            return most and x.marked == "layout" and 0 < x.heads == nodes[0].heads
+        return most and x.marked != "readers"
+
+    minor = [False] * len(nodes)
     for x in nodes[1:]:
-        minor[x.order] = minor[x.up.order] or x.marked and 2 * x.prose <= nodes[0].prose
+        minor[x.order] = minor[x.up.order] or bool(x.marked) and not may_hold(x)
     return article(nodes, [b for b in blocks if not minor[b[0].order]], True) or article(nodes, blocks, False)
 
 
