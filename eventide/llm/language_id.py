@@ -7,9 +7,8 @@ smallest total wins; where the second is larger by less than `margin` of the sma
 and lang_pred still names the smallest.
 
 The dictionaries are fitted on a bounded sample: for each language one document of up to 20,000
-characters for each of `sample` buckets of the id (those of 1,000 or more first, then by hash), whole
-texts, until `size` bytes are full; where a language has longer documents only, their first 20,000
-characters. Every language of the training rows has a dictionary, and what is read at once is one language's sample.
+characters for each of `sample` buckets of the id (those of 1,000 or more first, then by hash), a whole
+text, or where a bucket has longer documents only, the first 20,000 characters of one; then such pieces of the other buckets too, until `size` bytes are full. Every language of the training rows has a dictionary, and what is read at once is one language's sample.
 
 Defined cases: a null text, and one without a letter, is `und` with score 0. Without training rows
 every text is `und`, and with one language every text with a letter is that one, with the score of a margin of 1. Ties go to the language that sorts first, with
@@ -55,8 +54,14 @@ def fit(docs: DataFrame, *, size: int = 32 << 10, sample: int = 64) -> dict[str,
     out: dict[str, bytes] = {}
     for lang, group in itertools.groupby(picked.sort("lang", "bucket").toLocalIterator(), lambda r: r["lang"]):
         rows = list(group)  # at most `sample`
-        whole = [r["text"] for r in rows if r["text"] is not None]
-        out[lang] = b"".join(letters(pa.array([t]))[0].as_py().encode() + b" " for t in whole or [r["piece"] for r in rows])[:size]
+        # of each bucket a whole document, or else a piece; then, if there is room, the pieces of the others
+        taken = [r["text"] if r["text"] is not None else r["piece"] for r in rows] + [r["piece"] for r in rows if r["text"] is not None and r["piece"] is not None]
+        book = b""
+        for t in taken:
+            if len(book) >= size:
+                break
+            book += letters(pa.array([t]))[0].as_py().encode() + b" "
+        out[lang] = book[:size]
     return out
 
 

@@ -268,3 +268,110 @@ def test_hard_negatives_defined_cases(spark):
     assert [r for r in want if r[:2] == (0, 1)][:3] == [(0, 1, 1, 2, 20, 18), (0, 1, 2, 3, 20, 18), (0, 1, 3, 4, 20, 10)]
     assert negatives(spark, rows + odd) == want
     assert negatives(spark, []) == [] and negatives(spark, rows[2:]) == []
+
+
+# whole extracts
+
+
+def test_whole_extracts_of_generated_pages():
+    """Pages put together from an article and noise of every kind: the extract is the article, whatever share of the page the noise is."""
+    from eventide.llm import html_extract
+
+    rng = random.Random(8)
+    say = lambda who, k: f"The {who} said, in sentence {k}, that the river ran, slowly, past the old mill and the bridge."
+    names = ["comments", "comment-list", "disqus thread", "ad", "promo box", "cookie-notice", "related", "newsletter", "sidebar", "share"]
+    majorities = 0
+    for n in range(300):
+        body = [say("writer", k) for k in range(rng.randint(3, 6))]
+        if rng.random() < 0.5:
+            body.insert(rng.randrange(1, len(body)), "A short line.")
+        article = "".join(f"<p title=it's>{t}</p>" if rng.random() < 0.5 else f"<p>{t}" for t in body)
+        head = "<h1>The mill</h1>" if rng.random() < 0.5 else ""
+        wrap = rng.choice(["<article>{}</article>", "<div>{}</div>", "<main><div class=story>{}</div></main>", '<div class="content with-sidebar"><section>{}</section></div>'])
+        noise = []
+        for _ in range(rng.randint(1, 4)):
+            many = rng.choice([1, 2, 30])
+            majorities += many == 30
+            part = "".join(f"<p>{say('reader', k)}</p>" for k in range(many))
+            tag = rng.choice(["div", "section", "ul"])
+            noise.append(rng.choice([f'<{tag} class="{rng.choice(names)}">{part}</{tag}>', f'<{tag} id={rng.choice(names).split()[0]}>{part}</{tag}>', f"<aside>{part}</aside>", f"<footer>{part}</footer>", f"<nav><a href=x>{part}</a></nav>", f"<form>{part}</form>"]))
+        cut = rng.randint(0, len(noise))
+        page = f"<html><body>{''.join(noise[:cut])}{wrap.format(head + article)}{''.join(noise[cut:])}</body></html>"
+        want = " ".join((["The mill"] if head else []) + body)
+        assert html_extract.extract(page) == want, page
+    assert majorities > 100
+
+
+@pytest.mark.parametrize("mark", ['class="comments"', "id=comments", 'class="post-comments list"', 'class="replies"', 'role="navigation"', 'class="advert"'])
+@pytest.mark.parametrize("article", ["<article>{}</article>", "<div>{}</div>", "{}"])
+def test_marked_majority_never_replaces_the_article(mark, article):
+    from eventide.llm import html_extract
+
+    story = "A single paragraph of the story, with commas, which goes on for a while and then comes to its end here. "
+    noise = "<p>A remark, which is long, and which others answer at length.</p>" * 20
+    body = article.format(f"<p>{story * 3}</p>")
+    for tag in ("div", "section"):
+        assert html_extract.extract(f"<body>{body}<{tag} {mark}>{noise}</{tag}></body>") == (story * 3).strip()
+
+
+def test_layout_marks_around_the_article_and_tags_with_quotes():
+    from eventide.llm import html_extract
+
+    story = "<h1>The mill</h1>" + "<p>The story, as it was told, in one long sentence of many words.</p>" * 6
+    notice = "<p>We would like to tell you that this site, like others, stores small files on your machine for its own ends.</p>"
+    text = html_extract.extract(f"<body>{notice}<div class='widget'>{story}</div></body>")
+    assert "The mill The story" in text and text.count("story") == 6
+    assert html_extract.extract("<body><div class=comments><p>Only a comment, nothing else.</p></div></body>") == "Only a comment, nothing else."
+    assert html_extract.extract("<p title=it's>Text, here.</p><p a=\"x>y\" b='>' c=d>More.</p><p e=\"open>Last.</p>") == "Text, here. More. Last."
+
+
+# language by compression
+
+
+def test_dictionaries_are_filled_whatever_the_lengths(spark):
+    from eventide.llm import language_id
+    from eventide.llm.common import held_out
+
+    rng = random.Random(9)
+    word = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) + k
+    long = [(i, " ".join(word("x") for _ in range(4000)), "long") for i in range(60)]
+    rows = [*long, (100, "the river", "long"), (101, "the river", "long"), (102, "the river", "long"), *[(200 + i, "only short words here", "short") for i in range(8)], (300, None, "short"), (301, "unknown", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert docs.filter(~held_out() & F.col("doc_id").between(100, 102)).count() > 0
+    books = language_id.fit(docs)
+    assert len(books["long"]) == 32 << 10 and set(books) == {"long", "short"}
+    assert len(language_id.fit(docs.filter("doc_id < 100"))["long"]) == 32 << 10
+    assert set(books["short"].split()) == {b"only", b"short", b"words", b"here"}
+
+
+def test_identify_equals_a_plain_loop(spark):
+    import math
+
+    import zstandard as z
+
+    from eventide.llm import language_id
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    extra = spark.createDataFrame([(-1, None, None), (-2, "", None), (-3, "12 34 !!", None), (-4, "é", "x")], docs.schema)
+    docs = docs.union(extra)
+    books = language_id.fit(docs)
+    how = z.ZstdCompressionParameters(write_content_size=False, write_checksum=False, write_dict_id=False, strategy=z.STRATEGY_GREEDY, window_log=18, chain_log=16, hash_log=16, search_log=4, min_match=4, target_length=8)
+
+    def plain(text):
+        read = re.sub(r"[^a-z]+" if (text or "").isascii() else r"(?:[^\w]|[\d_])+", " ", (text or "").lower()).strip()
+        if not read:
+            return "und", 0.0
+        raw, sizes = read.encode(), {}
+        for name in sorted(books):
+            one = z.ZstdCompressor(dict_data=z.ZstdCompressionDict(books[name], dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=how)
+            sizes[name] = sum(len(one.compress(raw[i : i + 400])) for i in range(0, len(raw), 400))
+        first, second = sorted(sizes, key=lambda k: (sizes[k], k))[:2]
+        return first, 1 - math.exp(-8 * (sizes[second] / sizes[first] - 1))
+
+    got = {r.doc_id: r for r in language_id.identify(docs, books).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        lang, score = plain(r.text)
+        assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == (lang, pytest.approx(score, abs=1e-12)), r.doc_id
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
