@@ -2,7 +2,8 @@
 
 Only DataFrame functions and Spark's own random forest run here. A text is cut at its candidates, so
 the pieces before and after one are its neighbours; where a candidate begins is a running sum over the pieces before it, so time is linear in a
-text's candidates. A candidate ends where its characters do, however long it is. What the forest sees of a candidate: its length,
+text's candidates. A candidate ends where its characters do, however long it is; a private key is one finding from its first line to its last, and of
+an address with a password the password is the value. What the forest sees of a candidate: its length,
 the transitions between kinds of characters, the variety of its characters, how much of it words
 of a dictionary cover, whether it looks like a path or like a reference to a value kept elsewhere, and which words stand beside it.
 The dictionary is the fixed one below and the words that most documents of the corpus hold (common_words() counts all documents).
@@ -27,6 +28,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from eventide.llm.common import dropped, written
+
 #: Names of secrets, prefixes that issuers document, and a small dictionary.
 NAMES = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credentials?"
 ISSUED = {
@@ -36,20 +39,26 @@ ISSUED = {
     "google_key": r"AIza[0-9A-Za-z_-]{35}",
     "stripe_key": r"[sr]k_live_[0-9A-Za-z]{16,}",
     "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
-    "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
+    "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:\s*+(?:[A-Za-z0-9-]{1,40}+:[^\n]{0,200}\n)*+[A-Za-z0-9+/=\s\\]*+-----END [A-Z ]{0,20}PRIVATE KEY-----)?+",
 }
+#: The password in an address.
+ADDRESS = r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:/@\"'<>]{1,64}:([^\s/@\"'<>]{3,200}+)@"
 DICTIONARY = (
     "example sample test demo dummy placeholder changeme default password secret token admin user username your insert here none null true false string value "
     "the and for with this that from have will name file path home data config index image static assets library version release update module package "
     "number account service server client public private local host domain email address document section chapter"
 ).split()
-VALUE = rf"{ISSUED['private_key']}[^\s\"'<>,;]*+|[^\s\"'<>,;]{{8,}}+"
+#: Of a value in quotes everything up to its own quote belongs to it, else commas and semicolons that another name doesn't follow.
+BARE = r"(?:[^\s\"'<>,;]|[,;](?=[^\s\"'<>,;])(?![A-Za-z0-9_.-]{0,40}+[\"']?[ \t]{0,3}[:=]))"
+VALUE = rf"{ISSUED['private_key']}[^\s\"'<>,;]*+|(?<=\")[^\s\"]{{8,}}+(?=\")|(?<=')[^\s']{{8,}}+(?=')|(?!//){BARE}{{8,}}+"
 #: The whole word around a name is read at once, so a text is walked in linear time.
 ASSIGNED = rf"(?<![A-Za-z0-9_.-])(?=[A-Za-z0-9_.-]++[\"']?[ \t]{{0,3}}[:=])(?=[A-Za-z0-9_.-]*?(?i:{NAMES}))[A-Za-z0-9_.-]++[\"']?[ \t]{{0,3}}(?:[:=]|=>|:=)[ \t]{{0,3}}[\"']?({VALUE})"
+#: The value of a candidate that a name and a sign begin.
+NAMED = rf"^(?=[A-Za-z0-9_.-]*?(?i:{NAMES}))[A-Za-z0-9_.-]++[\"']?[ \t]{{0,3}}(?:[:=]|=>|:=)[ \t]{{0,3}}[\"']?([\s\S]{{8,}}+)$"
 LONG = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+"
-CANDIDATE = "|".join([*(rf"(?<![A-Za-z0-9]){p}" for p in ISSUED.values()), ASSIGNED, LONG])
+CANDIDATE = "|".join([*(rf"(?<![A-Za-z0-9]){p}" for p in ISSUED.values()), rf"(?<![A-Za-z0-9+.-]){ADDRESS}", ASSIGNED, LONG])
 #: A cheap test that every text with a candidate passes.
-MAYBE = rf"(?i:{NAMES})|[A-Za-z0-9+/_=-]{{20}}|xox[abprs]-|PRIVATE KEY"
+MAYBE = rf"(?i:{NAMES})|[A-Za-z0-9+/_=-]{{20}}|xox[abprs]-|PRIVATE KEY|://[^\s:/@]{{1,64}}:[^\s/@]{{3}}"
 BESIDE = {
     "near_secret": r"(?i)pass|pwd|secret|token|key|auth|credential|bearer|login",
     "near_digest": r"(?i)sha-?\d*|md5|checksum|digest|commit|hash|uuid|guid|etag|revision|version|integrity",
@@ -78,15 +87,18 @@ def common_words(docs: DataFrame, *, most: int = WORDS) -> list[str]:
 
 def featured(findings: DataFrame, words: list[str] = []) -> DataFrame:  # noqa: B006
     """Adds the forest's features to findings (candidate, before, after). words: those of the corpus."""
-    assigned = F.regexp_extract("candidate", rf"^{ASSIGNED}$", 1)
+    named, address = F.regexp_extract("candidate", NAMED, 1), F.regexp_extract("candidate", rf"^{ADDRESS}$", 1)
+    assigned = F.when(address != "", address).otherwise(named)
     value = F.when(assigned != "", assigned).otherwise(F.col("candidate"))
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("value", "[0-9]", "\u0001"), "[a-z]", "\u0002"), "[A-Z]", "\u0003"), "[^\u0001\u0002\u0003]", "\u0004")
     share = lambda pattern: F.length(F.regexp_replace("value", pattern, "")) / F.col("n")
     issued = "|".join(f"^{p}" for p in ISSUED.values())
     # runs of letters, also inside camelCase
     runs = F.split(F.lower(F.regexp_replace("value", "([a-z])([A-Z])", "$1 $2")), r"[^\p{L}]+")
-    known = F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
-    prose = F.aggregate(runs, F.lit(0), lambda n, w: n + F.when((F.length(w) >= 3) & F.array_contains(known, w), F.length(w)).otherwise(0)) / F.col("n")
+    # one intersection by hash tells which of a value's words are known; their places are then looked for among these few
+    hit = F.array_intersect(F.filter(runs, lambda w: F.length(w) >= 3), F.array(*map(F.lit, words)) if words else F.array().cast("array<string>"))
+    among = lambda own, h: F.aggregate(own, F.lit(0), lambda n, w: n + F.when(F.array_contains(h, w), F.length(w)).otherwise(0))
+    prose = F.transform(F.array(hit), lambda h: F.when(F.size(h) > 0, among(runs, h)).otherwise(0))[0] / F.col("n")
     beside = F.concat_ws(" ", "before", F.when(assigned != "", F.regexp_replace("candidate", r"[:=].*", "")), "after")
     return (
         findings.withColumn("value", value).withColumn("n", F.length("value").cast("double"))
@@ -142,6 +154,9 @@ def labelled_findings(spark: SparkSession, each: int = 120) -> DataFrame:
         (F.concat(words, F.lit("/"), more, F.lit("/js/"), words, F.lit("-"), F.substring(hexed, 1, 8)), F.lit("src=/"), more, 0),
         (F.concat(camel, F.col("id").cast("string"), words), words, more, 0),
         (F.concat(F.lit("AKIA"), upper), words, more, 1),
+        (F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), long, F.lit("\n-----END RSA PRIVATE KEY-----")), words, more, 1),
+        (F.concat(pick("postgres://", "https://", "amqp://", "mysql+pymysql://"), words, F.lit(":"), F.substr(mixed, F.lit(1), few), F.lit("@")), words, pick("db.host:5432/app", "host/path", "localhost"), 1),
+        (F.concat(pick("postgres://", "https://"), words, F.lit(":"), pick("password", "changeme", "your_password", "xxxxxxxx", "example", "<password>", "${PASSWORD}", "********"), F.lit("@")), F.lit("example "), F.lit("host/path"), 0),
         (F.concat(F.lit("ghp_"), F.substring(mixed, 1, 36)), words, more, 1),
         (F.concat(name, sign, F.substr(hexed, F.lit(1), n)), words, more, 1),
         (F.concat(name, sign, F.substr(mixed, F.lit(1), n)), words, more, 1),
@@ -166,18 +181,18 @@ def labelled_findings(spark: SparkSession, each: int = 120) -> DataFrame:
         (F.concat_ws("-", words, more, words, more, F.lit("2024")), words, more, 0),
         (F.repeat(F.concat((F.col("id") % 10).cast("string"), F.lit("0")), 12), words, more, 0),
     ]
-    rows = spark.range(each).coalesce(1)
-    out = None
-    for candidate, before, after, label in kinds:
-        part = rows.select("id", candidate.alias("candidate"), before.alias("before"), after.alias("after"), F.lit(float(label)).alias("label"))
-        out = part if out is None else out.unionByName(part)
-    return out.coalesce(1)
+    each_kind = F.array(*(F.struct(c.alias("candidate"), b.alias("before"), a.alias("after"), F.lit(float(label)).alias("label")) for c, b, a, label in kinds))
+    return spark.range(0, each, 1, 8).select("id", F.inline(each_kind))
 
 
 def fit(findings: DataFrame, *, words: list[str] = [], trees: int = 32, depth: int = 9, seed: int = 11) -> Scanner:  # noqa: B006
-    """A forest over labelled findings (candidate, before, after, label 0 or 1)."""
+    """A forest over labelled findings (candidate, before, after, label 0 or 1). Their features are written once; the same findings give the same forest."""
+    rows = written(featured(findings, words).select(*FEATURES, "label"))
+    dealt = rows.repartition(8, F.xxhash64(*FEATURES)).sortWithinPartitions(*FEATURES, "label")
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed)
-    return Scanner(Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), forest]).fit(featured(findings, words).select(*FEATURES, "label")), words)
+    scanner = Scanner(Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), forest]).fit(dealt), words)
+    dropped(findings.sparkSession, rows)
+    return scanner
 
 
 def scored(findings: DataFrame, scanner: Scanner) -> DataFrame:
@@ -208,7 +223,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 def secrets(docs: DataFrame, scanner: Scanner, *, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, start, length, rule, masked, sha256, probability): the candidates that the forest keeps."""
-    rule = F.coalesce(*(F.when(F.col("value").rlike(f"^{p}"), F.lit(k)) for k, p in ISSUED.items()), F.when(F.col("assigned") == 1, F.lit("assigned")), F.lit("random"))
+    rule = F.coalesce(*(F.when(F.col("value").rlike(f"^{p}"), F.lit(k)) for k, p in ISSUED.items()), F.when(F.col("candidate").rlike(f"^{ADDRESS}$"), F.lit("address")), F.when(F.col("assigned") == 1, F.lit("assigned")), F.lit("random"))
     return scored(candidates(docs), scanner).filter(F.col("probability") >= threshold).select(
         "doc_id", "start", F.length("candidate").cast("long").alias("length"), rule.alias("rule"), F.concat(F.left("value", F.lit(4)), F.lit("***")).alias("masked"),
         F.sha2("value", 256).alias("sha256"), F.round("probability", 6).alias("probability"),
