@@ -80,7 +80,7 @@ def a36(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.crossJoin(begins).select("chains", "events", "rejects", ((F.col("chains") == F.col("begun")) & (F.col("chains") == F.col("events") + F.col("rejects"))).alias("conserved"))  # two single rows
 
 
-# Announcement titles and texts, dealt to orders by their key.
+# Announcement titles and texts of orders: the wording goes by the price, names, numbers and dates are the order's own.
 
 TITLES = [
     "关于持股5%以上股东减持股份计划的公告", "关于股东减持股份预披露公告", "关于控股股东减持计划的更正公告", "关于股东减持股份计划变更的公告", "关于股东提前终止减持计划的公告", "关于股东减持计划时间过半的进展公告",
@@ -106,20 +106,29 @@ def sql_list(items: list[str]) -> str:
     return "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in items) + "]"
 
 
-def dealt(items: list[str], key: str = "o_orderkey"):
-    return F.element_at(F.array(*map(F.lit, items)), (F.col(key) % len(items) + 1).cast("int"))
+def dealt(items: list[str], key: str = "o_totalprice"):
+    return F.element_at(F.array(*map(F.lit, items)), (F.floor(key).cast("long") % len(items) + 1).cast("int"))
 
 
-NUMBER_SQL = "CAST(o_orderkey % 40 / 8.0 AS DECIMAL(6,3))"
+PRICE_SQL = "CAST(floor(o_totalprice) AS BIGINT)"
+NUMBER_SQL = f"CAST({PRICE_SQL} // 100 % 40 / 8.0 AS DECIMAL(6,3))"
+
+
+def number():
+    return (F.floor(F.floor("o_totalprice") / 100) % 40 / F.lit(8)).cast("decimal(6,3)")
+
+
+def titles():
+    """An order's title: who, what, and of which month."""
+    return F.concat(F.lit("客户"), F.col("o_custkey"), F.lit("公司"), dealt(TITLES), F.date_format("o_orderdate", "（yyyy年MM月）"))
 
 
 def filled(items: list[str]):
-    number = (F.col("o_orderkey") % 40 / F.lit(8)).cast("decimal(6,3)").cast("string")
-    return F.replace(F.replace(dealt(items), F.lit("@"), number), F.lit("{X}"), dealt(["明华", "东方", "晨光", "海"], "o_custkey"))
+    return F.replace(F.replace(dealt(items), F.lit("@"), number().cast("string")), F.lit("{X}"), dealt(["明华", "东方", "晨光", "海"], "o_custkey"))
 
 
 def filled_sql(items: list[str]) -> str:
-    return f"replace(replace({sql_list(items)}[o_orderkey % {len(items)} + 1], '@', CAST({NUMBER_SQL} AS VARCHAR)), '{{X}}', ['明华', '东方', '晨光', '海'][o_custkey % 4 + 1])"
+    return f"replace(replace({sql_list(items)}[{PRICE_SQL} % {len(items)} + 1], '@', CAST({NUMBER_SQL} AS VARCHAR)), '{{X}}', ['明华', '东方', '晨光', '海'][o_custkey % 4 + 1])"
 
 
 def compact_sql(x: str) -> str:
@@ -142,18 +151,18 @@ def class_sql(title: str) -> str:
     )
 
 
-TITLE_SQL = f"{sql_list(TITLES)}[o_orderkey % {len(TITLES)} + 1]"
+TITLE_SQL = f"('客户' || o_custkey || '公司' || {sql_list(TITLES)}[{PRICE_SQL} % {len(TITLES)} + 1] || strftime(CAST(o_orderdate AS TIMESTAMP), '（%Y年%m月）'))"
 
 
 @query("p13_title_classes", f"SELECT o_orderkey, {class_sql(TITLE_SQL)} AS class FROM orders")
 def p13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").select("o_orderkey", T.reduction_title(dealt(TITLES)).alias("class"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", T.reduction_title(titles()).alias("class"))
 
 
 @query("p14_title_gate", f"""WITH t AS (SELECT o_orderkey, {TITLE_SQL} AS t FROM orders) SELECT o_orderkey, CASE WHEN NOT contains(t, '减持') THEN 'no_reduction' WHEN NOT (contains(t, '计划') OR contains(t, '预披露')) THEN 'no_plan'
   WHEN {m('t', T.GATE_EXCLUDES)} THEN 'excluded:' || regexp_extract(t, '{T.GATE_EXCLUDES}') ELSE 'pass' END AS gate FROM t""")
 def p14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").select("o_orderkey", T.plan_title(dealt(TITLES)).alias("gate"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", T.plan_title(titles()).alias("gate"))
 
 
 def day_sql(x: str) -> str:
@@ -190,16 +199,15 @@ x AS (SELECT *, {m('t', T.BOARD_FIRST)} AS initial, {m('t', T.SCHEME_REVISED)} A
 SELECT o_orderkey, contains(title, '回购') AND NOT {m('title', T.REPURCHASE_EXCLUDES)} AS candidate, initial, revised, len(prices) AS n_prices, coalesce(list_contains(prices, lim), false) AS price_match, initial AND NOT revised AND coalesce(list_contains(prices, lim), false) AS supported,
   CASE WHEN a AND NOT b AND NOT c THEN 'cancellation' WHEN b AND NOT a AND NOT c THEN 'inventory' WHEN a OR b OR c THEN 'other_explicit' ELSE 'unclassifiable' END AS purpose FROM x""")
 def p17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    number = (F.col("o_orderkey") % 40 / F.lit(8)).cast("decimal(6,3)").cast("decimal(18,4)")
-    limit = F.when(F.col("o_orderkey") % 3 != 0, number + (F.col("o_orderkey") % 2).cast("decimal(18,4)"))
-    x = read(spark, sf_dir, "orders").select("o_orderkey", T.repurchase_title(dealt(TITLES)).alias("candidate"), T.repurchase_evidence(filled(BODIES), limit).alias("e"))
+    limit = F.when(F.col("o_orderkey") % 3 != 0, number().cast("decimal(18,4)") + (F.col("o_orderkey") % 2).cast("decimal(18,4)"))
+    x = read(spark, sf_dir, "orders").select("o_orderkey", T.repurchase_title(titles()).alias("candidate"), T.repurchase_evidence(filled(BODIES), limit).alias("e"))
     return x.select("o_orderkey", "candidate", "e.initial", "e.revised", F.size("e.prices").cast("long").alias("n_prices"), "e.price_match", "e.supported", "e.purpose")
 
 
 IMPAIRED = ["公司计提商誉减值准备约为@亿元", "预计计提商誉减值准备@万元至9000万元", "商誉减值损失@万元，此外商誉减值为7万元", "无形资产与商誉减值准备合计，商誉减值@元", "本期未计提"]
 
 
-@query("p16_goodwill_evidence", f"""WITH t AS (SELECT o_orderkey % 5 AS i, CAST({NUMBER_SQL} AS DECIMAL(24,4)) AS n FROM orders), x AS (SELECT *, i = 2 AND n = 7 AS same FROM t)
+@query("p16_goodwill_evidence", f"""WITH t AS (SELECT {PRICE_SQL} % 5 AS i, CAST({NUMBER_SQL} AS DECIMAL(24,4)) AS n FROM orders), x AS (SELECT *, i = 2 AND n = 7 AS same FROM t)
 SELECT CASE i WHEN 0 THEN 'qualified' WHEN 1 THEN 'qualified' WHEN 2 THEN CASE WHEN same THEN 'qualified' ELSE 'amount_conflict' END WHEN 3 THEN 'combined_unseparable' ELSE 'not_quantified' END AS status, count(*) AS docs,
   CAST(sum(CASE i WHEN 0 THEN n * 100000000 WHEN 1 THEN n * 10000 WHEN 2 THEN CASE WHEN same THEN 70000 END END) AS DECIMAL(38,4)) AS low, CAST(sum(CASE i WHEN 0 THEN n * 100000000 WHEN 1 THEN 90000000 WHEN 2 THEN CASE WHEN same THEN 70000 END END) AS DECIMAL(38,4)) AS high FROM x GROUP BY 1""")
 def p16(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,7 +236,7 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.when(key % 20 < 10, F.floor(key / 20) % 60).otherwise(F.col("o_custkey") % 60).cast("int")
     month = F.when(key % 6 != 0, F.trunc("o_orderdate", "month"))
     rows = o.select(
-        (key - F.when(key % 10 == 1, 1).otherwise(0)).alias("announcement_id"), key.alias("seq"), dealt(TITLES).alias("title"), F.concat(F.lit("C"), k, F.lit(".SH")).alias("ts_code"), F.concat(F.lit("C"), k).alias("stock_code"),
+        (key - F.when(key % 10 == 1, 1).otherwise(0)).alias("announcement_id"), key.alias("seq"), titles().alias("title"), F.concat(F.lit("C"), k, F.lit(".SH")).alias("ts_code"), F.concat(F.lit("C"), k).alias("stock_code"),
         F.when(key % 9 != 0, F.concat(F.lit("H"), F.col("o_custkey") % 7)).alias("holder_name"), F.when(key % 8 != 0, key % 31 / F.lit(10.0)).alias("ratio"), month.alias("period_start"), F.add_months(month, 3).alias("period_end"),
         (F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(hours=(key % 24).cast("int"))).alias("valid_time"),
     )

@@ -174,15 +174,6 @@ def a16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.agg(F.nullif(F.count("x"), F.lit(0)).alias("n"), F.round(F.avg("x") / F.stddev_samp("x"), 8).alias("sharpe"), F.round(F.skewness("x"), 6).alias("skew"), F.round(F.kurtosis("x") + 3, 6).alias("kurt"))
 
 
-@query("a41_size_test")
-def a41(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rejection rates at 5 % of the naive and of the adjusted test in 2,000 samples without an effect."""
-    from eventide.operators.verdicts import size_test
-
-    sims = size_test(spark)
-    return sims.agg(F.count("*").alias("sims"), F.avg(F.col("naive").cast("double")).alias("naive_rate"), F.avg(F.col("adjusted").cast("double")).alias("adjusted_rate"), F.avg("rho").alias("mean_rho"))
-
-
 @query("a21_rejections_by_year", sql("""y AS (SELECT year(anchor) AS year, coalesce(reason, 'valid') AS outcome, count(*) AS n FROM fin GROUP BY 1, 2)
 SELECT year, outcome, n, round(n / sum(n) OVER (PARTITION BY year), 9) AS ratio, (SELECT count(*) FILTER (reason IS NOT NULL) / count(*) FROM fin) > 0.05 AS alert FROM y"""))
 def a21(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,17 +138,30 @@ def s02_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("sec", "d", "cal_idx", *((F.col(c) * F.col("f")).cast("decimal(24,5)").alias(f"adj_{c}") for c in ("close", "open")), S.norm_industry(F.col("ind")).alias("industry"))
 
 
-@query("p08_layers", "SELECT o_orderkey, CASE t WHEN '预增' THEN 'good' WHEN '略增' THEN 'good' WHEN '续盈' THEN 'good' WHEN '扭亏' THEN 'turnaround' ELSE 'bad' END AS layer FROM (SELECT o_orderkey, ['预增', '略增', '续盈', '扭亏', '预减', '略减', '首亏', '续亏', '不确定', '其他'][o_orderkey % 10 + 1] AS t FROM orders) WHERE t NOT IN ('不确定', '其他')")
+KINDS = (("预增", "p > 0 AND v > 1.5 * p"), ("略增", "p > 0 AND v > 1.02 * p"), ("续盈", "p > 0 AND v > 0.98 * p"), ("扭亏", "p <= 0 AND v > 0"), ("预减", "p > 0 AND v > 0 AND v < 0.5 * p"), ("略减", "p > 0 AND v > 0"), ("首亏", "p > 0 AND v <= 0"), ("续亏", "p <= 0 AND v <= 0"))
+
+
+@query("p08_layers", f"""WITH x AS (SELECT event_id, value - 60 AS v, lag(value - 60) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
+k AS (SELECT event_id, CASE {' '.join(f"WHEN {when} THEN '{kind}'" for kind, when in KINDS)} ELSE '不确定' END AS kind FROM x)
+SELECT event_id, kind, CASE WHEN kind IN ('预增', '略增', '续盈') THEN 'good' WHEN kind = '扭亏' THEN 'turnaround' ELSE 'bad' END AS layer FROM k WHERE kind <> '不确定'""")
 def p08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = F.array(*map(F.lit, ("预增", "略增", "续盈", "扭亏", "预减", "略减", "首亏", "续亏", "不确定", "其他")))
-    kind = F.element_at(labels, (F.col("o_orderkey") % 10 + 1).cast("int"))
-    return read(spark, sf_dir, "orders").select("o_orderkey", S.layer(kind).alias("layer")).filter("layer is not null")
+    """What each user's value is called beside the one before (60 is the loss line), and the layer that the word belongs to."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    x = read(spark, sf_dir, "events").withColumn("v", F.col("value") - 60).withColumn("p", F.lag("v").over(w))
+    kind = F.coalesce(*(F.when(F.expr(when), kind) for kind, when in KINDS), F.lit("不确定"))
+    return x.select("event_id", kind.alias("kind")).withColumn("layer", S.layer(F.col("kind"))).filter("layer is not null")
+
+
+NAME_SQL = """CASE WHEN c_acctbal BETWEEN 0 AND 200 THEN NULL WHEN c_acctbal BETWEEN 200 AND 400 THEN '  ' ELSE CASE WHEN c_acctbal < -800 THEN '*ST' WHEN c_acctbal < -600 THEN 'S*ST ' WHEN c_acctbal < -300 THEN 'ST ' WHEN c_acctbal < 0 THEN 'SST' WHEN c_acctbal > 9500 THEN '退市' ELSE '' END
+  || substr(c_mktsegment, 1, 4) || right(c_name, 3) || CASE WHEN c_acctbal BETWEEN 9000 AND 9500 OR c_acctbal < -900 THEN '退' ELSE '' END END"""
 
 
-@query("p12_name_states", "SELECT o_orderkey, CASE i WHEN 0 THEN 'unknown' WHEN 1 THEN 'unknown' WHEN 2 THEN 'delist' WHEN 3 THEN 'delist' WHEN 4 THEN 'st' WHEN 5 THEN 'st' WHEN 6 THEN 'st' ELSE 'normal' END AS state, i = 4 AS star FROM (SELECT o_orderkey, o_orderkey % 8 AS i FROM orders)")
+@query("p12_name_states", f"""WITH t AS (SELECT c_custkey, {NAME_SQL} AS a FROM customer)
+SELECT c_custkey, a AS name, CASE WHEN a IS NULL OR trim(a) = '' THEN 'unknown' WHEN starts_with(trim(a), '退市') OR right(trim(a), 1) = '退' THEN 'delist' WHEN contains(a, 'ST') THEN 'st' ELSE 'normal' END AS state, coalesce(contains(a, '*ST'), false) AS star FROM t""")
 def p12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    alias = F.element_at(F.array(F.lit(None).cast("string"), *map(F.lit, ("  ", "东方退", "退市海润", "*ST大集", "ST 康美", "SST华塑", "平安银行"))), (F.col("o_orderkey") % 8 + 1).cast("int"))
-    return read(spark, sf_dir, "orders").select("o_orderkey", S.name_state(alias).alias("state"), F.coalesce(S.has_star(alias), F.lit(False)).alias("star"))
+    """Names made of each customer's segment, number and marks that go by the balance, and the states that they say."""
+    rows = read(spark, sf_dir, "customer").select("c_custkey", F.expr(NAME_SQL).alias("name"))
+    return rows.select("c_custkey", "name", S.name_state(F.col("name")).alias("state"), F.coalesce(S.has_star(F.col("name")), F.lit(False)).alias("star"))
 
 
 @query("p11_regime_segments", f"WITH {FACTS_SQL} SELECT CASE WHEN day < DATE '2020-08-24' THEN 'pre_10pct' ELSE 'post_20pct' END AS segment, count(*) AS n, min(day) AS first_day, max(day) AS last_day FROM f GROUP BY 1")
@@ -156,12 +169,13 @@ def p11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts(spark, sf_dir).groupBy(S.regime_segment(F.col("day")).alias("segment")).agg(F.count("*").alias("n"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
 
 
-@query("p18_cash_per_ten", r"""WITH t AS (SELECT o_orderkey, replace(['每10股派发现金红利@元（含税）', '每 10 股派@元，另每10股转增3股', '每10股派送 5.5元；中期每10股派@元', '不分配'][o_orderkey % 4 + 1], '@', CAST(CAST(o_orderkey % 50 / 8.0 AS DECIMAL(6,3)) AS VARCHAR)) AS t FROM orders),
+@query("p18_cash_per_ten", r"""WITH t AS (SELECT o_orderkey, replace(['每10股派发现金红利@元（含税）', '每 10 股派@元，另每10股转增3股', '每10股派送 5.5元；中期每10股派@元', '不分配'][CAST(floor(o_totalprice) AS BIGINT) % 4 + 1], '@', CAST(CAST(CAST(floor(o_totalprice) AS BIGINT) // 10 % 50 / 8.0 AS DECIMAL(6,3)) AS VARCHAR)) AS t FROM orders),
 x AS (SELECT o_orderkey, CAST(regexp_extract_all(t, '每\s*10\s*股[^0-9]{0,12}([0-9]+(?:\.[0-9]+)?)\s*元', 1) AS DECIMAL(18,4)[]) AS v FROM t) SELECT o_orderkey, len(v) AS n, list_sum(v) AS total FROM x""")
 def p18(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = F.array(*map(F.lit, ("每10股派发现金红利@元（含税）", "每 10 股派@元，另每10股转增3股", "每10股派送 5.5元；中期每10股派@元", "不分配")))
-    number = (F.col("o_orderkey") % 50 / F.lit(8)).cast("decimal(6,3)").cast("string")
-    v = S.cash_per_ten(F.replace(F.element_at(texts, (F.col("o_orderkey") % 4 + 1).cast("int")), F.lit("@"), number))
+    price = F.floor("o_totalprice").cast("long")
+    number = (F.floor(price / 10) % 50 / F.lit(8)).cast("decimal(6,3)").cast("string")
+    v = S.cash_per_ten(F.replace(F.element_at(texts, (price % 4 + 1).cast("int")), F.lit("@"), number))
     x = read(spark, sf_dir, "orders").select("o_orderkey", v.alias("v"))
     return x.select("o_orderkey", F.size("v").cast("long").alias("n"), F.when(F.size("v") > 0, F.aggregate("v", F.lit(0).cast("decimal(24,4)"), lambda a, b: (a + b).cast("decimal(24,4)"))).alias("total"))
 
