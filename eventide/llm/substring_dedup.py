@@ -3,7 +3,7 @@
 A gear rolling hash runs over the UTF-8 bytes. A place is a candidate where the hash's bits of a window of some 20
 bytes are zero, and a border where no other candidate is within `least` bytes before it. Both
 depend on the bytes just before the place and on nothing else, so an insertion moves no border behind its
-window, and a passage has the same chunks in whatever document it stands. Chunks are deduplicated by the digest of the run that
+window, and a passage has the same chunks in whatever document it stands. Chunks are deduplicated by the digest (128 bits) of the run that
 begins with them: as many chunks as make `min_bytes`, all of one document. A run is a copy
 if a document with a smaller doc_id holds its digest (with `within`, also if its own document does before it); the chunks of copied runs
 are dropped. So whatever is dropped stands in a stretch of at least `min_bytes` that one other document
@@ -34,7 +34,7 @@ from eventide.llm.text import powers
 
 GEAR = np.random.default_rng(4711).integers(0, 1 << 32, 256, dtype=np.uint32)
 BITS, SHIFT, LEAST, MIN_BYTES = 5, 18, 8, 100
-_BASE = 0xD1342543DE82EF95
+_BASE, _BASE2 = 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
 
 
 def _bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -43,12 +43,26 @@ def _bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(col.buffers()[2] or b"", np.uint8)[row[0] : row[-1]], row - row[0]
 
 
+DIGEST = np.dtype([("d1", np.uint64), ("d2", np.uint64)])
+
+
+def _polynomial(values: np.ndarray, base: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The polynomial modulo 2^64 in the values from each start up to stop."""
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(base, len(values)), out=total[1:])
+    return (total[stop] - total[start]) * powers(pow(base, -1, 1 << 64), len(values) + 1)[start]
+
+
 def chunks(col: pa.Array, min_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, row, last, digest, data): where each chunk begins, the row it is of, the last chunk of the run that begins with it (-1: the row ends before) and the run's digest."""
+    """(start, row, last, digest, data): where each chunk begins, the row it is of, the last chunk of the run that begins with it (-1: the row ends before) and the run's digest.
+
+    A digest has two numbers of 64 bits: one of the run's bytes, one of its mixed words of eight bytes at every place, so that bytes
+    that agree in the first by a pattern don't in the second.
+    """
     data, row = _bytes(col)
     n = len(data)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), data
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, DIGEST), data
     h, span = GEAR[data], 1
     while span < 32:  # h[i] = sum over j < span of gear[i - j] << j
         h[span:] += h[:-span] << np.uint32(span)
@@ -67,15 +81,17 @@ def chunks(col: pa.Array, min_bytes: int) -> tuple[np.ndarray, np.ndarray, np.nd
     end = np.append(start[1:], n)
     last = np.searchsorted(end, start + min_bytes)
     last[(last >= len(start)) | (own[np.minimum(last, len(start) - 1)] != own)] = -1
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), out=total[1:])
     stop = np.where(last >= 0, end[last], start)
-    digest = (total[stop] - total[start]) * powers(pow(_BASE, -1, 1 << 64), n + 1)[start]
-    return start, own, last, mix(digest ^ (stop - start).astype(np.uint64)), data
+    size = (stop - start).astype(np.uint64)
+    eight = np.ndarray(n, "<u8", np.append(data, np.zeros(7, np.uint8)).tobytes(), strides=1)
+    digest = np.zeros(len(start), DIGEST)
+    digest["d1"] = mix(_polynomial(data.astype(np.uint64) + np.uint64(1), _BASE, start, stop) ^ size)
+    digest["d2"] = mix(_polynomial(mix(eight), _BASE2, start, np.maximum(start, stop - 7)) ^ size)  # of words inside the run
+    return start, own, last, digest, data
 
 
 def _pairs(docs: DataFrame, min_bytes: int) -> DataFrame:
-    """(digest, doc_id), once for each row that holds such a run."""
+    """(d1, d2, doc_id), once for each row that holds such a run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,11 +99,12 @@ def _pairs(docs: DataFrame, min_bytes: int) -> DataFrame:
                 part = batch.slice(at, n)
                 _, row, last, digest, _ = chunks(part.column(1), min_bytes)
                 row, digest = row[last >= 0], digest[last >= 0]
-                key = digest ^ mix(row.astype(np.uint64) + np.uint64(1))
+                key = digest["d1"] ^ mix(digest["d2"] + mix(row.astype(np.uint64) + np.uint64(1)))
                 once = np.sort(np.unique(key, return_index=True)[1])
-                yield pa.RecordBatch.from_arrays([pa.array(digest[once].view(np.int64)), part.column(0).take(pa.array(row[once]))], names=["digest", "doc_id"])
+                d1, d2 = (pa.array(digest[d][once].view(np.int64)) for d in ("d1", "d2"))
+                yield pa.RecordBatch.from_arrays([d1, d2, part.column(0).take(pa.array(row[once]))], names=["d1", "d2", "doc_id"])
 
-    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "digest long, doc_id long")
+    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "d1 long, d2 long, doc_id long")
 
 
 OUTPUT = {"n_chunks": "long", "n_dropped": "long", "dropped_bytes": "long", "first_doc_ids": "array<bigint>", "kept_text": "string"}
@@ -98,10 +115,11 @@ def deduplicated(docs: DataFrame, *, min_bytes: int = MIN_BYTES, within: bool =
     bound_batches(docs.sparkSession)
     docs = docs.select(*(c for c in docs.columns if c not in OUTPUT))
     pairs = written(_pairs(docs, min_bytes))
-    shared = written(pairs.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    shared = written(pairs.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1"))
     copies = (
-        spread_join(pairs, shared.select("digest", "first"), ["digest"], shared.select("digest", "n"), total=pairs.count(), hot_rows=hot_rows)
-        .filter("doc_id > first").groupBy("doc_id").agg(F.collect_list("digest").alias("_digests"), F.collect_list("first").alias("_firsts"))
+        spread_join(pairs, shared.drop("n"), ["d1", "d2"], shared.drop("first"), total=pairs.count(), hot_rows=hot_rows)
+        .filter("doc_id > first").groupBy("doc_id").agg(F.collect_list(F.struct("d1", "d2", "first")).alias("_hits"))
+        .select("doc_id", *(F.col(f"_hits.{c}").alias(f"_{c}") for c in ("d1", "d2", "first")))
     )
     joined = docs.join(copies.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
     where, ids = docs.columns.index("text"), docs.columns.index("doc_id")
@@ -127,11 +145,11 @@ def deduplicated(docs: DataFrame, *, min_bytes: int = MIN_BYTES, within: bool =
                             copy[np.unique(own, return_index=True)[1]] = False
                         first[:] = part.column(ids)[i].as_py()
                         if known[i]:
-                            d = part.column(width)[i].values.to_numpy().view(np.uint64)
-                            order = np.argsort(d)
-                            at_ = np.minimum(np.searchsorted(d, own, sorter=order), len(d) - 1)
-                            found = d[order[at_]] == own
-                            first[found] = part.column(width + 1)[i].values.to_numpy()[order[at_]][found]
+                            d1, d2, firsts = (part.column(width + j)[i].values.to_numpy() for j in range(3))
+                            order = np.argsort(d1)
+                            at_ = order[np.minimum(np.searchsorted(d1, own["d1"].view(np.int64), sorter=order), len(d1) - 1)]
+                            found = (d1[at_] == own["d1"].view(np.int64)) & (d2[at_] == own["d2"].view(np.int64))
+                            first[found] = firsts[at_[found]]
                             copy |= found
                         copy &= last[a:b] >= 0
                     edge = np.zeros(b - a + 1, np.int64)  # a copied run drops its chunks
