@@ -1,10 +1,10 @@
 """Benchmark decontamination by greedy string tiling.
 
-Karp-Rabin hashes of windows of `min_match` words are the seeds; a seed that a document and a
-benchmark item share is a pair of positions, and seeds in a row on one diagonal are one match.
-Matches are taken longest first and mark their words on both sides; what others have marked already
-is cut off a match, and what is left is taken again while it has `min_match` words. The tiles' words
-over the item's words are its coverage, which doesn't depend on the order of the passages.
+Karp-Rabin hashes of windows of `min_match` words are the seeds, and hashes of seeds in a row those of
+longer windows. The longest unmarked words that a document and a benchmark item share are a tile and are marked on
+both sides; then the longest of what is left, while it has `min_match` words. The tiles' words over the item's
+words are its coverage, which doesn't depend on the order of the passages. Equal seeds aren't paired, so
+a text that repeats itself costs no more memory than another.
 
 A benchmark up to `broadcast_bytes` of text travels to every task, so the documents aren't moved;
 a larger one is joined on the seeds instead, with the same result. A pair is looked at only if it shares one of the item's rarer seeds: an
@@ -20,7 +20,6 @@ aren't read by matches() and pass through decontaminated().
 
 from __future__ import annotations
 
-import heapq
 import uuid
 from collections.abc import Iterator
 
@@ -30,44 +29,94 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide.llm.common import HOT_ROWS, as_array, bound_batches, mix, spread_join, text_slices, written
-from eventide.llm.text import owners, shingles, words
+from eventide.llm.text import owners, powers, shingles, words
 
 BROADCAST_BYTES = 32 << 20
+_BASE = 0x9E6C63D0876A9A67
+_INVERSE = pow(_BASE, -1, 1 << 64)
 MATCHES = "doc_id long, item_id long, coverage double, n_tiles int, longest int"
 
 
-def tiles(p: np.ndarray, q: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
-    """(start in document, start in item, words) of the greedy tiling, from shared seeds (p, q)."""
-    order = np.lexsort((p, p - q))
-    p, q = p[order], q[order]
-    new = np.ones(len(p), bool)
-    new[1:] = (p[1:] - p[:-1] != 1) | (q[1:] - q[:-1] != 1)
-    at = np.flatnonzero(new)
-    size = np.diff(np.append(at, len(p))) + min_match - 1
-    heap = [(-int(n), int(a), int(b)) for n, a, b in zip(size, p[at], q[at])]
-    heapq.heapify(heap)
-    done_p: set[int] = set()
-    done_q: set[int] = set()
-    out = []
-    while heap:
-        n, a, b = heapq.heappop(heap)
-        free = [i for i in range(-n) if a + i not in done_p and b + i not in done_q]
-        if len(free) == -n:
-            out.append((a, b, -n))
-            done_p.update(range(a, a - n))
-            done_q.update(range(b, b - n))
-            continue
-        run: list[int] = []
-        for i in [*free, None]:
-            if run and (i is None or i != run[-1] + 1):
-                if len(run) >= min_match:
-                    heapq.heappush(heap, (-len(run), a + run[0], b + run[0]))
-                run = []
-            if i is not None:
-                run.append(i)
+def _among(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of a are in b, the smaller side."""
+    b = np.sort(b)
+    return b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a if len(b) else np.zeros(len(a), bool)
+
+
+class Seeds:
+    """One side's seeds in order of place: how far each is followed by unmarked ones without a gap, and hashes of such windows."""
+
+    def __init__(self, place: np.ndarray, hash_: np.ndarray):
+        n, self.place = len(place), place
+        end = np.append(np.flatnonzero(np.diff(place) != 1) + 1, n)
+        self.left = end[np.searchsorted(end, np.arange(n), "right")] - np.arange(n)
+        self.total = np.zeros(n + 1, np.uint64)
+        np.cumsum(mix(hash_) * powers(_BASE, n), out=self.total[1:])
+        self.down = powers(_INVERSE, n + 1)
+
+    def windows(self, n: int) -> np.ndarray:
+        """Where `n` seeds without a gap begin."""
+        return np.flatnonzero(self.left >= n)
+
+    def hashes(self, at: np.ndarray, n: int) -> np.ndarray:
+        return (self.total[at + n] - self.total[at]) * self.down[at]
+
+    def mark(self, at: int, n_words: int, min_match: int, most: int) -> None:
+        """No seed may hold a word of the n_words from seed `at` on; no window is longer than `most`."""
+        first = self.place[at] - min_match + 1
+        lo, hi = np.searchsorted(self.place, [first - most, self.place[at] + n_words])
+        self.left[lo:hi] = np.minimum(self.left[lo:hi], np.maximum(first - self.place[lo:hi], 0))
+
+
+def tiles(p: np.ndarray, x: np.ndarray, q: np.ndarray, y: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
+    """(start in document, start in item, words) of the greedy tiling.
+
+    p, x: places, in order, and hashes of the document's seeds that the item holds too; q, y: of the item's. The greatest
+    length that windows of both sides share is searched by halving (a shared window holds shared shorter ones), and all tiles of it are
+    marked before a shorter one is looked for. Memory grows with the seeds of both sides, not with the pairs of equal ones.
+    """
+    doc, item = Seeds(p, x), Seeds(q, y)
+    out: list[tuple[int, int, int]] = []
+    most = n = int(min(doc.left.max(initial=0), item.left.max(initial=0)))
+    while n:
+        low, high = 0, n
+        while low < high:
+            mid = (low + high + 1) // 2
+            shared = _among(doc.hashes(doc.windows(mid), mid), item.hashes(item.windows(mid), mid)).any()
+            low, high = (mid, high) if shared else (low, mid - 1)
+        n = low
+        if not n:
+            break
+        size = n + min_match - 1
+        a, b = doc.windows(n), item.windows(n)
+        ha, hb = doc.hashes(a, n), item.hashes(b, n)
+        while True:
+            has = _among(ha, hb)
+            a, ha = a[has], ha[has]
+            if not len(a):
+                break
+            j = b[np.flatnonzero(hb == ha[0])[0]]
+            out.append((int(p[a[0]]), int(q[j]), size))
+            item.mark(j, size, min_match, most)
+            doc.mark(a[0], size, min_match, most)
+            free = item.left[b] >= n
+            b, hb = b[free], hb[free]
+            later = np.searchsorted(p[a], p[a[0]] + size)
+            a, ha = a[later:], ha[later:]
+        n -= 1
     return out
 
 
+def match(p: np.ndarray, x: np.ndarray, q: np.ndarray, y: np.ndarray, size: int, min_match: int, threshold: float) -> tuple[float, int, int] | None:
+    """(coverage, tiles, longest tile) of an item of `size` words by a document, if it reaches the threshold; p, x and q, y: places and hashes of their seeds."""
+    of_item, of_doc = np.isin(y, x), _among(x, y)
+    if of_item.sum() * min_match < threshold * size:
+        return None
+    got = tiles(p[of_doc], x[of_doc], q[of_item], y[of_item], min_match)
+    covered = sum(n for *_, n in got) / size
+    return (covered, len(got), max(n for *_, n in got)) if covered >= threshold else None
+
+
 def rare_seeds(item: np.ndarray, often: np.ndarray, size: np.ndarray, min_match: int, threshold: float) -> np.ndarray:
     """Which seeds of each item to look up: all but as many of the most common ones as an item may lack that is covered enough.
 
@@ -102,8 +151,8 @@ class Items:
         self.bits = np.zeros(int(self.mask) + 1, bool)
         self.bits[(self.hash & self.mask).astype(np.int64)] = True
 
-    def found(self, col: pa.Array) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(row, item, p, q) with all shared seeds of every pair that shares a rarer one."""
+    def matches(self, col: pa.Array, threshold: float) -> list[tuple[int, int, float, int, int]]:
+        """(row, item id, coverage, tiles, longest tile) of the pairs that reach the threshold, of all that share a rarer seed."""
         s = shingles(words(col), self.min_match)
         at = np.flatnonzero(self.bits[(s.hash & self.mask).astype(np.int64)])
         row = np.searchsorted(s.row, at, "right") - 1
@@ -119,24 +168,14 @@ class Items:
                 own = s.hash[s.row[r] : s.row[r + 1]]
                 order, now = np.argsort(own, kind="stable"), r
                 own = own[order]
-            seeds = self.all[self.row[item] : self.row[item + 1]]
-            lo = np.searchsorted(own, seeds)
-            n = np.searchsorted(own, seeds, "right") - lo
-            each = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-            out.append((r, item, order[each], np.repeat(np.arange(len(seeds)), n)))
-        return out
-
-    def matches(self, col: pa.Array, threshold: float) -> list[tuple[int, int, float, int, int]]:
-        """(row, item id, coverage, tiles, longest tile) of the pairs that reach the threshold."""
-        out = []
-        for row, item, p, q in self.found(col):
-            size = int(self.size[item])
-            if len(np.unique(q)) * self.min_match < threshold * size:
-                continue
-            got = tiles(p, q, self.min_match)
-            covered = sum(n for *_, n in got) / size
-            if covered >= threshold:
-                out.append((row, int(self.ids[item]), covered, len(got), max(n for *_, n in got)))
+            y = self.all[self.row[item] : self.row[item + 1]]
+            each = np.unique(y)
+            lo = np.searchsorted(own, each)
+            n = np.searchsorted(own, each, "right") - lo
+            p = np.sort(order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())])
+            got = match(p, s.hash[s.row[r] + p], np.arange(len(y)), y, int(self.size[item]), self.min_match, threshold)
+            if got:
+                out.append((r, int(self.ids[item]), *got))
         return out
 
 
@@ -232,20 +271,24 @@ def _joined(docs: DataFrame, bench: DataFrame, min_match: int, threshold: float,
     least = F.ceil(F.col("size") * threshold / min_match - 1e-9)
     rare = ranked.filter(F.col("n").isNotNull() & (F.col("nth") <= F.col("seeds") - least + 1)).select("_item", "hash").distinct()
     maybe = written(spread_join(d.select("_row", "hash").distinct(), rare, ["hash"], often, total=total, hot_rows=hot_rows).select("_row", "_item").distinct())
-    met = spread_join(maybe, b, ["_item"], maybe.groupBy("_item").agg(F.count("*").alias("n")), total=maybe.count(), hot_rows=hot_rows)
-    pairs = met.join(d, ["_row", "hash"]).groupBy("_row", "_item").agg(F.max("size").alias("size"), F.collect_list(F.struct("p", "q")).alias("at"))
+    n_maybe, per_item = maybe.count(), maybe.groupBy("_item").agg(F.count("*").alias("n"))
+    met = spread_join(maybe, b.select("_item", "hash").distinct(), ["_item"], per_item, total=n_maybe, hot_rows=hot_rows)
+    seeds = lambda at: F.array_sort(F.collect_list(F.struct(at, "hash")))
+    of_doc = met.join(d, ["_row", "hash"]).groupBy("_row", "_item").agg(seeds("p").alias("x"))
+    pairs = spread_join(of_doc, b.groupBy("_item").agg(F.max("size").alias("size"), seeds("q").alias("y")), ["_item"], per_item, total=n_maybe, hot_rows=hot_rows)
 
     def run(batches):
         for pdf in batches:
             out = []
-            for r, i, size, at in zip(pdf["_row"], pdf["_item"], pdf["size"], pdf["at"]):
-                got = tiles(np.array([x["p"] for x in at]), np.array([x["q"] for x in at]), min_match)
-                covered = sum(n for *_, n in got) / size
-                if covered >= threshold:
-                    out.append((r, i, covered, len(got), max(n for *_, n in got)))
+            for r, i, size, *at in pdf.itertuples(index=False):
+                p, x, q, y = (np.asarray(a, np.int64) for a in at)
+                got = match(p, x.view(np.uint64), q, y.view(np.uint64), size, min_match, threshold)
+                if got:
+                    out.append((r, i, *got))
             yield pdf.__class__(out, columns=["_row", "_item", "coverage", "n_tiles", "longest"])
 
-    hits = pairs.filter(F.size(F.array_distinct("at.q")) * min_match >= threshold * F.col("size")).mapInPandas(run, "_row long, _item long, coverage double, n_tiles int, longest int")
+    pairs = pairs.select("_row", "_item", "size", "x.p", "x.hash", "y.q", F.col("y.hash").alias("hash_q"))
+    hits = pairs.mapInPandas(run, "_row long, _item long, coverage double, n_tiles int, longest int")
     return hits.join(items.select("item_id", "_item"), "_item").select("_row", "item_id", "coverage", "n_tiles", "longest")
 
 
