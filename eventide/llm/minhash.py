@@ -8,7 +8,7 @@ anything). Slots are compared in bands. Texts with the same words are one text f
 one of them enters the buckets. In a bucket every text is compared with one leader; texts that
 this leaves in different components are then compared with one another, so no bucket is cut short: the texts outside the
 bucket's largest component meet all others, in blocks bounded by rows and bytes, and those inside it don't meet again.
-Leaders and buckets with very many texts are split over several tasks.
+Leaders and buckets with very many texts, texts with very many copies and documents with very many links are split over several tasks.
 A link needs a Jaccard similarity of the shingle sets of at least `threshold`, computed from the texts.
 
 Defined cases: a text without words links with nothing and is its own class, as is a row without
@@ -172,9 +172,10 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, band
     sig = written(signatures(docs, k=k, bands=bands, rows=rows))
     good = sig.filter("doc_id is not null and d1 <> 0")
     # texts with the same words are one, numbered by itself; the smallest doc_id stands for all that hold it
-    texts_of = good.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.first("bands").alias("bands"))
-    ones = written(texts_of.select(F.monotonically_increasing_id().alias("id"), "d1", "d2", F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h"), "bands"))
-    same = good.select("doc_id", "d1", "d2").join(ones.select("d1", "d2", F.col("doc_id").alias("a")), ["d1", "d2"]).filter("a <> doc_id").select("a", F.col("doc_id").alias("b"))
+    texts_of = good.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.first("bands").alias("bands"), F.count("*").alias("n"))
+    ones = written(texts_of.select(F.monotonically_increasing_id().alias("id"), "d1", "d2", F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h"), "n", "bands"))
+    same = spread_join(good.select("doc_id", "d1", "d2"), ones.select("d1", "d2", F.col("doc_id").alias("a")), ["d1", "d2"], ones.select("d1", "d2", "n"), total=sig.count(), hot_rows=hot_rows)
+    same = same.filter("a <> doc_id").select("a", F.col("doc_id").alias("b"))
     slots = ones.select("id", F.posexplode("bands").alias("band", "bucket"))
     leaders = slots.groupBy("band", "bucket").agg(F.min_by("id", F.xxhash64("id", "band")).alias("leader"), F.count("*").alias("n")).filter("n > 1")
     leaders = written(leaders)
@@ -186,7 +187,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, band
     text = F.col("text").cast("string")
     texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text")).join(holders, ["doc_id", "h"]).groupBy("id").agg(F.max("text").alias("text")).withColumn("size", F.octet_length("text")))
     links = written(verified(pairs, texts, k=k, threshold=threshold, hot_rows=hot_rows))
-    root = connected_components(links)
+    root = connected_components(links, hot_rows=hot_rows)
     member = written(shared.join(root, "id", "left").select("band", "bucket", "id", "n", F.coalesce("root", "id").alias("root")))
     mixed = member.groupBy("band", "bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band", "bucket")
     sizes = leaders.select("band", "bucket", "n")
@@ -199,10 +200,13 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, band
     more = verified(rest, texts, k=k, threshold=threshold, hot_rows=hot_rows)
     many = block_links(left.filter(F.col("n") > small).drop("n"), texts, k=k, threshold=threshold, block=block, counts=sizes, total=n_slots, hot_rows=hot_rows)
     # links of texts are links of the documents that stand for them
-    found = links.union(more).union(many)
-    found = found.join(ones.select(F.col("id").alias("a"), F.col("doc_id").alias("da")), "a").join(ones.select(F.col("id").alias("b"), F.col("doc_id").alias("db")), "b")
-    root = connected_components(found.select(F.col("da").alias("a"), F.col("db").alias("b")).union(same))
-    for done in (ones, leaders, shared, pairs, texts, links, member, left, rest):  # the result reads sig and root only
+    found = written(links.union(more).union(many))
+    total, ends = found.count(), found
+    for end in ("b", "a"):  # a leader has as many links as its bucket has texts that are like it
+        side = ones.select(F.col("id").alias(end), F.col("doc_id").alias(f"d{end}"))
+        ends = spread_join(ends, side, [end], found.groupBy(end).agg(F.count("*").alias("n")), total=total, hot_rows=hot_rows)
+    root = connected_components(ends.select(F.col("da").alias("a"), F.col("db").alias("b")).union(same), hot_rows=hot_rows)
+    for done in (ones, leaders, shared, pairs, texts, links, member, left, rest, found):  # the result reads sig and root only
         dropped(docs.sparkSession, done)
     class_ = sig.select("doc_id").join(root.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return class_.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
