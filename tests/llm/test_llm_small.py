@@ -158,8 +158,8 @@ def test_tiles_do_not_overlap():
     import numpy as np
 
     # seeds of a text that repeats the item's beginning: each item word is used once
-    p, q = np.array([0, 1, 2, 10, 11]), np.array([0, 1, 2, 0, 1])
-    got = decontaminate.tiles(p, q, 4)
+    h = np.array([5, 6, 7], np.uint64)
+    got = decontaminate.tiles(np.array([0, 1, 2, 10, 11]), h[[0, 1, 2, 0, 1]], np.arange(3), h, 4)
     used = [b + i for _, b, n in got for i in range(n)]
     assert len(used) == len(set(used)) and max(n for *_, n in got) == 6
 
