@@ -17,6 +17,7 @@ from eventide.plans.selection import FROM, TO, chain_sql, limit_rows, listings
 from eventide.plans.study import RHO, Study, group, r9, sql
 from eventide.registry import keep, own, query
 from eventide.sources import readers
+from eventide.sources.bisection import around, collected
 from eventide.sources.ingest import ingest
 from eventide.sources.landing import Folder, Landing
 from eventide.sources.panel import bars, industry, panel_sql, read
@@ -93,6 +94,27 @@ def s22(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{at}/table").groupBy("batch_id", "event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("keys"), total)
 
 
+BISECT_SQL = """WITH RECURSIVE d AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, sum(CAST(value AS DECIMAL(18,2))) AS v FROM events GROUP BY 1, 2),
+h AS (SELECT DISTINCT event_type, DATE '2024-01-01' AS lo, DATE '2024-12-31' AS hi FROM events
+  UNION ALL SELECT h.event_type, CASE WHEN s.i = 0 THEN lo ELSE lo + CAST(floor((hi - lo) / 2) AS INTEGER) + 1 END, CASE WHEN s.i = 0 THEN lo + CAST(floor((hi - lo) / 2) AS INTEGER) ELSE hi END
+  FROM h, (VALUES (0), (1)) AS s(i) WHERE lo < hi AND (SELECT sum(n) FROM d WHERE d.event_type = h.event_type AND d.day BETWEEN h.lo AND h.hi) > 30),
+c AS (SELECT h.event_type, lo, hi, coalesce(sum(n), 0) AS n, CAST(sum(v) AS DOUBLE) AS total FROM h LEFT JOIN d ON d.event_type = h.event_type AND d.day BETWEEN h.lo AND h.hi GROUP BY 1, 2, 3)
+SELECT event_type, lo, hi, CAST(n AS BIGINT) AS n, CAST(greatest(1, ceil(n / 30.0)) AS BIGINT) AS pages, round(total, 2) AS total FROM c WHERE n <= 30 OR lo = hi"""
+
+
+@query("s23_bisected_ranges", BISECT_SQL)
+def s23(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A year of events by type, read twice, in the ranges of at most 30 rows (or one day) that halving the year ends in, with the rows that each range holds."""
+    events = read(spark, sf_dir, "events").select("event_type", "event_id", F.to_date("ts").alias("day"), F.col("value").cast("decimal(18,2)").alias("value"))
+    year = events.select("event_type").distinct().select("event_type", F.lit("2024-01-01").cast("date").alias("start"), F.lit("2024-12-31").cast("date").alias("end"))
+    rows, ranges = collected(events, events, year, ["event_type"], day="day", id="event_id", page=30)
+    # days are summed before they meet their ranges, and meet them by equality: of those around a day one is read
+    days = rows.groupBy("event_type", "day").agg(F.sum("value").alias("v")).join(year, "event_type")
+    met = days.select("event_type", "v", F.inline(around(F.col("day"), F.col("start"), F.col("end"))).alias("lo", "hi"))
+    held = ranges.join(met, ["event_type", "lo", "hi"], "left")
+    return held.groupBy("event_type", "lo", "hi", "n", "pages").agg(F.round(F.sum("v").cast("double"), 2).alias("total"))
+
+
 @query("a18_normal_quantile", f"""WITH p AS (SELECT c_custkey, (c_acctbal + 1000.0) / 11000.0 AS p FROM customer WHERE c_acctbal > -1000 AND c_acctbal < 10000)
 SELECT c_custkey, round({quantile_sql('p')}, 10) AS z, round({cdf_sql('(p - 0.5) * 12')}, 12) AS below FROM p""")
 def a18(spark: SparkSession, sf_dir: str) -> DataFrame:
