@@ -1,4 +1,4 @@
-"""Result documents as data: their leaves, the difference of two runs, canonical text and digests.
+"""Result documents as data: their leaves, the difference of two runs, canonical text and digests.
 
 Documents are rows of JSON text (or nested columns), so a comparison of millions of them is one plan, and nothing is parsed on the driver.
 """
@@ -96,3 +96,16 @@ def tree_digests(rows: DataFrame, keys: list[str], digest: str) -> DataFrame:
     lists = rows.groupBy(*keys, bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"), F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(digest))), 256).alias("_d"))
     ordered = F.array_sort(F.collect_list(F.struct("_b", "_d")))  # 256 at most
     return lists.groupBy(*keys).agg(F.sum("_n").alias("n"), F.sha2(F.concat_ws("\n", F.transform(ordered, lambda x: F.concat(x["_b"], F.lit(":"), x["_d"]))), 256).alias("digest"))
+
+
+def result_documents(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """(keys, doc, digest), a document of canonical JSON for each key, in which `by` maps each of its values to the other columns.
+
+    A value of `by` that is NULL or comes twice under a key fails the job. NULL columns are written as null. A document holds its key's rows, so they must be as few as the
+    layers of a study. The digest is that of canonical_digests().
+    """
+    others = [c for c in rows.columns if c not in (*keys, by)]
+    inner = F.map_from_entries(F.collect_list(F.struct(F.col(by), F.struct(*others))))
+    whole = rows.groupBy(*keys).agg(inner.alias("_by")).select(*keys, F.struct(*keys, F.col("_by").alias(by)).alias("_doc"))
+    text = F.to_json(canonical_struct(F.col("_doc"), whole.schema["_doc"].dataType), {"ignoreNullFields": "false"})
+    return whole.select(*keys, text.alias("doc")).withColumn("digest", F.sha2(F.concat("doc", F.lit("\n")), 256))

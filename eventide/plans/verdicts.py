@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventide.functions.normal import quantile_sql
 from eventide.operators import study as E
+from eventide.operators.documents import result_documents
+from eventide.operators.gates import require
 from eventide.operators.study_table import studies
 from eventide.plans.strata import MARKET, STATIC
 from eventide.plans.study import BASE, GRP, group, r9
-from eventide.registry import keep, query
+from eventide.registry import keep, own, query
+from eventide.sources.landing import Landing
 from eventide.sources.panel import DENSE, bars, calendar, first_events, panel_sql
+from eventide.sources.work import shared_dir
 
 SPECS = [E.Spec(20), E.Spec(10), E.Spec(10, "pool", tuple(STATIC)), E.Spec(20, policy="unified_announcement")]
 FREE = "(SELECT min(r.cal_idx) FROM r WHERE r.sec = e0.sec AND r.cal_idx BETWEEN e0.t + 1 AND e0.t + 6) AS tau0"
@@ -50,7 +56,10 @@ SELECT '{spec.digest[:12]}' AS spec, {spec.length} AS length, '{benchmark}' AS b
   CASE WHEN n_valid > 0 THEN 'TESTED' WHEN thin THEN 'UNESTIMABLE_BY_FROZEN_COVERAGE' ELSE 'UNESTIMABLE_AFTER_FROZEN_CLEANING' END AS status FROM v""", DENSE)
 
 
-@query("e12_verdicts", " UNION ALL ".join(f"SELECT * FROM ({spec_sql(s, 0.05 / len(SPECS))})" for s in SPECS))
+E12_SQL = " UNION ALL ".join(f"SELECT * FROM ({spec_sql(s, 0.05 / len(SPECS))})" for s in SPECS)
+
+
+@query("e12_verdicts", E12_SQL)
 def e12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four studies (two windows, two benchmarks, two policies) by layer, from one reading of the bars."""
     out = studies(bars(spark, sf_dir, DENSE), calendar(spark, sf_dir), first_events(spark, sf_dir, DENSE), SPECS, keep, group=group())
@@ -58,3 +67,15 @@ def e12(spark: SparkSession, sf_dir: str) -> DataFrame:
         "spec", "length", "benchmark", "policy", "layer", "n_events", "n_valid", "n", *r9("mean_car"), *(F.round(c, 7).alias(c) for c in ("naive_t", "bmp_car", "adj_bmp", "calendar_t")), "n_pairs", F.round("rank_t", 6).alias("rank_t"),
         "alpha", "verdict", "main_only", "effect", "status",
     )
+
+
+@query("k03_result_documents", f"SELECT spec, layer, n_events, n_valid, mean_car, verdict, main_only, status FROM ({E12_SQL})")
+def k03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four studies as a JSON document each, landed as one batch and read back: what a document says of each layer, if its text still has its digest."""
+    table = Landing(spark, f"{shared_dir(spark)}/eventide-results-{uuid.uuid4().hex}")
+    own(table.folder.delete)
+    table.land(result_documents(e12(spark, sf_dir), ["spec"], "layer"), 1, expect=len(SPECS), unique=["spec"])
+    docs = spark.read.parquet(table.path)
+    docs = require(docs, F.col("digest") == F.sha2(F.concat("doc", F.lit("\n")), 256), "a document isn't what its digest says", "spec")
+    said = "layer map<string, struct<n_events: bigint, n_valid: bigint, mean_car: double, verdict: string, main_only: string, status: string>>"
+    return docs.select("spec", F.explode(F.from_json("doc", said, {"mode": "FAILFAST"})["layer"]).alias("layer", "r")).select("spec", "layer", "r.*")

@@ -78,3 +78,18 @@ def test_tree_digests(spark):
         buckets = sorted({d[:2] for d in own})
         sha = lambda lines: hashlib.sha256("\n".join(lines).encode()).hexdigest()
         assert got[g] == (len(own), sha([f"{b}:{sha([d for d in own if d[:2] == b])}" for b in buckets]))
+
+
+def test_result_documents(spark):
+    rows = [(2, "good", 1.5, None, "é"), (2, "bad", None, 7, '"'), (1, "good", 0.1, 0, None)]
+    df = spark.createDataFrame(rows, "spec int, layer string, z double, _n long, a string")
+    got = {r.spec: r for r in D.result_documents(df, ["spec"], "layer").collect()}
+    for spec in (1, 2):
+        want = {"spec": spec, "layer": {k: {"z": z, "_n": n, "a": a} for s, k, z, n, a in rows if s == spec}}
+        assert json.loads(got[spec].doc) == want
+        assert got[spec].doc == json.dumps(want, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        assert got[spec].digest == canonical_digest(want)
+    for wrong in ((1, "good", 0.2, 1, None), (1, None, 0.2, 1, None)):  # a layer twice, a layer without a name
+        with pytest.raises(Exception, match="(?i)map.?key"):
+            D.result_documents(spark.createDataFrame([*rows, wrong], df.schema), ["spec"], "layer").collect()
+    assert D.result_documents(df.limit(0), ["spec"], "layer").count() == 0
