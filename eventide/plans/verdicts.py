@@ -49,7 +49,7 @@ x AS (SELECT tot.lay AS layer, n_events, n_valid, coalesce(n, 0) AS n, mean_car,
 z AS (SELECT *, {quantile_sql(f'1 - {alpha!r} / 2')} AS z FROM x),
 v AS (SELECT *, CASE WHEN n_valid < 30 THEN 'INSUFFICIENT' WHEN adj IS NULL THEN 'AMBIGUOUS' WHEN abs(adj) > z THEN 'SIG' ELSE 'NOT_SIG' END AS main_only FROM z)
 SELECT '{spec.digest[:12]}' AS spec, {spec.length} AS length, '{benchmark}' AS benchmark, '{spec.policy}' AS policy, layer, n_events, n_valid, n, round(mean_car, 9) AS mean_car, round(naive_t, 7) AS naive_t, round(bmp_car, 7) AS bmp_car, n_pairs, round(adj, 7) AS adj_bmp,
-  round(rank_t, 6) AS rank_t, round(calendar_t, 7) AS calendar_t, {alpha!r} AS alpha, main_only,
+  round(rank_t, 6) AS rank_t, round(calendar_t, 7) AS calendar_t, CAST({alpha!r} AS DOUBLE) AS alpha, main_only,
   CASE WHEN main_only IN ('INSUFFICIENT', 'AMBIGUOUS') THEN main_only WHEN abs(coalesce(naive_t, 0)) > z AND main_only = 'NOT_SIG' THEN 'NOT_SIG' WHEN sign(coalesce(calendar_t, 0)) * sign(adj) < 0 THEN 'AMBIGUOUS'
     WHEN sign(adj) <> 0 AND sign(coalesce(rank_t, 0)) = sign(adj) AND sign(coalesce(calendar_t, 0)) = sign(adj) THEN main_only ELSE 'AMBIGUOUS' END AS verdict,
   CASE WHEN main_only IN ('INSUFFICIENT', 'AMBIGUOUS') THEN 'UNAVAILABLE' WHEN adj > 0 THEN 'ALIGNED' WHEN adj < 0 THEN 'REVERSED' ELSE 'NEUTRAL' END AS effect,
