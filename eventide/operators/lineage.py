@@ -13,29 +13,49 @@ Keep = Callable[[DataFrame], DataFrame]
 def closure(parents: DataFrame, keep: Keep, *, most_levels: int = 64) -> DataFrame:
     """(child, ancestor, level): every batch that a batch was made from, with the shortest way; a batch on a cycle is its own ancestor.
 
-    parents: (child, parent). Each round follows all ways found so far by as many steps again, so levels double, and ends when nothing new is found; what a round finds is written (`keep`), so
-    plans don't grow. A lineage deeper than most_levels fails.
+    parents: (child, parent). Ways of one length, a power of two, are put behind all shorter ones, so levels double; there are fewer of them each round, and none or nothing new ends it. What a round
+    finds is written (`keep`), so plans don't grow. A lineage deeper than most_levels fails.
     """
-    known = keep(parents.filter("child is not null and parent is not null").select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("level")).distinct())
-    n, reach = known.count(), 1
+    step = _edges(parents).withColumnRenamed("parent", "ancestor")
+    known = keep(step.withColumn("level", F.lit(1)))
+    step, n, length = known.drop("level"), known.count(), 1
     while True:
-        ways = known.alias("a").join(known.alias("b"), F.col("a.ancestor") == F.col("b.child")).select("a.child", "b.ancestor", (F.col("a.level") + F.col("b.level")).alias("level"))
+        length *= 2
+        step = keep(_then(step, step).distinct())
+        if step.isEmpty():
+            return known
+        ways = step.withColumn("level", F.lit(length)).unionByName(_then(known, step).withColumn("level", F.col("level") + length))
         known = keep(known.unionByName(ways).groupBy("child", "ancestor").agg(F.min("level").alias("level")))
-        reach, last, n = 2 * reach, n, known.count()
+        last, (n, deepest) = n, known.agg(F.count("*"), F.max("level")).first()
         if n == last:
             return known
-        if reach > most_levels:
+        if deepest > most_levels:
             raise ValueError(f"lineage is deeper than {most_levels} levels")
 
 
+def _edges(parents: DataFrame) -> DataFrame:
+    return parents.filter("child is not null and parent is not null").select("child", "parent").distinct()
+
+
+def _then(ways: DataFrame, step: DataFrame) -> DataFrame:
+    """The ways with each step from where they end behind them."""
+    return ways.join(step.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("_next")), "ancestor").drop("ancestor").withColumnRenamed("_next", "ancestor")
+
+
 def unpinned(batches: DataFrame, parents: DataFrame, pinned: DataFrame, keep: Keep) -> DataFrame:
     """(batch, n_ancestors, n_outside, first_outside, cyclic) of each batch whose lineage holds a batch that the manifest doesn't pin, or a cycle.
 
-    batches, pinned: (batch). A parent that isn't a batch at all is outside too.
+    batches, pinned: (batch). A parent that isn't a batch at all is outside too. Ways are followed (`closure`) between batches that others were made from; all other batches, which are most of them,
+    take their parents' ancestors in one join, and their pairs are counted without being written.
     """
-    found = closure(parents, keep)
+    edges = keep(_edges(parents))
+    made_from = edges.join(edges.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
     inside = pinned.select(F.col("batch").alias("ancestor")).distinct().withColumn("_in", F.lit(True))
-    by = found.join(inside, "ancestor", "left").groupBy(F.col("child").alias("batch")).agg(
+    above = closure(made_from, keep).select(F.col("child").alias("parent"), "ancestor").join(inside, "ancestor", "left")
+    own = edges.join(inside.withColumnRenamed("ancestor", "parent"), "parent", "left")
+    found = own.select("child", F.col("parent").alias("ancestor"), "_in").unionByName(edges.join(above, "parent").select("child", "ancestor", "_in"))
+    # one exchange serves both groupings
+    by = found.repartition("child").distinct().groupBy(F.col("child").alias("batch")).agg(
         F.count(F.lit(1)).alias("n_ancestors"), F.count_if(F.col("_in").isNull()).alias("n_outside"), F.min(F.when(F.col("_in").isNull(), F.col("ancestor"))).alias("first_outside"),
         F.bool_or(F.col("child") == F.col("ancestor")).alias("cyclic"),
     )

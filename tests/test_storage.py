@@ -44,3 +44,19 @@ def test_lineage_closure(spark):
     with pytest.raises(ValueError):
         lineage.closure(parents, registry.keep, most_levels=2)
     registry.close_all()
+
+
+def test_lineage_of_many_batches_from_few_writes_few_pairs(spark):
+    pairs = [(i, i - 1) for i in range(1, 12)] + [(100 + i, 11) for i in range(2000)]
+    parents = spark.createDataFrame(pairs, "child long, parent long")
+    written = []
+
+    def keep(df):
+        written.append(registry.keep(df))
+        return written[-1]
+
+    batches, pinned = spark.range(2200).select(F.col("id").alias("batch")), spark.range(1, 2200).select(F.col("id").alias("batch"))
+    out = {r.batch: (r.n_ancestors, r.n_outside, r.first_outside, r.cyclic) for r in lineage.unpinned(batches, parents, pinned, keep).collect()}
+    assert out == {**{i: (i, 1, 0, False) for i in range(1, 12)}, **{100 + i: (12, 1, 0, False) for i in range(2000)}}
+    assert sum(w.count() for w in written) < 2 * len(pairs)  # all 24,066 ways were written before, and in each round again
+    registry.close_all()
