@@ -72,7 +72,7 @@ def r02_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a36(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chains of rows that are at the limit, counted before selection, are all events or rejected for one reason."""
     rows = keep(limit_rows(spark, sf_dir))
-    out = X.limit_chains(rows, listings(spark, sf_dir), side="down", start=FROM, end=TO).agg(F.count("*").alias("chains"), F.sum((F.col("outcome") == "event").cast("long")).alias("events"), F.sum((F.col("outcome") != "event").cast("long")).alias("rejects"))
+    out = X.limit_chains(rows, listings(spark, sf_dir), side="down", start=FROM, end=TO).agg(F.count("*").alias("chains"), F.count_if(F.col("outcome") == "event").alias("events"), F.count_if(F.col("outcome") != "event").alias("rejects"))
     # counted another way: a chain begins where a row at the limit follows one that isn't, and goes on for another row
     at = (F.col("one_word") & (F.col("open_at") == "down")).cast("int")
     w = X.forward()
