@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
@@ -9,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventide.registry import own
-from eventide.sources.work import Written
+from eventide.sources.work import Written, delete
 
 #: Bytes of text that one Arrow batch from the JVM holds at most (one longer row still travels whole).
 BATCH_BYTES = 8 << 20
@@ -27,7 +29,7 @@ def bound_batches(spark: SparkSession) -> None:
 def written(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder: lineage ends there, and a lost executor loses nothing. It stays until dropped(), or the end of the process."""
     table = Written(df, compression="zstd")
-    own(table.drop)
+    own(partial(delete, table.spark, table.at))  # by name: the driver holds no plan and no list of files of tables that nothing reads any more
     return table.df
 
 
@@ -49,6 +51,8 @@ def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], counts: DataF
     rows, of which there are 100,000 at most, are split into parts of that size; their side is repeated for each part.
     """
     least = max(hot_rows, total // MOST_HOT)
+    if total <= least:  # then no key has more: a plan without broadcasts
+        return rows.join(side, keys)
     hot = F.broadcast(counts.filter(F.col("n") > least).select(*keys, F.ceil(F.col("n") / least).cast("int").alias("_parts")))
     others = [c for c in rows.columns if c not in keys]
     parts = F.coalesce("_parts", F.lit(1))

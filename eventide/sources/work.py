@@ -39,7 +39,12 @@ class Written:
         self.df = self.spark.read.schema(df.schema).parquet(self.at)
 
     def drop(self) -> None:
-        if self.spark.sparkContext._jsc is None or self.spark.sparkContext._jsc.sc().isStopped():
-            return
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.at)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, self.at)
+
+
+def delete(spark: SparkSession, at: str) -> None:
+    """Delete a folder, unless its session is gone."""
+    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

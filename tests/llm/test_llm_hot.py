@@ -1,7 +1,9 @@
 """Hot keys, texts that repeat themselves, and the substring operator against a plain version."""
 
+import gc
 import random
 import time
+import weakref
 from collections import defaultdict
 
 import numpy as np
@@ -10,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventide.llm import decontaminate, minhash, substring_dedup
-from eventide.llm.common import spread_join
+from eventide.llm.common import spread_join, written
 from eventide.llm.components import connected_components
 from tests.llm.test_llm_brute import plain_tiles
 
@@ -140,3 +142,19 @@ def test_digests_differ_where_a_polynomial_repeats():
         seen["both"].add((int(digest["d1"][0]), int(digest["d2"][0])))
         assert last[0] >= 0 and np.count_nonzero(last >= 0) == 1
     assert len(seen["both"]) == 2
+
+
+def test_joins_of_few_rows_have_no_broadcast_of_hot_keys(spark):
+    rows, side = spark.range(50).select((F.col("id") % 5).alias("k"), "id"), spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    out = spread_join(rows, side, ["k"], rows.groupBy("k").agg(F.count("*").alias("n")), total=50)
+    assert out.columns == ["k", "id", "v"] and sorted(map(tuple, out.collect())) == sorted((i % 5, i, i % 5 * 10) for i in range(50))
+    assert "_parts" not in out._jdf.queryExecution().toString()
+
+
+def test_written_tables_are_not_held_by_the_driver(spark):
+    table = written(spark.range(10))
+    held = weakref.ref(table)
+    assert table.count() == 10
+    del table
+    gc.collect()
+    assert held() is None
